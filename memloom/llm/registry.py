@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, quality, sharding
 
-MODULES = (sharding, mixing)
+MODULES = (bpe, quality, sharding, mixing)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
