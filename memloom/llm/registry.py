@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, sharding, simhash
+from . import bpe, langid, mixing, pii, quality, sharding, simhash
 
-MODULES = (bpe, quality, sharding, langid, mixing, simhash)
+MODULES = (bpe, quality, sharding, langid, mixing, simhash, pii)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
