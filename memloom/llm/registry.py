@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing, pii, quality, sharding, simhash, urlfilter
+from . import bpe, langid, media, mixing, pii, quality, sharding, simhash, toolcalls, urlfilter
 
-MODULES = (bpe, quality, sharding, langid, mixing, simhash, pii, urlfilter, media)
+MODULES = (bpe, quality, sharding, langid, mixing, simhash, pii, urlfilter, media, toolcalls)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
