@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""Raw documents to token ids: quality, near-duplicates, personal data, mixing, encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
+documents; the last returns their ids. A stage's result is written as Parquet and read again, so a
+lost executor costs tasks of one stage only.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memloom.llm.bpe import bpe_decode, bpe_encode
+from memloom.llm.common import documents, materialize
+from memloom.llm.mixing import mix
+from memloom.llm.pii import redact
+from memloom.llm.quality import quality
+from memloom.llm.simhash import drop_near_duplicates
+
+
+def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return _as(docs, quality(docs).filter("kept"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact or near copies."""
+    return drop_near_duplicates(docs)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked; n_chars follows the text."""
+    out = redact(docs)
+    return _as(docs, out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
+    return _as(docs, mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, packed as little-endian unsigned 32-bit integers, and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("SimHash near-dedup", drop_copies),
+    ("PII", mask_private),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: Fingerprints, the network and the encoder have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = materialize(docs)
+    return docs
