@@ -1,6 +1,562 @@
-"""Named queries over the driver tables and the SQL that must agree with them."""
+"""Named queries over the driver's tables and the SQL that must agree with them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.scores import masked
+from ..operators import graph, metrics, retrieval, scoring, selection, stage_a, state, weights
+from ..schema import DEFAULT_WEIGHTS, DIMS
+from ..sources import canonical as C
+from . import presets, schedule
+from .oracles import ORACLES
+
+K, CANDIDATES = 10, 50
+RAW = [f"{d}_score" for d in DIMS]
+
+
+class View:
+    """The canonical tables of one data set, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self._made: dict = {}
+
+    def _once(self, name, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    mem = property(lambda s: s._once("mem", lambda: C.memories(s.spark, s.dir)))
+    q = property(lambda s: s._once("q", lambda: C.queries(s.mem)))
+    nodes = property(lambda s: s._once("nodes", lambda: C.nodes(s.mem)))
+    edges = property(lambda s: s._once("edges", lambda: C.edges(s.nodes)))
+    cand = property(lambda s: s._once("cand", lambda: retrieval.retrieve_vector(s.q, s.mem, CANDIDATES)))
+    scored = property(lambda s: s._once("scored", lambda: rounded(scoring.score_full(s.cand))))
+    kept = property(lambda s: s._once("kept", lambda: selection.select_topk(s.scored, K).filter("kept")))
+    near = property(lambda s: s._once("near", lambda: stage_a.neighbourhood(s.folded, s.nodes, s.edges)))
+    folded = property(lambda s: s._once("folded", lambda: stage_a.folded(s.q, s.nodes)))
+    sources = property(lambda s: s._once("sources", lambda: stage_a.softmax_weights(stage_a.source_topk(stage_a.source_scores(stage_a.relevance(s.folded, s.nodes, s.near), variance_floor=0.0)))))
+    relevant = property(lambda s: s.mem.select("memory_id", "owner_node").join(F.broadcast(s.q.select("query_id", F.col("cur_node").alias("owner_node"))), "owner_node").filter("memory_id != query_id"))
+
+    def table(self, name: str) -> DataFrame:
+        return C.table(self.spark, self.dir, name)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("final", F.round("final", retrieval.DIGITS))
+
+
+def six(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _scores(df: DataFrame, *more: str) -> DataFrame:
+    return six(df, *RAW, "final").select("query_id", "memory_id", *RAW, *more, "final")
+
+
+def _picks(df: DataFrame) -> DataFrame:
+    return six(df.filter("kept"), "final").select("query_id", "memory_id", "pick_rank", "final")
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    """Register f(view) under its name."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(View(spark, sf_dir))
+    return f
+
+
+# retrieval
+
+
+@query
+def schedule_topk(v):
+    return _picks(selection.select_threshold(v.scored, 0.0, K))
+
+
+@query
+def retrieve_full(v):
+    return retrieval.retrieve_full(v.q, v.mem, K).select("query_id", "memory_id", "rank")
+
+
+@query
+def retrieve_bm25(v):
+    found = retrieval.retrieve_bm25(C.lexical_queries(v.spark, v.dir), C.lexical_pool(v.spark, v.dir), K)
+    return six(found, "bm25_score").select("query_id", "memory_id", "bm25_score", "rank")
+
+
+@query
+def retrieve_vector(v):
+    return six(retrieval.retrieve_vector(v.q, v.mem, K), "cos").select("query_id", "memory_id", "cos", "rank")
+
+
+@query
+def retrieve_rrf(v):
+    return six(retrieval.retrieve_rrf(v.q, v.mem, K), "rrf_score").select("query_id", "memory_id", "bm25_rank", "vector_rank", "rrf_score", "rank")
+
+
+@query
+def retrieve_reme(v):
+    return retrieval.get_retriever("retriever.reme")(v.q, v.mem, K).select("query_id", "memory_id", "rank")
+
+
+@query
+def scoped_recall(v):
+    found = retrieval.scoped_recall(v.folded, v.mem, v.sources, K)
+    return six(found, "cos").select("query_id", "memory_id", "owner_node", "cos", "rank")
+
+
+@query
+def isolation(v):
+    return retrieval.isolated(v.mem, user_id=7).select("memory_id", "user_id")
+
+
+# scoring
+
+
+@query
+def score_full(v):
+    return _scores(v.scored)
+
+
+@query
+def score_noop(v):
+    return _scores(scoring.score_noop(v.cand))
+
+
+@query
+def score_normalized(v):
+    return _scores(scoring.score_normalized(v.cand))
+
+
+@query
+def score_adaptive_time(v):
+    return _scores(six(scoring.score_adaptive_time(v.cand), "lambda_eff"), "lambda_eff")
+
+
+@query
+def score_adaptive_gated(v):
+    eff = [f"eff_{d}" for d in DIMS]
+    return _scores(six(scoring.score_adaptive_gated(v.cand), *eff), *eff)
+
+
+@query
+def dim_mask(v):
+    return _scores(scoring.score_full(v.cand, enabled=("semantic", "task")))
+
+
+@query
+def source_bonus(v):
+    out = scoring.add_source_bonus(v.scored, v.sources)
+    return six(out, "source_bonus", "final").select("query_id", "memory_id", "source_bonus", "final")
+
+
+# selection
+
+
+@query
+def select_threshold(v):
+    out = selection.select_threshold(v.scored, 0.4, K)
+    return six(out, "final", "bar").select("query_id", "memory_id", "final", "bar", "kept")
+
+
+@query
+def select_topk(v):
+    return _picks(selection.select_topk(v.scored))
+
+
+@query
+def select_recency(v):
+    return _picks(selection.select_recency(v.scored))
+
+
+@query
+def select_cascade(v):
+    return _picks(selection.select_cascade(v.scored, version_cos=0.75))
+
+
+@query
+def version_supersede_antijoin(v):
+    return selection.superseded(v.scored, 0.75).select("query_id", "memory_id")
+
+
+@query
+def select_quota(v):
+    return _picks(selection.select_quota(v.scored.withColumn("quota", F.col("owner_node") % 3)))
+
+
+@query
+def hard_quota_filter(v):
+    rows = v.scored.withColumns({"quota": F.col("owner_node") % 3, "source_rank": F.col("owner_node")})
+    return selection.hard_quota_filter(rows).select("query_id", "memory_id", "pick_rank")
+
+
+@query
+def compression_ratio(v):
+    return selection.compression_ratio(selection.select_threshold(v.scored, 0.4, K))
+
+
+@query
+def shared_pool_topn(v):
+    rows = v.kept.select(F.lit("main").alias("pool"), "memory_id", F.col("final").alias("score"), (F.col("query_id") * 1000 + F.col("pick_rank")).alias("seq"))
+    return six(selection.shared_pool(rows), "score").select("memory_id", "score", "pool_rank")
+
+
+# graph
+
+
+@query
+def edge_candidates(v):
+    return six(v.edges, "similarity").select("src", "dst", "similarity", "type", "strength")
+
+
+@query
+def edge_types(v):
+    return graph.type_histogram(v.edges)
+
+
+@query
+def graph_reachability(v):
+    return graph.reachability(v.edges).select("src", "dst")
+
+
+@query
+def graph_levels(v):
+    return graph.levels(v.edges).withColumn("level", F.col("level").cast("long"))
+
+
+@query
+def graph_layout(v):
+    return graph.layout(v.edges).select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+@query
+def graph_is_dag(v):
+    return graph.is_acyclic(v.edges)
+
+
+@query
+def graph_degrees(v):
+    return graph.degrees(v.edges)
+
+
+@query
+def graph_predecessors(v):
+    return graph.neighbours(v.edges, 1, direction="in").select("node_id", "other_id", "strength")
+
+
+@query
+def graph_neighbors_k(v):
+    return graph.neighbours(v.edges, 2).select("node_id", "other_id", "strength", F.col("hops").cast("long").alias("hops"))
+
+
+@query
+def edge_filter(v):
+    return graph.filter_edges(v.edges, 0.5, ("references", "depends_on")).select("src", "dst", "type")
+
+
+@query
+def version_fold(v):
+    return graph.version_fold(v.nodes)
+
+
+@query
+def strength_feedback(v):
+    return six(v.edges.withColumn("strength", graph.feedback_strength(F.col("strength"), F.lit(1.0), F.col("type"))), "strength").select("src", "dst", "strength")
+
+
+@query
+def strength_summary(v):
+    return six(v.edges.withColumn("strength", graph.summary_strength(F.col("similarity"), F.col("type"))), "strength").select("src", "dst", "strength")
+
+
+FACTORS = ("f_topic", "f_temporal", "f_struct", "f_interact")
+
+
+@query
+def strength_multifactor(v):
+    w = {"topic": 0.6, "temporal": 0.3, "struct": 0.3, "interact": 0.8}
+    return six(graph.multifactor_strength(graph.edge_factors(v.nodes, v.edges), w), *FACTORS, "strength").select("src", "dst", *FACTORS, "strength")
+
+
+@query
+def graph_stats(v):
+    return graph.stats(v.nodes, v.edges)
+
+
+@query
+def coarse_links(v):
+    new = v.nodes.filter("node_id >= 5")
+    return six(graph.coarse_links(new, v.nodes), "similarity").select("src", "dst", "similarity", "type")
+
+
+@query
+def refine_diff(v):
+    return graph.refine_diff(v.edges.filter("interactions < 5"), v.edges.filter("interactions > 1"))
+
+
+@query
+def summary_due(v):
+    return v.nodes.select("node_id", graph.summary_due(F.col("n_memories"), F.col("version") > 0).alias("due"))
+
+
+@query
+def session_jaccard_edges(v):
+    """Links from earlier to later turns of a conversation that share words."""
+    t = v.table("conversations").select("conv_id", "turn", F.array_distinct(tx.tokens(F.col("text"))).alias("toks"))
+    a, b = t.alias("a"), t.alias("b")
+    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
+    union = F.size(F.array_union("a.toks", "b.toks"))
+    jac = F.when(union > 0, F.size(F.array_intersect("a.toks", "b.toks")) / union).otherwise(0.0)
+    return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("src"), F.col("b.turn").alias("dst"), F.round(jac, 6).alias("jaccard")).filter("jaccard >= 0.05")
+
+
+# stage A
+
+
+@query
+def stage_a_scores(v):
+    out = stage_a.source_scores(stage_a.relevance(v.folded, v.nodes, v.near), variance_floor=0.0)
+    return six(out, "rel", "src_score").select("query_id", "node_id", "strength", "rel", "lambda_eff", "src_score")
+
+
+@query
+def stage_a_softmax(v):
+    return six(v.sources, "weight").select("query_id", "node_id", "source_rank", "weight")
+
+
+@query
+def semantic_expansion(v):
+    return six(stage_a.semantic_expansion(v.folded, v.nodes, v.near, 2), "rel").select("query_id", "node_id", "rel")
+
+
+@query
+def manual_sources(v):
+    wanted = v.folded.select("query_id", F.posexplode(F.array(*[F.lit(x).cast("long") for x in (1, 3, 1, 77)])).alias("position", "node_id"))
+    return stage_a.manual_sources(wanted, v.near, v.nodes).select("query_id", "node_id", "position", "strength")
+
+
+@query
+def hard_quota_repair(v):
+    return stage_a.hard_quota(v.sources, K).select("query_id", "node_id", "source_rank", "quota")
+
+
+# metrics
+
+
+@query
+def ranking_metrics(v):
+    m = ["recall", "ceiling", "recall_norm", "precision", "mrr", "ndcg"]
+    return six(metrics.ranking_metrics(v.kept, v.relevant, K, v.q), *m).select("query_id", "n_relevant", "n_kept", "n_hit", "first_rank", *m)
+
+
+@query
+def source_hit(v):
+    want = v.q.select("query_id", F.explode(F.array(F.col("cur_node"), (F.col("cur_node") + 5) % 10)).alias("owner_node"))
+    return six(metrics.source_hit_rate(v.kept, want, v.q), "source_hit")
+
+
+@query
+def multi_source_ratio(v):
+    return six(metrics.multi_source_ratio(v.kept), "multi_source_ratio")
+
+
+@query
+def cross_source_relevance(v):
+    return six(metrics.cross_source_relevance(v.kept, v.sources), "cross_source_relevance")
+
+
+def _rows(v):
+    m = metrics.ranking_metrics(v.kept, v.relevant, K, v.q)
+    return m.join(v.q.select("query_id", "cur_node"), "query_id").select(F.when(F.col("query_id") % 100 == 0, "a").otherwise("b").alias("group"), F.concat(F.lit("s"), F.col("cur_node") % 3).alias("scene"), "recall", "mrr", "ndcg")
+
+
+@query
+def group_aggregate(v):
+    return metrics.group_aggregate(_rows(v), ["group"], ["recall", "mrr", "ndcg"])
+
+
+@query
+def scene_aggregate(v):
+    return metrics.scene_aggregate(_rows(v), ["recall", "mrr"])
+
+
+@query
+def latency_percentiles(v):
+    return metrics.percentiles(v.table("events"), "value", ["event_type"])
+
+
+@query
+def paired_difference(v):
+    e = v.table("events").filter(F.col("event_type").isin("view", "click"))
+    rows = e.groupBy(F.col("event_type").alias("group"), F.col("user_id").alias("episode_id")).agg(F.round(F.avg("value"), 6).alias("m"))
+    return six(metrics.paired_stats(metrics.paired(rows, "view", "click", "m")), "delta", "sd", "cohens_d")
+
+
+@query
+def paired_bootstrap(v):
+    e = v.table("events").filter(F.col("event_type").isin("view", "click"))
+    rows = e.groupBy(F.col("event_type").alias("group"), F.col("user_id").alias("episode_id")).agg(F.avg("value").alias("m"))
+    d = metrics.paired(rows, "view", "click", "m").withColumn("pair", F.lit("view-click"))
+    return metrics.paired_bootstrap(d, ["pair"], n_boot=2000)
+
+
+def _own_rank(v):
+    hit = v.cand.filter("owner_node = cur_node").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return v.q.select("query_id").join(hit, "query_id", "left")
+
+
+@query
+def reach_curve(v):
+    return metrics.rank_curve(_own_rank(v), [1, 3, 5, 10])
+
+
+@query
+def rank_histogram(v):
+    return v.cand.groupBy(metrics.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cos"), 6).alias("avg_cos"))
+
+
+@query
+def token_savings(v):
+    d = v.table("documents").select("source", tx.trace_tokens(F.col("text")).alias("t"), tx.cost_tokens(F.length("text")).alias("c"))
+    return d.groupBy("source").agg(F.sum("t").alias("trace_tokens"), F.sum("c").alias("cost_tokens")).withColumn("saved", F.round(1 - F.col("trace_tokens") / F.col("cost_tokens"), 6))
+
+
+@query
+def dim_diagnostics(v):
+    return metrics.dim_diagnostics(v.scored, RAW)
+
+
+@query
+def judge(v):
+    rows = v.kept.groupBy(F.concat(F.lit("graph_g"), F.col("owner_node") % 5).alias("group")).agg(F.round(F.avg("final"), 6).alias("avg_recall"), F.round(F.avg("cos"), 6).alias("avg_source_hit"), F.round(F.avg("task_score"), 6).alias("avg_recall_norm"), F.round(F.max("final"), 6).alias("avg_multi_source_ratio"))
+    return metrics.judge(rows)
+
+
+@query
+def log_summary(v):
+    return v.table("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.count_distinct("user_id").alias("users"))
+
+
+# state
+
+
+@query
+def access_counts(v):
+    log = v.table("events").filter(F.col("event_type").isin("view", "click"))
+    return state.access_counts(log, "user_id")
+
+
+@query
+def interactions(v):
+    return state.interaction_counts(v.kept)
+
+
+@query
+def latency_window(v):
+    e = v.table("events").select("event_id", "user_id", "ts", "value")
+    return state.latency_window(e, "user_id", ["ts", "event_id"], "value", digits=4).select("event_id", "win_n", "p50", "p90")
+
+
+@query
+def prior_gate(v):
+    e = v.table("events")
+    i = F.col("event_id")
+    tier = F.when(i % 3 == 0, "full").when(i % 3 == 1, "balanced").otherwise("fast")
+    return e.select("event_id", state.prior_gate(tier, i % 5 == 0, i % 2, i % 11, i % 7 == 0).alias("reason"))
+
+
+@query
+def prior_key(v):
+    return v.table("benchmark").select("item_id", tx.prior_key(F.col("text"), F.lit("u|s|b")).alias("key"))
+
+
+@query
+def api_error_class(v):
+    e = v.table("events").select("event_id", (F.lit(395) + F.col("event_id") % 40).cast("string").alias("code"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 9 == 0, " timed out").otherwise("")).alias("msg"))
+    return e.select("event_id", tx.api_error_class(F.col("code"), F.col("msg")).alias("class"))
+
+
+@query
+def chat_rounds(v):
+    return state.round_ids(v.table("conversations")).select("conv_id", "turn", "round_id", tx.short_title(F.col("text")).alias("title"))
+
+
+@query
+def tier_hysteresis(v):
+    return state.tier_hysteresis(v.table("events").select("event_id", "user_id", F.col("value")), "user_id", ["event_id"], "value", budget=250.0)
+
+
+@query
+def prior_lru(v):
+    e = v.table("events").select("event_id", F.lit("all").alias("node"), "user_id")
+    return state.prior_cache(e.withColumn("node", F.col("event_id") % 4), "node", ["event_id"], "user_id", 20)
+
+
+# weights and embeddings
+
+
+@query
+def reward_map(v):
+    return v.table("labels").select("doc_id", weights.explicit_reward(F.col("quality") == 1).alias("explicit"), weights.no_reward(F.col("quality") == 1).alias("none"))
+
+
+@query
+def hybrid_weights(v):
+    w = lambda x: F.struct(*[F.lit(x[d]).alias(d) for d in DIMS])
+    prior = F.when(F.col("task_tag") == "en", w(weights.PRESETS["reme"]))
+    h = v.mem.select("memory_id", weights.hybrid(prior, w(masked(DEFAULT_WEIGHTS, ("time", "task")))).alias("h"))
+    return h.select("memory_id", *[F.round(F.col(f"h.{d}"), 6).alias(d) for d in DIMS])
+
+
+@query
+def prior_parse(v):
+    raw = F.concat(F.lit('ok {"time": '), F.col("quality") + 1, F.lit(', "semantic": 2, "frequency": 1, "task": '), F.col("toxic"), F.lit("} done"))
+    p = v.table("labels").select("doc_id", weights.parse_prior(raw).alias("p"))
+    return p.select("doc_id", *[F.round(F.col(f"p.{d}"), 6).alias(d) for d in DIMS])
+
+
+@query
+def condition_embedding(v):
+    keys = v.table("conversations").select("conv_id").distinct().withColumn("condition_key", F.concat_ws("|", F.concat(F.lit("u"), F.col("conv_id") % 9), F.lit("chat")))
+    return weights.with_condition(keys)
+
+
+@query
+def mlp_weights(v):
+    q = weights.with_condition(v.q.withColumn("condition_key", F.concat_ws("|", F.col("cur_node").cast("string"), F.lit("s"))))
+    return weights.apply_net(q, weights.WeightNet(64)).select("query_id", "learnt.*")
+
+
+@query
+def hash_embed(v):
+    return v.table("benchmark").select("item_id", tx.hash_embedding(F.col("text")).alias("emb"))
+
+
+@query
+def cycle_downgrade(v):
+    e = v.edges.select(F.lit(0).alias("graph_id"), (F.col("dst") * 100 + F.col("src")).alias("seq"), "src", "dst", "type")
+    back = e.select("graph_id", (F.col("seq") + 50).alias("seq"), F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return graph.insert_edges(e.union(back))
+
+
+# whole schedules
+
+
+@query
+def schedule_graph_g4(v):
+    return _picks(schedule.schedule(presets.PRESETS["graph_g4"], v.q, v.mem, v.nodes, v.edges))
+
+
+@query
+def ablation_groups(v):
+    chosen = {n: presets.PRESETS[n] for n in ("graph_g0", "graph_g1", "graph_g2", "graph_g3", "graph_g4")}
+    kept = schedule.ablation(chosen, v.q, v.mem, v.nodes, v.edges)
+    return kept.groupBy("group").agg(F.count(F.lit(1)).alias("n_kept"), F.count_distinct("query_id").alias("n_queries"), F.round(F.avg("final"), 6).alias("avg_final"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
