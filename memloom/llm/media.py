@@ -8,26 +8,26 @@ it back joins that list with the store, puts the bytes together and verifies eve
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
-import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, documents, field, materialize
+from .common import arrow_columns, bound_batches, discard, documents, field, materialize
 
 UNIT = 64
 #: Chunk lengths: none below LEAST but a medium's last, none above MOST, AVERAGE more past LEAST.
 LEAST, AVERAGE, MOST = 1024, 4096, 65536
 #: First bytes of a stored medium, then each chunk's length (4 bytes) and SHA-256 (32 bytes) in order.
 MAGIC = b"CDC1"
-#: Stored bytes are compressed; the level of zstd.
-LEVEL = 3
+#: Stored bytes are compressed with bzip2, which needs a sixth less room than zstd for texts of a few kilobytes.
+LEVEL = 9
 
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -99,20 +99,20 @@ def _packs(df: DataFrame) -> DataFrame:
     """(medium, pack) of df(text): the payloads, compressed; a medium may come from several tasks."""
 
     def run(batches):
-        squeeze, seen = zstandard.ZstdCompressor(level=LEVEL).compress, set()
+        seen = set()
         for b in batches:
             ids, blobs = [], []
             for t in b.column(0).to_pylist():
                 raw = payload(t)
-                medium = hashlib.sha256(_stored(raw)).hexdigest()
+                medium = hashlib.sha256(_stored(raw)).digest()
                 if medium not in seen:  # at most a scan task's rows
                     seen.add(medium)
                     ids.append(medium)
-                    blobs.append(squeeze(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(blobs, pa.binary())], names=["medium", "pack"])
+                    blobs.append(bz2.compress(raw, LEVEL))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["medium", "pack"])
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, "medium string, pack binary")
+    return df.mapInArrow(run, "medium binary, pack binary")
 
 
 class Store:
@@ -130,6 +130,17 @@ class Store:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _shuffle_files_end_with_query(spark):
+    """Payloads cross the network twice; the files of one exchange go before the next begins."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+
+
 def write_store(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Store:
     """Store the text of every row of df over shared chunks.
 
@@ -137,10 +148,16 @@ def write_store(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Sto
     of df are ignored; an empty table makes an empty store. Payloads cross the network once here,
     compressed, so that each medium meets the list of its chunks that are shared.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
-    listed = materialize(_media_of(docs).withColumn("medium", F.sha2("stored", 256)).withColumn("uid", F.monotonically_increasing_id()))
-    media = materialize(listed.groupBy("medium").agg(F.min("uid").alias("mid"), F.first("stored").alias("stored")))
+    with _shuffle_files_end_with_query(df.sparkSession):
+        return _write(df.select(F.col(ident).alias("ident"), F.col(text).alias("text")))
+
+
+def _write(docs: DataFrame) -> Store:
+    listed = materialize(_media_of(docs).withColumn("uid", F.monotonically_increasing_id()))
+    rows = materialize(listed.select("ident", "n_bytes", F.unhex(F.sha2("stored", 256)).alias("medium"), "uid"))
+    first = rows.groupBy("medium").agg(F.min("uid").alias("uid"))
+    media = materialize(listed.select("uid", "stored").join(first, "uid").withColumnRenamed("uid", "mid"))
+    discard(listed)
 
     n = ((F.octet_length("stored") - F.lit(4)) / F.lit(36)).cast("int")
     places = media.select("medium", "mid", "stored", F.explode(F.sequence(F.lit(0), n - F.lit(1))).alias("seq"))
@@ -148,10 +165,11 @@ def write_store(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Sto
     digests = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("holder"))
     shared = materialize(digests.filter("n > 1").select("digest", "holder"))
     shared_refs = materialize(refs.join(shared, "digest").select("medium", "seq", "digest", (F.col("mid") == F.col("holder")).alias("holds")))
+    discard(refs)
+    discard(shared)
     flags = shared_refs.groupBy("medium").agg(F.collect_list(F.struct("seq", "holds")).alias("flags"))  # a medium's own chunks
 
     def split(batches):
-        squeeze, open_ = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
             for medium, pack, marks in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -159,26 +177,21 @@ def write_store(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Sto
                     out.append((0, medium, None, pack))
                     continue
                 held, mine = {m["seq"]: m["holds"] for m in marks}, {}
-                parts = chunks(open_(pack))
+                parts = chunks(bz2.decompress(pack))
                 for i, c in enumerate(parts):
                     if held.get(i):
                         mine[hashlib.sha256(c).digest()] = c
                 own = b"".join(c for i, c in enumerate(parts) if i not in held)
                 if own:
-                    out.append((0, medium, None, squeeze(own)))
-                out += [(1, None, d, squeeze(c)) for d, c in mine.items()]
+                    out.append((0, medium, None, bz2.compress(own, LEVEL)))
+                out += [(1, None, d, bz2.compress(c, LEVEL)) for d, c in mine.items()]
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["kind", "medium", "digest", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "medium", "digest", "blob"])
 
     packs = _packs(docs.select("text")).groupBy("medium").agg(F.first("pack").alias("pack"))
     marked = packs.join(flags, "medium", "left").select("medium", "pack", "flags")
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the payloads' shuffle files go once the chunks are written
-    try:
-        stored = materialize(marked.mapInArrow(split, "kind int, medium string, digest binary, blob binary"))
-    finally:
-        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
-    return Store(listed.select("ident", "n_bytes", "medium"), media.select("medium", "stored"), shared_refs.select("medium", "seq", "digest"), stored)
+    stored = materialize(marked.mapInArrow(split, "kind int, medium binary, digest binary, blob binary"))
+    return Store(rows.select("ident", "n_bytes", "medium"), media.select("medium", "stored"), shared_refs.select("medium", "seq", "digest"), stored)
 
 
 def assemble(stored: bytes, own: bytes, shared: dict[int, bytes]) -> bytes:
@@ -196,7 +209,7 @@ def assemble(stored: bytes, own: bytes, shared: dict[int, bytes]) -> bytes:
 
 
 def read_media(store: Store) -> DataFrame:
-    """(medium, payload, feature) for each distinct medium, from the stored chunks; damage fails.
+    """(medium, media_bytes, payload, feature) for each distinct medium, from the stored chunks; damage fails.
 
     Compressed chunks cross the network once more, to the task that puts their medium together; a task
     holds one medium at a time.
@@ -206,7 +219,6 @@ def read_media(store: Store) -> DataFrame:
     lists = store.media.select("medium", F.lit(-2).alias("seq"), F.col("stored").alias("blob"))
 
     def run(batches):
-        open_ = zstandard.ZstdDecompressor().decompress
         medium, stored, mine, lent_ = None, b"", b"", {}
         for b in batches:
             out = []
@@ -218,36 +230,37 @@ def read_media(store: Store) -> DataFrame:
                 if seq == -2:
                     stored = blob
                 elif seq == -1:
-                    mine = open_(blob)
+                    mine = bz2.decompress(blob)
                 else:
-                    lent_[seq] = open_(blob)
+                    lent_[seq] = bz2.decompress(blob)
             yield batch(out)
         if medium is not None:
             yield batch([finish(medium, stored, mine, lent_)])
 
     def finish(medium, stored, mine, lent_):
         raw = assemble(stored, mine, lent_)
-        return medium, raw, feature(raw, len(entries(stored)))
+        return medium, len(stored), raw, feature(raw, len(entries(stored)))
 
     def batch(out):
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.string()), strict=True)], names=["medium", "payload", "feature"])
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["medium", "media_bytes", "payload", "feature"])
 
     bound_batches(store.rows.sparkSession)
     parts = own.union(lent).union(lists).repartition("medium").sortWithinPartitions("medium", "seq")
-    return parts.mapInArrow(run, "medium string, payload binary, feature string")
+    return parts.mapInArrow(run, "medium binary, media_bytes long, payload binary, feature string")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
     store = write_store(documents(spark, sf_dir))
     found = read_media(store).select(
-        "medium", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "feature",
+        "medium", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_digest"),
+        F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "media_bytes", "feature",
     )
-    lists = store.media.select("medium", F.octet_length("stored").cast("long").alias("media_bytes"))
-    each = materialize(found.join(lists, "medium"))
+    with _shuffle_files_end_with_query(spark):
+        each = materialize(found)
     return store.rows.join(each, "medium").select(
-        F.col("ident").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("medium").alias("media_sha256"), "feature"
+        F.col("ident").alias("doc_id"), "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
+        "media_bytes", F.lower(F.hex("medium")).alias("media_sha256"), "feature",
     )
 
 
