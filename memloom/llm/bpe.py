@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import arrow_columns, documents, field
 
 #: Pre-tokens a worker remembers; on reaching it the memory starts afresh.
-MEMO = 400_000
+MEMO = 250_000
 
 
 class PerfectHash:
