@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, documents, field
+from .common import arrow_columns, documents, field, spread
 
 #: Pre-tokens a worker remembers; on reaching it the memory starts afresh.
 MEMO = 250_000
@@ -205,7 +205,7 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe_decode(bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    out = bpe_decode(bpe_encode(spread(documents(spark, sf_dir).select("doc_id", "text")), path, pattern).drop("text"), path, pattern)
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

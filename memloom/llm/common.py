@@ -95,5 +95,15 @@ def field(name: str, kind: T.DataType, nullable: bool = True) -> T.StructField:
     return T.StructField(name, kind, nullable)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, dealt to all cores; any other as it is.
+
+    Only an input of a few splits (so a small one) is moved; rows and results stay the same.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = scan._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return scan.repartition(cores) if few else scan
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

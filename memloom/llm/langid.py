@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, documents, field
+from .common import arrow_columns, bound_batches, documents, field, spread
 from .nets import Adam, Gru, Labeller, softmax
 
 WINDOW, HIDDEN, PAD = 64, 8, 256
 #: Bounds of the training sample: documents a language, windows a document, steps and rows a step.
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS, ROWS = 150, 24, 260, 192
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, ROWS = 150, 24, 160, 160
 #: Windows that one pass of the network holds.
 PASS_ROWS = 2048
 SEED = 7
@@ -140,7 +140,7 @@ def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     return identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, discard, documents, field, materialize
+from .common import arrow_columns, bound_batches, discard, documents, field, materialize, spread
 
 UNIT = 64
 #: Chunk lengths: none below LEAST but a medium's last, none above MOST, AVERAGE more past LEAST.
@@ -251,7 +251,7 @@ def read_media(store: Store) -> DataFrame:
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    store = write_store(documents(spark, sf_dir))
+    store = write_store(spread(documents(spark, sf_dir).select("doc_id", "text")))
     found = read_media(store).select(
         "medium", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_digest"),
         F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "media_bytes", "feature",

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, documents, field
+from .common import arrow_columns, bound_batches, documents, field, spread
 from .nets import Adam, Labeller, Lstm, crf_loss, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -291,7 +291,7 @@ def redact(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFram
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    return detect(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return detect(spread(documents(spark, sf_dir).select("doc_id", "text"))).drop("text")
 
 
 QUERIES = {"op10_pii": op10_pii}

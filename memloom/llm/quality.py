@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, documents, field
+from .common import arrow_columns, documents, field, spread
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -175,7 +175,7 @@ def quality(df: DataFrame, text: str = "text", rules=RULES, stats: bool = False,
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
-    out = quality(documents(spark, sf_dir).select("doc_id", "text"), stats=True)
+    out = quality(spread(documents(spark, sf_dir).select("doc_id", "text")), stats=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, discard, documents, field, materialize
+from .common import arrow_columns, bound_batches, discard, documents, field, materialize, spread
 
 SEED = 42
 #: Words of a shingle; links join fingerprints that differ in at most RADIUS bits.
@@ -248,7 +248,7 @@ def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(documents(spark, sf_dir))
+    return simhash_groups(spread(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 QUERIES = {"op9_simhash": op9_simhash}
