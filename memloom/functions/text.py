@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +29,17 @@ API_ERRORS = (
 CJK = r"[一-鿿]"
 
 
+def _token_pattern() -> str:
+    """CJK characters and whole runs of a-z0-9, unless they are stop words: the pattern leaves those out
+    itself, so that no lambda runs over the tokens."""
+    cjk = "".join(w for w in STOPWORDS if not w.isascii())
+    words = "|".join(w for w in STOPWORDS if w.isascii())
+    return f"[一-鿿&&[^{cjk}]]|(?<![a-z0-9])(?!(?:{words})(?![a-z0-9]))[a-z0-9]+"
+
+
 def tokens(text: Column) -> Column:
     """CJK characters and runs of a-z0-9 of the lower-cased text, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CJK + "|[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_token_pattern()), F.lit(0))
 
 
 def prior_key(query: Column, condition: Column) -> Column:
@@ -87,6 +94,22 @@ def hash_embedding(text: Column, dim: int = 128) -> Column:
     return embed(text)
 
 
+def placeholder_embedding(text: Column, dim: int) -> Column:
+    """A unit vector drawn by a generator that the text's digest seeds; zeros for blank text."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if not t:
+                return [0.0] * dim
+            v = np.random.default_rng(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16)).normal(0, 1, dim).astype(np.float32)
+            return (v / np.linalg.norm(v)).tolist()
+
+        return texts.map(one)
+
+    return embed(text)
+
+
 def infer_edge_type(similarity: Column) -> Column:
     from ..schema import EDGE_FALLBACK, EDGE_FROM_SIMILARITY
 

@@ -6,11 +6,12 @@ or q_emb. Every retriever keeps the k best by (score descending, seq), and adds
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, l2_normalise
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Ranking keys are rounded, so that the order of additions cannot swap near ties.
@@ -36,8 +37,15 @@ def retrieve_full(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     return top_k(pairs(queries, head).withColumn("_s", F.lit(0.0)), k, "_s").drop("_s")
 
 
+def unit(df: DataFrame, vec: str, name: str) -> DataFrame:
+    """df plus vec at unit length (zeros if missing), so that a pair costs one product."""
+    return df.withColumn(name, F.coalesce(l2_normalise(F.col(vec)), F.array().cast("array<double>")))
+
+
 def with_cosine(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    return pairs(queries, pool).withColumn("cos", F.round(cosine(F.col("q_emb"), F.col("emb")), DIGITS))
+    """Pairs plus cos."""
+    joined = pairs(unit(queries, "q_emb", "_q"), unit(pool, "emb", "_m"))
+    return joined.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
 
 
 def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None) -> DataFrame:
@@ -48,16 +56,22 @@ def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None) -> DataF
 def bm25_matches(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """(query_id, memory_id, bm25_score) of the pairs that share a token.
 
-    Postings are kept for the queries' tokens only and counted before they meet the queries.
+    Postings are counted within their documents and kept for the queries' tokens before they meet the
+    queries; the counts are persisted (memory, then disk), as lengths, frequencies and hits read them.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("token"))
+    # one pass over the texts: runs of tokens are counted before anything moves, and a row without a
+    # token of its own carries each document's length
     docs = pool.select("memory_id", tokens(F.col("text")).alias("toks"))
-    docs = docs.withColumn("doc_len", F.size("toks"))
-    scale = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("doc_len"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    postings = docs.select("memory_id", "doc_len", F.explode("toks").alias("token")).join(words.select("token").distinct(), "token", "left_semi")
-    tf = postings.groupBy("memory_id", "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted = docs.select("memory_id", F.explode(F.concat(F.array(F.lit("")), F.col("toks"))).alias("token")).groupBy("memory_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    tf = counted.filter("token != ''")
+    lengths = counted.groupBy("memory_id").agg((F.sum("tf") - 1).alias("doc_len"))
+    scale = lengths.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("doc_len"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    asked = words.select("token").distinct()
+    tf = tf.join(asked, "token", "left_semi")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(words, "token").join(df, "token").join(F.broadcast(scale))  # one row
+    hits = tf.join(words, "token").join(df, "token").join(lengths, "memory_id").join(F.broadcast(scale))  # one row
     part = F.ln(1 + F.col("n") / (1 + F.col("df"))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
     return hits.groupBy("query_id", "memory_id").agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
 
@@ -65,7 +79,7 @@ def bm25_matches(queries: DataFrame, pool: DataFrame) -> DataFrame:
 def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """By BM25 over the visible pool. Where fewer than k share a token, memories without one follow in
     the pool's order: they lie among the pool's first 2k + 1, so no other zero scores are formed."""
-    hits = bm25_matches(queries, pool).join(pool.select("memory_id", "seq"), "memory_id")
+    hits = bm25_matches(queries, pool).join(pool.select("memory_id", "seq"), "memory_id").persist(StorageLevel.MEMORY_AND_DISK)
     head = pool.orderBy("seq").limit(2 * k + 1).select("memory_id", "seq")
     rest = pairs(queries, head).select("query_id", "memory_id", "seq").join(hits, ["query_id", "memory_id"], "left_anti")
     every = hits.select("query_id", "memory_id", "seq", "bm25_score").unionByName(rest.withColumn("bm25_score", F.lit(0.0)))
@@ -106,7 +120,8 @@ def scoped(queries: DataFrame, pool: DataFrame, sources: DataFrame, fallback_all
 
 def scoped_recall(queries: DataFrame, pool: DataFrame, sources: DataFrame, k: int, fallback_all: bool = True) -> DataFrame:
     """The k most similar memories within each query's scope."""
-    rows = scoped(queries, pool, sources, fallback_all).withColumn("cos", F.round(cosine(F.col("q_emb"), F.col("emb")), DIGITS))
+    rows = scoped(unit(queries, "q_emb", "_q"), unit(pool, "emb", "_m"), sources, fallback_all)
+    rows = rows.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
     return top_k(rows, k, "cos").withColumn("vector_score", F.col("cos"))
 
 

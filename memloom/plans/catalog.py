@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scores import masked
-from ..operators import graph, metrics, retrieval, scoring, selection, stage_a, state, weights
+from ..operators import graph, layout, metrics, retrieval, scoring, selection, stage_a, state, weights
 from ..schema import DEFAULT_WEIGHTS, DIMS
 from ..sources import canonical as C
-from . import presets, schedule
+from ..sources import generators as G
+from . import presets, schedule, variants
 from .oracles import ORACLES
 
 K, CANDIDATES = 10, 50
@@ -559,4 +560,65 @@ def ablation_groups(v):
     return kept.groupBy("group").agg(F.count(F.lit(1)).alias("n_kept"), F.count_distinct("query_id").alias("n_queries"), F.round(F.avg("final"), 6).alias("avg_final"))
 
 
+# variants, generators, reports
+
+
+def _variant(name):
+    def run(v):
+        near = stage_a.relevance(v.folded, v.nodes, v.near)
+        return six(variants.variant(name, v.scored, near), "final").select("query_id", "memory_id", "final")
+
+    run.__name__ = f"variant_{name.lower()}"
+    return query(run)
+
+
+for _name in variants.VARIANTS:
+    _variant(_name)
+
+
+@query
+def pca_layout(v):
+    return layout.pca_layout(v.mem.select("memory_id", "emb")).select("memory_id", "x", "y")
+
+
+@query
+def placeholder_embed(v):
+    return v.table("benchmark").select("item_id", tx.placeholder_embedding(F.col("text"), 64).alias("emb"))
+
+
+@query
+def generate_flat(v):
+    return G.flat_episodes(v.spark)
+
+
+@query
+def generate_graph(v):
+    tables = {"nodes": G.graph_nodes, "edges": G.graph_edges, "memories": G.graph_memories, "episodes": G.graph_queries}
+    out = None
+    for name, make in tables.items():
+        n = make(v.spark).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query
+def conversation_world(v):
+    return six(G.conversation_world(v.table("conversations"))["edges"], "similarity").select("conv_id", "src", "dst", "similarity", "type")
+
+
+@query
+def pipeline_trace(v):
+    """For each query one record of its stages: candidates, best scores, kept rows."""
+    per = v.scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.round(F.max("final"), 6).alias("best"), F.round(F.avg("semantic_score"), 6).alias("avg_semantic"))
+    top = v.kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick_rank", "memory_id"))), lambda x: x["memory_id"].cast("string")), ",").alias("kept"))  # K rows a query
+    return per.join(top, "query_id")
+
+
+@query
+def status_report(v):
+    """Memories, users and queries by topic."""
+    n = v.mem.groupBy(F.col("owner_node").alias("node_id")).agg(F.count(F.lit(1)).alias("n_memories"), F.count_distinct("user_id").alias("n_users"), F.sum("access_count").alias("n_access"))
+    return n.join(graph.degrees(v.edges), "node_id", "left").fillna(0, ["out_degree", "in_degree"])
+
+
 __all__ = ["ORACLES", "QUERIES"]

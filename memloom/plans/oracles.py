@@ -195,6 +195,11 @@ ORACLES = {
     "reward_map": "SELECT doc_id, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS explicit, 0.0::DOUBLE AS none FROM labels",
     "hybrid_weights": with_("SELECT memory_id, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.0 ELSE 0.25 END + 0.4 * 0.25) / t, 6)::DOUBLE AS time, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.7 ELSE 0.35 END) / t, 6)::DOUBLE AS semantic, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.0 ELSE 0.15 END) / t, 6)::DOUBLE AS frequency, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.3 ELSE 0.25 END + 0.4 * 0.25) / t, 6)::DOUBLE AS task FROM mem, (SELECT 0.8 AS t)"),
     "prior_parse": "SELECT doc_id, round((quality + 1) / t, 6) AS time, round(2 / t, 6) AS semantic, round(1 / t, 6) AS frequency, round(toxic / t, 6) AS task FROM (SELECT *, quality + 1 + 3 + toxic AS t FROM labels)",
-    "schedule_graph_g4": None,
+    "variant_g1": with_("SELECT query_id, memory_id, round(final, 6) AS final FROM (SELECT s.query_id, s.memory_id, s.final, row_number() OVER (PARTITION BY s.query_id, owner_node ORDER BY seq) AS w, n FROM scored s JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM near) r ON r.query_id = s.query_id AND r.node_id = s.owner_node) WHERE w <= greatest(10 // n, 1)"),
+    "variant_g2": with_("SELECT query_id, memory_id, round(final, 6) AS final FROM (SELECT s.query_id, s.memory_id, s.final, row_number() OVER (PARTITION BY s.query_id ORDER BY final DESC, seq) AS w FROM scored s JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, node_id) AS r FROM near) r ON r.query_id = s.query_id AND r.node_id = s.owner_node AND r = 1) WHERE w <= 10"),
+    "variant_g4s": with_("SELECT query_id, memory_id, round(f, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, seq) AS w FROM (SELECT s.query_id, s.memory_id, seq, round(final + 0.2 * sc, 9) AS f FROM scored s JOIN (SELECT *, round(0.7 * strength + 0.3 * rel, 9) AS sc, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, node_id) AS r FROM rels) r ON r.query_id = s.query_id AND r.node_id = s.owner_node AND r <= 3)) WHERE w <= 10"),
+    "generate_graph": """SELECT * FROM (VALUES ('nodes', 22::BIGINT), ('edges', 46::BIGINT), ('memories', 490::BIGINT), ('episodes', 50::BIGINT)) t("table", n)""",
+    "conversation_world": f"WITH t AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS k FROM conversations) SELECT conv_id, src, dst, round(s, 6) AS similarity, CASE WHEN s >= 0.85 THEN 'derives_from' WHEN s >= 0.72 THEN 'depends_on' WHEN s >= 0.58 THEN 'references' ELSE 'similar_to' END AS type FROM (SELECT a.conv_id, a.turn AS src, b.turn AS dst, coalesce(len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0), 0) AS s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn) WHERE s > 0",
+    "pipeline_trace": with_("SELECT * FROM (SELECT query_id, count(*) AS n_candidates, round(max(final), 6) AS best, round(avg(semantic_score), 6) AS avg_semantic FROM scored GROUP BY 1) JOIN (SELECT query_id, string_agg(memory_id::VARCHAR, ',' ORDER BY pick_rank) AS kept FROM kept GROUP BY 1) USING (query_id)"),
+    "status_report": with_("SELECT node_id, n_memories, n_users, n_access, coalesce(o, 0)::BIGINT AS out_degree, coalesce(i, 0)::BIGINT AS in_degree FROM (SELECT owner_node AS node_id, count(*) AS n_memories, count(DISTINCT user_id) AS n_users, sum(access_count)::BIGINT AS n_access FROM mem GROUP BY 1) LEFT JOIN (SELECT src AS node_id, count(*) AS o FROM edges GROUP BY 1) USING (node_id) LEFT JOIN (SELECT dst AS node_id, count(*) AS i FROM edges GROUP BY 1) USING (node_id)"),
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

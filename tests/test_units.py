@@ -223,3 +223,47 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert [r.tier for r in spark.table("tiers").orderBy("i").collect()] == state.tier_steps([1000.0] * 12)
     assert spark.table("counts").first().access_count == 12
+
+
+def test_pca_matches_svd(spark):
+    from memloom.operators import layout
+
+    x = np.random.default_rng(0).standard_normal((40, 5)) @ np.diag([5, 3, 1, 1, 1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, emb array<double>")
+    got = {r.id: (r.x, r.y) for r in layout.pca_layout(df).collect()}
+    u = (x - x.mean(0)) @ np.linalg.svd(x - x.mean(0))[2][:2].T
+    for k in (0, 1):
+        want = (u[:, k] - u[:, k].min()) / np.ptp(u[:, k])
+        mine = np.array([got[i][k] for i in range(40)])
+        assert np.allclose(mine, want, atol=1e-9) or np.allclose(1 - mine, want, atol=1e-9)
+    assert got[99] == (0.5, 0.5) and layout.pca_layout(df.limit(1)).first().x == 0.5
+
+
+def test_generated_sets(spark):
+    from memloom.sources import generators as G
+
+    flat = G.flat_episodes(spark, 20).collect()
+    assert len(flat) == 20 and all(len(r.corpus) == 9 and r.relevant[0] == r.corpus[0].memory_id and r.query in r.corpus[0].text for r in flat)
+    assert all(not m.text.startswith(r.query + " ") for r in flat for m in r.corpus[1:])
+    assert G.graph_nodes(spark).count() == 22 and G.graph_edges(spark).count() == 46 and graph.is_acyclic(G.graph_edges(spark)).first().is_dag
+    kinds = {r.kind: r["count"] for r in G.graph_memories(spark).groupBy("kind").count().collect()}
+    assert kinds == {"core": 440, "stale": 12, "cross_task": 6, "version": 18, "param": 12, "distractor": 2} and G.graph_queries(spark).count() == 50
+    known = G.graph_memories(spark).select("owner_node").distinct()
+    assert known.join(G.graph_nodes(spark).select(F.col("node_id").alias("owner_node")), "owner_node", "left_anti").isEmpty()
+    s = G.distil_samples(spark, 5).first()
+    assert sum(s.target_weights) == pytest.approx(1)
+
+
+def test_variants(spark):
+    from memloom.plans import variants
+
+    scored = spark.createDataFrame([(1, 10 * s + i, 10 * s + i, f"n{s}", 1.0 - 0.01 * (10 * s + i)) for s in range(3) for i in range(9)], "query_id long, memory_id long, seq long, owner_node string, final double")
+    src = spark.createDataFrame([(1, "n0", 0.3, 0.1), (1, "n1", 0.9, 0.2), (1, "n2", 0.8, 0.9)], "query_id long, node_id string, strength double, rel double")
+    got = {v: sorted(r.memory_id for r in variants.variant(v, scored, src).collect()) for v in variants.VARIANTS}
+    assert got["G1"] == [0, 1, 2, 10, 11, 12, 20, 21, 22] and got["G2"] == list(range(10, 19)) and len(got["G3"]) == len(got["G4"]) == len(got["G4S"]) == 10 and got["G4"] == got["G4C"]
+
+
+def test_bootstrap_by_comparison(spark):
+    d = spark.createDataFrame([("p", f"e{i}", 0.1 * (i % 3)) for i in range(9)] + [("q", "e0", 1.0)], "pair string, episode_id string, diff double")
+    got = {r.pair: r for r in metrics.paired_bootstrap(d, ["pair"], 200).collect()}
+    assert got["p"].delta == pytest.approx(0.1) and got["p"].ci_low <= 0.1 <= got["p"].ci_high and got["q"].p == 1.0
