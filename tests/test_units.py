@@ -142,8 +142,8 @@ def test_hash_and_condition_vectors():
 
 
 def test_text(spark):
-    r = one(spark, tx.tokens(F.lit("The 我 Cat2 的 sat")).alias("t"), tx.api_error_class(F.lit("402"), F.lit("x")).alias("e"), tx.api_error_class(F.lit("500"), F.lit("Connection reset")).alias("n"), tx.trace_tokens(F.lit("我们 ab!")).alias("k"), tx.memory_lines(F.lit("- first memory line;- no\nsecond memory line")).alias("m"))
-    assert r.t == ["我", "cat2", "sat"] and (r.e, r.n) == ("balance", "network") and r.k == 2 + 1 + 1 and r.m[0] == "first memory line"
+    r = one(spark, tx.tokens(F.lit("The 猫 Cat2 的 sat")).alias("t"), tx.api_error_class(F.lit("402"), F.lit("x")).alias("e"), tx.api_error_class(F.lit("500"), F.lit("Connection reset")).alias("n"), tx.trace_tokens(F.lit("我们 ab!")).alias("k"), tx.memory_lines(F.lit("- first memory line;- no\nsecond memory line")).alias("m"))
+    assert r.t == ["猫", "cat2", "sat"] and (r.e, r.n) == ("balance", "network") and r.k == 2 + 1 + 1 and r.m[0] == "first memory line"
 
 
 def test_bm25_order_and_empty(spark):
