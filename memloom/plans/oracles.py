@@ -13,7 +13,7 @@ PARTS = {
     "vec": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, seq) AS rank FROM sim",
     "cand": "SELECT * FROM vec WHERE rank <= 50",
     "raw": """SELECT *, exp(-0.01 * greatest(0, (now - ts) / 3600)) AS time_score, 0.8 * cos AS semantic_score, 1 - exp(-0.1 * access_count) AS frequency_score,
-        CASE WHEN q_task IS NULL OR task_tag IS NULL THEN 0.5 WHEN q_task = task_tag THEN 1.0 ELSE 0.3 END AS task_score FROM cand""",
+        CASE WHEN q_task IS NULL OR task_tag IS NULL THEN 0.5::DOUBLE WHEN q_task = task_tag THEN 1.0 ELSE 0.3 END AS task_score FROM cand""",
     "scored": "SELECT *, round(0.25 * time_score + 0.35 * semantic_score + 0.15 * frequency_score + 0.25 * task_score, 9) AS final FROM raw",
     "kept": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, seq) AS pick_rank FROM scored) WHERE pick_rank <= 10",
     "dims": """SELECT node_id, list(x ORDER BY i) AS emb FROM (SELECT owner_node AS node_id, i, avg(x) AS x FROM

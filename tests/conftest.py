@@ -26,7 +26,7 @@ def sf():
 
 
 def norm(rows):
-    """Rows of tuples as a sorted list that compares numbers by value."""
+    """Rows of tuples as a sorted list that compares numbers by value; decimals are no doubles."""
     def one(v):
         if isinstance(v, bool) or v is None:
             return v
