@@ -150,7 +150,7 @@ def dialogue_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op5_chat(spark, sf_dir: str) -> DataFrame:
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     out = link_calls(*dialogue_calls(messages), ASK)
-    return out.withColumn("errors", F.array_join("errors", ",")).withColumn("level", F.col("level").cast("int"))
+    return out.withColumn("errors", F.array_join("errors", ",")).withColumns({"level": F.coalesce("level", F.lit(-1)).cast("int"), "result_turn": F.coalesce("result_turn", F.lit(-1))})
 
 
 ORACLE_SQL = r"""
@@ -161,13 +161,13 @@ WITH c AS (
 ), f AS (
   SELECT conv_id, call_id, min(result_turn) AS result_turn, min_by(result, result_turn) AS result FROM r GROUP BY 1, 2
 )
-SELECT c.conv_id, c.call_id, c.turn, 0::INTEGER AS level, 'ask' AS name, f.call_id IS NOT NULL AS linked, f.result_turn,
+SELECT c.conv_id, c.call_id, c.turn, 0::INTEGER AS level, 'ask' AS name, f.call_id IS NOT NULL AS linked, coalesce(f.result_turn, -1) AS result_turn,
        CASE WHEN length(text) < 60 THEN 'minimum:n_chars' ELSE '' END AS errors,
        '{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"ask","result":'
        || CASE WHEN f.call_id IS NULL THEN 'null' ELSE '{"text":' || to_json(result) || ',"turn":' || f.result_turn || '}' END || ',"turn":' || c.turn || '}' AS json
 FROM c LEFT JOIN f USING (conv_id, call_id)
 UNION ALL
-SELECT r.conv_id, r.call_id, result_turn, NULL, NULL, false, result_turn, 'no call',
+SELECT r.conv_id, r.call_id, result_turn, -1, NULL, false, result_turn, 'no call',
        '{"arguments":null,"call_id":"' || r.call_id || '","name":null,"result":{"text":' || to_json(result) || ',"turn":' || result_turn || '},"turn":' || result_turn || '}'
 FROM r ANTI JOIN c USING (conv_id, call_id)
 """
