@@ -352,7 +352,7 @@ def hard_quota_repair(v):
 @query
 def ranking_metrics(v):
     m = ["recall", "ceiling", "recall_norm", "precision", "mrr", "ndcg"]
-    return six(metrics.ranking_metrics(v.kept, v.relevant, K, v.q), *m).select("query_id", "n_relevant", "n_kept", "n_hit", "first_rank", *m)
+    return six(metrics.ranking_metrics(v.kept, v.relevant, K, v.q), *m).fillna(0, ["first_rank"]).select("query_id", "n_relevant", "n_kept", "n_hit", "first_rank", *m)
 
 
 @query

@@ -171,7 +171,7 @@ ORACLES = {
     "stage_a_softmax": with_("SELECT query_id, node_id, source_rank, round(weight, 6) AS weight FROM srcs"),
     "semantic_expansion": with_("SELECT query_id, node_id, round(r, 6) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, node_id) AS p FROM (SELECT fq.query_id, n.node_id, round(list_cosine_similarity(q_emb, emb), 9) AS r FROM fq JOIN nodes n ON n.node_id <> cur_node WHERE (fq.query_id, n.node_id) NOT IN (SELECT (query_id, node_id) FROM near))) WHERE p <= 2"),
     "manual_sources": with_("SELECT fq.query_id, w.node_id::BIGINT AS node_id, w.position, coalesce(strength, 0)::DOUBLE AS strength FROM fq CROSS JOIN (VALUES (1, 0), (3, 1)) w(node_id, position) SEMI JOIN nodes n ON n.node_id = w.node_id LEFT JOIN near ON near.query_id = fq.query_id AND near.node_id = w.node_id"),
-    "ranking_metrics": with_("SELECT query_id, n_relevant, n_kept, n_hit, first_rank, round(recall, 6) AS recall, round(ceiling, 6) AS ceiling, round(recall_norm, 6) AS recall_norm, round(precision, 6) AS precision, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM met"),
+    "ranking_metrics": with_("SELECT query_id, n_relevant, n_kept, n_hit, coalesce(first_rank, 0) AS first_rank, round(recall, 6) AS recall, round(ceiling, 6) AS ceiling, round(recall_norm, 6) AS recall_norm, round(precision, 6) AS precision, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM met"),
     "source_hit": with_("SELECT q.query_id, round(avg(CASE WHEN (q.query_id, o) IN (SELECT (query_id, owner_node) FROM kept) THEN 1.0 ELSE 0 END), 6) AS source_hit FROM q, unnest([cur_node, (cur_node + 5) % 10]) t(o) GROUP BY 1"),
     "multi_source_ratio": with_("SELECT query_id, round(1 - max(n) / sum(n), 6) AS multi_source_ratio FROM (SELECT query_id, owner_node, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1"),
     "cross_source_relevance": with_("SELECT k.query_id, round(avg(src_score), 6) AS cross_source_relevance FROM kept k JOIN srcs ON srcs.query_id = k.query_id AND srcs.node_id = k.owner_node GROUP BY 1"),
