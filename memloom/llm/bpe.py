@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_columns, documents, field, spread
 
-#: Pre-tokens a worker remembers; on reaching it the memory starts afresh.
-MEMO = 250_000
+#: Pre-tokens a worker remembers, in two halves: when the newer half is full, the older is forgotten.
+MEMO = 300_000
 
 
 class PerfectHash:
@@ -132,6 +132,7 @@ class Encoder(dict):
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.split = splitter(vocab.pattern)
         self.find = vocab.hash.get
         self.four = [i.to_bytes(4, "little") for i in vocab.ids]
@@ -140,12 +141,15 @@ class Encoder(dict):
         self.code = dict(zip(vocab.tokens, self.four, strict=True))
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        i = self.find(raw)
-        out = self.four[i] if i >= 0 else b"".join([self.code[p] for p in merge(raw, self.rank)])
-        if len(self) >= MEMO:
+        out = self.older.get(piece)
+        if out is None:
+            raw = piece.encode()
+            i = self.find(raw)
+            out = self.four[i] if i >= 0 else b"".join([self.code[p] for p in merge(raw, self.rank)])
+        if len(self) >= MEMO // 2:  # words in use have moved to the newer half by now
+            self.older = dict(self)
             self.clear()
-        if len(raw) <= 64:
+        if len(piece) <= 64:
             self[piece] = out
         return out
 

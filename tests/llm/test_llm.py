@@ -388,3 +388,12 @@ def test_pipeline_matches_brute_force(spark):
         spans = P.base_spans(kept[r.doc_id].text)
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_tokens == len(enc.encode_ordinary(text)) and r.n_chars == len(text)
         assert not P.base_spans(text) and (text == kept[r.doc_id].text if not spans else text == P.mask_text(kept[r.doc_id].text, spans) or len(text) < len(kept[r.doc_id].text) + 10 * len(spans))
+
+
+def test_bpe_memory_turns_over(monkeypatch):
+    monkeypatch.setattr(B, "MEMO", 16)
+    e, enc, rng = B.Encoder(B.Vocabulary.load(*vocab())), reference_encoding(), random.Random(4)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 9))) for _ in range(20))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    assert len(e) <= 8 and len(e.older) <= 8
