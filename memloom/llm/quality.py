@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, documents, field, spread
+from .common import arrow_columns, documents, field, spread
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -124,24 +124,15 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 
 
-def measure_rules(df: DataFrame, text: str, rows: int, rules=RULES) -> dict[str, tuple[float, float]]:
-    """(seconds a text, share rejected) by rule over the first rows that the scan meets, measured where the
-    rows are: only sums come to the driver. Each rule starts without what others computed."""
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            spent, hits = [], []
-            for r in rules:
-                began = time.perf_counter()
-                hits.append(sum(r.rejects(Stats(t)) for t in texts))
-                spent.append(time.perf_counter() - began)
-            names = [r.name for r in rules]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(spent), pa.array(hits, pa.int64()), pa.array([len(texts)] * len(names), pa.int64())], names=["rule", "s", "hits", "n"])
-
-    bound_batches(df.sparkSession)
-    got = df.select(text).limit(rows).mapInArrow(run, "rule string, s double, hits long, n long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
-    return {r.rule: (r.s / max(1, r.n), r.hits / max(1, r.n)) for r in got}
+def measure_rules(texts: list[str | None], rules=RULES) -> dict[str, tuple[float, float]]:
+    """(seconds a text, share rejected) by rule; each rule starts without what others computed."""
+    out = {}
+    for r in rules:
+        began, n = time.perf_counter(), 0
+        for t in texts:
+            n += r.rejects(Stats(t))
+        out[r.name] = ((time.perf_counter() - began) / max(1, len(texts)), n / max(1, len(texts)))
+    return out
 
 
 def order_rules(measured: dict[str, tuple[float, float]], rules=RULES) -> list[Rule]:
@@ -160,7 +151,8 @@ def quality(df: DataFrame, text: str = "text", rules=RULES, stats: bool = False,
     texts have no words and are rejected; repeated rows are judged alike; clashing columns are replaced.
     The sample is the first sample_rows rows the scan meets; it sets the order of rules, never a verdict.
     """
-    cascade = order_rules(measure_rules(df, text, sample_rows, rules), rules)
+    sample = [r[0] for r in df.select(text).limit(sample_rows).collect()]
+    cascade = order_rules(measure_rules(sample, rules), rules)
 
     def make(col: pa.Array):
         rows = []
