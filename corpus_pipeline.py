@@ -16,7 +16,7 @@ from memloom.llm.common import documents, materialize
 from memloom.llm.mixing import mix
 from memloom.llm.pii import redact
 from memloom.llm.quality import quality
-from memloom.llm.simhash import drop_near_duplicates
+from memloom.llm.shingles import drop_similar
 
 
 def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies."""
-    return drop_near_duplicates(docs)
+    """One document of each group of exact or near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return drop_similar(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_quality),
-    ("SimHash near-dedup", drop_copies),
+    ("shingle near-dedup", drop_copies),
     ("PII", mask_private),
     ("mixing", mix_sources),
     ("byte-level BPE", encode),
 ]
 
-#: Fingerprints, the network and the encoder have no SQL form; tests hold run() against brute force.
+#: Shingle sets, the network and the encoder have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
