@@ -3,8 +3,8 @@
 The patterns' spans always stand. The network is trained in numpy on windows around labelled spans of
 a bounded sample; it labels the characters of overlapping windows, each position takes the label of
 the window in whose middle it lies, and runs of one label over the whole text are its spans. A span
-of the network counts if it passes the checks of its kind (digits, Luhn, parts) and meets no pattern's
-span, so it finds what the patterns' leftmost matching hides, such as a card inside a longer run.
+of the network counts if it passes the checks of its kind (digits, Luhn, parts); patterns' spans are cut
+off it and a run too long for one number is searched at separators, so it finds what the patterns' leftmost matching hides, such as a card inside a longer run.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,25 +207,45 @@ def label_texts(params: dict[str, np.ndarray], texts: list[str]) -> list[np.ndar
     return out
 
 
+#: Most digits of a card and of a phone number; a run of more may hold several.
+_MOST_DIGITS = {2: 19, 3: 15}
+_GROUP = re.compile(r"[^ .,;:-]+")
+
+
+def _pieces(text: str, a: int, b: int, k: int) -> Iterator[Span]:
+    """Valid spans of a kind in a run [a, b): the run itself, or else parts of it cut at separators, the
+    longest from the left. A run that could be one number but fails its check is left alone."""
+    fits = lambda s, e: not (text[s - 1 : s].isalnum() or text[e : e + 1].isalnum()) and valid(k, text[s:e])
+    at = [(a + m.start(), a + m.end()) for m in _GROUP.finditer(text[a:b])]
+    if at and fits(at[0][0], at[-1][1]):
+        yield at[0][0], k, at[-1][1]
+        return
+    digits = [sum(c in "0123456789" for c in text[s:e]) for s, e in at]
+    most = _MOST_DIGITS.get(k)
+    if most and sum(digits) <= most:
+        return
+    i = 0
+    while i < len(at):
+        ends, n = [], 0
+        for j in range(i, len(at)):
+            n += digits[j]
+            if n > (most or 1 << 30) or not most and " " in text[at[i][0] : at[j][1]]:
+                break
+            ends.append(j)
+        hit = next((j for j in reversed(ends) if fits(at[i][0], at[j][1])), None)
+        if hit is not None:
+            yield at[i][0], k, at[hit][1]
+        i = i + 1 if hit is None else hit + 1
+
+
 def spans_of(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
-    """The network's valid spans that meet no base span."""
-    edges = np.flatnonzero(np.diff(np.r_[0, labels, 0]))
-    taken = np.zeros(len(text), bool)
+    """The network's valid spans beside the base spans, which are cut off the runs of a label."""
+    labels = labels.copy()
     for s, _, e in base:
-        taken[s:e] = True
-    out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        k = int(labels[a]) - 1
-        if k < 0 or taken[a:b].any():
-            continue
-        found = text[a:b]
-        a += len(found) - len(found.lstrip(" .,;:-"))
-        found = found.strip(" .,;:-")
-        end = a + len(found)
-        apart = not (text[a - 1 : a].isalnum() or text[end : end + 1].isalnum())
-        if found and apart and valid(k, found):
-            out.append((a, k, end))
-    return out
+        labels[s:e] = 0
+    edges = np.flatnonzero(np.diff(np.r_[0, labels, 0]))
+    runs = zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+    return [span for a, b in runs if labels[a] > 0 for span in _pieces(text, a, b, int(labels[a]) - 1)]
 
 
 def find(params, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
