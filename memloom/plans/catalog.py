@@ -403,7 +403,7 @@ def paired_bootstrap(v):
     e = v.table("events").filter(F.col("event_type").isin("view", "click"))
     rows = e.groupBy(F.col("event_type").alias("group"), F.col("user_id").alias("episode_id")).agg(F.avg("value").alias("m"))
     d = metrics.paired(rows, "view", "click", "m").withColumn("pair", F.lit("view-click"))
-    return metrics.paired_bootstrap(d, ["pair"], n_boot=2000)
+    return metrics.paired_bootstrap(d, ["pair"])
 
 
 def _own_rank(v):
