@@ -82,6 +82,9 @@ class Gru:
             out[t] = h
         return out, tape
 
+    def infer(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self.forward(x, mask)[0]
+
     def backward(self, x, mask, tape, dout) -> dict[str, np.ndarray]:
         H = self.U.shape[1]
         dU, dA = np.zeros_like(self.U), np.empty((3 * H, x.size), self.U.dtype)
@@ -134,6 +137,29 @@ class Lstm:
             out[t] = h
         return out, tape
 
+    def infer(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """What forward gives, without a tape: one tanh serves all gates, as sigmoid(a) = (1 + tanh(a / 2)) / 2."""
+        steps, rows = x.shape
+        H = self.U.shape[1]
+        half = np.r_[np.full(3 * H, 0.5), np.ones(H)].astype(self.U.dtype)[:, None]
+        table, U, whole = np.ascontiguousarray(self.table.T) * half, self.U * half, mask.all(axis=1)
+        out = np.empty((steps, H, rows), self.U.dtype)
+        h, c = np.zeros((H, rows), self.U.dtype), np.zeros((H, rows), self.U.dtype)
+        a, u = np.empty((4 * H, rows), self.U.dtype), np.empty((4 * H, rows), self.U.dtype)
+        for t in range(steps - 1, -1, -1) if self.reverse else range(steps):
+            np.take(table, x[t], axis=1, out=a, mode="clip")
+            a += np.dot(U, h, out=u)
+            np.tanh(a, out=a)
+            gates = a[: 3 * H]
+            gates += 1
+            gates *= 0.5
+            c *= a[H : 2 * H]
+            c += np.multiply(a[:H], a[3 * H :], out=u[:H])
+            if not whole[t]:
+                c *= mask[t]
+            h = np.multiply(a[2 * H : 3 * H], np.tanh(c, out=u[:H]), out=out[t])
+        return out
+
     def backward(self, x, mask, tape, dout) -> dict[str, np.ndarray]:
         H = self.U.shape[1]
         dU, dA = np.zeros_like(self.U), np.empty((4 * H, x.size), self.U.dtype)
@@ -165,8 +191,7 @@ class Labeller:
         return cls(cell, p)
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        f, _ = self.cell(self.params, "f", False).forward(x, mask)
-        b, _ = self.cell(self.params, "b", True).forward(x, mask)
+        f, b = (self.cell(self.params, tag, tag == "b").infer(x, mask) for tag in "fb")
         H = f.shape[1]
         return np.matmul(self.params["V"][:, :H], f) + np.matmul(self.params["V"][:, H:], b) + self.params["c"]
 
@@ -191,51 +216,53 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return s
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 def crf_loss(scores: np.ndarray, trans: np.ndarray, labels: np.ndarray, mask: np.ndarray):
     """Mean negative log-likelihood of label paths, its gradients by scores and by trans.
 
-    mask must be 1 up to a row's length and 0 after it.
+    mask must be 1 up to a row's length and 0 after it. Forward and backward messages are probabilities,
+    scaled to one at each step.
     """
     steps, K, rows = scores.shape
-    e, A = scores.astype(np.float64), trans.astype(np.float64)
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        nxt = _lse(alpha[t - 1][:, None, :] + A[:, :, None], 0) + e[t]
-        alpha[t] = np.where(mask[t] > 0, nxt, alpha[t - 1])
-    for t in range(steps - 2, -1, -1):
-        nxt = _lse(A[:, :, None] + (e[t + 1] + beta[t + 1])[None], 1)
-        beta[t] = np.where(mask[t + 1] > 0, nxt, beta[t + 1])
-    z = _lse(alpha[-1], 0)
-    post = np.exp(alpha + beta - z) * mask[:, None, :]
+    e, on = scores.astype(np.float64), mask[:, None, :] > 0
+    top = e.max(axis=1, keepdims=True)
+    E, A = np.exp(e - top), np.exp(trans.astype(np.float64))
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((steps, 1, rows))
+    for t in range(steps):
+        new = E[0] if t == 0 else np.where(on[t], (A.T @ alpha[t - 1]) * E[t], alpha[t - 1])
+        scale[t] = new.sum(axis=0)
+        alpha[t] = new / scale[t]
+    into = np.empty_like(e)
+    for t in range(steps - 1, 0, -1):
+        into[t] = E[t] * beta[t] / scale[t]
+        beta[t - 1] = np.where(on[t], A @ into[t], beta[t])
+    post = alpha * beta * mask[:, None, :]
     one = (labels[:, None, :] == np.arange(K)[None, :, None]) * mask[:, None, :]
-    dA, value = np.zeros_like(A), float(z.sum() - (one * e).sum())
-    for t in range(1, steps):
-        pair = np.exp(alpha[t - 1][:, None, :] + A[:, :, None] + (e[t] + beta[t])[None] - z) * mask[t]
-        seen = np.einsum("ib,jb->ij", one[t - 1] * mask[t], one[t])
-        dA += pair.sum(axis=2) - seen
-        value -= float((seen * A).sum())
+    flat = lambda x: x.transpose(1, 0, 2).reshape(K, -1)
+    pairs = A * (flat(alpha[:-1]) @ flat(into[1:] * on[1:]).T)
+    seen = flat(one[:-1]) @ flat(one[1:]).T
+    value = float(np.log(scale).sum() + (top * on).sum() - (one * e).sum() - (seen * trans).sum())
     n = max(1.0, float(mask.sum()))
-    return value / n, (post - one) / n, dA / n
+    return value / n, (post - one) / n, (pairs - seen) / n
 
 
-def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best label paths (steps, rows)."""
+def viterbi(scores: np.ndarray, trans: np.ndarray, before: np.ndarray | float = 0.0, after: np.ndarray | float = 0.0, length: np.ndarray | None = None) -> np.ndarray:
+    """Best label paths (steps, rows); before and after (labels, rows) are added at the ends of each path,
+    length gives each row's number of steps (default: all)."""
     steps, K, rows = scores.shape
     back = np.zeros((steps, K, rows), np.int8)
-    best = scores[0]
+    last = np.full(rows, steps) if length is None else length
+    best = scores[0] + before
+    end = np.where(last == 1, best, 0)
     for t in range(1, steps):
         both = best[:, None, :] + trans[:, :, None]
         back[t] = both.argmax(axis=0)
         best = both.max(axis=0) + scores[t]
-    path = np.empty((steps, rows), np.int8)
-    path[-1] = best.argmax(axis=0)
-    at = np.arange(rows)
-    for t in range(steps - 1, 0, -1):
-        path[t - 1] = back[t, path[t], at]
+        if length is not None:
+            end = np.where(last == t + 1, best, end)
+    end = (best if length is None else end) + after
+    path, at, now = np.zeros((steps, rows), np.int8), np.arange(rows), end.argmax(axis=0)
+    for t in range(steps - 1, -1, -1):
+        inside = t < last
+        path[t] = np.where(inside, now, 0)
+        now = np.where(inside & (t > 0), back[t, now, at], now)
     return path
