@@ -1,8 +1,8 @@
 """Linking tool calls to their results, natively.
 
-Calls and results meet in a hash join on (conversation, identifier); calls get an order in which each
-follows the calls it depends on; their arguments are checked against a schema for each tool; and each
-linked call becomes one line of canonical JSON (sorted keys, no spaces).
+Calls and results meet in a hash join on (conversation, identifier); calls get a level, the length of the
+longest chain of calls that they depend on; their arguments are checked against a schema for each tool;
+and each call becomes one line of canonical JSON (sorted keys, no spaces; numbers as they are written).
 """
 
 from __future__ import annotations
@@ -10,38 +10,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, scratch
 
 #: JSON types and how schema_of_variant names them.
 TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT)", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 #: The tool that a dialogue's user turns call (see dialogue_calls).
-ASK = {"ask": {"required": ["n_chars", "text", "turn"], "properties": {"n_chars": {"type": "integer", "minimum": 60}, "text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}}}}
+ASK = {
+    "ask": {
+        "required": ["ends", "n_chars", "reply_to", "text", "turn"],
+        "properties": {"ends": {"type": "boolean"}, "n_chars": {"type": "integer", "minimum": 60}, "reply_to": {"type": "string"}, "text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}},
+    }
+}
 
 
 def canonical(json: Column) -> Column:
-    """A JSON text with sorted keys and no spaces; null if it isn't valid."""
+    """A JSON text with sorted keys and no spaces; null if it isn't valid or repeats a key."""
     return F.to_json(F.try_parse_json(json))
 
 
-def argument_errors(arguments: Column, schema: dict) -> Column:
-    """What is wrong with a JSON object of arguments, as an array of short texts in a fixed order."""
-    v = F.try_parse_json(arguments)
+def _checks(v: Column, schema: dict, path: str) -> list[Column]:
+    """Errors (or null) of the properties of the object at path, nested ones included, by sorted names."""
     checks = []
     for name, spec in sorted(schema.get("properties", {}).items()):
-        value = F.try_variant_get(v, f"$.{name}", "variant")
+        at = f"{path}.{name}"
+        value = F.try_variant_get(v, f"${at}", "variant")
         kind = F.schema_of_variant(value)
         given = kind.isNotNull()
+        say = lambda what, at=at: F.lit(f"{what}:{at[1:]}")
         if name in schema.get("required", []):
-            checks.append(F.when(~given, F.lit(f"missing:{name}")))
-        checks.append(F.when(given & ~kind.rlike(f"^{TYPES[spec['type']]}$"), F.lit(f"type:{name}")))
-        number = F.try_variant_get(v, f"$.{name}", "double")
+            # a nested property is missing only from an object that is there
+            there = F.lit(True) if not path else F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"${path}", "variant")).startswith("OBJECT"), F.lit(False))
+            checks.append(F.when(there & ~given, say("missing")))
+        checks.append(F.when(given & ~kind.rlike(f"^{TYPES[spec['type']]}$"), say("type")))
+        number = F.try_variant_get(v, f"${at}", "double")
         if "minimum" in spec:
-            checks.append(F.when(number < spec["minimum"], F.lit(f"minimum:{name}")))
+            checks.append(F.when(number < spec["minimum"], say("minimum")))
         if "maximum" in spec:
-            checks.append(F.when(number > spec["maximum"], F.lit(f"maximum:{name}")))
+            checks.append(F.when(number > spec["maximum"], say("maximum")))
         if "enum" in spec:
-            checks.append(F.when(given & ~F.coalesce(F.try_variant_get(v, f"$.{name}", "string").isin(spec["enum"]), F.lit(False)), F.lit(f"enum:{name}")))
+            checks.append(F.when(given & ~F.coalesce(F.try_variant_get(v, f"${at}", "string").isin(spec["enum"]), F.lit(False)), say("enum")))
+        if "properties" in spec:
+            checks += _checks(v, spec, at)
+        if "items" in spec:
+            items = F.try_variant_get(v, f"${at}", "array<variant>")
+            fits = lambda x, want=TYPES[spec["items"]["type"]]: F.schema_of_variant(x).rlike(f"^{want}$")
+            checks.append(F.when(~F.coalesce(F.forall(items, fits), F.lit(True)), say("items")))
+    return checks
+
+
+def argument_errors(arguments: Column, schema: dict) -> Column:
+    """What is wrong with a JSON object of arguments, as an array of short texts in a fixed order.
+
+    Properties are checked for presence, type, minimum, maximum and enum, nested objects likewise and
+    arrays for the type of their items; unknown keys of the object itself are listed last. A text that is
+    no JSON object, or repeats a key, is 'not an object'.
+    """
+    v = F.try_parse_json(arguments)
+    checks = _checks(v, schema, "")
     extra = F.transform(F.array_sort(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*[F.lit(p) for p in sorted(schema.get("properties", {}))]).cast("array<string>"))), lambda k: F.concat(F.lit("extra:"), k))
     listed = F.concat(F.array_compact(F.array(F.lit(None).cast("string"), *checks)), extra)
     is_object = F.schema_of_variant(v).startswith("OBJECT")
@@ -55,70 +81,95 @@ def errors_by_tool(name: Column, arguments: Column, schemas: dict[str, dict]) ->
     return out
 
 
-def order_levels(calls: DataFrame) -> DataFrame:
-    """calls(conv_id, call_id, turn, after) plus level: (level, turn, call_id) orders a conversation's
-    calls so that each follows every call named in after; null in and behind a cycle.
+KEY = ["conv_id", "call_id"]
+
 
-    A dependency on an earlier turn costs nothing; only calls that depend on a later or equal turn, and
-    what depends on them, move up a level, so an orderly conversation needs no further round.
+def _jump(chains: DataFrame) -> DataFrame:
+    """chains(conv_id, call_id, to, steps, at_end) with every call moved to the end of its chain.
+
+    Each round doubles the steps taken, so a chain of n calls takes log2(n) rounds; calls on a cycle, or
+    led to one, never get there: a round in which no call arrives is the last.
     """
-    ids = calls.select("conv_id", "call_id", "turn").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
-    deps = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).dropDuplicates()
-    place = ids.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"))
-    edges = materialize(deps.join(place, ["conv_id", "dep"]).join(ids, ["conv_id", "call_id"]).select("conv_id", "call_id", "dep", (F.col("dep_turn") >= F.col("turn")).cast("int").alias("back")))
-    back = edges.groupBy("conv_id").agg(F.sum("back").alias("most")).filter("most > 0")
-    most = back.agg(F.max("most")).first()[0] or 0
-    if not most:
-        return calls.withColumn("level", F.lit(0))
-    # only conversations with backward dependencies take part in the rounds
-    edges = materialize(edges.join(back, "conv_id"))
-    level = materialize(ids.join(back, "conv_id", "left_semi").select("conv_id", "call_id", F.lit(0).alias("level")))
-    for _ in range(most + 2):
-        up = edges.join(level.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max(F.least(F.col("level") + F.col("back"), F.col("most") + 1)).cast("int").alias("up"))
-        new = materialize(level.join(up, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        discard(level)
-        level = new.drop("moved")
-        level.scratch_path = new.scratch_path
-        if not moved:
+    ends = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("at_end").alias("there"))
+    left = chains.filter("NOT at_end").count()
+    while left:
+        new = materialize(chains.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("at_end")))
+        discard(chains)
+        chains, before = new, left
+        left = chains.filter("NOT at_end").count()
+        if left == before:
             break
-    # more levels than backward dependencies: the call stands in or behind a cycle
-    level = level.join(back, "conv_id").select("conv_id", "call_id", F.when(F.col("level") <= F.col("most"), F.col("level")).alias("level"), F.lit(True).alias("seen"))
-    return calls.join(level, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("seen"), F.col("level")).otherwise(F.lit(0))).drop("seen")
+        ends = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("at_end").alias("there"))
+    return chains
+
+
+def order_levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) for each identified call of calls(conv_id, call_id, after).
+
+    level is the length of the longest chain of calls that a call depends on (named in after), so calls
+    in the order of their levels follow all they depend on; null in and behind a cycle. Calls with one
+    dependency form chains, which are followed by doubling; calls with several ('forks') then take one
+    round for each fork on a path.
+    """
+    with scratch() as keep:
+        ids = materialize(calls.select(*KEY).dropna().dropDuplicates())
+        named = calls.select(*KEY, F.explode("after").alias("dep")).dropna().dropDuplicates()
+        edges = materialize(named.join(ids.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]))
+        deps = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+        one = F.coalesce(F.col("n") == 1, F.lit(False))
+        to = F.when(one, F.col("dep")).otherwise(F.col("call_id"))
+        chains = _jump(materialize(ids.join(deps, KEY, "left").select(*KEY, to.alias("to"), one.cast("long").alias("steps"), (~one).alias("at_end"))))
+        forks = materialize(deps.filter("n > 1").select(*KEY, "n"))
+        if not forks.count():
+            return keep(materialize(chains.select(*KEY, F.when(F.col("at_end"), F.col("steps")).cast("int").alias("level"))))
+        # each fork waits for the ends of its dependencies' chains
+        via = chains.filter("at_end").select("conv_id", F.col("call_id").alias("dep"), "to", "steps")
+        waits = materialize(edges.join(forks, KEY).join(via, ["conv_id", "dep"]).select(*KEY, "n", "to", "steps"))
+        known = materialize(chains.filter("at_end AND to = call_id").join(forks, KEY, "left_anti").select("conv_id", F.col("call_id").alias("to"), F.lit(0).cast("long").alias("base")))
+        while True:
+            ready = waits.join(known, ["conv_id", "to"]).groupBy(*KEY, "n").agg(F.count(F.lit(1)).alias("got"), F.max(F.col("base") + F.col("steps") + 1).alias("base")).filter("got = n")
+            ready = materialize(ready.select("conv_id", F.col("call_id").alias("to"), "base").join(known, ["conv_id", "to"], "left_anti"))
+            if not ready.count():
+                break
+            known = materialize(known.unionByName(ready))
+        levels = chains.filter("at_end").join(known, ["conv_id", "to"]).select(*KEY, (F.col("base") + F.col("steps")).cast("int").alias("level"))
+        return keep(materialize(ids.join(levels, KEY, "left")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each call, and one for each result without a call.
+    """One row for each call, one for each result without a call, and one for each further result of a call.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), after (identifiers it depends on);
     results: conv_id, call_id, turn, content (JSON text). Gives conv_id, call_id, turn, level, name,
     linked, result_turn, errors (array, empty for valid arguments) and json.
 
-    Null identifiers or conversations link to nothing; of several results of a call the one with the
-    least (turn, content) counts; repeated calls each get their row; dependencies on unknown calls are
-    ignored; arguments that are no JSON object give an error and appear as null in json; empty tables
-    give an empty result; other columns are ignored.
+    Null identifiers or conversations link to nothing and have no level; of several results of a call the
+    one with the least (turn, content) is linked, the others are rows of their own, equal ones one;
+    repeated calls each get their row; dependencies on unknown calls are ignored; arguments that are no
+    JSON object give an error and appear as null in json; very long texts are carried whole; empty tables
+    give an empty result; other columns are ignored, whatever their names.
     """
-    calls = order_levels(calls.select("conv_id", "call_id", "turn", "name", "arguments", "after"))
-    first = results.filter("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    found = first.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("hit"))
-    joined = calls.join(found.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    linked = F.coalesce("hit", F.lit(False))
+    calls = calls.select(*KEY, "turn", "name", "arguments", "after")
+    results = results.select(*KEY, "turn", "content").distinct()
+    least = results.dropna(subset=KEY).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"))
+    found = least.select(*KEY, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("hit"))
+    joined = calls.join(order_levels(calls), KEY, "left").join(found.hint("shuffle_hash"), KEY, "left")
     row = F.struct(
         F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("call_id"), "name", F.try_parse_json("content").alias("result"), "turn",
     )
     called = joined.select(
-        "conv_id", "call_id", "turn", "level", "name", linked.alias("linked"), "result_turn",
+        *KEY, "turn", "level", "name", F.coalesce("hit", F.lit(False)).alias("linked"), "result_turn",
         errors_by_tool(F.col("name"), F.col("arguments"), schemas).alias("errors"), F.to_json(row, {"ignoreNullFields": "false"}).alias("json"),
     )
-    known = calls.select("conv_id", "call_id").dropDuplicates()
-    lost = results.join(known, ["conv_id", "call_id"], "left_anti")
-    orphan = F.struct(F.lit(None).cast("string").alias("arguments"), F.col("call_id").alias("call_id"), F.lit(None).cast("string").alias("name"), F.try_parse_json("content").alias("result"), "turn")
-    orphans = lost.select(
-        "conv_id", "call_id", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("linked"),
-        F.col("turn").alias("result_turn"), F.array(F.lit("no call")).alias("errors"), F.to_json(orphan, {"ignoreNullFields": "false"}).alias("json"),
+    known = calls.select(*KEY).dropna().dropDuplicates().withColumn("called", F.lit(True))
+    rest = results.join(known, KEY, "left").join(least, KEY, "left")
+    rest = rest.filter(F.col("called").isNull() | ~F.struct("turn", "content").eqNullSafe(F.col("r")))
+    alone = F.struct(F.lit(None).cast("string").alias("arguments"), F.col("call_id").alias("call_id"), F.lit(None).cast("string").alias("name"), F.try_parse_json("content").alias("result"), "turn")
+    others = rest.select(
+        *KEY, "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("linked"),
+        F.col("turn").alias("result_turn"), F.array(F.when(F.col("called"), F.lit("further result")).otherwise(F.lit("no call"))).alias("errors"), F.to_json(alone, {"ignoreNullFields": "false"}).alias("json"),
     )
-    return called.unionByName(orphans)
+    return called.unionByName(others)
 
 
 def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +188,18 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dialogue_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """calls and results of a plain dialogue: a user turn calls the tool ask, the assistant turn after it
-    is the result; a call depends on the user turn two before it."""
-    ident = lambda n: F.concat_ws(":", "conv_id", n)
-    args = F.to_json(F.struct(F.length("text").alias("n_chars"), "text", "turn"), {"ignoreNullFields": "false"})
-    calls = messages.filter("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"), args.alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("after"))
-    content = F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})
-    results = messages.filter("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", content.alias("content"))
+    """calls and results of a plain dialogue: a user turn calls the tool ask, any other turn is the result of
+    the turn before it. A call replies to, so depends on, the user turn two before it; the first has none to
+    reply to. ends says whether the text ends with a full stop, or else with what; a null text has neither
+    ends, n_chars nor text. Null turns have no identifier."""
+    ident = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
+    reply = F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)).alias("reply_to")
+    args = lambda ends: F.to_json(F.struct(ends.alias("ends"), F.length("text").alias("n_chars"), reply, "text", "turn"))
+    whole = F.col("text").endswith(".")
+    arguments = F.when(whole, args(F.lit(True))).otherwise(args(F.right("text", F.lit(1))))
+    calls = messages.filter("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), F.array_compact(F.array(reply)).alias("after"))
+    content = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
+    results = messages.filter("role IS DISTINCT FROM 'user'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", content.alias("content"))
     return calls, results
 
 
@@ -154,22 +210,37 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH c AS (
-  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'
+WITH RECURSIVE c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS reply_to, turn, text FROM conversations WHERE role = 'user'
+), a AS (
+  SELECT *, '{' || concat_ws(',',
+      CASE WHEN text IS NOT NULL THEN '"ends":' || CASE WHEN ends_with(text, '.') THEN 'true' ELSE to_json(right(text, 1)) END END,
+      '"n_chars":' || length(text), '"reply_to":' || to_json(reply_to), '"text":' || to_json(text), '"turn":' || turn) || '}' AS arguments,
+    concat_ws(',',
+      CASE WHEN text IS NULL THEN 'missing:ends' WHEN NOT ends_with(text, '.') THEN 'type:ends' END,
+      CASE WHEN text IS NULL THEN 'missing:n_chars' WHEN length(text) < 60 THEN 'minimum:n_chars' END,
+      CASE WHEN reply_to IS NULL THEN 'missing:reply_to' END, CASE WHEN text IS NULL THEN 'missing:text' END) AS errors
+  FROM c
+), i AS (
+  SELECT DISTINCT conv_id, call_id, reply_to FROM c WHERE call_id IS NOT NULL
+), v AS (
+  SELECT conv_id, call_id, 0 AS level FROM i WHERE NOT EXISTS (SELECT 1 FROM i AS p WHERE p.conv_id = i.conv_id AND p.call_id = i.reply_to)
+  UNION ALL SELECT i.conv_id, i.call_id, v.level + 1 FROM i JOIN v ON i.conv_id = v.conv_id AND i.reply_to = v.call_id
 ), r AS (
-  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM conversations WHERE role = 'assistant'
+  SELECT DISTINCT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn,
+    '{"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}' AS content
+  FROM conversations WHERE role IS DISTINCT FROM 'user'
 ), f AS (
-  SELECT conv_id, call_id, min(result_turn) AS result_turn, min_by(result, result_turn) AS result FROM r GROUP BY 1, 2
+  SELECT conv_id, call_id, min({'turn': turn, 'content': content}) AS r FROM r WHERE call_id IS NOT NULL GROUP BY 1, 2
 )
-SELECT c.conv_id, c.call_id, c.turn, 0::INTEGER AS level, 'ask' AS name, f.call_id IS NOT NULL AS linked, coalesce(f.result_turn, -1) AS result_turn,
-       CASE WHEN length(text) < 60 THEN 'minimum:n_chars' ELSE '' END AS errors,
-       '{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"ask","result":'
-       || CASE WHEN f.call_id IS NULL THEN 'null' ELSE '{"text":' || to_json(result) || ',"turn":' || f.result_turn || '}' END || ',"turn":' || c.turn || '}' AS json
-FROM c LEFT JOIN f USING (conv_id, call_id)
+SELECT a.conv_id, a.call_id, a.turn, coalesce(v.level, -1)::INTEGER AS level, 'ask' AS name, f.r IS NOT NULL AS linked, coalesce(f.r.turn, -1) AS result_turn, a.errors,
+       '{"arguments":' || a.arguments || ',"call_id":' || to_json(a.call_id) || ',"name":"ask","result":' || coalesce(f.r.content, 'null') || ',"turn":' || a.turn || '}' AS json
+FROM a LEFT JOIN v USING (conv_id, call_id) LEFT JOIN f USING (conv_id, call_id)
 UNION ALL
-SELECT r.conv_id, r.call_id, result_turn, -1, NULL, false, result_turn, 'no call',
-       '{"arguments":null,"call_id":"' || r.call_id || '","name":null,"result":{"text":' || to_json(result) || ',"turn":' || result_turn || '},"turn":' || result_turn || '}'
-FROM r ANTI JOIN c USING (conv_id, call_id)
+SELECT r.conv_id, r.call_id, r.turn, -1, NULL, false, r.turn, CASE WHEN k.call_id IS NULL THEN 'no call' ELSE 'further result' END,
+       '{"arguments":null,"call_id":' || to_json(r.call_id) || ',"name":null,"result":' || r.content || ',"turn":' || r.turn || '}'
+FROM r LEFT JOIN (SELECT DISTINCT conv_id, call_id FROM i) k USING (conv_id, call_id) LEFT JOIN f USING (conv_id, call_id)
+WHERE k.call_id IS NULL OR {'turn': r.turn, 'content': r.content} IS DISTINCT FROM f.r
 """
 
 QUERIES = {"op5_tool_calls": op5_chat}
