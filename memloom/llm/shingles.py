@@ -1,6 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly.
+"""Near-duplicates by SimHash and, where fingerprints miss, by the Jaccard similarity of word shingles.
 
-A text is the set of hashes of its shingles. In one order of all shingles, rare ones first, two sets as
+A text is the set of hashes of its shingles, and the set has a SimHash fingerprint. Links between
+fingerprints, found by the tiled comparison and confirmed on the whole sets, give the first components.
+Texts with a similarity of SIMILAR may lie some ten bits apart, beyond any radius that skips tiles, so
+what the fingerprints miss is found exactly between those components: in one order of all shingles, rare ones first, two sets as
 similar as SIMILAR share one of their first few (a fifth of each, plus one), so only sets that meet in
 such a prefix are candidates; the place of the shared shingle in both bounds what can still be shared
 behind it. Each candidate is confirmed on the whole sets. Where a shingle is shared by many, its sets are
@@ -19,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, field, materialize
-from .simhash import components
+from .common import arrow_columns, bound_batches, field, hide, join_hot, materialize, scratch
+from .simhash import RADIUS, components, find_links, majority
 
 #: Words of a shingle; sets with SIMILAR[0] / SIMILAR[1] or more of their union in common are linked.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -151,10 +154,14 @@ def _meetings(rows: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
     return materialize(sorted_.mapInArrow(meet, f"{schema}, lead long, lead_n int, lead_pos int"))
 
 
-def _may_be_similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) of sets whose counts by bucket do not prove that too few shingles are shared."""
+def _may_be_similar(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (u, v) of sets in different components whose counts by bucket do not prove that too few
+    shingles are shared."""
     counts = rows.select("set", "n", "counts").dropDuplicates(["set"])
-    side = lambda name: counts.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}"))
+    root = F.col("set")
+    if roots is not None:
+        counts, root = counts.join(roots.select(F.col("node").alias("set"), "root"), "set", "left"), F.coalesce("root", "set")
+    side = lambda name: counts.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}"), root.alias(f"r_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +172,7 @@ def _may_be_similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 hit = np.abs(a - c).sum(axis=1, dtype=np.int64) * (SIMILAR[1] + SIMILAR[0]) <= n * (SIMILAR[1] - SIMILAR[0])
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(hit)).columns[:2], names=["u", "v"])
 
-    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").filter("r_u != r_v")
     return materialize(both.select("u", "v", "n_u", "n_v", "c_u", "c_v").mapInArrow(run, "u long, v long"))
 
 
@@ -197,9 +204,9 @@ def _whole(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(rows.select("set", "text").mapInArrow(run, "set long, has binary").join(need, "set", "left_semi").dropDuplicates(["set"]))
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, v): the pairs (u, v) of sets that are similar, by the whole sets."""
-    pairs = _may_be_similar(pairs, rows)
+def _confirm(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(u, v): the pairs (u, v) of sets in different components that are similar, by the whole sets."""
+    pairs = _may_be_similar(pairs, rows, roots)
     whole = _whole(rows, pairs)
     both = pairs.join(whole.select(F.col("set").alias("u"), F.col("has").alias("a")), "u").join(whole.select(F.col("set").alias("v"), F.col("has").alias("b")), "v")
 
@@ -230,35 +237,52 @@ def _across(meetings: DataFrame, roots: DataFrame) -> DataFrame:
     return named.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "u long, v long")
 
 
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets that connect those with equal fingerprints or fingerprints RADIUS or fewer bits apart."""
+    sets = materialize(rows.select("fp", "set").distinct())
+    lead = materialize(sets.groupBy("fp").agg(F.min("set").alias("lead")))
+    links = materialize(find_links(lead.select("fp")))
+    ends = join_hot(links, lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u")
+    ends = join_hot(materialize(ends), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v")
+    equal = join_hot(sets, lead, "fp").select(F.col("set").alias("a"), F.col("lead").alias("b"))
+    return ends.select("a", "b").union(equal).filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def similar_sets(rows: DataFrame) -> DataFrame:
-    """(node, root) for each set of rows(set, n, counts, text) that is linked to others, directly or through some."""
+    """(node, root) for each set of rows(set, fp, n, counts, text) that is linked to others, directly or through some."""
+    close = _confirm(_by_fingerprint(rows), rows)
     meetings = _meetings(rows, *_common(rows))
     star = meetings.filter(F.col("set") != F.col("lead")).filter(_may_match(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
-    links = _confirm(star.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")), rows)
-    more = _confirm(_across(meetings, components(links)), rows)
-    return components(links.unionByName(more))
+    links = close.unionByName(_confirm(star.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")), rows, components(close)))
+    roots = components(links)
+    return components(links.unionByName(_confirm(_across(meetings, roots), rows, roots)))
 
 
-def with_set(df: DataFrame, text: str) -> DataFrame:
-    """df plus a hash of the set of shingles (equal for equal sets), its size and its counts by bucket."""
+def with_set(df: DataFrame, text: str = "text") -> DataFrame:
+    """df plus a hash of the set of shingles (equal for equal sets), its fingerprint, size and counts by bucket."""
 
     def make(col: pa.Array):
         has = [shingles(t) for t in col.to_pylist()]
-        ident = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in has], np.uint64).view(np.int64)
+        ident, fp = (np.array(x, np.uint64).view(np.int64) for x in ([xxhash.xxh64_intdigest(h.tobytes()) for h in has], [majority(h) if len(h) else 0 for h in has]))
         counts = [np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for h in has]
-        return [pa.array(ident, pa.int64()), pa.array([len(h) for h in has], pa.int32()), pa.array(counts, pa.binary())]
+        return [pa.array(ident, pa.int64()), pa.array(fp, pa.int64()), pa.array([len(h) for h in has], pa.int32()), pa.array(counts, pa.binary())]
 
-    return arrow_columns(df, make, [text], [field("_set", T.LongType()), field("_n", T.IntegerType()), field("_counts", T.BinaryType())])
+    return arrow_columns(df, make, [text], [field("set", T.LongType()), field("fp", T.LongType()), field("n", T.IntegerType()), field("counts", T.BinaryType())])
 
 
-def drop_similar(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df, one of each group: that of the least ident, or any one of rows equal in ident.
+def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, one of each group, with all of df's columns as they are.
 
-    Groups are connected by similarities of SIMILAR or more; null texts and texts without words are one
-    group; an empty table gives an empty result.
+    Groups are connected by similarities of SIMILAR or more between whole texts, however long. Of a
+    group the row with the least ident stays (null idents come last; of rows equal in ident, so of
+    repeated rows, any one); null texts and texts without words are one group; an empty table gives an
+    empty result.
     """
-    rows = materialize(with_set(df.withColumn("_row", F.monotonically_increasing_id()), text))
-    found = similar_sets(rows.select(F.col("_set").alias("set"), F.col("_n").alias("n"), F.col("_counts").alias("counts"), F.col(text).alias("text")))
-    member = rows.select("_row", F.col(ident).alias("ident"), "_set").join(found, F.col("_set") == F.col("node"), "left")
-    best = member.groupBy(F.coalesce("root", "_set").alias("root")).agg(F.min(F.struct(F.col("ident").isNull(), "ident", "_row"))["_row"].alias("_row"))
-    return rows.select("_row", *[F.col(f"`{c}`") for c in df.columns]).join(best, "_row", "left_semi").drop("_row")
+    rows, show = hide(df, ident=ident, text=text)
+    with scratch() as keep:
+        made = keep(materialize(with_set(rows.withColumn("row", F.monotonically_increasing_id()))))
+        found = similar_sets(made.select("set", "fp", "n", "counts", "text"))
+        member = made.select("row", "ident", "set").join(found, F.col("set") == F.col("node"), "left")
+        first = F.min(F.struct(F.col("ident").isNull().alias("last"), "ident", "row"))["row"].alias("row")
+        best = keep(materialize(member.groupBy(F.coalesce("root", "set").alias("root")).agg(first).select("row")))
+    return show(made.join(best, "row", "left_semi"))

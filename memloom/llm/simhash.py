@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, discard, documents, field, materialize, spread
+from .common import arrow_columns, bound_batches, discard, documents, field, join_hot, materialize, scratch
 
 SEED = 42
 #: Words of a shingle; links join fingerprints that differ in at most RADIUS bits.
 SHINGLE, RADIUS = 4, 4
 #: A tile holds about a TILES-th of the fingerprints, within these bounds, and is compared in blocks.
 TILES, TILE_ROWS, BLOCK = 32, (4096, 262_144), 256
+#: Pairs of tiles are dealt to so many tasks, or one each if they are fewer.
+MOST_TASKS = 16_384
 #: From so many shingles on, votes are counted by byte histograms.
 HISTOGRAM = 1500
 
@@ -45,7 +47,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     stop = np.cumsum(size + 1) - 1
     digest = xxhash.xxh64_intdigest
     starts = (stop - size)[: len(words) - width + 1].tolist()
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stop[width - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stop[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of h."""
     raw = h.view(np.uint8).reshape(-1, 8)
     if len(h) < HISTOGRAM:
         votes = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -134,10 +140,11 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
 
 
 def _tiles(distinct: DataFrame, rows: int) -> DataFrame:
-    """Tiles (tile, lo, hi, fps) of about equal numbers of fingerprints that are alike in byte counts."""
+    """Tiles (tile, lo, hi, least, most, fps) of about equal numbers of fingerprints that are alike in byte
+    counts; lo and hi bound the population count of each byte, least and most that of the whole."""
     size = min(TILE_ROWS[1], max(TILE_ROWS[0], -(-rows // TILES)))
     pops = [F.bit_count(F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
-    schema = "tile long, lo binary, hi binary, fps binary"
+    schema = "tile long, lo array<int>, hi array<int>, least int, most int, fps binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -147,64 +154,82 @@ def _tiles(distinct: DataFrame, rows: int) -> DataFrame:
         fps = np.concatenate(got).astype(np.int64).view(np.uint64)
         pop = _POP[fps.view(np.uint8).reshape(-1, 8)]
         fps = fps[np.lexsort((fps, *pop.T[::-1]))]
-        for k, at in enumerate(range(0, len(fps), size)):
-            tile = fps[at : at + size]
+        # a range that is a little over the size is one larger tile, not a full and a dwarf one
+        for k, tile in enumerate(np.array_split(fps, max(1, round(len(fps) / size)))):
             lo, hi = _boxes(tile, np.array([0]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part * 1_000_000 + k]), *(pa.array([x.astype(np.uint8).tobytes()], pa.binary()) for x in (lo, hi)), pa.array([tile.tobytes()], pa.binary())],
-                names=["tile", "lo", "hi", "fps"],
-            )
+            whole = np.bitwise_count(tile)
+            cols = [[(part << 32) + k], lo.tolist(), hi.tolist(), [int(whole.min())], [int(whole.max())], [tile.tobytes()]]
+            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tile", "lo", "hi", "least", "most", "fps"])
 
     bound_batches(distinct.sparkSession)
     return distinct.select("fp").repartitionByRange(max(1, -(-rows // size)), *pops, F.col("fp")).mapInArrow(pack, schema)
 
 
+def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(pair, a, b), a <= b: the pairs of tiles whose population counts allow a link.
+
+    Tiles meet on the whole population counts they span, widened by the radius on one side; the bounds
+    by byte decide.
+    """
+    box = tiles.select("tile", "lo", "hi", "least", "most")
+    side = lambda x, wide: box.select(F.col("tile").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.explode(F.sequence(F.col("least") - wide, F.col("most") + wide)).alias("count"))
+    gaps = [F.greatest(F.col("lo_a")[k] - F.col("hi_b")[k], F.col("lo_b")[k] - F.col("hi_a")[k], F.lit(0)) for k in range(8)]
+    near = side("a", radius).join(side("b", 0), "count").filter("a <= b").filter(sum(gaps[1:], gaps[0]) <= radius)
+    return near.select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id())
+
+
 def find_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links that connect exactly the fingerprints connected by differences up to radius.
 
-    distinct holds each fingerprint (fp, long) once. The driver sees the tiles' bounds only, 16 bytes
-    each, of which there are TILES, or rows / TILE_ROWS[1] for very many rows.
+    distinct holds each fingerprint (fp, long) once. The list of tile pairs is a table; each tile goes
+    to the pairs it belongs to in one exchange, and a task holds two tiles at a time. The driver sees
+    numbers of rows only.
     """
-    spark = distinct.sparkSession
     tiles = materialize(_tiles(distinct, distinct.count()))
-    box = tiles.select("tile", "lo", "hi").collect()
-    pairs = []
-    if box:
-        ids = [r.tile for r in box]
-        lo, hi = (np.array([np.frombuffer(bytes(r[k]), np.uint8) for r in box]).astype(np.int16) for k in ("lo", "hi"))
-        pairs = [(n, ids[i], ids[j]) for n, (i, j) in enumerate(np.argwhere(np.triu(_apart(lo, hi, lo, hi) <= radius)).tolist())]
-    plan = spark.createDataFrame(pairs, "pair long, a long, b long")
-    left = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fps_a"))
-    right = tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fps_b"))
-    work = plan.join(left, "a").join(right, "b").select("pair", "a", "b", "fps_a", "fps_b")
+    pairs = materialize(_tile_pairs(tiles, radius))
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    sides = pairs.select("pair", F.posexplode(ends).alias("side", "tile"))
+    work = sides.join(tiles.select("tile", "fps"), "tile").select("pair", "side", "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, first, alone = None, None, True
         for batch in batches:
             for r in range(batch.num_rows):
-                own = batch.column(1)[r].as_py() == batch.column(2)[r].as_py()
-                x, y = (np.frombuffer(batch.column(k)[r].as_buffer(), np.uint64) for k in (3, 4))
-                u, v = compare(x, None if own else y, radius)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                fps = np.frombuffer(batch.column(2)[r].as_buffer(), np.uint64)
+                if batch.column(0)[r].as_py() == pair:
+                    alone = False
+                    yield from found(compare(first, fps, radius))
+                else:
+                    if pair is not None and alone:
+                        yield from found(compare(first, None, radius))
+                    pair, first, alone = batch.column(0)[r].as_py(), fps, True
+        if pair is not None and alone:
+            yield from found(compare(first, None, radius))
+
+    def found(links: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(links[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in links], names=["u", "v"])
 
-    return work.repartition(max(1, min(len(pairs), 4096)), "pair").mapInArrow(run, "u long, v long")
+    dealt = work.repartition(max(1, min(pairs.count(), MOST_TASKS)), "pair").sortWithinPartitions("pair", "side")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links(u, v): root is the least node its component holds.
 
     Large-star and small-star steps alternate until nothing changes; each step only keeps a node's
-    least neighbour and moves the other neighbours to it, so no neighbourhood is gathered in a task.
+    least neighbour and moves the other neighbours to it, so no neighbourhood is gathered in a task;
+    a node with very many neighbours is joined by broadcast.
     """
     now = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(join_hot(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = join_hot(large, least, "u")
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = materialize(small.select("e.*").filter("u > v").distinct())
         got = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 32))).first()
@@ -216,39 +241,35 @@ def components(links: DataFrame) -> DataFrame:
         state = got
 
 
-def near_groups(rows: DataFrame, ident: str, radius: int = RADIUS) -> DataFrame:
-    """rows (a materialized frame with fp) plus root, the least fingerprint of its component, and component_id, its least ident."""
-    distinct = materialize(rows.groupBy("fp").agg(F.min(ident).alias("rep")))
-    roots = components(find_links(distinct, radius))
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    best = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(member.join(best, "root").select("fp", "root", "component_id"))
-    return rows.join(named, "fp")
+def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows(ident, fp), a written table, plus component_id, the least ident of the fingerprint's component."""
+    with scratch() as keep:
+        distinct = materialize(rows.groupBy("fp").agg(F.min("ident").alias("rep")))
+        links = components(find_links(distinct, radius))
+        rooted = links.select(F.col("node").alias("fp"), "root").union(links.select(F.col("root").alias("fp"), "root").distinct())
+        member = materialize(rooted.join(distinct, "fp"))
+        least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
+        linked = join_hot(member, least, "root").select("fp", "component_id")
+        alone = distinct.join(member.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
+        named = keep(materialize(linked.union(alone)))
+        return join_hot(rows, named, "fp")
 
 
 def simhash_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(ident, fingerprint, component_id) for each row of df.
 
-    Null texts and texts without words have fingerprint zero, linked like any other; repeated rows each
-    get their row; a null ident never becomes a component_id unless its component has no other; an
-    empty table gives an empty result; other columns of df are ignored.
+    Null texts and texts without words have fingerprint zero, linked like any other; very long texts
+    are read whole; repeated rows each get their row; a null ident never becomes a component_id unless
+    its component has no other; an empty table gives an empty result; other columns of df are ignored.
     """
-    rows = materialize(with_fingerprint(df.select(F.col(ident).alias("ident"), F.col(text).alias("text"))).drop("text"))
-    out = near_groups(rows, "ident", radius)
+    rows = df.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"))
+    rows = materialize(with_fingerprint(rows).drop("text"))
+    out = near_groups(rows, radius)
     return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df, one of each group: that of the least ident, or any one of rows equal in ident."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    rows = materialize(with_fingerprint(numbered, text, "_fp").withColumnRenamed("_fp", "fp"))
-    groups = near_groups(rows.select("_row", "fp", F.col(ident).alias("ident")), "ident", radius)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("ident").isNull(), "ident", "_row"))["_row"].alias("_row"))
-    return rows.join(best, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(spread(documents(spark, sf_dir).select("doc_id", "text")))
+    return simhash_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES = {"op9_simhash": op9_simhash}
