@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, documents, field, spread
+from .common import arrow_columns, documents, field
 
 #: Pre-tokens a worker remembers, in two halves: when the newer half is full, the older is forgotten.
 MEMO = 300_000
@@ -166,16 +166,23 @@ def _cached(kind: str, key: str, vocab, make):
     return _encoders[kind, key]
 
 
+_vocabularies: dict = {}  # of this driver: what has been sent to the executors, by application and vocabulary
+
+
 def _shared(df: DataFrame, path: str, pattern: str):
     """The vocabulary, read by the driver and sent once to each executor; its size is the file's."""
-    return df.sparkSession.sparkContext.broadcast(Vocabulary.load(path, pattern)), f"{path}\0{pattern}"
+    spark, name = df.sparkSession.sparkContext, f"{path}\0{pattern}"
+    if (spark.applicationId, name) not in _vocabularies:
+        _vocabularies[spark.applicationId, name] = spark.broadcast(Vocabulary.load(path, pattern))
+    return _vocabularies[spark.applicationId, name], name
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str = GPT_PATTERN, text: str = "text", ids: str = "ids") -> DataFrame:
     """df plus ids: the token ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    Special tokens' strings are ordinary text. Null and empty texts have no ids; repeated rows are
-    encoded alike; a column of df named ids is replaced.
+    Special tokens' strings are ordinary text. Null and empty texts have no ids; very long texts are
+    encoded whole; repeated rows are encoded alike; an empty table gives an empty result; a column of df
+    named ids (in any case) is replaced, all others stay.
     """
     vocab, key = _shared(df, path, pattern)
 
@@ -187,7 +194,8 @@ def bpe_encode(df: DataFrame, path: str, pattern: str = GPT_PATTERN, text: str =
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str = GPT_PATTERN, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df plus decoded: the bytes that packed ids stand for. Null ids give no bytes; unknown ids fail."""
+    """df plus decoded: the bytes that packed ids stand for. Null and empty ids
+    give no bytes; unknown ids fail; repeated rows, long ids, empty tables and clashes as in bpe_encode."""
     vocab, key = _shared(df, path, pattern)
 
     def make(col: pa.Array):
@@ -209,7 +217,7 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe_decode(bpe_encode(spread(documents(spark, sf_dir).select("doc_id", "text")), path, pattern).drop("text"), path, pattern)
+    out = bpe_decode(bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

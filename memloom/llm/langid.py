@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, documents, field, spread
+from .common import arrow_columns, bound_batches, documents, field
 from .nets import Adam, Gru, Labeller, softmax
 
 WINDOW, HIDDEN, PAD = 64, 8, 256
@@ -111,14 +111,14 @@ def pool(net: Labeller, texts: list[str | None], n_labels: int) -> np.ndarray:
     return sums / size[:, None]
 
 
-
-
 def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> DataFrame:
     """df plus lang_pred and score, by a network trained on the rows of df where learn holds.
 
     lang is read from learning rows only and is no input of a prediction. A null text, or one without
-    a letter, is 'und' with score 0; so is every text if no labelled row may be learnt from. Equal
-    texts are labelled alike; clashing columns are replaced.
+    a letter, is 'und' with score 0; so is every text if no labelled row may be learnt from. Very long
+    texts are labelled whole, window by window; equal texts, so repeated rows, are labelled alike; of
+    labels with equal probabilities the first by code point is given; null idents are drawn for the
+    sample together; an empty table gives an empty result; clashing columns are replaced.
     """
     rows = sample_windows(df.filter(learn), text, lang, ident).collect()  # bounded: TRAIN_DOCS * TRAIN_WINDOWS a language
     model = train([(r.lang, bytes(r.window)) for r in sorted(rows, key=lambda r: (r.lang, r.ident, bytes(r.window)))])
@@ -140,7 +140,7 @@ def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     return identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 

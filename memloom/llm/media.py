@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, discard, documents, field, materialize, spread
+from .common import arrow_columns, bound_batches, discard, documents, field, join_hot, materialize, scratch
 
 UNIT = 64
 #: Chunk lengths: none below LEAST but a medium's last, none above MOST, AVERAGE more past LEAST.
@@ -66,7 +66,11 @@ def chunks(raw: bytes) -> list[bytes]:
 
 
 def recipe(parts: list[tuple[int, bytes]]) -> bytes:
-    """The stored form of a medium from its chunks' (length, digest)."""
+    """The stored form of a medium from its chunks' (length, digest).
+
+    media_bytes and media_sha256 are of this list; the chunks it names are shared by media, so no medium
+    owns their bytes. A reader fetches the list and, once each, the chunks.
+    """
     return MAGIC + b"".join(struct.pack("<I", n) + d for n, d in parts)
 
 
@@ -116,7 +120,7 @@ def _packs(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A written chunk store.
+    """A written chunk store of four tables.
 
     rows (ident, n_bytes, medium): the documents; media (medium, stored): each distinct medium's list;
     shared_refs (medium, seq, digest): the places of chunks with several places; chunks (kind, medium,
@@ -144,19 +148,20 @@ def _shuffle_files_end_with_query(spark):
 def write_store(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Store:
     """Store the text of every row of df over shared chunks.
 
-    Null texts are empty; equal texts share a medium; repeated rows are rows of their own; other columns
-    of df are ignored; an empty table makes an empty store. Payloads cross the network once here,
-    compressed, so that each medium meets the list of its chunks that are shared.
+    Null texts are empty; equal texts share a medium; repeated rows and rows with null idents are rows of
+    their own; very long texts are stored whole, one at a time in a task's memory; other columns of df
+    are ignored, whatever their names; an empty table makes an empty store. Payloads cross the network
+    once here, compressed, so that each medium meets the list of its chunks that are shared.
     """
-    with _shuffle_files_end_with_query(df.sparkSession):
-        return _write(df.select(F.col(ident).alias("ident"), F.col(text).alias("text")))
+    with _shuffle_files_end_with_query(df.sparkSession), scratch() as keep:
+        return _write(df.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text")), keep)
 
 
-def _write(docs: DataFrame) -> Store:
+def _write(docs: DataFrame, keep) -> Store:
     listed = materialize(_media_of(docs).withColumn("uid", F.monotonically_increasing_id()))
-    rows = materialize(listed.select("ident", "n_bytes", F.unhex(F.sha2("stored", 256)).alias("medium"), "uid"))
+    rows = keep(materialize(listed.select("ident", "n_bytes", F.unhex(F.sha2("stored", 256)).alias("medium"), "uid")))
     first = rows.groupBy("medium").agg(F.min("uid").alias("uid"))
-    media = materialize(listed.select("uid", "stored").join(first, "uid").withColumnRenamed("uid", "mid"))
+    media = keep(materialize(listed.select("uid", "stored").join(first, "uid").withColumnRenamed("uid", "mid")))
     discard(listed)
 
     n = ((F.octet_length("stored") - F.lit(4)) / F.lit(36)).cast("int")
@@ -164,7 +169,8 @@ def _write(docs: DataFrame) -> Store:
     refs = materialize(places.select("medium", "mid", "seq", F.expr("substring(stored, 9 + seq * 36, 32)").alias("digest")))
     digests = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("holder"))
     shared = materialize(digests.filter("n > 1").select("digest", "holder"))
-    shared_refs = materialize(refs.join(shared, "digest").select("medium", "seq", "digest", (F.col("mid") == F.col("holder")).alias("holds")))
+    places = join_hot(refs, shared, "digest")
+    shared_refs = keep(materialize(places.select("medium", "seq", "digest", (F.col("mid") == F.col("holder")).alias("holds"))))
     discard(refs)
     discard(shared)
     flags = shared_refs.groupBy("medium").agg(F.collect_list(F.struct("seq", "holds")).alias("flags"))  # a medium's own chunks
@@ -190,8 +196,8 @@ def _write(docs: DataFrame) -> Store:
 
     packs = _packs(docs.select("text")).groupBy("medium").agg(F.first("pack").alias("pack"))
     marked = packs.join(flags, "medium", "left").select("medium", "pack", "flags")
-    stored = materialize(marked.mapInArrow(split, "kind int, medium binary, digest binary, blob binary"))
-    return Store(rows.select("ident", "n_bytes", "medium"), media.select("medium", "stored"), shared_refs.select("medium", "seq", "digest"), stored)
+    stored = keep(materialize(marked.mapInArrow(split, "kind int, medium binary, digest binary, blob binary")))
+    return Store(rows, media, shared_refs, stored)
 
 
 def assemble(stored: bytes, own: bytes, shared: dict[int, bytes]) -> bytes:
@@ -212,10 +218,11 @@ def read_media(store: Store) -> DataFrame:
     """(medium, media_bytes, payload, feature) for each distinct medium, from the stored chunks; damage fails.
 
     Compressed chunks cross the network once more, to the task that puts their medium together; a task
-    holds one medium at a time.
+    holds one medium at a time. Chunks that very many media share, fewer than 256 of at most 64 KB, are
+    broadcast to the places that name them.
     """
     own = store.chunks.filter("kind = 0").select("medium", F.lit(-1).alias("seq"), "blob")
-    lent = store.shared_refs.join(store.chunks.filter("kind = 1").select("digest", "blob"), "digest").select("medium", "seq", "blob")
+    lent = join_hot(store.shared_refs.select("medium", "seq", "digest"), store.chunks.filter("kind = 1").select("digest", "blob"), "digest").select("medium", "seq", "blob")
     lists = store.media.select("medium", F.lit(-2).alias("seq"), F.col("stored").alias("blob"))
 
     def run(batches):
@@ -251,14 +258,16 @@ def read_media(store: Store) -> DataFrame:
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    store = write_store(spread(documents(spark, sf_dir).select("doc_id", "text")))
-    found = read_media(store).select(
-        "medium", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_digest"),
-        F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "media_bytes", "feature",
-    )
-    with _shuffle_files_end_with_query(spark):
-        each = materialize(found)
-    return store.rows.join(each, "medium").select(
+    with scratch() as keep:
+        store = write_store(documents(spark, sf_dir).select("doc_id", "text"))
+        found = read_media(store).select(
+            "medium", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_digest"),
+            F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "media_bytes", "feature",
+        )
+        with _shuffle_files_end_with_query(spark):
+            each = keep(materialize(found))
+        rows = join_hot(keep(store.rows), each, "medium")
+    return rows.select(
         F.col("ident").alias("doc_id"), "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
         "media_bytes", F.lower(F.hex("medium")).alias("media_sha256"), "feature",
     )

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, without
+from .common import WORD, documents, hide, join_hot, materialize, numbered, scratch, without
 
 #: Fixed weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: All targets together, as a share of all sizes; the most copies of a source's size.
 SHARE, MOST = 1.5, 2.0
 SEED = "mix-1"
-#: A table of sources up to this many rows is broadcast; a longer one is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -21,27 +19,28 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fill_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Targets by source: share of all sizes by weight, capped at most times the source's size.
+def fill_targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sums(source, source_size) plus target: share of all sizes by weight, at most times the source's size.
 
-    What a cap cuts off is dealt again by weight among the sources below theirs, until none is above.
+    Sources weigh by their place in code-point order, null last, the weights repeating. What a cap cuts
+    off is dealt again by weight among the sources below theirs: the words a unit of weight gets only
+    grow from round to round, until no further source is capped. The driver holds sums alone, so the
+    number of sources is not bounded.
     """
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target = {s: 0.0 for s in order}
-    left, open_ = share * sum(sizes.values()), list(order)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
-        if not full:
-            for s in open_:
-                target[s] = unit * weight[s]
+    last = F.col("source").isNull().alias("last")
+    placed, pieces = numbered(sums.select(last, "source", "source_size"), "last", "source")
+    place = F.col("at") + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    dealt = materialize(placed.join(pieces, "piece").select("source", "source_size", weight.alias("weight")))
+    all_words, unit = (dealt.agg(F.sum("source_size")).first()[0] or 0), 0.0
+    capped = lambda u: F.lit(u) * F.col("weight") > F.lit(most) * F.col("source_size")
+    while True:
+        taken, rest = dealt.agg(F.sum(F.when(capped(unit), F.col("source_size")).otherwise(0)), F.sum(F.when(capped(unit), 0.0).otherwise(F.col("weight")))).first()
+        new = (share * all_words - most * taken) / rest if rest else unit
+        if new <= unit:
             break
-        for s in full:
-            target[s] = most * sizes[s]
-            left -= target[s]
-        open_ = [s for s in open_ if s not in set(full)]
-    return target
+        unit = new
+    return dealt.select("source", "source_size", F.when(capped(unit), F.lit(most) * F.col("source_size")).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
 
 
 def uniform(ident: Column, seed: str = SEED) -> Column:
@@ -55,31 +54,33 @@ def mix_plan(df: DataFrame, ident: str = "doc_id", text: str = "text", source: s
 
     copies is floor(rate) plus one with the probability of the rate's fraction, drawn from a hash of
     the seed and ident, with rate = target / source_size; reruns and lost tasks agree. sized names a
-    column that holds the words of each row already; else they are counted in text. Null texts have no
-    words; null sources form one source, the last; a source without words gets target 0 and no copies;
-    rows that repeat an ident are drawn alike; clashing columns of df are replaced. The driver holds one
-    row for each source, as weights are dealt by the sources' order.
+    column that holds the words of each row already; else they are counted in the whole text, however
+    long. Null texts have no words; null sources form one source, the last; a source without words gets
+    target 0 and no copies; rows that repeat an ident are drawn alike; an empty table gives an empty
+    result; clashing columns of df are replaced. df is read several times, so it should be a written
+    table.
     """
-    size = F.col(sized) if sized else n_words(F.col(text))
-    sums = {r[0]: r[1] or 0 for r in df.groupBy(F.col(source).alias("s")).agg(F.sum(size)).collect()}
-    target = fill_targets(sums)
-    rates = df.sparkSession.createDataFrame(
-        [(s, int(n), float(target[s]), float(target[s] / n) if n else 0.0) for s, n in sums.items()],
-        "_source string, source_size long, target double, _rate double",
-    )
-    rates = F.broadcast(rates) if len(sums) <= BROADCAST_SOURCES else rates
-    rows = without(df.withColumn("_size", size), ["size", "source_size", "target", "copies"]).withColumnRenamed("_size", "size")
-    joined = rows.join(rates, F.col(source).eqNullSafe(F.col("_source")), "left")
-    copies = F.floor("_rate") + (uniform(F.col(ident)) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return joined.withColumn("copies", copies.cast("long")).drop("_source", "_rate")
+    size = F.col(f"`{sized}`") if sized else n_words(F.col(f"`{text}`"))
+    rows = without(df.withColumn("__size", size), ["size", "source_size", "target", "copies"]).withColumnRenamed("__size", "size")
+    # null sources meet under a key of their own
+    rows = rows.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("-")))
+    with scratch() as keep:
+        sums = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("source_size"))
+        filled = fill_targets(sums)
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rates = keep(materialize(filled.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("__source"), "source_size", "target", rate.alias("__rate"))))
+        joined = join_hot(rows, rates, "__source")
+    copies = F.floor("__rate") + (uniform(F.col(f"`{ident}`")) < F.col("__rate") - F.floor("__rate")).cast("long")
+    return joined.withColumn("copies", copies.cast("long")).drop("__source", "__rate")
 
 
 def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed rows of df: each row as often as mix_plan takes it, with df's columns."""
-    plan = mix_plan(df, ident, text, source)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    kept = [F.col(f"`{c}`") for c in df.columns if c in plan.columns]
-    return plan.filter(F.col("copies") > 0).select(*kept, times).drop("_copy")
+    """The mixed rows of df: each row as often as mix_plan takes it, with all of df's columns as they are,
+    also those named like the plan's. Odd rows are treated as mix_plan says."""
+    rows, show = hide(df, ident=ident, text=text, source=source)
+    plan = mix_plan(rows, "ident", "text", "source")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return show(plan.filter(F.col("copies") > 0).withColumn("__copy", times))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, documents, field, spread
+from .common import arrow_columns, documents, field
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: ASCII bytes that are neither letters nor separate words.
 NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in SPACE)
-#: Rows on which costs and rejection rates are estimated.
-SAMPLE_ROWS = 400
+#: Costs and rejection rates are estimated on so many texts of at most so many bytes each (25 MB in all).
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 #: From so many words on, windows are counted in numpy.
 NUMPY_WORDS = 256
 
@@ -97,10 +97,6 @@ class Stats:
     def n_repeat_words(self) -> int:
         return repeated_words(self.words)
 
-    @cached_property
-    def longest_word(self) -> int:
-        return max(map(len, self.words), default=0)
-
     @cached_property
     def alpha_words(self) -> int:
         return len(self.raw.translate(None, NO_LETTERS).split())  # words with a letter outlive the deletion
@@ -124,21 +120,22 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 
 
-def measure_rules(texts: list[str | None], rules=RULES) -> dict[str, tuple[float, float]]:
-    """(seconds a text, share rejected) by rule; each rule starts without what others computed."""
-    out = {}
-    for r in rules:
-        began, n = time.perf_counter(), 0
-        for t in texts:
-            n += r.rejects(Stats(t))
-        out[r.name] = ((time.perf_counter() - began) / max(1, len(texts)), n / max(1, len(texts)))
-    return out
-
+def order_rules(texts: list[str | None], rules=RULES, clock=time.perf_counter) -> list[Rule]:
+    """Rules by rejections per second, each measured on the texts that the rules before it let through.
 
-def order_rules(measured: dict[str, tuple[float, float]], rules=RULES) -> list[Rule]:
-    """Rules by rejections per second, the best first; ties and an empty sample keep the given order."""
-    worth = {n: rate / max(cost, 1e-9) for n, (cost, rate) in measured.items()}
-    return sorted(rules, key=lambda r: -worth.get(r.name, 0.0))
+    Every rule starts without what others computed. Ties and an empty sample keep the given order.
+    """
+    left, out, texts = list(rules), [], list(texts)
+    while left:
+        worth = []
+        for r in left:
+            began = clock()
+            rejected = [r.rejects(Stats(t)) for t in texts]
+            worth.append((sum(rejected) / max(clock() - began, 1e-9), rejected))
+        k = max(range(len(left)), key=lambda i: worth[i][0])
+        texts = [t for t, gone in zip(texts, worth[k][1], strict=True) if not gone]
+        out.append(left.pop(k))
+    return out
 
 
 STATS = [field(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -148,11 +145,15 @@ def quality(df: DataFrame, text: str = "text", rules=RULES, stats: bool = False,
     """df plus kept and rejected_by (the first rule of the cascade that rejects, else null).
 
     stats=True adds the base measures and base_failed for every row, rejected or not. Null and empty
-    texts have no words and are rejected; repeated rows are judged alike; clashing columns are replaced.
-    The sample is the first sample_rows rows the scan meets; it sets the order of rules, never a verdict.
+    texts have no words and are rejected; very long texts are judged whole; repeated rows are judged
+    alike; an empty table gives an empty result; clashing columns are replaced. The sample is the first
+    sample_rows rows the scan meets whose texts have SAMPLE_BYTES at most; it sets the order of rules,
+    never a verdict. As the order follows measured times, rejected_by may name another of several
+    rejecting rules in a rerun; kept never differs.
     """
-    sample = [r[0] for r in df.select(text).limit(sample_rows).collect()]
-    cascade = order_rules(measure_rules(sample, rules), rules)
+    small = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) <= SAMPLE_BYTES
+    sample = [r[0] for r in df.filter(small).select(F.col(f"`{text}`")).limit(sample_rows).collect()]
+    cascade = order_rules(sample, rules)
 
     def make(col: pa.Array):
         rows = []
@@ -175,7 +176,7 @@ def quality(df: DataFrame, text: str = "text", rules=RULES, stats: bool = False,
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
-    out = quality(spread(documents(spark, sf_dir).select("doc_id", "text")), stats=True)
+    out = quality(documents(spark, sf_dir).select("doc_id", "text"), stats=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
