@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
 documents; the last returns their ids. A stage's result is written as Parquet and read again, so a
-lost executor costs tasks of one stage only.
+lost executor costs tasks of one stage only. Every stage keeps all columns of docs as they are, whatever
+their names, and makes of an empty table an empty one; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -12,48 +13,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.bpe import bpe_decode, bpe_encode
-from memloom.llm.common import documents, materialize
+from memloom.llm.common import documents, hide, materialize, scratch, without
 from memloom.llm.mixing import mix
 from memloom.llm.pii import redact
 from memloom.llm.quality import quality
-from memloom.llm.shingles import drop_similar
-
-
-def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+from memloom.llm.shingles import drop_near_duplicates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return _as(docs, quality(docs).filter("kept"))
+    """Documents that no quality rule rejects. Null and empty texts have no words and go; repeated rows
+    go or stay together; nulls in other columns change nothing."""
+    rows, show = hide(docs, text="text")
+    return show(quality(rows).filter("kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group of exact or near copies (five-word shingles, Jaccard similarity 0.8 or
+    more): that of the least doc_id, null doc_ids last, any one of repeated rows. Null texts and texts
+    without words are one group."""
+    return drop_near_duplicates(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked; n_chars follows the text."""
-    out = redact(docs)
-    return _as(docs, out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
+    """All documents with personal data masked; n_chars follows the text. Null texts stay null, and so
+    does their n_chars; repeated rows are masked alike; null doc_ids are drawn for training together."""
+    rows, show = hide(redact(docs), text="text", **({"n_chars": "n_chars"} if "n_chars" in docs.columns else {}))
+    return show(rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
-    return _as(docs, mix(docs))
+    """Documents as often as their source's target asks for. Null sources are one source, the last; a
+    source without words is not taken; rows that repeat a doc_id are drawn alike."""
+    return mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, packed as little-endian unsigned 32-bit integers, and what they decode to."""
+    """docs without text, plus the ids of each text, packed as little-endian unsigned 32-bit integers,
+    their number and the digest of what they decode to. Null and empty texts have no ids; repeated rows
+    are encoded alike; columns of docs named ids, n_tokens, decoded or decoded_sha256
+    are replaced."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    rows = without(docs, ["ids", "n_tokens", "decoded", "decoded_sha256"])
+    out = bpe_decode(bpe_encode(rows, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
     return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
     ("quality rules", keep_quality),
-    ("shingle near-dedup", drop_copies),
+    ("SimHash near-dedup", drop_copies),
     ("PII", mask_private),
     ("mixing", mix_sources),
     ("byte-level BPE", encode),
@@ -64,10 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
+    """All stages on documents. A stage's scratch tables go once its result is written."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if (name, stage) != STAGES[-1]:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir)))
+    return STAGES[-1][1](spark, docs, sf_dir)
