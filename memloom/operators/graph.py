@@ -1,19 +1,19 @@
 """Topic graph operators over nodes and directed edges (dependency -> dependent).
 
-The graph holds topics, not memories: one row for each topic or link. Closures are recursive CTEs over
-distinct pairs; order-dependent insertion runs in one task for each graph.
+The graph holds topics, not memories: one row for each topic or link. Closures hold one row for each
+connected pair of topics and double their reach in each round, so a path of n links takes log2(n) rounds;
+order-dependent insertion runs in one task for each graph.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_strength, hash_embedding, infer_edge_type
 from ..functions.vectors import clamp01, cosine_or_null
 from ..schema import EDGE_STRENGTH
+from ..tables import checked_broadcast, materialize, scratch
 
 MAX_HOPS = 64
 FEEDBACK_STEP, REGULARISE = 0.1, 0.15
@@ -41,33 +41,49 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def _closure(links: DataFrame) -> DataFrame:
+    """(src, dst, hops, longest): a row for each pair that a path of links(src, dst) connects, with the hops of the
+    shortest path and, if the links hold no cycle, of the longest. A round joins the pairs with themselves; it
+    ends when no pair is new and no path better."""
+    one = F.lit(1).cast("long")
+    with scratch() as keep:
+        now = materialize(links.select("src", "dst").distinct().withColumns({"hops": one, "longest": one}))
+        state = None
+        while True:
+            cyclic = F.max((F.col("src") == F.col("dst")).cast("int")) == 1
+            got = now.agg(F.count(F.lit(1)), F.sum("hops"), F.when(~cyclic, F.sum("longest"))).first()
+            if got == state or not got[0]:
+                return keep(now)
+            state = got
+            onward = now.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("hops").alias("h"), F.col("longest").alias("l"))
+            joined = now.join(onward, "dst").select("src", F.col("end").alias("dst"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("longest") + F.col("l")).alias("longest"))
+            # on a cycle the longest path has no end, so it stops at a bound that no topic graph reaches
+            now = materialize(now.unionByName(joined).groupBy("src", "dst").agg(F.min("hops").alias("hops"), F.least(F.max("longest"), F.lit(1 << 40)).alias("longest")))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+
+
 def reachability(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(src, dst, hops): nodes reachable over active edges, with the fewest hops; each node reaches itself."""
-    e = active(edges).select("src", "dst").distinct().persist()  # each round of the recursion reads it
-    view = f"edges_{uuid.uuid4().hex}"
-    e.createOrReplaceTempView(view)
-    out = e.sparkSession.sql(f"""
-        WITH RECURSIVE walk(src, dst, hops) AS (
-            SELECT n, n, 0 FROM (SELECT src AS n FROM {view} UNION SELECT dst FROM {view})
-            UNION ALL
-            SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN {view} e ON w.dst = e.src WHERE w.hops < {int(max_hops)}
-        )
-        SELECT src, dst, min(hops) AS hops FROM walk GROUP BY src, dst""")
-    return out
-
-
-def levels(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(node_id, level): the longest path from a root; a topological order of an acyclic graph."""
-    e = active(edges).select("src", "dst").distinct().persist()  # each round of the recursion reads it
-    view = f"edges_{uuid.uuid4().hex}"
-    e.createOrReplaceTempView(view)
-    return e.sparkSession.sql(f"""
-        WITH RECURSIVE walk(node_id, level) AS (
-            SELECT n, 0 FROM (SELECT src AS n FROM {view} UNION SELECT dst FROM {view}) WHERE n NOT IN (SELECT dst FROM {view})
-            UNION ALL
-            SELECT e.dst, w.level + 1 FROM walk w JOIN {view} e ON w.node_id = e.src WHERE w.level < {int(max_hops)}
-        )
-        SELECT node_id, max(level) AS level FROM walk GROUP BY node_id""")
+    """(src, dst, hops): nodes reachable over active edges in max_hops at most, with the fewest hops; each node
+    reaches itself."""
+    e = active(edges)
+    own = _ends(e).select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).cast("long").alias("hops"))
+    return own.unionByName(_closure(e).drop("longest").filter((F.col("hops") <= max_hops) & (F.col("src") != F.col("dst"))))
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(node_id, level): the longest path from a root, a topological order; nodes on a cycle or behind one have
+    no row."""
+    e, near = active(edges).select("src", "dst").distinct(), _closure(active(edges))
+    cyclic, every = near.filter("src = dst").select("src"), _ends(e)
+    if cyclic.limit(1).count():
+        behind = cyclic.union(near.join(cyclic, "src", "left_semi").select("dst")).distinct()
+        every = every.join(behind.withColumnRenamed("src", "node_id"), "node_id", "left_anti")
+        near = _closure(e.join(behind.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+    deepest = near.groupBy(F.col("dst").alias("node_id")).agg(F.max("longest").alias("level"))
+    return every.join(deepest, "node_id", "left").fillna(0, ["level"])
 
 
 def layout(edges: DataFrame, x_step: float = 196.0, y_step: float = 96.0) -> DataFrame:
@@ -79,9 +95,8 @@ def layout(edges: DataFrame, x_step: float = 196.0, y_step: float = 96.0) -> Dat
 
 
 def is_acyclic(edges: DataFrame) -> DataFrame:
-    """One row (is_dag): whether no active edge returns to its start."""
-    closing = active(edges).alias("e").join(reachability(edges).alias("r"), (F.col("e.src") == F.col("r.dst")) & (F.col("e.dst") == F.col("r.src")))
-    return closing.agg((F.count(F.lit(1)) == 0).alias("is_dag"))
+    """One row (is_dag): whether no path of active edges returns to its start."""
+    return _closure(active(edges)).filter("src = dst").agg((F.count(F.lit(1)) == 0).alias("is_dag"))
 
 
 def neighbours(edges: DataFrame, depth: int = 1, strength_min: float = 0.0, types=None, direction: str = "out") -> DataFrame:
@@ -95,7 +110,7 @@ def neighbours(edges: DataFrame, depth: int = 1, strength_min: float = 0.0, type
     walk = every = step.withColumn("hops", F.lit(1))
     hop = step.select(F.col("node_id").alias("via"), F.col("other_id").alias("next_id"), F.col("strength").alias("next_strength"))
     for d in range(2, depth + 1):  # distinct pairs after each hop, so walks do not multiply
-        walk = walk.join(F.broadcast(hop), F.col("other_id") == F.col("via")).select("node_id", F.col("next_id").alias("other_id"), F.col("next_strength").alias("strength"))
+        walk = walk.join(hop, F.col("other_id") == F.col("via")).select("node_id", F.col("next_id").alias("other_id"), F.col("next_strength").alias("strength"))
         walk = walk.groupBy("node_id", "other_id").agg(F.max("strength").alias("strength")).withColumn("hops", F.lit(d))
         every = every.unionByName(walk)
     best = every.groupBy("node_id", "other_id").agg(F.max("strength").alias("strength"), F.min("hops").alias("hops"))
@@ -132,12 +147,12 @@ def gap_tau(nodes: DataFrame, parity: bool = False) -> DataFrame:
 def edge_factors(nodes: DataFrame, edges: DataFrame, parity: bool = False) -> DataFrame:
     """edges plus f_topic, f_temporal, f_struct and f_interact."""
     n = nodes.select("node_id", "created_at")
-    out = edges.join(F.broadcast(n.select(F.col("node_id").alias("src"), F.col("created_at").alias("_s"))), "src", "left")
-    out = out.join(F.broadcast(n.select(F.col("node_id").alias("dst"), F.col("created_at").alias("_d"))), "dst", "left")
+    out = edges.join(n.select(F.col("node_id").alias("src"), F.col("created_at").alias("_s")), "src", "left")
+    out = out.join(n.select(F.col("node_id").alias("dst"), F.col("created_at").alias("_d")), "dst", "left")
     outs = active(edges).groupBy("src").agg(F.collect_set("dst").alias("_o"))  # a topic's links
-    out = out.join(F.broadcast(outs.withColumnRenamed("_o", "_so")), "src", "left")
-    out = out.join(F.broadcast(outs.select(F.col("src").alias("dst"), F.col("_o").alias("_do"))), "dst", "left")
-    out = out.join(F.broadcast(gap_tau(nodes, parity)))
+    out = out.join(outs.withColumnRenamed("_o", "_so"), "src", "left")
+    out = out.join(outs.select(F.col("src").alias("dst"), F.col("_o").alias("_do")), "dst", "left")
+    out = out.join(F.broadcast(gap_tau(nodes, parity)))  # one row
     empty = F.array().cast(dict(edges.dtypes)["dst"].join(["array<", ">"]))
     so, do = F.coalesce("_so", empty), F.coalesce("_do", empty)
     union = F.size(F.array_union(so, do))
@@ -157,16 +172,20 @@ def multifactor_strength(factored: DataFrame, weights: dict[str, float] | None =
     return factored.withColumn("strength", clamp01((1 - alpha) * base_strength(F.col("type")) + alpha * mix))
 
 
-def bump_interactions(edges: DataFrame, used: DataFrame) -> DataFrame:
-    """edges with interactions raised by the rows of used(src, dst)."""
+def bump_interactions(edges: DataFrame, used: DataFrame, order: str = "edge_id") -> DataFrame:
+    """edges with interactions raised by the rows of used(src, dst), on the first active edge, by order, of a
+    pair alone."""
     n = used.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"))
-    return edges.join(F.broadcast(n), ["src", "dst"], "left").withColumn("interactions", F.col("interactions") + F.coalesce("_n", F.lit(0))).drop("_n")
+    first = active(edges).groupBy("src", "dst").agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    out = edges.join(first, ["src", "dst", order], "left").join(n, ["src", "dst"], "left")
+    raised = F.col("interactions") + F.when(F.col("_first"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0))
+    return out.withColumn("interactions", raised).drop("_n", "_first")
 
 
 def coarse_links(new: DataFrame, nodes: DataFrame, k: int = 4) -> DataFrame:
     """(src, dst, similarity, type, strength): links from existing nodes to new(node_id, emb, root_id), the k
     most similar other than itself, main and its own versions."""
-    cand = new.select(F.col("node_id").alias("dst"), F.col("emb").alias("_e"), F.col("root_id").alias("_root")).join(F.broadcast(nodes.select(F.col("node_id").alias("src"), "emb", "root_id")))
+    cand = new.select(F.col("node_id").alias("dst"), F.col("emb").alias("_e"), F.col("root_id").alias("_root")).join(checked_broadcast(nodes.select(F.col("node_id").alias("src"), "emb", "root_id")))
     cand = cand.filter((F.col("src") != F.col("dst")) & (F.col("src").cast("string") != "main") & ~F.col("root_id").eqNullSafe(F.col("_root")))
     cand = cand.withColumn("similarity", F.round(F.coalesce(cosine_or_null(F.col("_e"), F.col("emb")), F.lit(0.0)), 9))
     top = cand.withColumn("_r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("similarity"), "src"))).filter(F.col("_r") <= k)
@@ -230,6 +249,64 @@ def insert_edges(arrivals: DataFrame, graph: str = "graph_id") -> DataFrame:
     return arrivals.select(graph, "seq", "src", "dst", "type").groupBy(graph).applyInPandas(fold, schema)
 
 
+def rejected_edges(edges: DataFrame, node=None) -> DataFrame:
+    """Inactive edges, of one node or (node_id, rejected) lists for every node they touch."""
+    off = edges.filter("status != 'active'")
+    if node is not None:
+        return edges_of(off, node)
+    touched = off.select(F.explode(F.array("src", "dst")).alias("node_id"), "src", "dst", "type", "status")
+    return touched.groupBy("node_id").agg(F.array_sort(F.collect_set(F.struct("src", "dst", "type", "status"))).alias("rejected"))  # a topic's links
+
+
+def affected_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """Active edges that touch a node of changed(node_id)."""
+    e, ids = active(edges), changed.select("node_id").distinct()
+    return e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").unionByName(e.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")).distinct()
+
+
+def invalid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that may not be added, with reason: an unknown node or an unknown type."""
+    known = nodes.select("node_id").distinct()
+    end = lambda n: known.select(F.col("node_id").alias(n), F.lit(True).alias(f"_{n}"))
+    out = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    unknown = F.col("_src").isNull() | F.col("_dst").isNull()
+    reason = F.when(unknown, F.lit("unknown node")).when(~F.coalesce(F.col("type").isin(list(EDGE_STRENGTH)), F.lit(False)), F.lit("unknown type"))
+    return out.withColumn("reason", reason).drop("_src", "_dst").filter("reason IS NOT NULL")
+
+
+def with_memory_counts(nodes: DataFrame, written: DataFrame) -> DataFrame:
+    """nodes with n_memories raised by the rows of written(owner_node)."""
+    n = written.groupBy(F.col("owner_node").alias("node_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return nodes.join(n, "node_id", "left").withColumn("n_memories", F.coalesce("n_memories", F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def judged_types(answers: DataFrame, key: str = "dst", raw: str = "answer") -> DataFrame:
+    """(key, number, type) from a model's answer, text around a JSON object of numbers and edge types; numbers
+    that are none and unknown types are left out."""
+    said = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "map<string,string>")
+    rows = answers.select(key, F.explode(said).alias("n", "type"))
+    return rows.filter(F.col("type").isin(list(EDGE_STRENGTH)) & F.col("n").rlike("^[0-9]+$")).select(key, F.col("n").cast("long").alias("number"), "type")
+
+
+def refine(nodes: DataFrame, edges: DataFrame, node_ids: list, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(edges, diff): the active edges into the given nodes replaced by links to what is most similar to their
+    present vectors, marked refined, and (src, dst, change) of what that added and removed."""
+    target = F.col("dst").isin(list(node_ids))
+    links = coarse_links(nodes.filter(F.col("node_id").isin(list(node_ids))), nodes, k).withColumn("stage", F.lit("refined"))
+    before = active(edges).filter(target)
+    stay = edges.join(before.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    return stay.unionByName(links, allowMissingColumns=True), refine_diff(before, links)
+
+
+def create_nodes(nodes: DataFrame, edges: DataFrame, new: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with new(node_id, topic, ...) added, embedded from their topics if they have no vector,
+    and linked from what is there."""
+    fresh = new if "emb" in new.columns else hash_embedded(new)
+    every = upsert_nodes(nodes, fresh)
+    links = coarse_links(fresh, every, k).withColumn("stage", F.lit("coarse"))
+    return every, edges.unionByName(links, allowMissingColumns=True)
+
+
 def upsert_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """nodes with the rows of changes (one for each node_id) added or put in place of their namesakes."""
     return nodes.join(changes.select("node_id"), "node_id", "left_anti").unionByName(changes, allowMissingColumns=True)

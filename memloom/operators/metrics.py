@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,97 @@ def scene_aggregate(rows: DataFrame, measures: list[str]) -> DataFrame:
     return cube.agg(F.count(F.lit(1)).alias("n"), *[F.round(clean(m), 6).alias(f"avg_{m}") for m in measures])
 
 
-# What a set of group means must show. Name, group, other group (or none), measure, least difference (strict or not).
+def dedup_rate(before: Column, after: Column) -> Column:
+    """The share of rows that deduplication took away."""
+    return F.when(before > 0, F.round(F.greatest(F.lit(0), before - after) / before, 6)).otherwise(F.lit(0.0))
+
+
+def candidate_hit_rate(candidates: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, cand_hit_rate): the share of relevant memories among the candidates; 0 without any."""
+    r = relevant.select("query_id", "memory_id").distinct()
+    found = candidates.select("query_id", "memory_id").distinct().withColumn("_h", F.lit(1.0))
+    per = r.join(found, ["query_id", "memory_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("_h", F.lit(0.0))).alias("cand_hit_rate"))
+    return queries.select("query_id").join(per, "query_id", "left").fillna(0.0, ["cand_hit_rate"])
+
+
+# The measures of an episode that a group's summary averages, those it also averages over the
+# episodes with several relevant sources, and the places they are rounded to.
+MEASURES = (
+    "recall_kept", "ceiling", "recall_norm", "cand_hit_rate", "mrr", "ndcg_at_k", "source_hit_rate", "multi_source_ratio",
+    "cross_source_relevance", "dedup_rate", "candidate_count", "scope_size", "kept", "injected_tokens", "llm_calls", "embed_calls_miss", "latency_ms",
+)
+MULTI = ("multi_source_ratio", "recall_kept", "source_hit_rate")
+PLACES = 4
+
+
+def summarise(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A group's summary: n_episodes, n_multi_source_episodes, avg_<measure>, avg_<measure>_multi, p50 and p90 of
+    the latency, n_relevant_mean and n_sources_mean. Rows hold MEASURES (absent ones are left out of the
+    result), n_relevant, n_sources and n_relevant_sources; nulls and NaN are left out of a mean, which is 0
+    without values but for source_hit_rate, where it is null."""
+    has = [m for m in MEASURES if m in rows.columns]
+    value = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
+    mean = lambda x, m: F.avg(x) if m == "source_hit_rate" else F.coalesce(F.avg(x), F.lit(0.0))
+    multi = F.col("n_relevant_sources") >= 2
+    out = [F.count(F.lit(1)).alias("n_episodes"), F.count_if(multi).alias("n_multi_source_episodes")]
+    out += [F.round(mean(value(m), m), PLACES).alias(f"avg_{m}") for m in has]
+    out += [F.round(F.coalesce(F.avg(F.when(multi, value(m))), F.lit(0.0)), PLACES).alias(f"avg_{m}_multi") for m in MULTI if m in has]
+    if "latency_ms" in has:
+        out += [F.round(F.percentile("latency_ms", F.lit(q)), 2).alias(f"p{int(100 * q)}_latency_ms") for q in (0.5, 0.9)]
+    out += [F.round(F.avg(c), PLACES).alias(f"{c}_mean") for c in ("n_relevant", "n_sources") if c in rows.columns]
+    return rows.groupBy(*keys).agg(*out)
+
+
+# What the groups' summaries must show. Name, group, other group (or none), measure, bound, how
+# the difference compares with it, and whether it is rounded to PLACES before.
 CRITERIA = (
-    ("structure_recall", "graph_g4", "graph_g2", "recall", 0.0, True),
-    ("structure_source_hit", "graph_g4", "graph_g2", "source_hit", 0.0, True),
-    ("attribution_recall_norm", "graph_g4", "graph_g1", "recall_norm", 0.05, False),
-    ("source_selection_hit", "graph_g4", "graph_g3", "source_hit", 0.08, False),
-    ("scheduling_recall", "graph_g1", "graph_g0", "recall", 0.0, True),
-    ("multi_source", "graph_g4", None, "multi_source_ratio", 0.3, True),
+    ("structure_recall", "graph_g4", "graph_g2", "avg_recall_kept", 0.0, ">", False),
+    ("structure_source_hit", "graph_g4", "graph_g2", "avg_source_hit_rate", 0.0, ">", False),
+    ("attribution_recall_norm", "graph_g4", "graph_g1", "avg_recall_norm", 0.05, ">=", True),
+    ("source_selection_hit", "graph_g4", "graph_g3", "avg_source_hit_rate", 0.08, ">=", True),
+    ("scheduling_recall", "graph_g1", "graph_g0", "avg_recall_kept", 0.0, ">", True),
+    ("speed_p90", "graph_g4", None, "p90_latency_ms", 1000.0, "<", False),
+    ("multi_source", "graph_g4", None, "avg_multi_source_ratio_multi", 0.3, ">", False),
 )
 
 
-def judge(means: DataFrame) -> DataFrame:
-    """(criterion, value, pass) from means(group, avg_<measure>); nulls where a group is missing."""
-    out = None
-    for name, g, other, measure, least, strict in CRITERIA:
-        pick = lambda x: F.max(F.when(F.col("group") == x, F.col(f"avg_{measure}")))  # noqa: E731, B023
-        row = means.agg((pick(g) - (pick(other) if other else F.lit(0.0))).alias("_v")).select(F.lit(name).alias("criterion"), F.round("_v", 4).alias("value"), ((F.col("_v") > least) if strict else (F.col("_v") >= least)).alias("pass"))
-        out = row if out is None else out.union(row)
-    return out
+def judge(summaries: DataFrame) -> DataFrame:
+    """(criterion, value, pass) from summaries(group, ...) as summarise gives them; nulls where a group or a
+    measure is missing. One aggregate over the summaries."""
+    name, diffs = [], []
+    for criterion, g, other, measure, *_ in CRITERIA:
+        pick = lambda x, m=measure: F.max(F.when(F.col("group") == x, F.col(m)))
+        diffs.append((pick(g) - pick(other) if other else pick(g)).cast("double").alias(criterion))
+        name.append(criterion)
+    long = summaries.agg(*diffs).unpivot([], name, "criterion", "raw")
+    passed = F.lit(None).cast("boolean")
+    for criterion, _, _, _, bound, how, first in CRITERIA:
+        v = F.round("raw", PLACES) if first else F.col("raw")
+        passed = F.when(F.col("criterion") == criterion, {">": v > bound, ">=": v >= bound, "<": v < bound}[how]).otherwise(passed)
+    return long.select("criterion", F.round("raw", PLACES).alias("value"), passed.alias("pass"))
+
+
+def flat_metrics(kept: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, recall, precision, rank) of flat episodes: recall is 1 only if every relevant memory is kept;
+    rank is that of the first relevant one, null without."""
+    need = relevant.select("query_id", "memory_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
+    per = judged(kept, relevant).groupBy("query_id").agg(F.sum("hit").alias("_hit"), F.avg("hit").alias("precision"), F.min(F.when(F.col("hit") == 1, F.col("pick_rank"))).alias("rank"))
+    out = queries.select("query_id").join(need, "query_id", "left").join(per, "query_id", "left")
+    all_in = F.when(F.col("_need") > 0, F.when(F.coalesce("_hit", F.lit(0)) >= F.col("_need"), 1.0).otherwise(0.0)).otherwise(F.lit(0.0))
+    return out.select("query_id", all_in.alias("recall"), F.coalesce("precision", F.lit(0.0)).alias("precision"), "rank")
+
+
+def flat_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of flat metrics by keys; the mean rank is over episodes that have one."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("recall", "precision", "rank")])
+
+
+def episode_diagnosis(selected: DataFrame, relevant: DataFrame) -> DataFrame:
+    """One row for each candidate of selected (a selector's result with bar): its scores, whether it is
+    relevant and kept, and by how much it clears the bar."""
+    r = relevant.select("query_id", "memory_id").distinct().withColumn("relevant", F.lit(True))
+    out = selected.join(r, ["query_id", "memory_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    return out.withColumn("margin", F.round(F.col("final") - F.col("bar"), 6))
 
 
 def stars(p: Column) -> Column:
@@ -109,15 +182,23 @@ def paired_stats(diffs: DataFrame) -> DataFrame:
 
 
 def bootstrap(diffs: list[float], n_boot: int = N_BOOT, seed: int = SEED) -> tuple[float, float, float]:
-    """(low, high, two-sided p) of the mean of paired differences, by the seeded standard generator."""
-    n = len(diffs)
-    if n < 2:
-        mean = diffs[0] if diffs else 0.0
-        return mean, mean, 1.0
-    rng = random.Random(seed)
-    means = sorted(sum(diffs[rng.randrange(n)] for _ in range(n)) / n for _ in range(n_boot))
-    below, above = sum(m <= 0 for m in means), sum(m >= 0 for m in means)
-    return means[int(0.025 * n_boot)], means[min(n_boot - 1, int(0.975 * n_boot))], min(1.0, 2 * min(below, above) / n_boot)
+    """(low, high, two-sided p) of the mean of paired differences: the 2.5 and 97.5 % order statistics of
+    resampled means, and twice the smaller share of them on either side of zero. The draws are those of the
+    standard generator; drawn row by row, added up place by place."""
+    x = np.asarray(diffs, float)
+    if x.size < 2:
+        only = float(x.sum())
+        return only, only, 1.0
+    draw = random.Random(seed).randrange
+    picks = np.fromiter((draw(x.size) for _ in range(n_boot * x.size)), np.int64).reshape(n_boot, x.size)
+    total = np.zeros(n_boot)
+    for place in picks.T:
+        total += x[place]
+    means = np.sort(total / x.size)
+    up_to_zero, below_zero = np.searchsorted(means, 0.0, "right"), np.searchsorted(means, 0.0, "left")
+    tail = min(up_to_zero, n_boot - below_zero)
+    low, high = means[[int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot))]]
+    return float(low), float(high), min(1.0, float(2 * tail / n_boot))
 
 
 def paired_bootstrap(diffs: DataFrame, keys: list[str], n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:

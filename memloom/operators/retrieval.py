@@ -6,16 +6,24 @@ or q_emb. Every retriever keeps the k best by (score descending, seq), and adds
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalise
+from ..tables import checked_broadcast, materialize
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Ranking keys are rounded, so that the order of additions cannot swap near ties.
 DIGITS = 9
+#: Vectors of a block: one matrix product compares a block of queries with a block of memories.
+QUERY_BLOCK, POOL_BLOCK = 1024, 4096
 
 
 def top_k(df: DataFrame, k: int | None, score: str, key: str = "query_id", tie: str = "seq", rank: str = "rank") -> DataFrame:
@@ -25,10 +33,15 @@ def top_k(df: DataFrame, k: int | None, score: str, key: str = "query_id", tie:
     return ranked.filter(F.col(rank) <= k) if k else ranked
 
 
+def _itself(queries: DataFrame) -> bool:
+    """Whether the queries are memories of the pool, which each leaves itself out of."""
+    return "cur_node" in queries.columns
+
+
 def pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Each query with each other memory; the query set goes to the pool's tasks."""
-    joined = pool.join(F.broadcast(queries))
-    return joined.filter(F.col("memory_id") != F.col("query_id")) if "cur_node" in queries.columns else joined
+    """Each query with each other memory; a query set seen to be small goes to the pool's tasks."""
+    joined = pool.join(checked_broadcast(queries))
+    return joined.filter(F.col("memory_id") != F.col("query_id")) if _itself(queries) else joined
 
 
 def retrieve_full(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
@@ -48,49 +61,126 @@ def with_cosine(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
 
 
-def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None) -> DataFrame:
-    """By cosine; missing and zero vectors score 0."""
-    return top_k(with_cosine(queries, pool), k, "cos").withColumn("vector_score", F.col("cos"))
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Half away from zero, as SQL rounds."""
+    return np.copysign(np.floor(np.abs(x) * 10**DIGITS + 0.5) / 10**DIGITS, x) + 0.0
+
+
+def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (<tag>_ids, <tag>_<more>..., <tag>_dim, <tag>_m) of up to `size` vectors at unit length, packed where
+    they are. Missing, zero and odd-sized vectors are zero vectors."""
+    kinds = dict(zip(df.columns, (f.dataType for f in df.schema), strict=True))
+    lists = [(f"{tag}_ids", ident), *[(f"{tag}_{m}", m) for m in more]]
+    schema = T.StructType([T.StructField(n, T.ArrayType(kinds[c])) for n, c in lists] + [T.StructField(f"{tag}_dim", T.IntegerType()), T.StructField(f"{tag}_m", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                vectors = part.column(len(lists)).to_pylist()
+                dim = max((len(v) for v in vectors if v is not None), default=0)
+                m = np.zeros((len(vectors), dim))
+                for i, v in enumerate(vectors):
+                    if v is not None and len(v) == dim and None not in v:
+                        m[i] = v
+                length = np.linalg.norm(m, axis=1, keepdims=True)
+                m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+                cols = [pa.array([part.column(i).to_pylist()], pa.list_(part.column(i).type)) for i in range(len(lists))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=schema.names)
+
+    return df.select(*[c for _, c in lists], vec).mapInArrow(run, schema)
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(query_id, memory_id, seq, cos, rank): the k memories most similar to each query, exactly.
+
+    Blocks of queries meet blocks of memories, each pair in one matrix product that keeps k rows a query;
+    the queries' blocks are broadcast if seen to be few.
+    """
+    q = blocks(queries, "query_id", "q_emb", QUERY_BLOCK, "q")
+    m = blocks(pool, "memory_id", "emb", POOL_BLOCK, "m", ("seq",))
+    keep = k + 1 if _itself(queries) else k  # one more, as a query leaves itself out
+    kinds = [dict(zip(d.columns, (f.dataType for f in d.schema), strict=True))[c] for d, c in ((queries, "query_id"), (pool, "memory_id"), (pool, "seq"))]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "memory_id", "seq"), kinds, strict=True)] + [T.StructField("cos", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = b.slice(r, 1).to_pylist()[0]
+                n_q, n_m = len(row["q_ids"]), len(row["m_ids"])
+                a, c = (np.frombuffer(row[f"{t}_m"]).reshape(n, -1) for t, n in (("q", n_q), ("m", n_m)))
+                cos = _rounded(a @ c.T) if row["q_dim"] == row["m_dim"] else np.zeros((n_q, n_m))
+                seq = np.asarray(row["m_seq"])
+                at = [[], []]
+                for i in range(n_q):
+                    s = cos[i]
+                    some = np.flatnonzero(s >= np.partition(s, n_m - keep)[n_m - keep]) if n_m > keep else np.arange(n_m)
+                    best = some[np.lexsort((seq[some], -s[some]))[:keep]]
+                    at[0] += [i] * len(best)
+                    at[1] += best.tolist()
+                cols = [[row["q_ids"][i] for i in at[0]], [row["m_ids"][j] for j in at[1]], seq[at[1]].tolist(), cos[at[0], at[1]].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (b.schema.field("q_ids").type.value_type, b.schema.field("m_ids").type.value_type, b.schema.field("m_seq").type.value_type, pa.float64()), strict=True)], names=schema.names)
+
+    found = m.crossJoin(checked_broadcast(q, QUERY_BLOCK)).mapInArrow(run, schema)
+    found = found.filter(F.col("memory_id") != F.col("query_id")) if _itself(queries) else found
+    return top_k(found, k, "cos")
+
+
+def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None, parity: bool = False) -> DataFrame:
+    """By cosine; missing and zero vectors score 0. Queries without a q_emb column are ranked by the pool's
+    stored vector_score. parity takes the k best of the whole pool before a column `visible` filters them, as
+    the original does; otherwise what is not visible does not compete."""
+    if "q_emb" not in queries.columns:
+        return top_k(pairs(queries, pool).withColumn("cos", F.coalesce("vector_score", F.lit(0.0))), k, "cos")
+    if "visible" in pool.columns and not parity:
+        pool = pool.filter("visible")
+    if k is None:
+        out = top_k(with_cosine(queries, pool), k, "cos")
+    else:
+        hits = materialize(nearest(queries, pool, k))  # k rows a query
+        out = pool.drop("seq").join(checked_broadcast(hits), "memory_id").join(checked_broadcast(queries), "query_id")
+    if "visible" in pool.columns and parity:
+        out = out.filter("visible")
+    return out.withColumn("vector_score", F.col("cos"))
 
 
 def bm25_matches(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """(query_id, memory_id, bm25_score) of the pairs that share a token.
+    """(query_id, memory_id, seq, bm25_score) of the pairs that share a token.
 
-    Postings are counted within their documents and kept for the queries' tokens before they meet the
-    queries; the counts are persisted (memory, then disk), as lengths, frequencies and hits read them.
+    Lengths are taken in the row, and only tokens that some query asks for leave it, counted; a row without
+    a token stands for each document's length. So one pass over the texts serves lengths, frequencies and
+    hits, and what moves is the postings of the queries' words.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("token"))
-    # one pass over the texts: runs of tokens are counted before anything moves, and a row without a
-    # token of its own carries each document's length
-    docs = pool.select("memory_id", tokens(F.col("text")).alias("toks"))
-    counted = docs.select("memory_id", F.explode(F.concat(F.array(F.lit("")), F.col("toks"))).alias("token")).groupBy("memory_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
-    tf = counted.filter("token != ''")
-    lengths = counted.groupBy("memory_id").agg((F.sum("tf") - 1).alias("doc_len"))
-    scale = lengths.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("doc_len"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    asked = words.select("token").distinct()
-    tf = tf.join(asked, "token", "left_semi")
+    asked = words.select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    docs = pool.select("memory_id", "seq", tokens(F.col("text")).alias("toks")).select("memory_id", "seq", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "toks")).alias("token"))
+    posted = docs.join(checked_broadcast(asked), "token", "left_semi").groupBy("memory_id", "seq", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    posted = posted.persist(StorageLevel.MEMORY_AND_DISK)
+    scale = posted.filter("token = ''").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    tf = posted.filter("token != ''")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(words, "token").join(df, "token").join(lengths, "memory_id").join(F.broadcast(scale))  # one row
-    part = F.ln(1 + F.col("n") / (1 + F.col("df"))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    return hits.groupBy("query_id", "memory_id").agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
+    hits = tf.join(words.join(df, "token"), "token").join(F.broadcast(scale))  # one row
+    part = F.ln(1 + F.col("n") / (1 + F.col("df"))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("query_id", "memory_id", "seq").agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
 
 
 def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """By BM25 over the visible pool. Where fewer than k share a token, memories without one follow in
     the pool's order: they lie among the pool's first 2k + 1, so no other zero scores are formed."""
-    hits = bm25_matches(queries, pool).join(pool.select("memory_id", "seq"), "memory_id").persist(StorageLevel.MEMORY_AND_DISK)
+    keep = k + 1 if _itself(queries) else k
+    best = top_k(bm25_matches(queries, pool), keep, "bm25_score").drop("rank")
     head = pool.orderBy("seq").limit(2 * k + 1).select("memory_id", "seq")
-    rest = pairs(queries, head).select("query_id", "memory_id", "seq").join(hits, ["query_id", "memory_id"], "left_anti")
-    every = hits.select("query_id", "memory_id", "seq", "bm25_score").unionByName(rest.withColumn("bm25_score", F.lit(0.0)))
-    if "cur_node" in queries.columns:
+    rest = pairs(queries, head).select("query_id", "memory_id", "seq", F.lit(0.0).alias("bm25_score"))
+    # a memory of the head that is a hit stands in both; its hit counts, or lies behind the k best anyway
+    every = best.unionByName(rest).groupBy("query_id", "memory_id", "seq").agg(F.max("bm25_score").alias("bm25_score"))
+    if _itself(queries):
         every = every.filter("query_id != memory_id")
     return top_k(every, k, "bm25_score")
 
 
 def retrieve_rrf(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """Reciprocal rank fusion of the whole BM25 and vector rankings."""
-    hits = bm25_matches(queries, pool)
+    hits = bm25_matches(queries, pool).drop("seq")
     both = with_cosine(queries, pool).join(hits, ["query_id", "memory_id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     ranked = top_k(top_k(both, None, "cos", rank="vector_rank"), None, "bm25_score", rank="bm25_rank")
     fused = ranked.withColumn("rrf_score", F.round(1.0 / (RRF + F.col("bm25_rank")) + 1.0 / (RRF + F.col("vector_rank")), 12))
@@ -105,24 +195,46 @@ def isolated(pool: DataFrame, user_id=None, session_id=None) -> DataFrame:
     return pool
 
 
-def scoped(queries: DataFrame, pool: DataFrame, sources: DataFrame, fallback_all: bool = True) -> DataFrame:
-    """Pairs of queries and the memories of their sources(query_id, node_id); a query whose sources own
-    no memory sees the whole pool if fallback_all."""
+def get(pool: DataFrame, memory_id) -> DataFrame:
+    """The row of one memory."""
+    return pool.filter(F.col("memory_id") == memory_id)
+
+
+def put(pool: DataFrame, changes: DataFrame) -> DataFrame:
+    """pool with changes (whole rows, one for each memory_id) added or put in place of their namesakes."""
+    return pool.join(changes.select("memory_id"), "memory_id", "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def remove(pool: DataFrame, gone: DataFrame) -> DataFrame:
+    """pool without the memories of gone(memory_id)."""
+    return pool.join(gone.select("memory_id").distinct(), "memory_id", "left_anti")
+
+
+def indexed(pool: DataFrame) -> DataFrame:
+    """The memories that vector search may return: those with a vector that is not zero."""
+    return pool.filter(F.exists("emb", lambda x: x != 0))
+
+
+def in_scope(queries: DataFrame, pool: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pairs of queries and all memories of their sources(query_id, node_id), plus cos."""
     own = sources.select("query_id", F.col("node_id").alias("owner_node")).distinct()
-    owners = pool.select("owner_node").distinct()
-    usable = own.join(F.broadcast(owners), "owner_node", "left_semi")
-    seen = pool.join(F.broadcast(usable), "owner_node").join(F.broadcast(queries), "query_id")
-    if fallback_all:
-        lost = queries.join(usable.select("query_id").distinct(), "query_id", "left_anti")
-        seen = seen.unionByName(pool.join(F.broadcast(lost)))
-    return seen.filter(F.col("memory_id") != F.col("query_id"))
-
-
-def scoped_recall(queries: DataFrame, pool: DataFrame, sources: DataFrame, k: int, fallback_all: bool = True) -> DataFrame:
-    """The k most similar memories within each query's scope."""
-    rows = scoped(unit(queries, "q_emb", "_q"), unit(pool, "emb", "_m"), sources, fallback_all)
-    rows = rows.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
-    return top_k(rows, k, "cos").withColumn("vector_score", F.col("cos"))
+    rows = unit(pool, "emb", "_m").join(checked_broadcast(own), "owner_node").join(checked_broadcast(unit(queries, "q_emb", "_q")), "query_id")
+    rows = rows.filter(F.col("memory_id") != F.col("query_id"))
+    return rows.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
+
+
+def scoped_recall(queries: DataFrame, pool: DataFrame, sources: DataFrame, k: int, fallback_all: bool = True, include_self: bool = False) -> DataFrame:
+    """The k most similar memories within each query's scope: those of its sources, with include_self also of its
+    own node. A query whose scope holds no memory searches the whole pool if fallback_all."""
+    scope = sources.select("query_id", "node_id")
+    if include_self:
+        scope = scope.unionByName(queries.select("query_id", F.col("cur_node").alias("node_id")))
+    usable = scope.join(pool.select(F.col("owner_node").alias("node_id")).distinct(), "node_id", "left_semi")
+    rows = top_k(in_scope(queries, pool, usable), k, "cos").withColumn("vector_score", F.col("cos"))
+    if not fallback_all:
+        return rows
+    lost = materialize(queries.join(usable.select("query_id").distinct(), "query_id", "left_anti"))
+    return rows.unionByName(retrieve_vector(lost, pool, k)) if lost.limit(1).count() else rows
 
 
 RETRIEVERS = {"full": retrieve_full, "bm25": retrieve_bm25, "vector": retrieve_vector, "rrf": retrieve_rrf, "reme": retrieve_full}

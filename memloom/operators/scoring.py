@@ -103,7 +103,7 @@ def add_source_bonus(df: DataFrame, sources: DataFrame, mu: float = 0.2) -> Data
     if mu <= 0:
         return df.withColumn("source_bonus", F.lit(0.0))
     s = sources.select("query_id", F.col("node_id").alias("owner_node"), F.col("src_score").alias("_s"))
-    out = df.join(F.broadcast(s), ["query_id", "owner_node"], "left").withColumn("source_bonus", mu * F.coalesce("_s", F.lit(0.0)))
+    out = df.join(s, ["query_id", "owner_node"], "left").withColumn("source_bonus", mu * F.coalesce("_s", F.lit(0.0)))
     return out.withColumn("final", F.col("final") + F.col("source_bonus")).drop("_s")
 
 

@@ -86,4 +86,20 @@ def shared_pool(arrivals: DataFrame, cap: int = MAX_SHARED, pool: str = "pool",
     return arrivals.withColumn("pool_rank", F.row_number().over(order).cast("long")).filter(F.col("pool_rank") <= cap)
 
 
+def dispatch(pool: DataFrame, n: int = TOP_K) -> DataFrame:
+    """The first n items of each shared pool."""
+    return pool.filter(F.col("pool_rank") <= n)
+
+
+def bookmark(pool: DataFrame, n: int = TOP_K) -> DataFrame:
+    """(pool, bookmark): for each pool a struct of its size, its best score and its first n memories."""
+    top = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pool_rank", "memory_id"))), lambda x: x["memory_id"]), 1, n)  # a pool is bounded
+    return pool.groupBy("pool").agg(F.struct(F.count(F.lit(1)).alias("size"), F.max("score").alias("best"), top.alias("memories")).alias("bookmark"))
+
+
+def table_view(df: DataFrame, order: str, n: int = 20, tie: str = "memory_id") -> DataFrame:
+    """The first n rows by a column, descending, as a table shows them."""
+    return df.orderBy(F.desc(order), tie).limit(n)
+
+
 SELECTORS = {"full": select_threshold, "topk": select_topk, "recency": select_recency, "cascade": select_cascade, "quota": select_quota}

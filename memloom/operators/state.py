@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TIER_ORDER, TIERS
+from ..tables import checked_broadcast
 
 LATENCY_WINDOW, BUDGET_MS, CACHE_SIZE = 20, 900.0, 512
 
@@ -37,23 +38,25 @@ def latency_window(log: DataFrame, key: str, order: list[str], value: str, size:
     return log.withColumn("_xs", xs).withColumns({"win_n": F.size("_xs").cast("long"), "p50": pct(0.5), "p90": pct(0.9)}).drop("_xs")
 
 
+#: How far a tier moves down and up the order at once, and after how many calm windows it moves up.
+_DOWN, _UP, CALM_WINDOWS = 1, -1, 3
+
+
 def tier_steps(latencies, tier: str = "full", budget: float = BUDGET_MS, size: int = LATENCY_WINDOW):
     """The tier after each latency: down when the window's p90 is over budget, up after three windows in a
     row whose p50 is under 45 % of it; nothing before the window is half full (5 at least)."""
-    seen, low, out = deque(maxlen=size), 0, []
-    for x in latencies:
-        seen.append(x)
-        if len(seen) >= max(5, size // 2):
-            i, p50, p90 = TIER_ORDER.index(tier), *np.percentile(seen, [50, 90])
-            if round(p90, 2) > budget and i < len(TIER_ORDER) - 1:
-                tier, low = TIER_ORDER[i + 1], 0
-            elif round(p50, 2) < 0.45 * budget and i > 0:
-                low += 1
-                if low >= 3:
-                    tier, low = TIER_ORDER[i - 1], 0
-            else:
-                low = 0
-        out.append(tier)
+    x = np.asarray(latencies, float)
+    at, calm, out = TIER_ORDER.index(tier), 0, []
+    for n in range(1, len(x) + 1):
+        window = x[max(0, n - size) : n]
+        if len(window) >= max(5, size // 2):
+            p50, p90 = np.round(np.percentile(window, (50, 90)), 2)
+            last = at == len(TIER_ORDER) - 1
+            load = "high" if p90 > budget and not last else "low" if p50 < 0.45 * budget and at else "even"
+            calm = calm + 1 if load == "low" else 0
+            move = {"high": _DOWN, "low": _UP if calm == CALM_WINDOWS else 0, "even": 0}[load]
+            at, calm = at + move, 0 if move else calm
+        out.append(TIER_ORDER[at])
     return out
 
 
@@ -106,7 +109,7 @@ def prior_gate(tier: Column, cached: Column, calls: Column, n_candidates: Column
 
 def visible(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs in which the memory was written before the query."""
-    return memories.join(F.broadcast(queries), F.col("ts") < F.col("query_ts"))
+    return memories.join(checked_broadcast(queries), F.col("ts") < F.col("query_ts"))
 
 
 def round_ids(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

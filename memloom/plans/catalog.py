@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -11,10 +13,13 @@ from ..operators import graph, layout, metrics, retrieval, scoring, selection, s
 from ..schema import DEFAULT_WEIGHTS, DIMS
 from ..sources import canonical as C
 from ..sources import generators as G
+from ..tables import materialize
 from . import presets, schedule, variants
 from .oracles import ORACLES
 
 K, CANDIDATES = 10, 50
+#: Vectors of the tables are independent, so versions are taken to be alike from a low similarity on.
+VERSION_COS = 0.3
 RAW = [f"{d}_score" for d in DIMS]
 
 
@@ -36,11 +41,12 @@ class View:
     edges = property(lambda s: s._once("edges", lambda: C.edges(s.nodes)))
     cand = property(lambda s: s._once("cand", lambda: retrieval.retrieve_vector(s.q, s.mem, CANDIDATES)))
     scored = property(lambda s: s._once("scored", lambda: rounded(scoring.score_full(s.cand))))
+    source_pool = property(lambda s: s._once("source_pool", lambda: rounded(scoring.score_full(retrieval.in_scope(s.folded, s.mem, s.near).withColumn("vector_score", F.col("cos"))))))
     kept = property(lambda s: s._once("kept", lambda: selection.select_topk(s.scored, K).filter("kept")))
     near = property(lambda s: s._once("near", lambda: stage_a.neighbourhood(s.folded, s.nodes, s.edges)))
     folded = property(lambda s: s._once("folded", lambda: stage_a.folded(s.q, s.nodes)))
     sources = property(lambda s: s._once("sources", lambda: stage_a.softmax_weights(stage_a.source_topk(stage_a.source_scores(stage_a.relevance(s.folded, s.nodes, s.near), variance_floor=0.0)))))
-    relevant = property(lambda s: s.mem.select("memory_id", "owner_node").join(F.broadcast(s.q.select("query_id", F.col("cur_node").alias("owner_node"))), "owner_node").filter("memory_id != query_id"))
+    relevant = property(lambda s: s.mem.select("memory_id", "owner_node").join(s.q.select("query_id", F.col("cur_node").alias("owner_node")), "owner_node").filter("memory_id != query_id"))
 
     def table(self, name: str) -> DataFrame:
         return C.table(self.spark, self.dir, name)
@@ -76,7 +82,9 @@ def query(f):
 
 @query
 def schedule_topk(v):
-    return _picks(selection.select_threshold(v.scored, 0.0, K))
+    """The flagship: one schedule of all queries over the whole pool, without a graph."""
+    cfg = presets.SchedulingConfig(retriever="vector", threshold=0.0, max_shared=K, tier="full")
+    return _picks(schedule.schedule(cfg, v.q, v.mem))
 
 
 @query
@@ -177,12 +185,12 @@ def select_recency(v):
 
 @query
 def select_cascade(v):
-    return _picks(selection.select_cascade(v.scored, version_cos=0.75))
+    return _picks(selection.select_cascade(v.scored, version_cos=VERSION_COS))
 
 
 @query
 def version_supersede_antijoin(v):
-    return selection.superseded(v.scored, 0.75).select("query_id", "memory_id")
+    return selection.superseded(v.scored, VERSION_COS).select("query_id", "memory_id")
 
 
 @query
@@ -291,8 +299,7 @@ def graph_stats(v):
 
 @query
 def coarse_links(v):
-    new = v.nodes.filter("node_id >= 5")
-    return six(graph.coarse_links(new, v.nodes), "similarity").select("src", "dst", "similarity", "type")
+    return six(graph.coarse_links(v.nodes, v.nodes), "similarity").select("src", "dst", "similarity", "type")
 
 
 @query
@@ -308,12 +315,8 @@ def summary_due(v):
 @query
 def session_jaccard_edges(v):
     """Links from earlier to later turns of a conversation that share words."""
-    t = v.table("conversations").select("conv_id", "turn", F.array_distinct(tx.tokens(F.col("text"))).alias("toks"))
-    a, b = t.alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
-    union = F.size(F.array_union("a.toks", "b.toks"))
-    jac = F.when(union > 0, F.size(F.array_intersect("a.toks", "b.toks")) / union).otherwise(0.0)
-    return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("src"), F.col("b.turn").alias("dst"), F.round(jac, 6).alias("jaccard")).filter("jaccard >= 0.05")
+    out = G.shared_words(v.table("conversations")).select("conv_id", "src", "dst", F.round("similarity", 6).alias("jaccard"))
+    return out.filter("jaccard >= 0.05")
 
 
 # stage A
@@ -325,6 +328,13 @@ def stage_a_scores(v):
     return six(out, "rel", "src_score").select("query_id", "node_id", "strength", "rel", "lambda_eff", "src_score")
 
 
+@query
+def stage_a_gate(v):
+    """With the production variance floor: relevances that hardly vary leave the strength alone."""
+    out = stage_a.source_scores(stage_a.relevance(v.folded, v.nodes, v.near))
+    return six(out, "src_score").select("query_id", "node_id", "lambda_eff", "src_score")
+
+
 @query
 def stage_a_softmax(v):
     return six(v.sources, "weight").select("query_id", "node_id", "source_rank", "weight")
@@ -418,7 +428,10 @@ def reach_curve(v):
 
 @query
 def rank_histogram(v):
-    return v.cand.groupBy(metrics.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cos"), 6).alias("avg_cos"))
+    """The rank, over the whole pool, of the first memory of each query's own node."""
+    own = retrieval.with_cosine(v.q, v.mem)
+    ranked = retrieval.top_k(own, None, "cos").filter("owner_node = cur_node").groupBy("query_id").agg(F.min("rank").alias("rank"), F.max("cos").alias("cos"))
+    return ranked.groupBy(metrics.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cos"), 6).alias("avg_cos"))
 
 
 @query
@@ -432,10 +445,44 @@ def dim_diagnostics(v):
     return metrics.dim_diagnostics(v.scored, RAW)
 
 
+def _episodes(v):
+    """Metric rows (group, query_id, ...) of the variants as groups g1 to g4, and of writing order alone as g0.
+    Relevant are the five memories most similar to the query among those of its sources."""
+    pool = materialize(v.source_pool.select("query_id", "memory_id", "owner_node", "seq", "cos", "final"))
+    near = materialize(stage_a.relevance(v.folded, v.nodes, v.near))  # some rows a query
+    picked = {f"graph_g{i}": variants.variant(f"G{i}", pool, near) for i in (1, 2, 3, 4)}
+    picked["graph_g0"] = retrieval.top_k(pool.withColumn("_s", F.lit(0)), K, "_s").drop("_s", "rank")
+    chosen = {f"graph_g{i}": variants.chosen(f"G{i}", near) for i in (1, 2, 3, 4)} | {"graph_g0": near.withColumn("src_score", F.lit(0.0))}
+    key = lambda g: F.concat(F.lit(g + ":"), F.col("query_id").cast("string"))
+    every = lambda frames, *cols: functools.reduce(DataFrame.unionByName, [d.select(key(g).alias("key"), F.lit(g).alias("group"), "query_id", *cols) for g, d in frames.items()])
+    kept, sources = every(picked, "memory_id", "owner_node", "final", "seq"), materialize(every(chosen, "node_id", "src_score"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("final"), "seq")).cast("long")
+    kept = materialize(kept.withColumn("pick_rank", rank).withColumn("query_id", F.col("key")).drop("key"))  # K rows a query and group
+    top = retrieval.top_k(pool, 5, "cos").select("query_id", "memory_id", "owner_node")
+    groups = sources.select("group", "query_id", "key").distinct()
+    relevant = materialize(groups.join(top, "query_id").select(F.col("key").alias("query_id"), "memory_id", "owner_node"))
+    cand = sources.select("key", "query_id", F.col("node_id").alias("owner_node")).join(pool.select("query_id", "owner_node", "memory_id"), ["query_id", "owner_node"]).select(F.col("key").alias("query_id"), "memory_id")
+    asked = groups.select(F.col("key").alias("query_id"), "group", F.col("query_id").alias("event_id"))
+    scored = sources.select(F.col("key").alias("query_id"), "node_id", "src_score")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    asked = materialize(asked)
+    out = metrics.ranking_metrics(kept, relevant, K, asked).withColumnsRenamed({"recall": "recall_kept", "ndcg": "ndcg_at_k", "n_kept": "kept"}).drop("precision", "first_rank", "n_hit")
+    for more in (
+        asked, metrics.candidate_hit_rate(cand, relevant, asked), metrics.source_hit_rate(kept, relevant, asked).withColumnRenamed("source_hit", "source_hit_rate"), metrics.multi_source_ratio(kept),
+        metrics.cross_source_relevance(kept, scored), count(cand, "candidate_count"), count(scored, "n_sources"), count(relevant.select("query_id", "owner_node").distinct(), "n_relevant_sources"),
+    ):
+        out = out.join(more, "query_id", "left")
+    return out.join(v.table("events").select("event_id", F.col("value").alias("latency_ms")), "event_id")
+
+
+@query
+def group_summary(v):
+    return metrics.summarise(_episodes(v), ["group"])
+
+
 @query
 def judge(v):
-    rows = v.kept.groupBy(F.concat(F.lit("graph_g"), F.col("owner_node") % 5).alias("group")).agg(F.round(F.avg("final"), 6).alias("avg_recall"), F.round(F.avg("cos"), 6).alias("avg_source_hit"), F.round(F.avg("task_score"), 6).alias("avg_recall_norm"), F.round(F.max("final"), 6).alias("avg_multi_source_ratio"))
-    return metrics.judge(rows)
+    return metrics.judge(metrics.summarise(_episodes(v), ["group"]))
 
 
 @query
@@ -566,7 +613,7 @@ def ablation_groups(v):
 def _variant(name):
     def run(v):
         near = stage_a.relevance(v.folded, v.nodes, v.near)
-        return six(variants.variant(name, v.scored, near), "final").select("query_id", "memory_id", "final")
+        return six(variants.variant(name, v.source_pool, near), "final").select("query_id", "memory_id", "final")
 
     run.__name__ = f"variant_{name.lower()}"
     return query(run)
@@ -593,12 +640,12 @@ def generate_flat(v):
 
 @query
 def generate_graph(v):
-    tables = {"nodes": G.graph_nodes, "edges": G.graph_edges, "memories": G.graph_memories, "episodes": G.graph_queries}
-    out = None
-    for name, make in tables.items():
-        n = make(v.spark).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
-        out = n if out is None else out.union(n)
-    return out
+    """The generated set by node: its memories by kind, its links and its episodes."""
+    kinds = ["core", *G.KINDS]
+    m = G.graph_memories(v.spark).groupBy(F.col("owner_node").alias("node_id")).pivot("kind", kinds).count().fillna(0, kinds)
+    out = G.graph_nodes(v.spark).select("node_id").join(m, "node_id", "left").join(graph.degrees(G.graph_edges(v.spark)), "node_id", "left")
+    e = G.graph_queries(v.spark).groupBy(F.col("cur_node").alias("node_id")).agg(F.count(F.lit(1)).alias("episodes"))
+    return out.join(e, "node_id", "left").fillna(0, ["out_degree", "in_degree", "episodes"])
 
 
 @query
@@ -621,4 +668,6 @@ def status_report(v):
     return n.join(graph.degrees(v.edges), "node_id", "left").fillna(0, ["out_degree", "in_degree"])
 
 
+from . import maintenance  # noqa: E402, F401  registers its queries here
+
 __all__ = ["ORACLES", "QUERIES"]

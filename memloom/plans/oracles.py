@@ -99,7 +99,7 @@ def picks(order: str, k: int, source: str = "scored", where: str = "true") -> st
 
 
 BAR = "SELECT *, round(greatest({t}, avg(final) OVER w - 0.5 * coalesce(stddev_samp(final) OVER w, 0)), 9) AS bar, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, seq) AS pick_rank FROM scored WINDOW w AS (PARTITION BY query_id)"
-OLD = "SELECT m.query_id, m.memory_id FROM scored m WHERE EXISTS (SELECT 1 FROM scored o WHERE o.query_id = m.query_id AND o.ts > m.ts AND round(list_cosine_similarity(m.emb, o.emb), 9) >= 0.75)"
+OLD = "SELECT m.query_id, m.memory_id FROM scored m WHERE EXISTS (SELECT 1 FROM scored o WHERE o.query_id = m.query_id AND o.ts > m.ts AND round(list_cosine_similarity(m.emb, o.emb), 9) >= 0.3)"
 WALK = "walk(a, b, hops) AS (SELECT n, n, 0 FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) UNION ALL SELECT w.a, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.b = e.src WHERE w.hops < 64)"
 LEVEL = "walk(node_id, level) AS (SELECT n, 0 FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE n NOT IN (SELECT dst FROM edges) UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN edges e ON w.node_id = e.src)"
 BASE = "CASE type WHEN 'derives_from' THEN 0.9 WHEN 'depends_on' THEN 0.8 WHEN 'references' THEN 0.5 ELSE 0.3 END"
@@ -114,13 +114,106 @@ FACT = """SELECT e.*, CASE WHEN similarity = 0 THEN 0.5 ELSE (similarity + 1) /
     coalesce(len(list_intersect(coalesce(so.o, []), coalesce(dd.o, []))) / nullif(len(list_distinct(list_concat(coalesce(so.o, []), coalesce(dd.o, [])))), 0), 0) AS f_struct, 1 - exp(-0.3 * interactions) AS f_interact
     FROM edges e JOIN nodes s ON s.node_id = e.src JOIN nodes d ON d.node_id = e.dst LEFT JOIN outs so ON so.src = e.src LEFT JOIN outs dd ON dd.src = e.dst, tau"""
 LEXQ = "(SELECT item_id AS query_id, text AS q_text FROM benchmark)"
-JUDGE = """SELECT 'graph_g' || (owner_node % 5) AS g, round(avg(final), 6) AS recall, round(avg(cos), 6) AS source_hit, round(avg(task_score), 6) AS recall_norm, round(max(final), 6) AS msr FROM kept GROUP BY 1"""
+WEIGHTED = "0.25 * exp(-0.01 * greatest(0, ({now} - ts) / 3600)) + 0.28 * cos + 0.15 * (1 - exp(-0.1 * access_count)) + 0.25 * CASE WHEN q_task IS NULL OR task_tag IS NULL THEN 0.5 WHEN q_task = task_tag THEN 1.0 ELSE 0.3 END"
+VPOOL = f"SELECT sim.*, round({WEIGHTED.format(now='now')}, 9) AS final FROM sim JOIN near ON near.query_id = sim.query_id AND near.node_id = sim.owner_node"
+VRANK = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, node_id) AS source_rank, count(*) OVER (PARTITION BY query_id) AS n, 0.7 * strength + (1 - 0.7) * rel AS sc FROM rels"
+VSOFT = "SELECT *, e / sum(e) OVER (PARTITION BY query_id) AS weight FROM (SELECT *, exp(sc / 0.5 - max(sc / 0.5) OVER (PARTITION BY query_id)) AS e FROM vrank WHERE source_rank <= 3)"
+
+
+def _moved(rows: str, units: str, order: str) -> str:
+    """rows(query_id, node_id, source_rank, q, gap) with the first |gap| units of each query dealt."""
+    return f"""(WITH g AS ({rows}), u AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r, gap FROM (SELECT *, unnest({units}) AS t FROM g)),
+        m AS (SELECT query_id, node_id, count(*) AS moved FROM u WHERE r <= abs(gap) GROUP BY 1, 2)
+        SELECT g.*, q + sign(gap) * coalesce(moved, 0) AS quota FROM g LEFT JOIN m USING (query_id, node_id))"""
+
+
+def by_rounds(sources: str, k: int, weight: str = "weight") -> str:
+    """Rounded shares; what is over or short goes round by round, the largest first, none below 1."""
+    rows = f"SELECT *, (greatest({k}, c) - sum(q) OVER (PARTITION BY query_id))::BIGINT AS gap FROM (SELECT *, greatest(1, round_even(greatest({k}, c) * {weight}, 0))::BIGINT AS q FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS c FROM {sources}))"
+    return _moved(rows, "CASE WHEN gap < 0 THEN range(q - 1) ELSE range(gap) END", "t, q DESC, source_rank")
+
+
+def by_level(sources: str, k: int, weight: str) -> str:
+    """Rounded shares scaled back to k; one by one the largest gives or the smallest takes."""
+    rows = f"SELECT *, ({k} - sum(q) OVER (PARTITION BY query_id))::BIGINT AS gap FROM (SELECT *, greatest(1, round_even({k} * raw / sum(raw) OVER (PARTITION BY query_id), 0))::BIGINT AS q FROM (SELECT *, greatest(1, round_even({k} * {weight}, 0)) AS raw FROM {sources}))"
+    return _moved(rows, "CASE WHEN gap < 0 THEN range(1, q + 1) ELSE range(gap) END", "CASE WHEN gap < 0 THEN -t ELSE q + t END, source_rank")
+
+
+def _variant(sources: str, order: str, limit: str = "quota") -> str:
+    return f"SELECT query_id, memory_id, owner_node, final, seq FROM (SELECT p.*, s.*, row_number() OVER (PARTITION BY p.query_id, p.owner_node ORDER BY {order}) AS w FROM vpool p JOIN {sources} s ON s.query_id = p.query_id AND s.node_id = p.owner_node) WHERE w <= {limit}"
+
+
+BEST = "final DESC, seq"
+VARIANTS = {
+    "g1": _variant("vrank", "seq", "greatest(10 // n, 1)"),
+    "g2": _variant("(SELECT * FROM vrank WHERE source_rank = 1)", BEST, "10"),
+    "g3": _variant(by_level("(SELECT * FROM vrank WHERE source_rank <= 3)", 10, "1.0"), BEST),
+    "g4": _variant(by_level("vsoft", 10, "weight"), BEST),
+    "g4s": "SELECT query_id, memory_id, owner_node, f AS final, seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, seq) AS w FROM (SELECT p.*, round(p.final + 0.2 * round_even(sc, 4), 9) AS f FROM vpool p JOIN vrank s ON s.query_id = p.query_id AND s.node_id = p.owner_node WHERE source_rank <= 3)) WHERE w <= 10",
+}
+VARIANTS["g4c"] = VARIANTS["g4"]  # quotas add up to 10, so capping the common ranking picks the same
+VPARTS = {"vpool": VPOOL, "vrank": VRANK, "vsoft": VSOFT}
+
+GROUPS = " UNION ALL ".join(
+    [f"SELECT 'graph_{g}' AS g, * FROM ({VARIANTS[g]})" for g in ("g1", "g2", "g3", "g4")]
+    + ["SELECT 'graph_g0', query_id, memory_id, owner_node, final, seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS w FROM vpool) WHERE w <= 10"]
+)
+EPISODES = f"""SELECT e.*, epv.value AS latency_ms FROM (WITH kk AS (SELECT *, row_number() OVER (PARTITION BY g, query_id ORDER BY final DESC, seq) AS pr FROM ({GROUPS})),
+    ss AS (SELECT 'graph_g0' AS g, query_id, node_id, 0.0 AS src_score FROM vrank UNION ALL SELECT 'graph_g1', query_id, node_id, sc FROM vrank
+        UNION ALL SELECT 'graph_g2', query_id, node_id, sc FROM vrank WHERE source_rank = 1 UNION ALL SELECT 'graph_g3', query_id, node_id, sc FROM vrank WHERE source_rank <= 3
+        UNION ALL SELECT 'graph_g4', query_id, node_id, sc FROM vrank WHERE source_rank <= 3),
+    rel5 AS (SELECT query_id, memory_id, owner_node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, seq) AS w FROM vpool) WHERE w <= 5),
+    n1 AS (SELECT query_id, count(*) AS n_relevant, count(DISTINCT owner_node) AS n_relevant_sources FROM rel5 GROUP BY 1),
+    n2 AS (SELECT g, query_id, count(*) AS n_sources FROM ss GROUP BY 1, 2),
+    n3 AS (SELECT kk.g, kk.query_id, count(*) AS kept, count(rel5.memory_id) AS hit, min(pr) FILTER (rel5.memory_id IS NOT NULL) AS first_rank, coalesce(sum(1 / log2(pr + 1)) FILTER (rel5.memory_id IS NOT NULL AND pr <= 10), 0) AS dcg
+        FROM kk LEFT JOIN rel5 USING (query_id, memory_id) GROUP BY 1, 2),
+    n4 AS (SELECT ss.g, ss.query_id, count(*) AS candidate_count, count(rel5.memory_id) AS cand_hit FROM ss JOIN vpool p ON p.query_id = ss.query_id AND p.owner_node = ss.node_id LEFT JOIN rel5 ON rel5.query_id = p.query_id AND rel5.memory_id = p.memory_id GROUP BY 1, 2),
+    n5 AS (SELECT n2.g, n2.query_id, avg(CASE WHEN o.owner_node IS NULL THEN 0.0 ELSE 1.0 END) AS source_hit_rate FROM n2 JOIN (SELECT DISTINCT query_id, owner_node FROM rel5) r ON r.query_id = n2.query_id
+        LEFT JOIN (SELECT DISTINCT g, query_id, owner_node FROM kk) o ON o.g = n2.g AND o.query_id = n2.query_id AND o.owner_node = r.owner_node GROUP BY 1, 2),
+    n6 AS (SELECT g, query_id, 1 - max(c) / sum(c) AS multi_source_ratio FROM (SELECT g, query_id, owner_node, count(*) AS c FROM kk GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    n7 AS (SELECT kk.g, kk.query_id, avg(src_score) AS cross_source_relevance FROM kk JOIN ss ON ss.g = kk.g AND ss.query_id = kk.query_id AND ss.node_id = kk.owner_node GROUP BY 1, 2)
+    SELECT g, query_id, n_relevant, n_relevant_sources, n_sources, kept, candidate_count, hit / n_relevant AS recall_kept, least(1.0, 10 / n_relevant) AS ceiling, hit / n_relevant / least(1.0, 10 / n_relevant) AS recall_norm,
+        cand_hit / n_relevant AS cand_hit_rate, coalesce(1.0 / first_rank, 0) AS mrr, dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= least(n_relevant, kept)) AS ndcg_at_k, source_hit_rate, multi_source_ratio, cross_source_relevance
+    FROM n2 JOIN n1 USING (query_id) LEFT JOIN n3 USING (g, query_id) LEFT JOIN n4 USING (g, query_id) LEFT JOIN n5 USING (g, query_id) LEFT JOIN n6 USING (g, query_id) LEFT JOIN n7 USING (g, query_id)) e JOIN events epv ON epv.event_id = e.query_id"""
+MEAN_OF = ("recall_kept", "ceiling", "recall_norm", "cand_hit_rate", "mrr", "ndcg_at_k", "source_hit_rate", "multi_source_ratio", "cross_source_relevance", "candidate_count", "kept", "latency_ms")
+SUMMARY = (
+    'SELECT g AS "group", count(*) AS n_episodes, count(*) FILTER (n_relevant_sources >= 2) AS n_multi_source_episodes, '
+    + ", ".join(f"round(avg({m}), 4) AS avg_{m}" for m in MEAN_OF) + ", "
+    + ", ".join(f"round(coalesce(avg({m}) FILTER (n_relevant_sources >= 2), 0), 4) AS avg_{m}_multi" for m in ("multi_source_ratio", "recall_kept", "source_hit_rate"))
+    + ", round(quantile_cont(latency_ms, 0.5), 2) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.9), 2) AS p90_latency_ms, round(avg(n_relevant), 4) AS n_relevant_mean, round(avg(n_sources), 4) AS n_sources_mean FROM eps GROUP BY 1"
+)
 
 
 def _judge() -> str:
-    get = lambda g, m: f"(SELECT {m} FROM j WHERE g = '{g}')"
-    rows = [("structure_recall", "graph_g4", "graph_g2", "recall", "> 0"), ("structure_source_hit", "graph_g4", "graph_g2", "source_hit", "> 0"), ("attribution_recall_norm", "graph_g4", "graph_g1", "recall_norm", ">= 0.05"), ("source_selection_hit", "graph_g4", "graph_g3", "source_hit", ">= 0.08"), ("scheduling_recall", "graph_g1", "graph_g0", "recall", "> 0"), ("multi_source", "graph_g4", None, "msr", "> 0.3")]
-    return " UNION ALL ".join(f"SELECT '{n}' AS criterion, round(v, 4) AS value, v {t} AS pass FROM (SELECT {get(g, m)}{' - ' + get(o, m) if o else ''} AS v)" for n, g, o, m, t in rows)
+    get = lambda g, m: f"(SELECT {m} FROM summ WHERE \"group\" = 'graph_{g}')"
+    diff = lambda a, b, m: f"{get(a, m)} - {get(b, m)}"
+    rows = [
+        ("structure_recall", diff("g4", "g2", "avg_recall_kept"), "v > 0"), ("structure_source_hit", diff("g4", "g2", "avg_source_hit_rate"), "v > 0"),
+        ("attribution_recall_norm", diff("g4", "g1", "avg_recall_norm"), "round(v, 4) >= 0.05"), ("source_selection_hit", diff("g4", "g3", "avg_source_hit_rate"), "round(v, 4) >= 0.08"),
+        ("scheduling_recall", diff("g1", "g0", "avg_recall_kept"), "round(v, 4) > 0"), ("speed_p90", get("g4", "p90_latency_ms"), "v < 1000"), ("multi_source", get("g4", "avg_multi_source_ratio_multi"), "v > 0.3"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{n}' AS criterion, round(v, 4) AS value, {t} AS pass FROM (SELECT {x} AS v)" for n, x, t in rows)
+
+
+def graph_sources(lam: float, topk: int) -> str:
+    rank = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src_score DESC, node_id) AS source_rank FROM (SELECT *, round(l * strength + (1 - l) * rel, 9) AS src_score FROM "
+    return f"(SELECT * FROM ({rank}(SELECT *, CASE WHEN coalesce(var_samp(rel) OVER (PARTITION BY query_id), 0) < 0.02 THEN 1.0 ELSE {lam} END AS l FROM rels))) WHERE source_rank <= {topk or 1000})"
+
+
+def graph_schedule(lam: float = 0.7, topk: int = 3, mu: float = 0.2, cap: int = 50, noop: bool = False, now: str = "now") -> str:
+    """Rows (query_id, memory_id, owner_node, node, final, pick_rank) kept by a schedule over sources that takes the best 8."""
+    s = graph_sources(lam, topk)
+    scope = f"SELECT sim.*, s.src_score FROM sim JOIN {s} s ON s.query_id = sim.query_id AND s.node_id = sim.owner_node UNION ALL SELECT sim.*, NULL FROM sim WHERE sim.query_id NOT IN (SELECT query_id FROM rels)"
+    score = "0.25" if noop else WEIGHTED.format(now=now)
+    rows = f"SELECT *, round({score} + {mu} * coalesce(src_score, 0), 9) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, seq) AS cr FROM ({scope})) WHERE cr <= {cap}"
+    return f"SELECT query_id, memory_id, owner_node, final, pick_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, seq) AS pick_rank FROM ({rows})) WHERE pick_rank <= 8"
+
+
+ABLATION = {
+    "graph_g0": graph_schedule(1.0, 0, 0.0, 20, True), "graph_g1": graph_schedule(1.0, 0, 0.2, 20, True), "graph_g2": graph_schedule(0.7, 1, 0.0), "graph_g3": graph_schedule(), "graph_g4": graph_schedule(),
+}
+WARM = f"SELECT owner_node AS src, fq.cur_node AS dst, count(DISTINCT query_id) AS used FROM ({graph_schedule(now='(now - 3600)')}) JOIN fq USING (query_id) WHERE owner_node <> fq.cur_node GROUP BY 1, 2"
+WORLD = f"WITH t AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS k FROM conversations) SELECT a.conv_id, a.turn AS src, b.turn AS dst, len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0) AS s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn"
 
 
 ORACLES = {
@@ -163,10 +256,10 @@ ORACLES = {
     "strength_summary": with_(f"SELECT src, dst, round(greatest(0, least(1, {BASE} * (0.6 + 0.4 * greatest(0, similarity)))), 6)::DOUBLE AS strength FROM edges"),
     "strength_multifactor": with_(f"SELECT src, dst, round(f_topic, 6) AS f_topic, round(f_temporal, 6) AS f_temporal, round(f_struct, 6) AS f_struct, round(f_interact, 6) AS f_interact, round(greatest(0, least(1, 0.5 * {BASE} + 0.5 * (0.6 * f_topic + 0.3 * f_temporal + 0.3 * f_struct + 0.8 * f_interact) / 2.0)), 6) AS strength FROM fact", {"tau": TAU, "outs": OUTS, "fact": FACT}),
     "graph_stats": with_("SELECT n_nodes, count(*) AS n_edges, round(avg(strength), 6)::DOUBLE AS avg_strength, round(coalesce(var_samp(strength), 0), 6) AS var_strength, round(count(*) / n_nodes, 6) AS avg_out_degree FROM edges, (SELECT count(*) AS n_nodes FROM nodes) GROUP BY n_nodes"),
-    "coarse_links": with_("SELECT src, dst, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.85 THEN 'derives_from' WHEN similarity >= 0.72 THEN 'depends_on' WHEN similarity >= 0.58 THEN 'references' ELSE 'similar_to' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY similarity DESC, src) AS r FROM (SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.emb, b.emb), 9) AS similarity FROM nodes a JOIN nodes b ON a.node_id <> b.node_id AND a.root_id <> b.root_id WHERE b.node_id >= 5)) WHERE r <= 4"),
+    "coarse_links": with_("SELECT src, dst, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.85 THEN 'derives_from' WHEN similarity >= 0.72 THEN 'depends_on' WHEN similarity >= 0.58 THEN 'references' ELSE 'similar_to' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY similarity DESC, src) AS r FROM (SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.emb, b.emb), 9) AS similarity FROM nodes a JOIN nodes b ON a.node_id <> b.node_id AND a.root_id <> b.root_id)) WHERE r <= 4"),
     "refine_diff": with_("SELECT src, dst, CASE WHEN interactions < 5 THEN 'removed' ELSE 'added' END AS change FROM edges WHERE (interactions < 5) <> (interactions > 1)"),
     "summary_due": with_("SELECT node_id, CASE WHEN version > 0 THEN n_memories >= 20 ELSE n_memories >= 3 END AS due FROM nodes"),
-    "session_jaccard_edges": f"WITH t AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS k FROM conversations) SELECT * FROM (SELECT a.conv_id, a.turn AS src, b.turn AS dst, round(coalesce(len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0), 0), 6) AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn) WHERE jaccard >= 0.05",
+    "session_jaccard_edges": f"SELECT conv_id, src, dst, round(s, 6) AS jaccard FROM ({WORLD}) WHERE round(s, 6) >= 0.05",
     "stage_a_scores": with_("SELECT query_id, node_id, strength::DOUBLE AS strength, round(rel, 6) AS rel, lambda_eff::DOUBLE AS lambda_eff, round(src_score, 6) AS src_score FROM sa"),
     "stage_a_softmax": with_("SELECT query_id, node_id, source_rank, round(weight, 6) AS weight FROM srcs"),
     "semantic_expansion": with_("SELECT query_id, node_id, round(r, 6) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, node_id) AS p FROM (SELECT fq.query_id, n.node_id, round(list_cosine_similarity(q_emb, emb), 9) AS r FROM fq JOIN nodes n ON n.node_id <> cur_node WHERE (fq.query_id, n.node_id) NOT IN (SELECT (query_id, node_id) FROM near))) WHERE p <= 2"),
@@ -180,10 +273,10 @@ ORACLES = {
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90, round(max(value), 2) AS max, count(*) AS n FROM events GROUP BY 1",
     "paired_difference": f"SELECT count(*) AS n, round(avg(diff), 6) AS delta, round(stddev_samp(diff), 6) AS sd, round(avg(diff) / stddev_samp(diff), 6) AS cohens_d FROM ({PAIRED})",
     "reach_curve": with_("SELECT k::BIGINT AS k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS coverage FROM own, (VALUES (1), (3), (5), (10)) t(k) GROUP BY k", {"own": OWN}),
-    "rank_histogram": with_("SELECT CASE WHEN rank <= 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50' ELSE '>50' END AS bucket, count(*) AS n, round(avg(cos), 6) AS avg_cos FROM cand GROUP BY 1"),
+    "rank_histogram": with_("SELECT CASE WHEN rank <= 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50' ELSE '>50' END AS bucket, count(*) AS n, round(avg(cos), 6) AS avg_cos FROM (SELECT query_id, min(rank) AS rank, max(cos) AS cos FROM vec WHERE owner_node = cur_node GROUP BY 1) GROUP BY 1"),
     "token_savings": f"SELECT source, sum(t)::BIGINT AS trace_tokens, sum(c)::BIGINT AS cost_tokens, round(1 - sum(t) / sum(c), 6) AS saved FROM (SELECT source, len(regexp_extract_all(text, '{CJK}')) + len(regexp_extract_all(text, '[A-Za-z0-9]+')) + greatest(0, length(text) - length(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g'))) // 4 AS t, floor(length(text) / 1.5) AS c FROM documents) GROUP BY 1",
     "dim_diagnostics": with_(" UNION ALL ".join(f"SELECT '{c}' AS dim, round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, count(DISTINCT round({c}, 6)) AS n_unique FROM scored" for c in ("time_score", "semantic_score", "frequency_score", "task_score"))),
-    "judge": with_(_judge(), {"j": JUDGE}),
+    "judge": with_(_judge(), VPARTS | {"eps": EPISODES, "summ": SUMMARY}),
     "log_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "access_counts": "SELECT user_id, count(*) AS access_count FROM events WHERE event_type IN ('view', 'click') GROUP BY 1",
     "interactions": with_("SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT query_id, owner_node AS src, cur_node AS dst FROM kept WHERE owner_node <> cur_node) GROUP BY 1, 2"),
@@ -195,11 +288,23 @@ ORACLES = {
     "reward_map": "SELECT doc_id, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS explicit, 0.0::DOUBLE AS none FROM labels",
     "hybrid_weights": with_("SELECT memory_id, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.0 ELSE 0.25 END + 0.4 * 0.25) / t, 6)::DOUBLE AS time, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.7 ELSE 0.35 END) / t, 6)::DOUBLE AS semantic, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.0 ELSE 0.15 END) / t, 6)::DOUBLE AS frequency, round((0.6 * CASE WHEN task_tag = 'en' THEN 0.3 ELSE 0.25 END + 0.4 * 0.25) / t, 6)::DOUBLE AS task FROM mem, (SELECT 0.8 AS t)"),
     "prior_parse": "SELECT doc_id, round((quality + 1) / t, 6) AS time, round(2 / t, 6) AS semantic, round(1 / t, 6) AS frequency, round(toxic / t, 6) AS task FROM (SELECT *, quality + 1 + 3 + toxic AS t FROM labels)",
-    "variant_g1": with_("SELECT query_id, memory_id, round(final, 6) AS final FROM (SELECT s.query_id, s.memory_id, s.final, row_number() OVER (PARTITION BY s.query_id, owner_node ORDER BY seq) AS w, n FROM scored s JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM near) r ON r.query_id = s.query_id AND r.node_id = s.owner_node) WHERE w <= greatest(10 // n, 1)"),
-    "variant_g2": with_("SELECT query_id, memory_id, round(final, 6) AS final FROM (SELECT s.query_id, s.memory_id, s.final, row_number() OVER (PARTITION BY s.query_id ORDER BY final DESC, seq) AS w FROM scored s JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, node_id) AS r FROM near) r ON r.query_id = s.query_id AND r.node_id = s.owner_node AND r = 1) WHERE w <= 10"),
-    "variant_g4s": with_("SELECT query_id, memory_id, round(f, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, seq) AS w FROM (SELECT s.query_id, s.memory_id, seq, round(final + 0.2 * sc, 9) AS f FROM scored s JOIN (SELECT *, round(0.7 * strength + 0.3 * rel, 9) AS sc, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, node_id) AS r FROM rels) r ON r.query_id = s.query_id AND r.node_id = s.owner_node AND r <= 3)) WHERE w <= 10"),
-    "generate_graph": """SELECT * FROM (VALUES ('nodes', 22::BIGINT), ('edges', 46::BIGINT), ('memories', 490::BIGINT), ('episodes', 50::BIGINT)) t("table", n)""",
-    "conversation_world": f"WITH t AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS k FROM conversations) SELECT conv_id, src, dst, round(s, 6) AS similarity, CASE WHEN s >= 0.85 THEN 'derives_from' WHEN s >= 0.72 THEN 'depends_on' WHEN s >= 0.58 THEN 'references' ELSE 'similar_to' END AS type FROM (SELECT a.conv_id, a.turn AS src, b.turn AS dst, coalesce(len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0), 0) AS s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn) WHERE s > 0",
+    "variant_g1": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g1']})", VPARTS),
+    "variant_g2": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g2']})", VPARTS),
+    "variant_g4s": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g4s']})", VPARTS),
+    "generate_graph": """WITH n AS (SELECT i FROM range(22) t(i)), m AS (SELECT i % 22 AS i, CASE WHEN i < 440 THEN 'core' WHEN i < 452 THEN 'stale' WHEN i < 458 THEN 'cross_task' WHEN i < 476 THEN 'version' WHEN i < 488 THEN 'param' ELSE 'distractor' END AS kind FROM range(490) t(i)),
+        l AS (SELECT s, s + 1 AS d FROM range(21) t(s) UNION ALL SELECT s, s + 2 FROM range(20) t(s) UNION ALL SELECT s, s + 3 FROM range(5) t(s)), e AS (SELECT i % 21 + 1 AS i FROM range(50) t(i))
+        SELECT 'n' || i AS node_id, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'core') AS core, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'stale') AS stale, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'cross_task') AS cross_task, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'version') AS version, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'param') AS param, (SELECT count(*) FROM m WHERE m.i = n.i AND kind = 'distractor') AS distractor,
+        (SELECT count(*) FROM l WHERE s = n.i) AS out_degree, (SELECT count(*) FROM l WHERE d = n.i) AS in_degree, (SELECT count(*) FROM e WHERE e.i = n.i) AS episodes FROM n""",
+    "conversation_world": f"SELECT conv_id, src, dst, round(s, 6) AS similarity, CASE WHEN s >= 0.85 THEN 'derives_from' WHEN s >= 0.72 THEN 'depends_on' WHEN s >= 0.58 THEN 'references' ELSE 'similar_to' END AS type FROM ({WORLD}) WHERE s > 0",
     "pipeline_trace": with_("SELECT * FROM (SELECT query_id, count(*) AS n_candidates, round(max(final), 6) AS best, round(avg(semantic_score), 6) AS avg_semantic FROM scored GROUP BY 1) JOIN (SELECT query_id, string_agg(memory_id::VARCHAR, ',' ORDER BY pick_rank) AS kept FROM kept GROUP BY 1) USING (query_id)"),
     "status_report": with_("SELECT node_id, n_memories, n_users, n_access, coalesce(o, 0)::BIGINT AS out_degree, coalesce(i, 0)::BIGINT AS in_degree FROM (SELECT owner_node AS node_id, count(*) AS n_memories, count(DISTINCT user_id) AS n_users, sum(access_count)::BIGINT AS n_access FROM mem GROUP BY 1) LEFT JOIN (SELECT src AS node_id, count(*) AS o FROM edges GROUP BY 1) USING (node_id) LEFT JOIN (SELECT dst AS node_id, count(*) AS i FROM edges GROUP BY 1) USING (node_id)"),
+    "variant_g3": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g3']})", VPARTS),
+    "variant_g4": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g4']})", VPARTS),
+    "variant_g4c": with_(f"SELECT query_id, memory_id, round(final, 6) AS final FROM ({VARIANTS['g4c']})", VPARTS),
+    "group_summary": with_(SUMMARY, VPARTS | {"eps": EPISODES}),
+    "stage_a_gate": with_(f"SELECT query_id, node_id, l::DOUBLE AS lambda_eff, round(src_score, 6) AS src_score FROM {graph_sources(0.7, 0)}"),
+    "hard_quota_repair": with_(f"SELECT query_id, node_id, source_rank, quota::BIGINT AS quota FROM {by_rounds('srcs', 10)}"),
+    "schedule_graph_g4": with_(f"SELECT query_id, memory_id, pick_rank, round(final, 6) AS final FROM ({ABLATION['graph_g4']})"),
+    "ablation_groups": with_(" UNION ALL ".join(f"SELECT '{g}' AS \"group\", count(*) AS n_kept, count(DISTINCT query_id) AS n_queries, round(avg(final), 6)::DOUBLE AS avg_final FROM ({x})" for g, x in ABLATION.items())),
+    "cycle_downgrade": with_("SELECT 0 AS graph_id, src, dst, type, strength::DOUBLE AS strength, 'active' AS status, 0::BIGINT AS updates, dst * 100 + src AS seq FROM edges UNION ALL SELECT 0, dst, src, 'references', 0, 'cycle_rejected', 0, dst * 100 + src + 50 FROM edges"),
 }

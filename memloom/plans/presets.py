@@ -42,6 +42,7 @@ class SchedulingConfig:
     tier: str = "fast"
     llm_calls: int = 1
     graph: GraphConfig = field(default_factory=GraphConfig)
+    semantic_floor: float = 0.5
     parity: bool = False
 
 
@@ -60,20 +61,21 @@ def presets() -> dict[str, SchedulingConfig]:
         "full_ours": SchedulingConfig(retriever="vector"),
     }
     top8 = SchedulingConfig(retriever="vector", selector="topk", top_k=8, threshold=0.0, tier="full")
-    out["graph_g0"] = replace(top8, attention="noop", weight="uniform", tier="fast", graph=_graph(0, "none"))
-    out["graph_g1"] = replace(top8, attention="noop", weight="uniform", tier="fast", graph=_graph(0, "uniform"))
+    plain = replace(top8, attention="noop", weight="uniform", reward="none", threshold=0.6, tier="fast")
+    out["graph_g0"] = replace(plain, graph=_graph(0, "none"))
+    out["graph_g1"] = replace(plain, graph=_graph(0, "uniform"))
     out["graph_g2"] = replace(top8, graph=_graph(1, "none"))
     out["graph_g3"] = replace(top8, graph=_graph(3, "uniform"))
     g4 = out["graph_g4"] = replace(top8, graph=_graph(3, "strength"))
-    b = replace(g4, selector="full")
+    b = replace(g4, selector="full", top_k=5)
     out |= {
         "graph_b0": b, "graph_b1": replace(b, llm_calls=0), "graph_b2": replace(b, candidates=20),
-        "graph_b3": replace(b, graph=_graph(3, "strength", lam=1.0)), "graph_b4": replace(b, tier="balanced", candidates=30),
+        "graph_b3": replace(b, graph=_graph(3, "strength", lam=1.0)), "graph_b4": replace(b, tier="balanced"),
     }
     with_graph = lambda c=g4, **kw: replace(c, graph=replace(c.graph, **kw))
     out |= {
         "graph_g4_norm": replace(g4, attention="normalized"), "graph_g4_adt": replace(g4, attention="adaptive_time"), "graph_g4_adt_gate": replace(g4, attention="adaptive_gated"),
-        "graph_g4_t08": with_graph(tau=0.08), "graph_g4_t15": with_graph(tau=0.15), "graph_g4_t25": with_graph(tau=0.25), "graph_g4_st8": with_graph(source_topk=8), "graph_g4_uw": replace(g4, weight="uniform"),
+        "graph_g4_t08": with_graph(tau=0.08), "graph_g4_t15": with_graph(tau=0.15), "graph_g4_t25": with_graph(tau=0.25), "graph_g4_st8": with_graph(source_topk=8), "graph_g4_uw": g4,
         "graph_g4_lam0": with_graph(lam=0.0), "graph_g4_lam3": with_graph(lam=0.3), "graph_g4_vth0": with_graph(rel_var_threshold=0.0),
         "graph_g4_notime": replace(g4, enabled_dims=("semantic", "frequency", "task"), tier="fast"), "graph_g4_semonly": replace(g4, enabled_dims=("semantic",), tier="fast"),
     }

@@ -78,17 +78,59 @@ def distil_samples(spark: SparkSession, n: int, dim: int = 16, seed: int = 0) ->
     return rows.withColumn("target_weights", F.struct(*[(x / total).alias(d) for x, d in zip(e, ("time", "semantic", "frequency", "task"), strict=True)]))
 
 
+def shared_words(messages: DataFrame) -> DataFrame:
+    """(conv_id, src, dst, similarity): the Jaccard similarity of the word sets of each earlier and later turn of a
+    conversation that have a word in common. Turns meet on their words, so a pair costs what it shares."""
+    from ..functions.text import tokens
+
+    sets = messages.select("conv_id", "turn", F.array_distinct(tokens(F.col("text"))).alias("w")).select("conv_id", "turn", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = (sets.select("conv_id", "word", F.col("turn").alias(t), F.col("n").alias(f"n_{t}")) for t in ("src", "dst"))
+    both = a.join(b, ["conv_id", "word"]).filter("src < dst").groupBy("conv_id", "src", "dst").agg(F.count(F.lit(1)).alias("c"), F.first("n_src").alias("p"), F.first("n_dst").alias("q"))
+    return both.select("conv_id", "src", "dst", (F.col("c") / (F.col("p") + F.col("q") - F.col("c"))).alias("similarity"))
+
+
 def conversation_world(messages: DataFrame) -> dict[str, DataFrame]:
     """A topic graph from messages(conv_id, turn, role, text): conversations are users' scopes, turns are topics,
     later turns depend on earlier ones that share words, and every turn is a memory."""
     from ..functions.text import base_strength, infer_edge_type, tokens
 
     nodes = messages.select("conv_id", F.col("turn").alias("node_id"), F.array_distinct(tokens(F.col("text"))).alias("words"))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    near = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.node_id") < F.col("b.node_id")))
-    union = F.size(F.array_union("a.words", "b.words"))
-    near = near.select(F.col("a.conv_id").alias("conv_id"), F.col("a.node_id").alias("src"), F.col("b.node_id").alias("dst"), F.when(union > 0, F.size(F.array_intersect("a.words", "b.words")) / union).otherwise(0.0).alias("similarity"))
     kind = infer_edge_type(F.col("similarity"))
-    edges = near.filter("similarity > 0").withColumns({"type": kind, "strength": base_strength(kind)})
+    edges = shared_words(messages).withColumns({"type": kind, "strength": base_strength(kind)})
     memories = messages.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("memory_id"), F.col("turn").alias("owner_node"), "text", F.col("turn").alias("seq"))
     return {"nodes": nodes, "edges": edges, "memories": memories}
+
+
+def conversation_episodes(qa: DataFrame, evidence_map: DataFrame) -> DataFrame:
+    """Episodes from qa(conv_id, qa_id, question, evidence array) and evidence_map(conv_id, evidence, memory_id,
+    owner_node, seq): relevant memories and sources in order, of several entries for an evidence the first by
+    seq. A question without mapped evidence makes no episode."""
+    first = evidence_map.groupBy("conv_id", "evidence").agg(F.min(F.struct("seq", "memory_id", "owner_node")).alias("m"))
+    asked = qa.select("conv_id", "qa_id", "question", F.posexplode("evidence").alias("at", "evidence"))
+    found = asked.join(first, ["conv_id", "evidence"])
+    per = found.groupBy("conv_id", "qa_id", "question").agg(F.array_sort(F.collect_list(F.struct("at", "m.memory_id", "m.owner_node"))).alias("e"))  # a question's evidence
+    pick = lambda c: F.array_distinct(F.transform("e", lambda x: x[c]))
+    return per.select("conv_id", "qa_id", "question", pick("memory_id").alias("relevant"), pick("owner_node").alias("relevant_sources"))
+
+
+def without_private(df: DataFrame, prefix: str = "_") -> DataFrame:
+    """df without the columns whose names begin with prefix."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix)])
+
+
+def anchored(memories: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
+    """(query_id, memory_id): memories of a query's relevant_nodes whose text contains at least `least` of its
+    anchors."""
+    wanted = queries.select("query_id", F.explode("relevant_nodes").alias("owner_node"), "anchors")
+    rows = memories.select("memory_id", "owner_node", "text").join(wanted, "owner_node")
+    hits = F.size(F.filter("anchors", lambda a: F.contains(F.col("text"), a)))
+    return rows.filter(hits >= least).select("query_id", "memory_id").distinct()
+
+
+def embedded(texts: DataFrame, cache: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
+    """(known, missing) of texts(text): vectors from a cache(text, vec), and those embed(column) makes for the
+    distinct texts the cache does not hold; append_embeddings(missing) warms the cache up."""
+    distinct = texts.select("text").distinct()
+    known = distinct.join(cache.select("text", "vec"), "text").withColumn("placeholder", F.lit(False))
+    missing = distinct.join(cache.select("text"), "text", "left_anti").withColumn("vec", embed(F.col("text"))).withColumn("placeholder", F.lit(False))
+    return known, missing

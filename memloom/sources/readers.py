@@ -29,6 +29,24 @@ def read_memories(spark: SparkSession, path) -> DataFrame:
     return _defaults(_json(spark, path, S.MEMORY), empty)
 
 
+def graph_payload(spark: SparkSession, folder: str, fallback) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph that write_graph wrote, else those of the first episode of fallback (a file of
+    graph episodes, or None), else empty ones."""
+    jvm = spark.sparkContext._jvm
+    there = lambda p: (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(h)
+    if there(f"{folder}/CURRENT"):
+        version = spark.read.text(f"{folder}/CURRENT").first()[0]
+        return read_graph(spark, f"{folder}/{version}/nodes", f"{folder}/{version}/edges")
+    nodes, edges = spark.createDataFrame([], S.NODE), spark.createDataFrame([], S.EDGE)
+    if fallback is not None and there(fallback):
+        t = explode_episodes(read_episodes(spark, fallback, 1))
+        from ..functions.text import base_strength
+
+        nodes = nodes.unionByName(t["nodes"].drop("episode_id", "seq"), allowMissingColumns=True)
+        edges = edges.unionByName(t["edges"].drop("episode_id", "seq").withColumn("strength", base_strength(F.col("type"))), allowMissingColumns=True)
+    return nodes, edges
+
+
 def read_graph(spark: SparkSession, nodes_path, edges_path) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from JSON lines; a main node is added where there is none."""
     n = _defaults(_json(spark, nodes_path, S.NODE), {"topic": "", "summary": "", "version": 1, "status": "active", "n_memories": 0})
@@ -105,6 +123,11 @@ def parse_time(text: Column, index: Column) -> Column:
     return F.coalesce(F.unix_timestamp(got).cast("double"), index * 86400.0)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What append_manifest wrote."""
+    return spark.read.schema(spark.read.text(f"{path}/schema.txt").first()[0]).csv(f"{path}/rows")
+
+
 def read_training(spark: SparkSession, path) -> DataFrame:
     return _json(spark, path, S.TRAINING)
 
@@ -115,14 +138,38 @@ def read_poc(spark: SparkSession, path) -> dict[str, DataFrame]:
     return {t: raw.select(F.posexplode(t).alias("seq", "x")).select("seq", "x.*") for t in ("nodes", "edges", "memories", "queries")}
 
 
+# Names of a preset file and what they set. A name with a dot lies in a section of the file.
+CONFIG_NAMES = {
+    "retriever_impl": "retriever", "attention_impl": "attention", "weight_impl": "weight", "selector_impl": "selector", "reward_impl": "reward",
+    "candidate_override": "candidates", "cascade_task_filter": "task_filter", "cascade_version_filter": "version_filter", "cascade_version_cos": "version_cos",
+    "attention_semantic_floor": "semantic_floor", "budget.default_tier": "tier", "budget.llm_calls_per_schedule": "llm_calls", "budget.force_candidate": "candidates", "budget.force_lambda": "graph.lam",
+    "graph.source_topk_full_cover": "graph.full_cover", "graph.quota_tau": "graph.tau", "graph.quota_lambda": "graph.lam", "graph.quota_mu": "graph.mu",
+    "graph.edge_strength_weights": "graph.strength_weights", "graph.edge_strength_alpha": "graph.strength_alpha",
+}
+
+
 def read_config(path: str, kind):
-    """A preset of dataclass `kind` from YAML: unknown keys are ignored, `fixed:` gives values the top level
-    does not; a missing file raises."""
+    """A preset of dataclass `kind` from YAML; a missing file raises. `fixed:` gives values the top level does
+    not; sections and implementation names are mapped by CONFIG_NAMES, 'selector.topk' names topk; disabled
+    dimensions leave the others enabled; names the engine has no use for are ignored."""
     with open(path, encoding="utf-8") as f:
         raw = yaml.safe_load(f) or {}
-    merged = {**(raw.get("fixed") or {}), **{k: v for k, v in raw.items() if k != "fixed"}}
-    known = {f.name for f in fields(kind)}
-    return kind(**{k: v for k, v in merged.items() if k in known})
+    flat: dict = {}
+    for section in (raw.get("fixed") or {}, {k: v for k, v in raw.items() if k != "fixed"}):
+        for k, v in section.items():
+            flat |= {f"{k}.{n}": x for n, x in v.items()} if k in ("graph", "budget") and isinstance(v, dict) else {k: v}
+    # a forced value comes after the plain one it overrides
+    values = {CONFIG_NAMES.get(k, k): v for k, v in sorted(flat.items(), key=lambda x: x[0].startswith("budget.force")) if v is not None}
+    values = {k: v.split(".", 1)[1] if isinstance(v, str) and k in ("retriever", "attention", "weight", "selector", "reward") and "." in v else v for k, v in values.items()}
+    if off := values.pop("attention_disabled_dims", None):
+        values["enabled_dims"] = tuple(d for d in S.DIMS if d not in off)
+    known = {f.name: f for f in fields(kind)}
+    top = {k: v for k, v in values.items() if k in known and k != "graph"}
+    if "graph" in known:
+        inner = known["graph"].default_factory
+        names = {f.name for f in fields(inner)}
+        top["graph"] = inner(**{k.removeprefix("graph."): v for k, v in values.items() if k.startswith("graph.") and k.removeprefix("graph.") in names})
+    return kind(**top)
 
 
 def read_config_dir(spark: SparkSession, folder: str) -> DataFrame:

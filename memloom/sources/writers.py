@@ -1,19 +1,27 @@
-"""Writers. Spark's commit protocol makes each write all or nothing."""
+"""Writers. What a source of readers.py reads, a writer here writes in the same format; Spark's commit
+protocol makes each write all or nothing."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_pool(df: DataFrame, path: str) -> None:
-    """The whole pool, once for a batch of changes."""
-    df.write.mode("overwrite").parquet(path)
+    """The whole pool as JSON lines, once for a batch of changes (read_memories)."""
+    df.write.mode("overwrite").json(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/edges")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> str:
+    """Nodes and edges as JSON lines of a new version; the file CURRENT, written last, names it, so a reader
+    sees both of one version (graph_payload). Gives the version."""
+    version = uuid.uuid4().hex
+    nodes.write.json(f"{path}/{version}/nodes")
+    edges.write.json(f"{path}/{version}/edges")
+    nodes.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    return version
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -21,17 +29,21 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def append_monitor(df: DataFrame, path: str, most: int = 200) -> None:
-    """Job records with their params cut to a length."""
-    df.withColumn("params", F.substring("params", 1, most)).write.mode("append").json(path)
+    """Job records(job, params, result): params and result cut to a length, the result's own length beside."""
+    short = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(F.col(c))
+    df.withColumns({"params": F.substring("params", 1, most), "result_chars": F.length("result"), "result": short("result")}).write.mode("append").json(path)
 
 
 def write_shared_pool(df: DataFrame, path: str) -> None:
-    """The bounded pool as one JSON object of items."""
+    """The bounded pool as one JSON object of items (read_shared_pool)."""
     df.agg(F.sort_array(F.collect_list(F.struct("score", *[c for c in df.columns if c != "score"])), asc=False).alias("items")).coalesce(1).write.mode("overwrite").json(path)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, header=True)
+    """Rows of a manifest as CSV without headers; schema.txt, written with the first rows, names the columns
+    (read_manifest)."""
+    df.write.mode("append").csv(f"{path}/rows", header=False)
+    df.sparkSession.createDataFrame([(df.schema.simpleString()[7:-1].replace(":", " "),)], "value string").coalesce(1).write.mode("ignore").text(f"{path}/schema.txt")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -47,5 +59,6 @@ def write_dataset(df: DataFrame, path: str) -> DataFrame:
 
 
 def append_embeddings(df: DataFrame, path: str) -> None:
-    """Real vectors only; placeholders are never kept."""
-    df.filter("NOT placeholder").drop("placeholder").write.mode("append").parquet(path)
+    """(text, vec, placeholder): real vectors only, as JSON lines (read_embedding_cache); placeholders are never
+    kept."""
+    df.filter("NOT placeholder").select("text", "vec").write.mode("append").json(path)

@@ -83,6 +83,21 @@ def test_graph(spark):
     assert graph.is_acyclic(e).first().is_dag and not graph.is_acyclic(e.union(edges(spark, [("D", "A", 0.1)]))).first().is_dag
 
 
+def test_closures_of_dense_long_and_cyclic_graphs(spark):
+    dense = edges(spark, [(f"n{i:02}", f"n{j:02}", 0.5) for i in range(64) for j in range(i + 1, 64)])
+    assert graph.reachability(dense).count() == 64 * 65 // 2 and graph.is_acyclic(dense).first().is_dag
+    assert {r.level for r in graph.levels(dense).collect()} == set(range(64))
+    chain = edges(spark, [(f"c{i:03}", f"c{i + 1:03}", 0.5) for i in range(100)])
+    assert sorted(r.level for r in graph.levels(chain).collect()) == list(range(101)) and graph.reachability(chain).agg(F.max("hops")).first()[0] == 64
+    ring = chain.union(edges(spark, [("c100", "c000", 0.1)]))
+    assert not graph.is_acyclic(ring).first().is_dag and graph.levels(ring).count() == 0
+    knot = edges(spark, [(a, b, 0.5) for a in "ABCD" for b in "ABCD" if a != b] + [("x", "A", 0.5), ("D", "y", 0.5), ("x", "z", 0.5)])
+    assert not graph.is_acyclic(knot).first().is_dag and {(r.node_id, r.level) for r in graph.levels(knot).collect()} == {("x", 0), ("z", 1)}
+    assert graph.reachability(knot).filter("src = 'A'").count() == 5 and graph.levels(dense.limit(0)).count() == 0 and graph.is_acyclic(dense.limit(0)).first().is_dag
+    own = edges(spark, [("s", "s", 0.1)])
+    assert not graph.is_acyclic(own).first().is_dag and graph.reachability(own).count() == 1
+
+
 def test_cycle_downgrade(spark):
     rows = spark.createDataFrame([(0, 1, "A", "B", "depends_on"), (0, 2, "B", "C", "depends_on"), (0, 3, "C", "A", "depends_on"), (0, 4, "A", "B", "depends_on"), (0, 5, "A", "A", "similar_to")], "graph_id int, seq int, src string, dst string, type string")
     got = {(r.src, r.dst): (r.type, r.strength, r.status, r.updates) for r in graph.insert_edges(rows).collect()}
@@ -101,10 +116,52 @@ def test_source_scores(spark):
     assert got[2, "a"] == (0.9, 1.0) and got[3, "a"] == (0.9, 1.0)
 
 
-@pytest.mark.parametrize("w, k", [([0.5, 0.5], 10), ([0.9, 0.1], 10), ([0.34, 0.33, 0.33], 10), ([0.98, 0.01, 0.01], 3), ([0.25] * 4, 2)])
-def test_quota_repair(w, k):
-    q = stage_a.repair_quota(w, k)
-    assert sum(q) == max(k, len(w)) and min(q) >= 1 and q[0] == max(q)
+def shares(spark, lists):
+    rows = [(q, f"n{i}", i + 1, w) for q, ws in enumerate(lists) for i, w in enumerate(ws)]
+    return spark.createDataFrame(rows, "query_id long, node_id string, source_rank long, weight double")
+
+
+def quotas(df, n):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, {})[r.source_rank] = r.quota
+    return [[got[q][i + 1] for i in range(len(got[q]))] for q in range(n)]
+
+
+def random_shares(rng, n=60):
+    lists = [rng.dirichlet(np.full(rng.integers(1, 7), 0.5)).tolist() for _ in range(n)]
+    return [sorted(w, reverse=True) for w in lists]
+
+
+def test_hard_quota(spark):
+    fixed = [[0.5, 0.5], [0.9, 0.1], [0.34, 0.33, 0.33], [0.98, 0.01, 0.01], [0.25] * 4]
+    got = quotas(stage_a.hard_quota(shares(spark, fixed), 10), 5)
+    assert got == [[5, 5], [9, 1], [4, 3, 3], [8, 1, 1], [3, 3, 2, 2]]
+    lists = random_shares(np.random.default_rng(1))
+    for k, least in ((3, 1), (10, 1), (8, 2)):
+        for ws, q in zip(lists, quotas(stage_a.hard_quota(shares(spark, lists), k, least), len(lists)), strict=True):
+            goal = max(k, least * len(ws))
+            want, slot = [max(least, round(goal * w)) for w in ws], 0
+            gap, order = goal - sum(want), sorted(range(len(ws)), key=lambda i: -max(least, round(goal * ws[i])))
+            while gap:  # one at a time around the sources, the largest first
+                i = order[slot % len(ws)]
+                slot += 1
+                if gap > 0 or want[i] > least:
+                    want[i], gap = want[i] + (1 if gap > 0 else -1), gap - (1 if gap > 0 else -1)
+            assert q == want and sum(q) == goal
+
+
+def test_level_quota(spark):
+    lists = [[0.322, 0.430, 0.248], [1.0, 1.0, 1.0], [1.0, 1.0], [0.4, 0.3, 0.3], [0.05, 0.05, 0.9], *random_shares(np.random.default_rng(2))]
+    got = quotas(stage_a.level_quota(shares(spark, lists), 10), len(lists))
+    assert got[:5] == [[3, 4, 3], [4, 3, 3], [5, 5], [4, 3, 3], [1, 1, 8]]
+    for ws, q in zip(lists, got, strict=True):
+        raw = [max(1, round(10 * w)) for w in ws]
+        want = [max(1, round(10 * r / sum(raw))) for r in raw]
+        while sum(want) != 10:
+            pick = max if sum(want) > 10 else min
+            want[want.index(pick(want))] += 1 if pick is min else -1
+        assert q == want
 
 
 def test_tiers_and_cache():
@@ -192,6 +249,187 @@ def test_files(spark, tmp_path):
     assert a == b and a.n == 5
 
 
+def test_what_writers_write_readers_read(spark, tmp_path):
+    path = lambda n: str(tmp_path / n)
+    pool = spark.createDataFrame([("m1", "x", [1.0, 2.0], "a"), ("m2", "y", None, "b")], "memory_id string, text string, embedding array<float>, owner_node string")
+    writers.write_pool(pool, path("pool"))
+    assert {(r.memory_id, r.text, r.owner_node) for r in readers.read_memories(spark, path("pool")).collect()} == {("m1", "x", "a"), ("m2", "y", "b")}
+    nodes = spark.createDataFrame([("a", "t"), ("b", "u")], "node_id string, topic string")
+    e = spark.createDataFrame([("1", "a", "b", "depends_on", 0.7)], "edge_id string, src string, dst string, type string, strength double")
+    assert all(t.count() == 0 for t in readers.graph_payload(spark, path("graph"), None))
+    first = writers.write_graph(nodes, e, path("graph"))
+    assert writers.write_graph(nodes, e.withColumn("strength", F.lit(0.6)), path("graph")) != first
+    n, got = readers.graph_payload(spark, path("graph"), None)
+    assert {r.node_id for r in n.collect()} == {"a", "b", "main"} and got.first().strength == 0.6
+    (tmp_path / "ep.jsonl").write_text(json.dumps({"episode_id": "e", "nodes": [{"node_id": "z"}], "edges": [{"src": "z", "dst": "y", "type": "references"}], "corpus": [], "relevant": []}) + "\n")
+    n, got = readers.graph_payload(spark, path("none"), path("ep.jsonl"))
+    assert n.first().node_id == "z" and got.first().strength == 0.5
+    vec = lambda text, x, off: (text, [x, x], off)
+    for rows in ([vec("a", 1.0, False), vec("b", 2.0, True)], [vec("c", 3.0, False)]):
+        writers.append_embeddings(spark.createDataFrame(rows, "text string, vec array<float>, placeholder boolean"), path("cache"))
+    assert {r.text: r.vec[0] for r in readers.read_embedding_cache(spark, path("cache"), 2).collect()} == {"a": 1.0, "c": 3.0}
+    items = spark.createDataFrame([("m1", 0.5), ("m2", 0.9)], "memory_id string, score double")
+    writers.write_shared_pool(items, path("shared"))
+    assert {(r.memory_id, r.score) for r in readers.read_shared_pool(spark, path("shared")).collect()} == {("m1", 0.5), ("m2", 0.9)}
+    for i in range(2):
+        writers.append_manifest(spark.createDataFrame([(f"r{i}", i)], "run string, n long"), path("manifest"))
+    assert sorted(map(tuple, readers.read_manifest(spark, path("manifest")).collect())) == [("r0", 0), ("r1", 1)]
+    writers.append_monitor(spark.createDataFrame([("j", "p" * 300, "r" * 300)], "job string, params string, result string"), path("jobs"))
+    job = spark.read.json(path("jobs")).first()
+    assert (len(job.params), job.result_chars, len(job.result)) == (200, 300, 203)
+    for _ in range(2):
+        writers.append_log(spark.createDataFrame([("schedule", 1.0)], "event string, ts double"), path("log"))
+    assert spark.read.json(path("log")).count() == 2
+    writers.write_summary(items, path("summary"))
+    assert json.loads(sorted(r.value for r in spark.read.text(path("summary")).collect())[0]) == {"memory_id": "m1", "score": 0.5}
+    (tmp_path / "m.jsonl").write_text("".join(json.dumps({"group": g, "episode_id": "e", "scene": s, "mrr": m}) + "\n" for g, s, m in (("a", "x", 0.1), ("a", "x", 0.2), ("b", "y", 0.3))))
+    assert {(r.group, r.mrr) for r in readers.read_metrics(spark, path("m.jsonl")).collect()} == {("a", 0.2), ("b", 0.3)} and readers.read_metrics(spark, path("m.jsonl"), "b", "y").count() == 1
+    (tmp_path / "t.jsonl").write_text(json.dumps({"query": "q", "condition": {"user_id": "u"}, "target_weights": {"time": 0.1, "semantic": 0.6, "frequency": 0.1, "task": 0.2}}) + "\n")
+    rows = readers.read_training(spark, path("t.jsonl"))
+    net, losses = weights.pretrain(rows, spark.createDataFrame([("q", [0.1] * 4)], "text string, vec array<double>"), 4, epochs=30, held=0.0)
+    assert losses["train"] < 0.1 and weights.submit_feedback(net, np.ones(4), "u|s", True).sum() == pytest.approx(1)
+    net.save(path("net.npz"))
+    again = weights.WeightNet(4, seed=5)
+    again.load(path("net.npz"))
+    x = weights.WeightNet.features(np.ones(4), np.zeros(32))
+    assert np.allclose(net.weights(x), again.weights(x))
+    poc = {"nodes": [{"node_id": "a"}], "edges": [{"src": "a", "dst": "b"}], "memories": [{"memory_id": "m"}, {"memory_id": "n"}], "queries": [{"query_id": "q"}]}
+    (tmp_path / "poc.json").write_text(json.dumps(poc))
+    assert [(r.seq, r.memory_id) for r in readers.read_poc(spark, path("poc.json"))["memories"].collect()] == [(0, "m"), (1, "n")]
+
+
+def test_config_sections(spark, tmp_path):
+    text = """
+retriever_impl: retriever.vector
+selector_impl: selector.quota
+weight_impl: weight.full
+reward_impl: reward.none
+attention_disabled_dims: [time]
+cascade_version_cos: 0.85
+attention_semantic_floor: 0.4
+top_k: 8
+graph:
+  enabled: true
+  source_topk: 2
+  source_topk_full_cover: 5
+  quota_mode: strength
+  quota_tau: 0.25
+  quota_lambda: 0.3
+  quota_mu: 0.4
+  edge_strength_weights: {topic: 0.6, interact: 0.8}
+  unknown: 1
+budget:
+  default_tier: full
+  llm_calls_per_schedule: 0
+  force_candidate: 20
+  force_lambda: 1.0
+"""
+    (tmp_path / "g.yaml").write_text(text)
+    cfg = readers.read_config(str(tmp_path / "g.yaml"), presets.SchedulingConfig)
+    want = presets.SchedulingConfig(
+        retriever="vector", selector="quota", reward="none", enabled_dims=("semantic", "frequency", "task"), version_cos=0.85, semantic_floor=0.4, top_k=8, tier="full", llm_calls=0, candidates=20,
+        graph=presets.GraphConfig(enabled=True, source_topk=2, full_cover=5, quota_mode="strength", tau=0.25, lam=1.0, mu=0.4, strength_weights={"topic": 0.6, "interact": 0.8}),
+    )
+    assert cfg == want
+    assert readers.read_config_dir(spark, str(tmp_path)).first().selector == "selector.quota"
+
+
+def test_plugins(spark):
+    from memloom.plans import plugins
+
+    r = plugins.standard()
+    assert r.get("retriever.vector") is retrieval.retrieve_vector and "selector.cascade" in r.names("selector") and len(r.names()) > 15
+    for bad in ("retriever.vector", "other.x", "retriever"):
+        with pytest.raises(ValueError):
+            r.register(bad, lambda: None)
+    with pytest.raises(KeyError):
+        r.get("retriever.none")
+
+    @r.register("reward.half")
+    def half(like):
+        return F.lit(0.5)
+
+    assert r.get("reward.half") is half
+
+
+def test_schedule_tells_its_callbacks(spark, sf):
+    from memloom.plans import plugins
+    from memloom.plans.catalog import View
+
+    v, seen = View(spark, sf), []
+    schedule.schedule(presets.PRESETS["graph_g4"], v.q, v.mem, v.nodes, v.edges, callbacks=(lambda stage, df: seen.append((stage, "query_id" in df.columns)),))
+    assert seen == [(s, True) for s in plugins.STAGES]
+
+
+def test_nearest_is_exact_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "POOL_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    vecs = [v.tolist() for v in rng.integers(-1, 2, (90, 4)).astype(float)] + [None, [0.0] * 4, [1.0]]  # many ties
+    pool = spark.createDataFrame([(i, i, v) for i, v in enumerate(vecs)], "memory_id long, seq long, emb array<double>").repartition(5)
+    q = spark.createDataFrame([(i, vecs[i], 0) for i in (0, 3, 90, 91)], "query_id long, q_emb array<double>, cur_node int")
+    got = {(r.query_id, r.rank): (r.memory_id, r.cos) for r in retrieval.nearest(q, pool, 6).collect()}
+
+    def cos(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+
+    for i in (0, 3, 90, 91):
+        want = sorted(((-cos(vecs[i], v), j) for j, v in enumerate(vecs) if j != i))[:6]
+        assert [got[i, k + 1] for k in range(6)] == [(j, pytest.approx(-c, abs=1e-9)) for c, j in want]
+
+
+def test_queries_without_sql_against_plain_python(spark, sf):
+    """Folds and embeddings, each query's whole result."""
+    import hashlib
+    from collections import OrderedDict
+
+    from memloom.plans.catalog import QUERIES, View
+
+    v = View(spark, sf)
+    events = sorted((r.event_id, r.user_id, r.value) for r in v.table("events").collect())
+    caches, hits = {}, {}
+    for i, u, _ in events:
+        c = caches.setdefault(i % 4, OrderedDict())
+        hits[i] = u in c
+        c.pop(u, None)
+        c[u] = 1
+        if len(c) > 20:
+            c.popitem(last=False)
+    assert {r.event_id: r.hit for r in QUERIES["prior_lru"](spark, sf).collect()} == hits
+    tiers, logs = {}, {}
+    for i, u, ms in events:
+        seen, at, calm = logs.get(u, ([], 0, 0))
+        seen = [*seen, ms][-20:]
+        if len(seen) >= 10:
+            p50, p90 = round(float(np.percentile(seen, 50)), 2), round(float(np.percentile(seen, 90)), 2)
+            if p90 > 250 and at < 2:
+                at, calm = at + 1, 0
+            elif p50 < 0.45 * 250 and at > 0:
+                at, calm = (at - 1, 0) if calm == 2 else (at, calm + 1)
+            else:
+                calm = 0
+        logs[u], tiers[i] = (seen, at, calm), ("full", "balanced", "fast")[at]
+    assert {r.event_id: r.tier for r in QUERIES["tier_hysteresis"](spark, sf).collect()} == tiers
+    texts = {r.item_id: r.text for r in v.table("benchmark").collect()}
+    for r in QUERIES["hash_embed"](spark, sf).collect():
+        assert np.allclose(r.emb, tx.hash_vector(texts[r.item_id]))
+    keys = {r.conv_id: r for r in QUERIES["condition_embedding"](spark, sf).collect()}
+
+    def axis(value, n):
+        x = np.frombuffer(b"".join(hashlib.sha256(value.encode() + i.to_bytes(4, "big")).digest() for i in (0, 32))[:n], np.uint8) / 127.5 - 1
+        return x / np.linalg.norm(x)
+
+    for conv, r in keys.items():
+        assert np.allclose(r.condition_emb, np.concatenate([axis(f"u{conv % 9}", 16), axis("chat", 8), np.zeros(8)]))
+    for r in QUERIES["mlp_weights"](spark, sf).collect():
+        assert r.time + r.semantic + r.frequency + r.task == pytest.approx(1) and min(r.time, r.semantic, r.frequency, r.task) > 0
+    for r in QUERIES["placeholder_embed"](spark, sf).collect():
+        assert len(r.emb) == 64 and np.isfinite(r.emb).all()
+    assert QUERIES["generate_flat"](spark, sf).count() == 200 and {r.memory_id for r in QUERIES["pca_layout"](spark, sf).select("memory_id").collect()} == {r.memory_id for r in v.mem.select("memory_id").collect()}
+
+
 def test_presets():
     p = presets.PRESETS
     assert len(p) == 59 and p["graph_g2"].graph.source_topk == 1 and p["graph_g4_t08"].graph.tau == 0.08 and p["full_ours"].retriever == "vector"
@@ -261,6 +499,9 @@ def test_variants(spark):
     src = spark.createDataFrame([(1, "n0", 0.3, 0.1), (1, "n1", 0.9, 0.2), (1, "n2", 0.8, 0.9)], "query_id long, node_id string, strength double, rel double")
     got = {v: sorted(r.memory_id for r in variants.variant(v, scored, src).collect()) for v in variants.VARIANTS}
     assert got["G1"] == [0, 1, 2, 10, 11, 12, 20, 21, 22] and got["G2"] == list(range(10, 19)) and len(got["G3"]) == len(got["G4"]) == len(got["G4S"]) == 10 and got["G4"] == got["G4C"]
+    # ranked n1, n2, n0; equal shares of ten give the first one more; scores .69, .83, .24 give 4, 5, 2 less one of the largest
+    assert got["G3"] == [0, 1, 2, 10, 11, 12, 13, 20, 21, 22]
+    assert {r.node_id: r.src_score for r in variants.chosen("G4S", src.withColumn("rel", F.lit(1 / 3))).collect()} == {"n0": 0.31, "n1": 0.73, "n2": 0.66}
 
 
 def test_bootstrap_by_comparison(spark):
