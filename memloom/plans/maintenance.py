@@ -267,10 +267,10 @@ def time_span(v):
 
 # conversations, labels, texts
 
-QA = "SELECT conv_id, turn AS qa_id, text AS question, unnest([conv_id || ':' || (turn - 1), conv_id || ':' || (turn + 1), 'none']) AS ev, unnest([0, 1, 2]) AS at FROM conversations WHERE role = 'user'"
+QA = "SELECT conv_id, turn AS qa_id, text AS question, unnest([conv_id || ':' || (turn - 1), conv_id || ':' || (turn + 1), 'none']) AS ev, unnest([0, 1, 2]) AS pos FROM conversations WHERE role = 'user'"
 
 
-@query(f"SELECT conv_id, qa_id, string_agg(memory, ',' ORDER BY at) AS relevant, string_agg(owner::VARCHAR, ',' ORDER BY at) AS relevant_sources FROM (SELECT q.conv_id, qa_id, at, 'm' || m.conv_id || '-' || m.turn AS memory, m.turn AS owner FROM ({QA}) q JOIN conversations m ON m.role = 'assistant' AND m.conv_id = q.conv_id AND m.conv_id || ':' || m.turn = ev) GROUP BY 1, 2")
+@query(f"SELECT conv_id, qa_id, string_agg(memory, ',' ORDER BY pos) AS relevant, string_agg(owner::VARCHAR, ',' ORDER BY pos) AS relevant_sources FROM (SELECT q.conv_id, qa_id, pos, 'm' || m.conv_id || '-' || m.turn AS memory, m.turn AS owner FROM ({QA}) q JOIN conversations m ON m.role = 'assistant' AND m.conv_id = q.conv_id AND m.conv_id || ':' || m.turn = ev) GROUP BY 1, 2")
 def conversation_episodes(v):
     """Questions are user turns, their evidence the turns around them; only assistants' turns are memories."""
     c = v.table("conversations")
