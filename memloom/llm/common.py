@@ -1,88 +1,23 @@
-"""What the operators share: the shared scratch folder, bounded Arrow batches and column handling."""
+"""What the operators share: bounded Arrow batches and column handling."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import discard, join_hot, materialize, numbered, scratch, scratch_dir  # noqa: F401
+
 #: Bytes that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only on a local master that names no shared folder (tests).
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
 #: Arrow batches sent to Python are cut at this many bytes, so very long texts do not pile up.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
-#: A key with more than 1 / HOT of the rows is hot; there are fewer than HOT of them.
-HOT = 256
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only a local master may do without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = LOCAL_SCRATCH
-    return path.rstrip("/")
-
-
-_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
-
-
-@contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables materialized inside are deleted at the end, but for those given to the function yielded here.
-
-    Those a lazy result still reads are kept; an enclosing scope may delete them in turn.
-    """
-    outer, kept = _made.get(), []
-    token = _made.set([])
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df)
-        return df
-
-    try:
-        yield keep
-    finally:
-        made = _made.get()
-        _made.reset(token)
-        for df in made:
-            if not any(df is k for k in kept):
-                discard(df)
-            elif outer is not None:
-                outer.append(df)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    if _made.get() is not None:
-        _made.get().append(out)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that no later plan reads."""
-    spark, path = df.sparkSession, df.scratch_path
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
 
 def hide(df: DataFrame, **needs: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with the columns named in needs under their keys and all others under names no operator uses,
@@ -93,33 +28,6 @@ def hide(df: DataFrame, **needs: str) -> tuple[DataFrame, Callable[[DataFrame],
     return df.toDF(*inner), lambda out: out.select(*inner).toDF(*df.columns)
 
 
-def join_hot(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
-    """Inner join on a key that small holds once and few keys of big may hold most rows of.
-
-    The rows of small for hot keys, fewer than HOT, are broadcast; the others meet in a shuffle. big is
-    read three times, so it should be a written table.
-    """
-    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.filter(F.col("n") * HOT > total).filter(F.col("n") > BATCH_ROWS).select(on).collect()]
-    if not hot:
-        return big.join(small, on)
-    is_hot = F.col(on).isin(hot)
-    return big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), on).unionByName(big.filter(~is_hot).join(small.filter(~is_hot), on))
-
-
-def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
-    """df in sorted pieces, with columns piece and at, and a table (piece, before).
-
-    before + at numbers all rows from 0 in the given order. Rows move once, by ranges of the order; what
-    is gathered is one row for each piece, of which there are as many as shuffle partitions.
-    """
-    ids = F.monotonically_increasing_id()
-    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"piece": F.shiftright(ids, 33).cast("int"), "at": ids.bitwiseAND(F.lit((1 << 33) - 1))}))
-    pieces = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    return placed, pieces.select("piece", (F.sum("n").over(Window.orderBy("piece")) - F.col("n")).alias("before"))
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Cap the session's Arrow batches by bytes and rows unless they are capped lower already. The caps
     hold from then on, as plans made here run after this call; they bound memory and change no result."""

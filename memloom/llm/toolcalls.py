@@ -18,8 +18,8 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number"
 #: The tool that a dialogue's user turns call (see dialogue_calls).
 ASK = {
     "ask": {
-        "required": ["ends", "n_chars", "reply_to", "text", "turn"],
-        "properties": {"ends": {"type": "boolean"}, "n_chars": {"type": "integer", "minimum": 60}, "reply_to": {"type": "string"}, "text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}},
+        "required": ["n_chars", "reply_to", "text", "turn"],
+        "properties": {"n_chars": {"type": "integer", "minimum": 60}, "reply_to": {"type": "string"}, "text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}},
     }
 }
 
@@ -29,6 +29,11 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def _unlike(kind: str):
+    """Whether a type's name is not of a kind."""
+    return lambda name: ~F.coalesce(name.rlike(f"^{kind}$"), F.lit(False))
+
+
 def _checks(v: Column, schema: dict, path: str) -> list[Column]:
     """Errors (or null) of the properties of the object at path, nested ones included, by sorted names."""
     checks = []
@@ -53,9 +58,9 @@ def _checks(v: Column, schema: dict, path: str) -> list[Column]:
         if "properties" in spec:
             checks += _checks(v, spec, at)
         if "items" in spec:
-            items = F.try_variant_get(v, f"${at}", "array<variant>")
-            fits = lambda x, want=TYPES[spec["items"]["type"]]: F.schema_of_variant(x).rlike(f"^{want}$")
-            checks.append(F.when(~F.coalesce(F.forall(items, fits), F.lit(True)), say("items")))
+            wanted = F.transform(F.try_variant_get(v, f"${at}", "array<variant>"), F.schema_of_variant)
+            odd = F.filter(wanted, _unlike(TYPES[spec["items"]["type"]]))
+            checks.append(F.when(F.size(odd) > 0, say("items")))
     return checks
 
 
@@ -190,13 +195,12 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dialogue_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """calls and results of a plain dialogue: a user turn calls the tool ask, any other turn is the result of
     the turn before it. A call replies to, so depends on, the user turn two before it; the first has none to
-    reply to. ends says whether the text ends with a full stop, or else with what; a null text has neither
-    ends, n_chars nor text. Null turns have no identifier."""
+    reply to. A text of several lines is passed as the array of its lines; a null text has neither n_chars
+    nor text. Null turns have no identifier."""
     ident = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
     reply = F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)).alias("reply_to")
-    args = lambda ends: F.to_json(F.struct(ends.alias("ends"), F.length("text").alias("n_chars"), reply, "text", "turn"))
-    whole = F.col("text").endswith(".")
-    arguments = F.when(whole, args(F.lit(True))).otherwise(args(F.right("text", F.lit(1))))
+    args = lambda text: F.to_json(F.struct(F.length("text").alias("n_chars"), reply, text.alias("text"), "turn"))
+    arguments = F.when(F.contains("text", F.lit("\n")), args(F.split("text", "\n"))).otherwise(args(F.col("text")))
     calls = messages.filter("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), F.array_compact(F.array(reply)).alias("after"))
     content = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
     results = messages.filter("role IS DISTINCT FROM 'user'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", content.alias("content"))
@@ -214,12 +218,11 @@ WITH RECURSIVE c AS (
   SELECT conv_id, conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS reply_to, turn, text FROM conversations WHERE role = 'user'
 ), a AS (
   SELECT *, '{' || concat_ws(',',
-      CASE WHEN text IS NOT NULL THEN '"ends":' || CASE WHEN ends_with(text, '.') THEN 'true' ELSE to_json(right(text, 1)) END END,
-      '"n_chars":' || length(text), '"reply_to":' || to_json(reply_to), '"text":' || to_json(text), '"turn":' || turn) || '}' AS arguments,
+      '"n_chars":' || length(text), '"reply_to":' || to_json(reply_to),
+      '"text":' || CASE WHEN contains(text, chr(10)) THEN to_json(string_split(text, chr(10))) ELSE to_json(text) END, '"turn":' || turn) || '}' AS arguments,
     concat_ws(',',
-      CASE WHEN text IS NULL THEN 'missing:ends' WHEN NOT ends_with(text, '.') THEN 'type:ends' END,
-      CASE WHEN text IS NULL THEN 'missing:n_chars' WHEN length(text) < 60 THEN 'minimum:n_chars' END,
-      CASE WHEN reply_to IS NULL THEN 'missing:reply_to' END, CASE WHEN text IS NULL THEN 'missing:text' END) AS errors
+      CASE WHEN text IS NULL THEN 'missing:n_chars' WHEN length(text) < 60 THEN 'minimum:n_chars' END, CASE WHEN reply_to IS NULL THEN 'missing:reply_to' END,
+      CASE WHEN text IS NULL THEN 'missing:text' WHEN contains(text, chr(10)) THEN 'type:text' END) AS errors
   FROM c
 ), i AS (
   SELECT DISTINCT conv_id, call_id, reply_to FROM c WHERE call_id IS NOT NULL
