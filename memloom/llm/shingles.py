@@ -3,12 +3,14 @@
 A text is the set of hashes of its shingles, and the set has a SimHash fingerprint. Links between
 fingerprints, found by the tiled comparison and confirmed on the whole sets, give the first components.
 Texts with a similarity of SIMILAR may lie some ten bits apart, beyond any radius that skips tiles, so
-what the fingerprints miss is found exactly between those components: in one order of all shingles, rare ones first, two sets as
-similar as SIMILAR share one of their first few (a fifth of each, plus one), so only sets that meet in
-such a prefix are candidates; the place of the shared shingle in both bounds what can still be shared
-behind it. Each candidate is confirmed on the whole sets. Where a shingle is shared by many, its sets are
-first compared with the one that has the fewest rare shingles, then only across the components so found.
-The order decides what is compared, never what is linked.
+what the fingerprints miss is found exactly between those components: in one order of all shingles,
+rare ones first, two sets as similar as SIMILAR share one of their first few (a fifth of each, plus one),
+so only sets that meet in such a prefix are candidates; the place of the shared shingle in both bounds
+what can still be shared behind it. Shingles are counted over all texts in a table of hashed counters, so
+one that stands alone is known to, and most texts have no candidate at all. Each candidate is confirmed on
+the whole sets. Where a shingle is shared by many, its sets are first compared with the one in whose
+prefix it comes first, then only across the components so found. The order decides what is compared,
+never what is linked.
 """
 
 from __future__ import annotations
@@ -27,10 +29,8 @@ from .simhash import RADIUS, components, find_links, majority
 
 #: Words of a shingle; sets with SIMILAR[0] / SIMILAR[1] or more of their union in common are linked.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Shingles are counted in one of so many documents, or in so many documents if that is more.
-SAMPLE, SAMPLE_ROWS = 16, 8192
-#: At most so many shingles, seen COMMON times or more in the sample, are put last in the order.
-MOST_COMMON, COMMON = 1 << 18, 3
+#: Shingles are counted in 2 ** TABLE_BITS counters, in RANGES parts. A counter's level is how many of LEVELS it reaches.
+TABLE_BITS, RANGES, LEVELS = 27, 64, (2, 8, 64)
 #: Shingles of a set are counted in so many buckets; a bitmap of sets takes 2 ** MOST_BITS bits at most.
 BUCKETS, MOST_BITS = 256, 27
 
@@ -57,13 +57,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
 
 
-def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set in the order (rank, hash); those not in common rank first."""
-    keep = len(h) - -(-len(h) * SIMILAR[0] // SIMILAR[1]) + 1
-    if not len(common) or not len(h):
-        return h[:keep]
-    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    return h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")[:keep]]
+def levels(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The levels of shingles' counters, two bits each in a table of 2 ** k of them; level 0 stands alone."""
+    at = h >> np.uint64(64 - (4 * len(table) - 1).bit_length())
+    return table[at >> np.uint64(2)] >> (2 * (at & np.uint64(3))).astype(np.uint8) & 3
+
+
+def prefix(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a sorted set in the order (level, hash), and their levels."""
+    order = np.argsort(level, kind="stable")[: len(h) - -(-len(h) * SIMILAR[0] // SIMILAR[1]) + 1]
+    return h[order], level[order]
 
 
 def _may_match(na, pa_, nb, pb):
@@ -96,37 +99,69 @@ def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of a sample (sorted) and their ranks; the driver sees MOST_COMMON at most."""
-    many = max(1, min(SAMPLE, rows.count() // SAMPLE_ROWS))
-    bound_batches(rows.sparkSession)
+def _counted(rows: DataFrame) -> np.ndarray:
+    """The table of levels over all texts. A task counts a set once; each part of the table is added up in one
+    task, in the memory of its counters. The driver sees the table, 2 ** TABLE_BITS / 4 bytes."""
+    part_bits = TABLE_BITS - (RANGES - 1).bit_length()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # at most a scan task's rows
         for b in batches:
-            if b.num_rows:
-                h = np.concatenate([shingles(t) for t in b.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            new = [t for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (s in seen or seen.add(s))]
+            has = [shingles(t) for t in new]
+            if not sum(map(len, has)):
+                continue
+            at, n = np.unique(np.concatenate(has) >> np.uint64(64 - TABLE_BITS), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(part_bits))
+            # gaps of sorted places are small numbers, so exchanges compress them
+            blobs = [(np.diff(at[a:z], prepend=np.uint64(k << part_bits)).astype("<u4").tobytes(), np.minimum(n[a:z], 255).astype(np.uint8).tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), *(pa.array([x[k] for x in blobs], pa.binary()) for k in (0, 1))], names=["part", "gaps", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for b in batches:
+            for k, gaps, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if k != part:
+                    if part is not None:
+                        yield packed(part, total)
+                    part, total = k, np.zeros(1 << part_bits, np.uint8)
+                at = np.cumsum(np.frombuffer(gaps, "<u4"), dtype=np.int64)
+                total[at] = np.minimum(total[at].astype(np.int32) + np.frombuffer(n, np.uint8), 255)
+        if part is not None:
+            yield packed(part, total)
+
+    def packed(part: int, total: np.ndarray) -> pa.RecordBatch:
+        level = sum((total >= least).astype(np.uint8) for least in LEVELS).reshape(-1, 4)
+        two = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([two.astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("set"), F.lit(many)) == 0).dropDuplicates(["set"]) if many > 1 else rows
-    seen = sample.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
-    got = seen.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
-    h = got.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.frexp(got.column(1).to_numpy()[order].astype(float))[1].astype(np.int8)
+    bound_batches(rows.sparkSession)
+    counted = rows.select("set", "text").mapInArrow(count, "part int, gaps binary, n binary")
+    parts = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, levels binary")
+    table = np.zeros((RANGES, 1 << (part_bits - 2)), np.uint8)
+    for r in parts.collect():  # RANGES rows
+        table[r.part] = np.frombuffer(r.levels, np.uint8)
+    return table.ravel()
 
 
-def _meetings(rows: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _meetings(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(h, set, n, pos, lead, lead_n, lead_pos): distinct sets that share shingle h of their prefixes with
     another, and of those the one where it comes first."""
     schema = "h long, set long, n int, pos int"
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # at most a scan task's rows
         for b in batches:
-            sets, made = b.column(1).to_numpy(), []
-            for k, t in enumerate(b.column(0).to_pylist()):
+            made = []
+            for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if s in seen:
+                    continue
+                seen.add(s)
                 h = shingles(t)
-                p = prefix(h, common, rank)
-                made.append((p, np.full(len(p), sets[k]), np.full(len(p), len(h), np.int32), np.arange(len(p), dtype=np.int32)))
+                p, level = prefix(h, levels(h, shared.value))
+                pos = np.flatnonzero(level)  # what stands alone meets nothing
+                made.append((p[pos], np.full(len(pos), s), np.full(len(pos), len(h), np.int32), pos.astype(np.int32)))
             if made:
                 h, *rest = (np.concatenate(c) for c in zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], names=["h", "set", "n", "pos"])
@@ -251,7 +286,7 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
 def similar_sets(rows: DataFrame) -> DataFrame:
     """(node, root) for each set of rows(set, fp, n, counts, text) that is linked to others, directly or through some."""
     close = _confirm(_by_fingerprint(rows), rows)
-    meetings = _meetings(rows, *_common(rows))
+    meetings = _meetings(rows, _counted(rows))
     star = meetings.filter(F.col("set") != F.col("lead")).filter(_may_match(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
     links = close.unionByName(_confirm(star.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")), rows, components(close)))
     roots = components(links)

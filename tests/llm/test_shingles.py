@@ -47,10 +47,11 @@ def edited(rng):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [0, G.MOST_COMMON])
-def test_stage_drops_edited_copies(spark, monkeypatch, common):
-    monkeypatch.setattr(G, "MOST_COMMON", common)
-    rows = edited(random.Random(common))
+@pytest.mark.parametrize("bits", [8, 12, G.TABLE_BITS])
+def test_stage_drops_edited_copies(spark, monkeypatch, bits):
+    """The order of shingles, however many share a counter, changes nothing."""
+    monkeypatch.setattr(G, "TABLE_BITS", bits)
+    rows = edited(random.Random(bits))
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
     got = pipe.drop_copies(spark, df, SF)
     left = brute_left(rows)
@@ -74,10 +75,26 @@ def test_prefixes_of_similar_sets_meet():
         n = int(rng.integers(1, 40))
         pool = np.unique(rng.integers(1, 1 << 63, 60, dtype=np.uint64))
         a, b = (np.sort(rng.permutation(pool[: n + 3])[:n]) for _ in range(2))
-        common = np.sort(rng.permutation(pool)[:20])
-        rank = rng.integers(1, 5, len(common)).astype(np.int8)
+        table = rng.integers(0, 256, 64, dtype=np.uint8)
         if G.similar(a, b):
-            p, q = (G.prefix(x, common, rank).tolist() for x in (a, b))
+            p, q = (G.prefix(x, G.levels(x, table))[0].tolist() for x in (a, b))
             first = next(h for h in p if h in q)
             n_a, i, n_b, j = (np.array([x]) for x in (len(a), p.index(first), len(b), q.index(first)))
             assert G._may_match(n_a, i, n_b, j)[0]
+
+
+def test_counters_cover_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "TABLE_BITS", 14)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 90))) for _ in range(150)] + ["one two three four five six"] * 9 + [None, ""]
+    rows = G.with_set(spark.createDataFrame([(t,) for t in texts], "text string").repartition(6))
+    table = G._counted(rows)
+    want = np.zeros(1 << 14, int)
+    for t in set(texts):
+        np.add.at(want, (G.shingles(t) >> np.uint64(50)).astype(int), 1)
+    h = np.arange(1 << 14, dtype=np.uint64) << np.uint64(50)
+    got = G.levels(h, table)
+    assert len(table) == 1 << 12 and (got >= sum((want >= least).astype(int) for least in G.LEVELS)).all()
+    once = np.ones(1 << 14, bool)
+    once[(G.shingles("one two three four five six") >> np.uint64(50)).astype(int)] = False
+    assert (got == sum((want >= least).astype(int) for least in G.LEVELS))[once].all()
