@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import arrow_columns, documents, field
 
 #: Pre-tokens a worker remembers, in two halves: when the newer half is full, the older is forgotten.
-MEMO = 300_000
+MEMO = 200_000
 
 
 class PerfectHash:

@@ -32,8 +32,8 @@ WINDOW, OVERLAP = 256, 32
 HIDDEN, OTHER, PAD = 8, 128, 129
 #: Bounds of the training sample: documents drawn, windows of each, characters of a window, steps and rows a step.
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_CHARS, STEPS, ROWS = 4000, 6, 112, 420, 100
-#: Windows that one pass of the network holds, and segments that one decoding does.
-PASS_ROWS, DECODE_ROWS = 1024, 1024
+#: Characters of the texts, or of one longer text, labelled at a time; windows of one pass; segments of one decoding.
+PASS_CHARS, PASS_ROWS, DECODE_ROWS = 1 << 19, 1024, 1024
 SEED = 11
 
 _TRIGGER = re.compile("[0-9@]")
@@ -391,11 +391,20 @@ def spans_of(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
 
 
 def find(params, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    at = [i for i, t in enumerate(texts) if params is not None and t]
-    more = {i: spans_of(texts[i], y, base[i]) if y.any() else [] for i, y in zip(at, label_texts(params, [texts[i] for i in at]) if at else [], strict=True)}
-    return [(b, sorted(b + more[i]) if more.get(i) else b) for i, b in enumerate(base)]
+    """(base spans, all spans) of each text. The network works on a few texts at a time, for memory's sake."""
+    out, at = [], 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= PASS_CHARS):
+            chars += len(texts[end] or "")
+            end += 1
+        part = [t or "" for t in texts[at:end]]
+        labels = label_texts(params, part) if params is not None else [None] * len(part)
+        for t, y in zip(part, labels, strict=True):
+            base = base_spans(t)
+            out.append((base, sorted(base + spans_of(t, y, base)) if y is not None and y.any() else base))
+        at = end
+    return out
 
 
 def fit(df: DataFrame, text: str = "text", ident: str = "doc_id") -> dict[str, np.ndarray] | None:
