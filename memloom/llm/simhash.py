@@ -14,20 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, discard, documents, field, join_hot, materialize, scratch
+from .common import arrow_columns, bound_batches, discard, documents, field, join_hot, materialize, numbered, scratch
 
 SEED = 42
 #: Words of a shingle; links join fingerprints that differ in at most RADIUS bits.
 SHINGLE, RADIUS = 4, 4
 #: A tile holds about a TILES-th of the fingerprints, within these bounds, and is compared in blocks.
 TILES, TILE_ROWS, BLOCK = 32, (4096, 262_144), 256
-#: Pairs of tiles are dealt to so many tasks, or one each if they are fewer.
-MOST_TASKS = 16_384
+#: Comparisons of fingerprints that make a task; a pair of tiles is never parted.
+TASK_WORK = 1 << 27
 #: From so many shingles on, votes are counted by byte histograms.
 HISTOGRAM = 1500
 
@@ -140,43 +139,54 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
 
 
 def _tiles(distinct: DataFrame, rows: int) -> DataFrame:
-    """Tiles (tile, lo, hi, least, most, fps) of about equal numbers of fingerprints that are alike in byte
-    counts; lo and hi bound the population count of each byte, least and most that of the whole."""
+    """Tiles (tile, n, lo, hi, least, most, fps) of equal numbers of fingerprints that are alike in byte counts,
+    however many partitions there are; lo and hi bound the population count of each byte, least and most
+    that of the whole."""
     size = min(TILE_ROWS[1], max(TILE_ROWS[0], -(-rows // TILES)))
-    pops = [F.bit_count(F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
-    schema = "tile long, lo array<int>, hi array<int>, least int, most int, fps binary"
+    pops = {f"p{k}": F.bit_count(F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))) for k in range(8)}
+    placed, pieces = numbered(distinct.select("fp").withColumns(pops), *pops, "fp")
+    # one row for each sort task: spark.sql.shuffle.partitions at most
+    ranked = placed.join(F.broadcast(pieces), "piece").select(F.floor((F.col("at") + F.col("before")) / size).cast("long").alias("tile"), "fp")
+    schema = "tile long, n int, lo array<int>, hi array<int>, least int, most int, fps binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        got = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        if not got:
-            return
-        fps = np.concatenate(got).astype(np.int64).view(np.uint64)
+        tile, held = None, []
+        for b in batches:
+            names, fps = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(names)) + 1):
+                if len(part) and names[part[0]] != tile:
+                    if held:
+                        yield packed(tile, held)
+                    tile, held = names[part[0]], []
+                held.append(fps[part])
+        if held:
+            yield packed(tile, held)
+
+    def packed(tile: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        fps = np.concatenate(held).astype(np.int64).view(np.uint64)
         pop = _POP[fps.view(np.uint8).reshape(-1, 8)]
         fps = fps[np.lexsort((fps, *pop.T[::-1]))]
-        # a range that is a little over the size is one larger tile, not a full and a dwarf one
-        for k, tile in enumerate(np.array_split(fps, max(1, round(len(fps) / size)))):
-            lo, hi = _boxes(tile, np.array([0]))
-            whole = np.bitwise_count(tile)
-            cols = [[(part << 32) + k], lo.tolist(), hi.tolist(), [int(whole.min())], [int(whole.max())], [tile.tobytes()]]
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tile", "lo", "hi", "least", "most", "fps"])
+        lo, hi = _boxes(fps, np.array([0]))
+        whole = np.bitwise_count(fps)
+        cols = [[int(tile)], [len(fps)], lo.tolist(), hi.tolist(), [int(whole.min())], [int(whole.max())], [fps.tobytes()]]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tile", "n", "lo", "hi", "least", "most", "fps"])
 
     bound_batches(distinct.sparkSession)
-    return distinct.select("fp").repartitionByRange(max(1, -(-rows // size)), *pops, F.col("fp")).mapInArrow(pack, schema)
+    return ranked.repartition("tile").sortWithinPartitions("tile").mapInArrow(pack, schema)
 
 
 def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """(pair, a, b), a <= b: the pairs of tiles whose population counts allow a link.
+    """(pair, a, b, work), a <= b: the pairs of tiles whose population counts allow a link.
 
-    Tiles meet on the whole population counts they span, widened by the radius on one side; the bounds
-    by byte decide.
+    Tiles meet on the least whole population count that both span, widened by the radius on one side; the
+    bounds by byte decide.
     """
-    box = tiles.select("tile", "lo", "hi", "least", "most")
-    side = lambda x, wide: box.select(F.col("tile").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.explode(F.sequence(F.col("least") - wide, F.col("most") + wide)).alias("count"))
+    box = tiles.select("tile", "n", "lo", "hi", "least", "most")
+    side = lambda x, wide: box.select(F.col("tile").alias(x), F.col("n").cast("long").alias(f"n_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), (F.col("least") - wide).alias(f"least_{x}"), F.explode(F.sequence(F.col("least") - wide, F.col("most") + wide)).alias("count"))
     gaps = [F.greatest(F.col("lo_a")[k] - F.col("hi_b")[k], F.col("lo_b")[k] - F.col("hi_a")[k], F.lit(0)) for k in range(8)]
-    near = side("a", radius).join(side("b", 0), "count").filter("a <= b").filter(sum(gaps[1:], gaps[0]) <= radius)
-    return near.select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id())
+    near = side("a", radius).join(side("b", 0), "count").filter("a <= b AND count = greatest(least_a, least_b)").filter(sum(gaps[1:], gaps[0]) <= radius)
+    return near.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("work")).withColumn("pair", F.monotonically_increasing_id())
 
 
 def find_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -211,7 +221,9 @@ def find_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(links[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in links], names=["u", "v"])
 
-    dealt = work.repartition(max(1, min(pairs.count(), MOST_TASKS)), "pair").sortWithinPartitions("pair", "side")
+    many, comparisons = pairs.agg(F.count(F.lit(1)), F.sum("work")).first()
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, (comparisons or 0) // TASK_WORK)
+    dealt = work.repartition(max(1, min(many, tasks)), "pair").sortWithinPartitions("pair", "side")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -220,16 +232,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes; each step only keeps a node's
     least neighbour and moves the other neighbours to it, so no neighbourhood is gathered in a task;
-    a node with very many neighbours is joined by broadcast.
+    the joins on a node are plain ones of small rows, which adaptive execution splits where they are skewed.
     """
     now = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = materialize(join_hot(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = join_hot(large, least, "u")
+        joined = large.join(least, "u")
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = materialize(small.select("e.*").filter("u > v").distinct())
         got = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 32))).first()
