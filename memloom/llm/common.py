@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
+#: Rows of a block of row_blocks are 2 ** BLOCK_BITS; so many blocks are broadcast at once (about a kilobyte each).
+BLOCK_BITS, MOST_BLOCKS = 12, 1 << 15
+
 
 def hide(df: DataFrame, **needs: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with the columns named in needs under their keys and all others under names no operator uses,
@@ -79,3 +82,42 @@ def field(name: str, kind: T.DataType, nullable: bool = True) -> T.StructField:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_BLOCK = f"shiftright(row, {BLOCK_BITS})"
+_WORD = f"cast(shiftright(row, 6) & {(1 << BLOCK_BITS - 6) - 1} AS int)"
+_BIT = "cast(row & 63 AS int)"
+
+
+def row_blocks(kept: DataFrame) -> DataFrame:
+    """kept(row) as a written table (block, words) of bitmaps, one row for each block of row numbers."""
+    bits = kept.groupBy(F.expr(_BLOCK).alias("block"), F.expr(_WORD).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {_BIT})")).alias("bits"))
+    return materialize(bits.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words")))
+
+
+def rows_in(df: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of df, a written table, whose row is in blocks; the bitmaps go to the scan, so no row moves.
+
+    Row numbers come from monotonically_increasing_id, so they rise within each file. Where there are more
+    than MOST_BLOCKS blocks, as many scans as needed each read a range of row numbers (other files are
+    skipped by their statistics) with the blocks of that range.
+    """
+
+    def scan(rows: DataFrame, some: DataFrame) -> DataFrame:
+        hit = f"(shiftrightunsigned(try_element_at(words, {_WORD}), {_BIT}) & 1) = 1"
+        return rows.withColumn("block", F.expr(_BLOCK)).join(F.broadcast(some), "block").filter(hit).select(df.columns)
+
+    parts = -(-blocks.count() // MOST_BLOCKS)
+    if parts <= 1:
+        return scan(df, blocks)
+    at = [k / parts for k in range(1, parts)]
+    cuts = sorted(set(blocks.agg(F.percentile_approx("block", at, 100 * parts)).first()[0]))
+    out = None
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        rows, some = df, blocks
+        if lo is not None:
+            rows, some = rows.filter(F.col("row") >= lo << BLOCK_BITS), some.filter(F.col("block") >= lo)
+        if hi is not None:
+            rows, some = rows.filter(F.col("row") < hi << BLOCK_BITS), some.filter(F.col("block") < hi)
+        out = scan(rows, some) if out is None else out.unionByName(scan(rows, some))
+    return out

@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bound_batches, field, hide, join_hot, materialize, scratch
+from .common import arrow_columns, bound_batches, field, hide, join_hot, materialize, row_blocks, rows_in, scratch
 from .simhash import RADIUS, components, find_links, majority
 
 #: Words of a shingle; sets with SIMILAR[0] / SIMILAR[1] or more of their union in common are linked.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Shingles are counted in 2 ** TABLE_BITS counters, in RANGES parts. A counter's level is how many of LEVELS it reaches.
 TABLE_BITS, RANGES, LEVELS = 27, 64, (2, 8, 64)
-#: Shingles of a set are counted in so many buckets; a bitmap of sets takes 2 ** MOST_BITS bits at most.
-BUCKETS, MOST_BITS = 256, 27
+#: Shingles of a set are counted in so many buckets; a Bloom filter of sets takes 2 ** MOST_BITS bits at most.
+BUCKETS, MOST_BITS, PROBES = 256, 27, 4
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -145,8 +145,8 @@ def _counted(rows: DataFrame) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, set, n, pos, lead, lead_n, lead_pos): distinct sets that share shingle h of their prefixes with
-    another, and of those the one where it comes first."""
+    """(h, set, n, pos, lead, lead_n, lead_pos, many): distinct sets that share shingle h of their prefixes with
+    another, of those the one where it comes first, and whether they are more than two."""
     schema = "h long, set long, n int, pos int"
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -180,13 +180,13 @@ def _meetings(rows: DataFrame, table: np.ndarray) -> DataFrame:
             h, sets, n, pos = (x[one] for x in (h, sets, n, pos))
             start = _groups(h)
             size = np.diff(np.r_[start, len(h)])
-            several, lead = np.repeat(size > 1, size), np.repeat(start, size)
+            several, many, lead = np.repeat(size > 1, size), np.repeat(size > 2, size), np.repeat(start, size)
             if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (h, sets, n, pos, sets[lead], n[lead], pos[lead])], names=["h", "set", "n", "pos", "lead", "lead_n", "lead_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (h, sets, n, pos, sets[lead], n[lead], pos[lead], many)], names=["h", "set", "n", "pos", "lead", "lead_n", "lead_pos", "many"])
 
     bound_batches(rows.sparkSession)
     sorted_ = rows.select("text", "set").mapInArrow(emit, schema).repartition(F.col("h")).sortWithinPartitions("h")
-    return materialize(sorted_.mapInArrow(meet, f"{schema}, lead long, lead_n int, lead_pos int"))
+    return materialize(sorted_.mapInArrow(meet, f"{schema}, lead long, lead_n int, lead_pos int, many boolean"))
 
 
 def _may_be_similar(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -214,23 +214,29 @@ def _may_be_similar(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None)
 def _whole(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set, has): the shingles of each set in pairs (u, v).
 
-    Texts are filtered where they are by a bitmap of the sets' hashes, so others do not cross the network;
-    beyond MOST_BITS all do.
+    Texts are filtered where they are by a Bloom filter of the sets' hashes, sixteen bits a set, so few
+    others cross the network; beyond MOST_BITS all do.
     """
     need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct())
     bits, many = 10, need.count()
     while 1 << bits < 16 * many:
         bits += 1
     bitmap = np.zeros(1 << bits >> 3, np.uint8) if bits <= MOST_BITS else None
+
+    def places(sets: np.ndarray) -> list[np.ndarray]:
+        """Each set's PROBES bits, from the two halves of its hash."""
+        low, high = sets & 0xFFFFFFFF, sets >> 32 & 0xFFFFFFFF
+        return [low + k * high & (1 << bits) - 1 for k in range(PROBES)]
+
     if bitmap is not None:
-        at = need.select(F.col("set").bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).toArrow().column(0).to_numpy()
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for at in places(need.toArrow().column(0).to_numpy()):
+            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if bitmap is not None:
-                at = b.column(0).to_numpy() & ((1 << bits) - 1)
-                b = b.filter(pa.array(bitmap[at >> 3] >> (at & 7) & 1 == 1))
+                hits = [bitmap[at >> 3] >> (at & 7) & 1 for at in places(b.column(0).to_numpy())]
+                b = b.filter(pa.array(np.bitwise_and.reduce(hits) == 1))
             if b.num_rows:
                 has = pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), has], names=["set", "has"])
@@ -254,7 +260,8 @@ def _confirm(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None = None)
 
 
 def _across(meetings: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): pairs of sets that meet, may be similar and are in different components (node, root)."""
+    """(u, v): pairs of sets that meet, may be similar and are in different components (node, root). Where
+    only two meet, one is the lead, and they have been compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, sets, n, pos, root in _by_shingle(batches):
@@ -268,7 +275,7 @@ def _across(meetings: DataFrame, roots: DataFrame) -> DataFrame:
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[hit], sets[i])), pa.array(np.maximum(sets[hit], sets[i]))], names=["u", "v"])
 
-    named = meetings.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("h", "set", "n", "pos", F.coalesce("root", "set").alias("root"))
+    named = meetings.filter("many").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("h", "set", "n", "pos", F.coalesce("root", "set").alias("root"))
     return named.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "u long, v long")
 
 
@@ -319,5 +326,5 @@ def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text
         found = similar_sets(made.select("set", "fp", "n", "counts", "text"))
         member = made.select("row", "ident", "set").join(found, F.col("set") == F.col("node"), "left")
         first = F.min(F.struct(F.col("ident").isNull().alias("last"), "ident", "row"))["row"].alias("row")
-        best = keep(materialize(member.groupBy(F.coalesce("root", "set").alias("root")).agg(first).select("row")))
-    return show(made.join(best, "row", "left_semi"))
+        best = member.groupBy(F.coalesce("root", "set").alias("root")).agg(first).select("row")
+        return show(rows_in(made, keep(row_blocks(best))))

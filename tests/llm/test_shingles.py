@@ -6,9 +6,11 @@ import re
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_llm import DOCS, ODD
 
 import corpus_pipeline as pipe
+import memloom.llm.common as C
 import memloom.llm.shingles as G
 
 
@@ -98,3 +100,15 @@ def test_counters_cover_all_texts(spark, monkeypatch):
     once = np.ones(1 << 14, bool)
     once[(G.shingles("one two three four five six") >> np.uint64(50)).astype(int)] = False
     assert (got == sum((want >= least).astype(int) for least in G.LEVELS))[once].all()
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 15])
+def test_rows_in_blocks(spark, monkeypatch, most):
+    """Rows kept by bitmaps are those kept by a set, in one scan or several, with whole, partly kept and empty blocks."""
+    monkeypatch.setattr(C, "MOST_BLOCKS", most)
+    made = C.materialize(spark.range(30_000, numPartitions=3).withColumn("row", F.monotonically_increasing_id()))
+    keep = "id % 7 = 0 OR id < 5000 OR id % 64 = 63 AND id < 20000 OR id = 29999"
+    for law in (keep, "id > 25000", "false"):
+        want = sorted(r.id for r in made.filter(law).collect())
+        got = C.rows_in(made, C.row_blocks(made.filter(law).select("row")))
+        assert got.columns == made.columns and sorted(r.id for r in got.collect()) == want
