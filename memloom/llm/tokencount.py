@@ -43,7 +43,7 @@ def safe_parts(text: str, pairs: set[tuple[str, str]], size: int = PART_CHARS) -
     return [*out, text[start:]] if start < n or not out else out
 
 
-def piece_counter(model: bytes) -> Callable[[list[str]], list[int]]:
+def piece_counter(model: bytes, size: int = PART_CHARS) -> Callable[[list[str]], list[int]]:
     """Counts of a sentencepiece model, without begin and end.
 
     Texts are cut only for models that merge pieces, take characters as they are and keep all blanks, and
@@ -70,7 +70,7 @@ def piece_counter(model: bytes) -> Callable[[list[str]], list[int]]:
             return _in_batches(lengths, texts)
         parts, owner, extra = [], [], []
         for i, t in enumerate(texts):
-            for k, part in enumerate(safe_parts(t, pairs) if len(t) > PART_CHARS else [t]):
+            for k, part in enumerate(safe_parts(t, pairs, size) if len(t) > size else [t]):
                 parts.append(LEAD + part if k else part)
                 owner.append(i)
                 extra.append(lead if k else 0)
