@@ -1,8 +1,9 @@
 """Topic graph operators over nodes and directed edges (dependency -> dependent).
 
-The graph holds topics, not memories: one row for each topic or link. Closures hold one row for each
-connected pair of topics and double their reach in each round, so a path of n links takes log2(n) rounds;
-order-dependent insertion runs in one task for each graph.
+The graph holds topics, not memories: one row for each topic or link. Reachability, whose result is all connected
+pairs, doubles its reach in each round. Orders, layers and the test for cycles hold one row for each link: every
+topic follows one link upwards, the lengths of these paths come from doubling jumps, and topics change to a
+better link until none is left. Insertion in order is a fold only where links may close cycles.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_strength, hash_embedding, infer_edge_type
-from ..functions.vectors import clamp01, cosine_or_null
+from ..functions.vectors import clamp01
 from ..schema import EDGE_STRENGTH
-from ..tables import checked_broadcast, materialize, scratch
+from ..tables import BROADCAST_BYTES, checked_broadcast, discard, is_small, join_hot, materialize, scratch
+from .retrieval import nearest
 
 MAX_HOPS = 64
 FEEDBACK_STEP, REGULARISE = 0.1, 0.15
@@ -42,23 +44,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _closure(links: DataFrame) -> DataFrame:
-    """(src, dst, hops, longest): a row for each pair that a path of links(src, dst) connects, with the hops of the
-    shortest path and, if the links hold no cycle, of the longest. A round joins the pairs with themselves; it
-    ends when no pair is new and no path better."""
-    one = F.lit(1).cast("long")
+    """(src, dst, hops): a row for each pair that a path of links(src, dst) connects, with the hops of the shortest
+    one. A round joins the pairs with themselves; it ends when no pair is new and no path shorter."""
     with scratch() as keep:
-        now = materialize(links.select("src", "dst").distinct().withColumns({"hops": one, "longest": one}))
+        now = materialize(links.select("src", "dst").distinct().withColumn("hops", F.lit(1).cast("long")))
         state = None
         while True:
-            cyclic = F.max((F.col("src") == F.col("dst")).cast("int")) == 1
-            got = now.agg(F.count(F.lit(1)), F.sum("hops"), F.when(~cyclic, F.sum("longest"))).first()
+            got = now.agg(F.count(F.lit(1)), F.sum("hops")).first()
             if got == state or not got[0]:
                 return keep(now)
             state = got
-            onward = now.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("hops").alias("h"), F.col("longest").alias("l"))
-            joined = now.join(onward, "dst").select("src", F.col("end").alias("dst"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("longest") + F.col("l")).alias("longest"))
-            # on a cycle the longest path has no end, so it stops at a bound that no topic graph reaches
-            now = materialize(now.unionByName(joined).groupBy("src", "dst").agg(F.min("hops").alias("hops"), F.least(F.max("longest"), F.lit(1 << 40)).alias("longest")))
+            onward = now.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("hops").alias("h"))
+            joined = now.join(onward, "dst").select("src", F.col("end").alias("dst"), (F.col("hops") + F.col("h")).alias("hops"))
+            now = materialize(now.unionByName(joined).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -70,20 +68,61 @@ def reachability(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     reaches itself."""
     e = active(edges)
     own = _ends(e).select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).cast("long").alias("hops"))
-    return own.unionByName(_closure(e).drop("longest").filter((F.col("hops") <= max_hops) & (F.col("src") != F.col("dst"))))
+    return own.unionByName(_closure(e).filter((F.col("hops") <= max_hops) & (F.col("src") != F.col("dst"))))
+
+
+def _followed(nodes: DataFrame, up: DataFrame, few: bool) -> DataFrame:
+    """(node_id, level): how many links of up(node_id, up), one for each node at most, lead to a node without one;
+    null if they lead to a cycle. Jumps double in each round."""
+    now = materialize(nodes.join(F.broadcast(up) if few else up, "node_id", "left").select("node_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level")))
+    rounds = nodes.count().bit_length() + 1
+    for _ in range(rounds):
+        going = now.filter("up IS NOT NULL")
+        if not going.limit(1).count():
+            break
+        onward = now.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+        joined = going.join(F.broadcast(onward), "up") if few else join_hot(going, onward, "up")
+        after = materialize(now.filter("up IS NULL").unionByName(joined.select("node_id", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level"))))
+        discard(now)
+        now = after
+    return now.select("node_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node_id, level) of all ends of edges(src, dst): the longest path that leads there, null for nodes on a cycle or
+    behind one.
+
+    Every node follows one link; a node changes to a link whose start lies deeper, until none does. Then no path is
+    longer than the one followed, and a cycle cannot have been missed, as each of its nodes would lie deeper than
+    the next. Nodes follow the start with most links into it first, a guess at the deepest. A round takes a row for
+    each link and, log2(nodes) times, a row for each node.
+    """
+    e = materialize(edges.select("src", "dst").distinct())
+    nodes = materialize(_ends(e))
+    few = is_small(nodes, size=BROADCAST_BYTES // 4)
+
+    def deepest(level: DataFrame) -> DataFrame:
+        at = level.select(F.col("node_id").alias("src"), F.struct(F.col("level").isNull().alias("endless"), "level", F.col("node_id").alias("up")).alias("best"))
+        met = e.join(F.broadcast(at), "src") if few else join_hot(e, at, "src")
+        return met.groupBy(F.col("dst").alias("node_id")).agg(F.max("best").alias("best"))
+
+    guess = nodes.join(e.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("level")), "node_id", "left").fillna(0, ["level"])
+    up = materialize(deepest(guess).select("node_id", "best.up"))
+    while True:
+        level = materialize(_followed(nodes, up, few))
+        better = deepest(level).join(level, "node_id").filter("level IS NOT NULL AND (best.endless OR best.level + 1 > level)")
+        better = materialize(better.select("node_id", F.col("best.up").alias("_up")))
+        if not better.limit(1).count():
+            return level
+        changed = up.join(F.broadcast(better) if few else better, "node_id", "left").select("node_id", F.coalesce("_up", "up").alias("up"))
+        discard(level)
+        up = materialize(changed)
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node_id, level): the longest path from a root, a topological order; nodes on a cycle or behind one have
     no row."""
-    e, near = active(edges).select("src", "dst").distinct(), _closure(active(edges))
-    cyclic, every = near.filter("src = dst").select("src"), _ends(e)
-    if cyclic.limit(1).count():
-        behind = cyclic.union(near.join(cyclic, "src", "left_semi").select("dst")).distinct()
-        every = every.join(behind.withColumnRenamed("src", "node_id"), "node_id", "left_anti")
-        near = _closure(e.join(behind.withColumnRenamed("src", "dst"), "dst", "left_anti"))
-    deepest = near.groupBy(F.col("dst").alias("node_id")).agg(F.max("longest").alias("level"))
-    return every.join(deepest, "node_id", "left").fillna(0, ["level"])
+    return depths(active(edges)).filter("level IS NOT NULL")
 
 
 def layout(edges: DataFrame, x_step: float = 196.0, y_step: float = 96.0) -> DataFrame:
@@ -96,7 +135,7 @@ def layout(edges: DataFrame, x_step: float = 196.0, y_step: float = 96.0) -> Dat
 
 def is_acyclic(edges: DataFrame) -> DataFrame:
     """One row (is_dag): whether no path of active edges returns to its start."""
-    return _closure(active(edges)).filter("src = dst").agg((F.count(F.lit(1)) == 0).alias("is_dag"))
+    return depths(active(edges)).agg((F.count_if(F.col("level").isNull()) == 0).alias("is_dag"))
 
 
 def neighbours(edges: DataFrame, depth: int = 1, strength_min: float = 0.0, types=None, direction: str = "out") -> DataFrame:
@@ -184,11 +223,10 @@ def bump_interactions(edges: DataFrame, used: DataFrame, order: str = "edge_id")
 
 def coarse_links(new: DataFrame, nodes: DataFrame, k: int = 4) -> DataFrame:
     """(src, dst, similarity, type, strength): links from existing nodes to new(node_id, emb, root_id), the k
-    most similar other than itself, main and its own versions."""
-    cand = new.select(F.col("node_id").alias("dst"), F.col("emb").alias("_e"), F.col("root_id").alias("_root")).join(checked_broadcast(nodes.select(F.col("node_id").alias("src"), "emb", "root_id")))
-    cand = cand.filter((F.col("src") != F.col("dst")) & (F.col("src").cast("string") != "main") & ~F.col("root_id").eqNullSafe(F.col("_root")))
-    cand = cand.withColumn("similarity", F.round(F.coalesce(cosine_or_null(F.col("_e"), F.col("emb")), F.lit(0.0)), 9))
-    top = cand.withColumn("_r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("similarity"), "src"))).filter(F.col("_r") <= k)
+    most similar other than itself, main and its own versions, found by blocks of vectors."""
+    asked = new.select(F.col("node_id").alias("query_id"), F.col("emb").alias("q_emb"), F.col("root_id").alias("root"))
+    there = nodes.filter(F.col("node_id").cast("string") != "main").select(F.col("node_id").alias("memory_id"), F.col("node_id").alias("seq"), "emb", F.col("root_id").alias("root"))
+    top = nearest(asked, there, k, differ="root").select(F.col("memory_id").alias("src"), F.col("query_id").alias("dst"), F.col("cos").alias("similarity"))
     kind = infer_edge_type(F.col("similarity"))
     return top.select("src", "dst", "similarity", kind.alias("type"), base_strength(kind).alias("strength"))
 
@@ -212,10 +250,49 @@ def hash_embedded(df: DataFrame, text: str = "topic", name: str = "emb", dim: in
     return df.withColumn(name, hash_embedding(F.col(text), dim))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node_id, component): the least node that links(src, dst), taken both ways, connect each of their ends with.
+    Every node takes the least label around it and then its label's own, until nothing changes."""
+    both = materialize(links.select("src", "dst").union(links.select("dst", "src")).distinct())
+    now = materialize(both.groupBy(F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    while True:
+        label = now.select(F.col("node_id").alias("dst"), "component")
+        around = join_hot(both, label, "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("_around"))
+        lower = materialize(now.join(around, "node_id").select("node_id", F.col("component").alias("_old"), F.least("component", "_around").alias("component")))
+        jump = lower.select(F.col("node_id").alias("component"), F.col("component").alias("_jump"))
+        after = materialize(join_hot(lower, jump, "component").select("node_id", "_old", F.least("component", "_jump").alias("component")))
+        discard(now)
+        if not after.filter("component != _old").limit(1).count():
+            return after.select("node_id", "component")
+        now = after
+
+
 def insert_edges(arrivals: DataFrame, graph: str = "graph_id") -> DataFrame:
     """arrivals(graph, seq, src, dst, type) inserted one after another: an edge that closes a cycle becomes an
-    inactive reference of strength 0; an edge that exists already only updates it. One task holds one graph,
-    whose links are bounded by its topics; graphs are independent."""
+    inactive reference of strength 0; an edge that exists already only updates it.
+
+    Only edges between nodes that have a cycle of arrivals both before and behind them can close one; all others
+    are taken as they are, by grouping. What may close cycles is folded in order, one task for each connected
+    part of it: which edges of such a part stay depends on all before (keeping edges in order while they close
+    no cycle is complete for polynomial time, so no way to split it further is known)."""
+    key = lambda c: F.concat(F.octet_length(F.col(graph).cast("string")).cast("string"), F.lit(":"), F.col(graph).cast("string"), F.col(c).cast("string"))
+    rows = materialize(arrivals.select(graph, "seq", "src", "dst", "type", key("src").alias("_s"), key("dst").alias("_d")))
+    links = rows.select(F.col("_s").alias("src"), F.col("_d").alias("dst")).distinct()
+    behind = depths(links).filter("level IS NULL").select("node_id")
+    core = materialize(links.join(behind.withColumnRenamed("node_id", "src"), "src", "left_semi"))
+    before = depths(core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("level IS NULL").select("node_id")
+    core = materialize(core.join(before.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))
+    part = components(core) if core.limit(1).count() else core.select(F.col("src").alias("node_id"), F.col("src").alias("component"))
+    at = core.join(part.withColumnRenamed("node_id", "src"), "src").select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "component")
+    rows = rows.join(at, ["_s", "_d"], "left").drop("_s", "_d")
+    free = rows.filter("component IS NULL").groupBy(graph, "src", "dst", "type").agg(F.min("seq").alias("seq"), (F.count(F.lit(1)) - 1).alias("updates"))
+    strength = F.coalesce(*[F.when(F.col("type") == t, F.lit(x)) for t, x in EDGE_STRENGTH.items()], F.lit(0.3))
+    free = free.select(graph, "src", "dst", "type", strength.alias("strength"), F.lit("active").alias("status"), "updates", "seq")
+    return free.unionByName(_folded_edges(rows.filter("component IS NOT NULL"), graph))
+
+
+def _folded_edges(arrivals: DataFrame, graph: str) -> DataFrame:
+    """arrivals with a component, whose edges are inserted one after another."""
     import pandas as pd
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +323,7 @@ def insert_edges(arrivals: DataFrame, graph: str = "graph_id") -> DataFrame:
 
     kinds = dict(arrivals.dtypes)
     schema = f"{graph} {kinds[graph]}, src {kinds['src']}, dst {kinds['dst']}, type string, strength double, status string, updates long, seq {kinds['seq']}"
-    return arrivals.select(graph, "seq", "src", "dst", "type").groupBy(graph).applyInPandas(fold, schema)
+    return arrivals.select(graph, "seq", "src", "dst", "type", "component").groupBy("component").applyInPandas(fold, schema)
 
 
 def rejected_edges(edges: DataFrame, node=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -218,6 +219,38 @@ def paired_bootstrap(diffs: DataFrame, keys: list[str], n_boot: int = N_BOOT, se
     return diffs.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Draws that one digest serves, 32 bits each; how often a row is drawn is Poisson(1), up to 11 times.
+LANES = 4
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)]
+
+
+def hashed_bootstrap(diffs: DataFrame, keys: list[str], n_boot: int = N_BOOT, seed: int = SEED, digits: int = 9) -> DataFrame:
+    """keys plus delta, ci_low, ci_high, p and n of diffs(keys, episode_id, diff), at any number of episodes.
+
+    How often draw b takes an episode is Poisson(1), told by a digest of (seed, b, episode_id) alone: tasks add up
+    the draws of the rows they hold, in any order, and only n_boot sums a comparison move. A draw's mean is over
+    what it takes, 0 if that is nothing, rounded. The interval's ends and p are those of bootstrap(); a comparison
+    of one episode is its own interval. Null diffs count as 0."""
+    rows = diffs.select(*keys, "episode_id", F.coalesce("diff", F.lit(0.0)).alias("diff"))
+    drawn = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // LANES) - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col("episode_id").cast("string")).cast("binary"))
+    lane = lambda i: F.conv(F.substring(F.col("digest"), 8 * i + 1, 8), 16, 10).cast("long")
+    taken = lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    drawn = drawn.withColumn("digest", digest).select(*keys, "block", "diff", *[lane(i).alias(f"u{i}") for i in range(LANES)])
+    drawn = drawn.select(*keys, "block", "diff", *[taken(F.col(f"u{i}")).alias(f"w{i}") for i in range(LANES)])
+    sums = drawn.groupBy(*keys, "block").agg(*[F.sum(F.col("diff") * F.col(f"w{i}")).alias(f"s{i}") for i in range(LANES)], *[F.sum(f"w{i}").alias(f"n{i}") for i in range(LANES)])
+    each = F.explode(F.array(*[F.struct((F.col("block") * LANES + i).alias("draw"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").alias("n")) for i in range(LANES)]))
+    means = sums.select(*keys, each.alias("d")).filter(F.col("d.draw") < n_boot).select(*keys, F.round(F.coalesce(F.when(F.col("d.n") > 0, F.col("d.s") / F.col("d.n")), F.lit(0.0)), digits).alias("mean"))
+    ordered = F.array_sort(F.collect_list("mean"))  # n_boot of them
+    tail = F.least(F.count_if(F.col("mean") <= 0), F.count_if(F.col("mean") >= 0))
+    ends = means.groupBy(*keys).agg(ordered.alias("m"), F.least(F.lit(1.0), 2 * tail / n_boot).alias("p"))
+    ends = ends.select(*keys, F.get("m", F.lit(int(0.025 * n_boot))).alias("low"), F.get("m", F.lit(min(n_boot - 1, int(0.975 * n_boot)))).alias("high"), "p")
+    stats = rows.groupBy(*keys).agg(F.round(F.avg("diff"), digits).alias("delta"), F.count(F.lit(1)).alias("n"))
+    one = F.col("n") < 2
+    out = stats.join(ends, keys)
+    return out.select(*keys, "delta", F.when(one, F.col("delta")).otherwise(F.col("low")).alias("ci_low"), F.when(one, F.col("delta")).otherwise(F.col("high")).alias("ci_high"), F.when(one, F.lit(1.0)).otherwise(F.col("p")).alias("p"), "n")
+
+
 def dim_diagnostics(scored: DataFrame, dims: list[str]) -> DataFrame:
     """(dim, min, max, mean, std, n_unique) of score columns."""
     long = scored.select(*dims).unpivot([], dims, "dim", "value")

@@ -10,18 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalise
-from ..tables import checked_broadcast, materialize
+from ..tables import checked_broadcast, materialize, met
+from . import text_index
+from .text_index import DIGITS, rounded
 
-K1, B, RRF = 1.5, 0.75, 60
-#: Ranking keys are rounded, so that the order of additions cannot swap near ties.
-DIGITS = 9
+RRF = 60
 #: Vectors of a block: one matrix product compares a block of queries with a block of memories.
 QUERY_BLOCK, POOL_BLOCK = 1024, 4096
 
@@ -61,11 +59,6 @@ def with_cosine(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """Half away from zero, as SQL rounds."""
-    return np.copysign(np.floor(np.abs(x) * 10**DIGITS + 0.5) / 10**DIGITS, x) + 0.0
-
-
 def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows (<tag>_ids, <tag>_<more>..., <tag>_dim, <tag>_m) of up to `size` vectors at unit length, packed where
     they are. Missing, zero and odd-sized vectors are zero vectors."""
@@ -91,14 +84,16 @@ def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple
     return df.select(*[c for _, c in lists], vec).mapInArrow(run, schema)
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, k: int, differ: str | None = None) -> DataFrame:
     """(query_id, memory_id, seq, cos, rank): the k memories most similar to each query, exactly.
 
     Blocks of queries meet blocks of memories, each pair in one matrix product that keeps k rows a query;
-    the queries' blocks are broadcast if seen to be few.
+    the queries' blocks are broadcast if seen to be few. differ names a column of both: a query leaves out
+    memories of its own value (nulls are one) and of its own id.
     """
-    q = blocks(queries, "query_id", "q_emb", QUERY_BLOCK, "q")
-    m = blocks(pool, "memory_id", "emb", POOL_BLOCK, "m", ("seq",))
+    more = (differ,) if differ else ()
+    q = blocks(queries, "query_id", "q_emb", QUERY_BLOCK, "q", more)
+    m = blocks(pool, "memory_id", "emb", POOL_BLOCK, "m", ("seq", *more))
     keep = k + 1 if _itself(queries) else k  # one more, as a query leaves itself out
     kinds = [dict(zip(d.columns, (f.dataType for f in d.schema), strict=True))[c] for d, c in ((queries, "query_id"), (pool, "memory_id"), (pool, "seq"))]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "memory_id", "seq"), kinds, strict=True)] + [T.StructField("cos", T.DoubleType())])
@@ -109,19 +104,23 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
                 row = b.slice(r, 1).to_pylist()[0]
                 n_q, n_m = len(row["q_ids"]), len(row["m_ids"])
                 a, c = (np.frombuffer(row[f"{t}_m"]).reshape(n, -1) for t, n in (("q", n_q), ("m", n_m)))
-                cos = _rounded(a @ c.T) if row["q_dim"] == row["m_dim"] else np.zeros((n_q, n_m))
-                seq = np.asarray(row["m_seq"])
+                cos = rounded(a @ c.T) if row["q_dim"] == row["m_dim"] else np.zeros((n_q, n_m))
+                if differ:
+                    same = lambda x, y: np.array(x, object)[:, None] == np.array(y, object)
+                    cos[same(row[f"q_{differ}"], row[f"m_{differ}"]) | same(row["q_ids"], row["m_ids"])] = -np.inf
+                place = np.argsort(np.argsort(np.array(row["m_seq"], object) if isinstance(row["m_seq"][0], str) else np.array(row["m_seq"]), kind="stable"))
                 at = [[], []]
                 for i in range(n_q):
                     s = cos[i]
                     some = np.flatnonzero(s >= np.partition(s, n_m - keep)[n_m - keep]) if n_m > keep else np.arange(n_m)
-                    best = some[np.lexsort((seq[some], -s[some]))[:keep]]
+                    best = some[np.lexsort((place[some], -s[some]))[:keep]]
+                    best = best[s[best] > -np.inf]
                     at[0] += [i] * len(best)
                     at[1] += best.tolist()
-                cols = [[row["q_ids"][i] for i in at[0]], [row["m_ids"][j] for j in at[1]], seq[at[1]].tolist(), cos[at[0], at[1]].tolist()]
+                cols = [[row["q_ids"][i] for i in at[0]], [row["m_ids"][j] for j in at[1]], [row["m_seq"][j] for j in at[1]], cos[at[0], at[1]].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (b.schema.field("q_ids").type.value_type, b.schema.field("m_ids").type.value_type, b.schema.field("m_seq").type.value_type, pa.float64()), strict=True)], names=schema.names)
 
-    found = m.crossJoin(checked_broadcast(q, QUERY_BLOCK)).mapInArrow(run, schema)
+    found = met(m, q).mapInArrow(run, schema)
     found = found.filter(F.col("memory_id") != F.col("query_id")) if _itself(queries) else found
     return top_k(found, k, "cos")
 
@@ -144,31 +143,12 @@ def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None, parity:
     return out.withColumn("vector_score", F.col("cos"))
 
 
-def bm25_matches(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """(query_id, memory_id, seq, bm25_score) of the pairs that share a token.
-
-    Lengths are taken in the row, and only tokens that some query asks for leave it, counted; a row without
-    a token stands for each document's length. So one pass over the texts serves lengths, frequencies and
-    hits, and what moves is the postings of the queries' words.
-    """
-    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("token"))
-    asked = words.select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct()
-    docs = pool.select("memory_id", "seq", tokens(F.col("text")).alias("toks")).select("memory_id", "seq", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "toks")).alias("token"))
-    posted = docs.join(checked_broadcast(asked), "token", "left_semi").groupBy("memory_id", "seq", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    posted = posted.persist(StorageLevel.MEMORY_AND_DISK)
-    scale = posted.filter("token = ''").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    tf = posted.filter("token != ''")
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(words.join(df, "token"), "token").join(F.broadcast(scale))  # one row
-    part = F.ln(1 + F.col("n") / (1 + F.col("df"))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "memory_id", "seq").agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
-
-
-def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    """By BM25 over the visible pool. Where fewer than k share a token, memories without one follow in
-    the pool's order: they lie among the pool's first 2k + 1, so no other zero scores are formed."""
+def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """By BM25 over the visible pool, through its inverted index (built here unless given). Where fewer than k
+    share a token, memories without one follow in the pool's order: they lie among the pool's first 2k + 1, so no
+    other zero scores are formed."""
     keep = k + 1 if _itself(queries) else k
-    best = top_k(bm25_matches(queries, pool), keep, "bm25_score").drop("rank")
+    best = text_index.search(queries, index or text_index.build(pool), keep)
     head = pool.orderBy("seq").limit(2 * k + 1).select("memory_id", "seq")
     rest = pairs(queries, head).select("query_id", "memory_id", "seq", F.lit(0.0).alias("bm25_score"))
     # a memory of the head that is a hit stands in both; its hit counts, or lies behind the k best anyway
@@ -178,13 +158,67 @@ def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     return top_k(every, k, "bm25_score")
 
 
+def vector_ranks(marks: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, score, m_seq, better): how many memories come before (cos descending, m_seq) in each query's whole
+    ranking; marks(query_id, score, m_seq) are a bounded number a query. Blocks are counted where they meet."""
+    lists = marks.groupBy("query_id").agg(F.collect_list("score").alias("score"), F.collect_list("m_seq").alias("m_seq"))  # a bounded number
+    q = blocks(queries.join(lists, "query_id"), "query_id", "q_emb", QUERY_BLOCK, "q", ("score", "m_seq"))
+    m = blocks(pool, "seq", "emb", POOL_BLOCK, "m")
+    schema = T.StructType([T.StructField("query_id", marks.schema["query_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("m_seq", T.LongType()), T.StructField("better", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = b.slice(r, 1).to_pylist()[0]
+                n_q, n_m, at = len(row["q_ids"]), len(row["m_ids"]), np.array(row["m_ids"], np.int64)
+                a, c = (np.frombuffer(row[f"{t}_m"]).reshape(n, -1) for t, n in (("q", n_q), ("m", n_m)))
+                cos = rounded(a @ c.T) if row["q_dim"] == row["m_dim"] else np.zeros((n_q, n_m))
+                counts = []
+                for s, scores, seqs in zip(cos, row["q_score"], row["q_m_seq"], strict=True):
+                    scores, seqs = np.array(scores)[:, None], np.array(seqs, np.int64)[:, None]
+                    counts.append(((s > scores) | ((s == scores) & (at < seqs))).sum(1))
+                ids = [i for i, x in zip(row["q_ids"], row["q_score"], strict=True) for _ in x]
+                cols = [pa.array(ids, b.schema.field("q_ids").type.value_type), *[pa.array([v for x in row[c] for v in x], t) for c, t in (("q_score", pa.float64()), ("q_m_seq", pa.int64()))], pa.array(np.concatenate(counts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return met(m, q).mapInArrow(run, schema).groupBy("query_id", "score", "m_seq").agg(F.sum("better").alias("better"))
+
+
 def retrieve_rrf(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    """Reciprocal rank fusion of the whole BM25 and vector rankings."""
-    hits = bm25_matches(queries, pool).drop("seq")
-    both = with_cosine(queries, pool).join(hits, ["query_id", "memory_id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    ranked = top_k(top_k(both, None, "cos", rank="vector_rank"), None, "bm25_score", rank="bm25_rank")
+    """Reciprocal rank fusion of the whole BM25 and vector rankings, exactly, from the first ranks of either.
+
+    The k first of one ranking score 1 / (RRF + k) or more; what neither ranking has among its first 2k + RRF scores
+    less, so it cannot be among the k best. The ranks of those candidates in the other ranking are counted block
+    by block; no table of all pairs is formed."""
+    depth, own = 2 * k + RRF, _itself(queries)
+    index = text_index.build(pool)
+    near = materialize(nearest(queries, pool, depth).select("query_id", "memory_id", "seq", "cos", F.col("rank").alias("vector_rank")))
+    words = materialize(retrieve_bm25(queries, pool, depth, index).select("query_id", "memory_id", "seq", "bm25_score", F.col("rank").alias("bm25_rank")))
+    both = near.join(words.drop("seq"), ["query_id", "memory_id"], "full").join(words.select("query_id", "memory_id", F.col("seq").alias("_seq")), ["query_id", "memory_id"], "left")
+    both = materialize(both.withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq"))
+
+    # the scores that the other ranking gives candidates it does not hold among its first
+    no_cos, no_words = both.filter("cos IS NULL").select("query_id", "memory_id"), both.filter("bm25_score IS NULL").select("query_id", "memory_id")
+    vectors = unit(pool, "emb", "_m").select("memory_id", "_m").join(checked_broadcast(no_cos), "memory_id").join(checked_broadcast(unit(queries, "q_emb", "_q").select("query_id", "_q")), "query_id")
+    cos = vectors.select("query_id", "memory_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS).alias("_cos"))
+    both = both.join(cos, ["query_id", "memory_id"], "left").join(text_index.scores_of(no_words, queries, pool, index), ["query_id", "memory_id"], "left")
+    both = materialize(both.withColumns({"cos": F.coalesce("cos", "_cos"), "bm25_score": F.coalesce("bm25_score", "_bm25", F.lit(0.0))}).drop("_cos", "_bm25"))
+
+    asked = lambda rank, score: materialize(both.filter(F.col(rank).isNull()).select("query_id", F.col(score).alias("score"), F.col("seq").alias("m_seq")).distinct())
+    no_vector, no_word = asked("vector_rank", "cos"), asked("bm25_rank", "bm25_score")
+    found = both.join(vector_ranks(no_vector, queries, pool).select("query_id", F.col("score").alias("cos"), F.col("m_seq").alias("seq"), F.col("better").alias("_v")), ["query_id", "cos", "seq"], "left")
+    found = found.join(text_index.ranks_of(no_word, queries, index).select("query_id", F.col("score").alias("bm25_score"), F.col("m_seq").alias("seq"), F.col("better").alias("_w")), ["query_id", "bm25_score", "seq"], "left")
+    if own:  # a query's own memory, which the counts hold if it comes before
+        mine = pool.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("_own")).join(checked_broadcast(queries.select("query_id")), "query_id")
+        same = text_index.scores_of(queries.select("query_id", F.col("query_id").alias("memory_id")), queries, pool, index).select("query_id", F.col("_bm25").alias("_own_bm25"))
+        full = unit(queries, "q_emb", "_q").select("query_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_q")), F.lit(0.0)), DIGITS).alias("_own_cos"))
+        found = found.join(checked_broadcast(materialize(mine.join(same, "query_id", "left").join(full, "query_id"))), "query_id", "left")
+        ahead = lambda s, o: (F.col("_own").isNotNull() & ((o > F.col(s)) | ((o == F.col(s)) & (F.col("_own") < F.col("seq"))))).cast("long")
+        found = found.withColumns({"_v": F.col("_v") - ahead("cos", F.col("_own_cos")), "_w": F.col("_w") - ahead("bm25_score", F.coalesce("_own_bm25", F.lit(0.0)))})
+    ranked = found.withColumns({"vector_rank": F.coalesce("vector_rank", F.col("_v") + 1), "bm25_rank": F.coalesce("bm25_rank", F.col("_w") + 1)})
     fused = ranked.withColumn("rrf_score", F.round(1.0 / (RRF + F.col("bm25_rank")) + 1.0 / (RRF + F.col("vector_rank")), 12))
-    return top_k(fused.withColumn("vector_score", F.col("cos")), k, "rrf_score")
+    best = top_k(fused.select("query_id", "memory_id", "seq", "cos", "bm25_score", "bm25_rank", "vector_rank", "rrf_score"), k, "rrf_score")
+    return pool.drop("seq").join(checked_broadcast(materialize(best)), "memory_id").join(checked_broadcast(queries), "query_id").withColumn("vector_score", F.col("cos"))
 
 
 def isolated(pool: DataFrame, user_id=None, session_id=None) -> DataFrame:

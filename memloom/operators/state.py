@@ -42,12 +42,13 @@ def latency_window(log: DataFrame, key: str, order: list[str], value: str, size:
 _DOWN, _UP, CALM_WINDOWS = 1, -1, 3
 
 
-def tier_steps(latencies, tier: str = "full", budget: float = BUDGET_MS, size: int = LATENCY_WINDOW):
-    """The tier after each latency: down when the window's p90 is over budget, up after three windows in a
+def tier_fold(latencies, past=(), tier: str = "full", calm: int = 0, budget: float = BUDGET_MS, size: int = LATENCY_WINDOW):
+    """(tiers, past, tier, calm): the tier after each latency, and what a later fold goes on from: the last latencies,
+    the tier and the calm windows so far. Down when the window's p90 is over budget, up after three windows in a
     row whose p50 is under 45 % of it; nothing before the window is half full (5 at least)."""
-    x = np.asarray(latencies, float)
-    at, calm, out = TIER_ORDER.index(tier), 0, []
-    for n in range(1, len(x) + 1):
+    x = np.concatenate([np.asarray(past, float), np.asarray(latencies, float)])
+    at, out = TIER_ORDER.index(tier), []
+    for n in range(len(past) + 1, len(x) + 1):
         window = x[max(0, n - size) : n]
         if len(window) >= max(5, size // 2):
             p50, p90 = np.round(np.percentile(window, (50, 90)), 2)
@@ -57,7 +58,12 @@ def tier_steps(latencies, tier: str = "full", budget: float = BUDGET_MS, size: i
             move = {"high": _DOWN, "low": _UP if calm == CALM_WINDOWS else 0, "even": 0}[load]
             at, calm = at + move, 0 if move else calm
         out.append(TIER_ORDER[at])
-    return out
+    return out, x[-size:].tolist(), TIER_ORDER[at], calm
+
+
+def tier_steps(latencies, tier: str = "full", budget: float = BUDGET_MS, size: int = LATENCY_WINDOW):
+    """The tier after each latency of a whole run."""
+    return tier_fold(latencies, (), tier, 0, budget, size)[0]
 
 
 def tier_hysteresis(log: DataFrame, key: str, order: list[str], value: str, budget: float = BUDGET_MS) -> DataFrame:

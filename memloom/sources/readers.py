@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .files import array_elements
+from .versions import Log
 
 
 def _json(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -29,14 +31,15 @@ def read_memories(spark: SparkSession, path) -> DataFrame:
     return _defaults(_json(spark, path, S.MEMORY), empty)
 
 
-def graph_payload(spark: SparkSession, folder: str, fallback) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph that write_graph wrote, else those of the first episode of fallback (a file of
-    graph episodes, or None), else empty ones."""
+def graph_payload(spark: SparkSession, folder: str, fallback, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph that write_graph wrote, by default its last version, else those of the first
+    episode of fallback (a file of graph episodes, or None), else empty ones."""
     jvm = spark.sparkContext._jvm
     there = lambda p: (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(h)
-    if there(f"{folder}/CURRENT"):
-        version = spark.read.text(f"{folder}/CURRENT").first()[0]
-        return read_graph(spark, f"{folder}/{version}/nodes", f"{folder}/{version}/edges")
+    log = Log(spark, folder)
+    if version or log.latest():
+        at = log.read(version or log.latest())["graph"]
+        return read_graph(spark, f"{at}/nodes", f"{at}/edges")
     nodes, edges = spark.createDataFrame([], S.NODE), spark.createDataFrame([], S.EDGE)
     if fallback is not None and there(fallback):
         t = explode_episodes(read_episodes(spark, fallback, 1))
@@ -109,9 +112,10 @@ def read_metrics(spark: SparkSession, pattern, group: str | None = None, scene:
 
 
 def read_conversations(spark: SparkSession, path) -> DataFrame:
-    """(sample, session, turn, speaker, dia_id, text) of long conversations whose sessions are dynamic keys."""
-    raw = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("sample"), F.from_json("value", "array<struct<conversation:map<string,string>>>").alias("a"))
-    sessions = raw.select("sample", F.posexplode("a").alias("item", "c")).select("sample", "item", F.explode("c.conversation").alias("k", "v")).filter(F.col("k").rlike("^session_\\d+$"))
+    """(sample, item, session, turn, speaker, dia_id, text) of long conversations whose sessions are dynamic keys;
+    sample is the file, item where its object begins. Files of any size are read in ranges."""
+    raw = array_elements(spark, str(path)).select(F.col("file").alias("sample"), F.col("at").alias("item"), F.from_json("value", "struct<conversation:map<string,string>>").alias("c"))
+    sessions = raw.select("sample", "item", F.explode("c.conversation").alias("k", "v")).filter(F.col("k").rlike("^session_\\d+$"))
     turns = sessions.select("sample", "item", F.split("k", "_")[1].cast("int").alias("session"), F.posexplode(F.from_json("v", "array<struct<speaker:string,dia_id:string,text:string>>")).alias("turn", "t"))
     return turns.select("sample", "item", "session", "turn", "t.*")
 

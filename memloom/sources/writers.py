@@ -3,25 +3,32 @@ protocol makes each write all or nothing."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Log
+
 
 def write_pool(df: DataFrame, path: str) -> None:
     """The whole pool as JSON lines, once for a batch of changes (read_memories)."""
     df.write.mode("overwrite").json(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> str:
-    """Nodes and edges as JSON lines of a new version; the file CURRENT, written last, names it, so a reader
-    sees both of one version (graph_payload). Gives the version."""
-    version = uuid.uuid4().hex
-    nodes.write.json(f"{path}/{version}/nodes")
-    edges.write.json(f"{path}/{version}/edges")
-    nodes.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
-    return version
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, after: int | None = None) -> int:
+    """Nodes and edges as JSON lines of a new version, and its number (graph_payload reads the last). A commit
+    names both, so a reader sees both of one version. It fails with Conflict if the last version is not `after`
+    any more: by default the last there is when the writing begins."""
+    log = Log(nodes.sparkSession, path)
+    after = log.latest() if after is None else after
+    folder = log.fresh()
+    nodes.write.json(f"{folder}/nodes")
+    edges.write.json(f"{folder}/edges")
+    return log.commit({"graph": folder}, after)
+
+
+def retire_graphs(spark: SparkSession, path: str, keep: int) -> None:
+    """Deletes all versions of a graph but the last `keep`."""
+    Log(spark, path).retire(keep, lambda entry: [entry["graph"]])
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -11,16 +11,17 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only on a local master that names no shared folder (tests).
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 #: The HOT most frequent keys of more than HOT_ROWS rows are hot, so any key that holds more than 1 / HOT of very many rows is.
 HOT, HOT_ROWS = 256, 4096
-#: A table is broadcast only if it has been seen to hold so many rows at most.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only if it has been seen to hold so many rows, of so many bytes in all, at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -81,9 +82,39 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if a look at most + 1 of its rows shows that it has no more than most."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _size(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value) + 16
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_size(value[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _size(F.map_keys(value), T.ArrayType(kind.keyType)) + _size(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.aggregate(value, F.lit(16).cast("long"), lambda s, x: s + F.coalesce(_size(x, kind.elementType), F.lit(0)))
+        return F.size(value) * 8 + 16
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a look at rows + 1 of df's rows shows no more than rows and no more than size bytes."""
+    each = sum((F.coalesce(_size(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema), F.lit(0)).cast("long")
+    n, total = df.select(each.alias("size")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
+    return n <= rows and (total or 0) <= size
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, size: int | None = None) -> DataFrame:
+    """df, to be broadcast if it is seen to be small."""
+    return F.broadcast(df) if is_small(df, most, BROADCAST_BYTES if size is None else size) else df
+
+
+def met(big: DataFrame, small: DataFrame) -> DataFrame:
+    """Rows of big, blocks, each with every row of small: broadcast if seen to be small, else both are written and
+    meet piece by piece, so that neither is made twice."""
+    if is_small(small):
+        return big.crossJoin(F.broadcast(small))
+    return materialize(big).crossJoin(materialize(small))
 
 
 def join_hot(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
