@@ -668,6 +668,6 @@ def status_report(v):
     return n.join(graph.degrees(v.edges), "node_id", "left").fillna(0, ["out_degree", "in_degree"])
 
 
-from . import maintenance  # noqa: E402, F401  registers its queries here
+from . import growing, maintenance  # noqa: E402, F401  register their queries here
 
 __all__ = ["ORACLES", "QUERIES"]

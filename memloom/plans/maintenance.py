@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import clamp01
 from ..operators import graph, metrics, retrieval, selection, state, weights
+from ..operators.vector_index import VectorIndex
 from ..schema import DIMS
 from ..sources import generators as G
 from ..sources import readers
+from ..tables import scratch_dir
 from . import presets, schedule
 from .catalog import K, QUERIES, View, six
 from .oracles import BAR, FACT, ORACLES, OUTS, TAU, VPARTS, WARM, with_
@@ -44,8 +48,9 @@ def store_put(v):
 @query(with_("SELECT query_id, memory_id, round(cos, 6) AS cos, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, seq) AS place FROM sim WHERE memory_id % 3 <> 0) WHERE place <= 10"))
 def store_remove_search(v):
     """A search after every third memory left the index."""
-    left = retrieval.remove(retrieval.indexed(v.mem), v.mem.filter("memory_id % 3 = 0"))
-    return six(retrieval.retrieve_vector(v.q, left, K), "cos").select("query_id", "memory_id", "cos", "rank")
+    rows = v.mem.select("memory_id", "seq", "emb")
+    index = VectorIndex.create(rows, f"{scratch_dir(v.spark)}/index-{uuid.uuid4().hex}").change(remove=rows.filter("memory_id % 3 = 0"))
+    return six(index.search(v.q, K), "cos").select("query_id", "memory_id", "cos", "rank")
 
 
 @query(with_("SELECT query_id, memory_id, round(cos, 6) AS cos, rank FROM vec WHERE rank <= 10 AND memory_id % 2 = 0"))
