@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -110,6 +111,34 @@ def placeholder_embedding(text: Column, dim: int) -> Column:
     return embed(text)
 
 
+def grams(text: str) -> list[str]:
+    """Runs of a-z0-9 and single CJK characters of the lower-cased text, and each two neighbours joined."""
+    words = re.findall("[a-z0-9]+|[一-鿿]", text.lower())
+    return words + [a + b for a, b in zip(words, words[1:], strict=False)]
+
+
+def gram_embedding(text: Column, dim: int = 96) -> Column:
+    """A unit vector that texts with common grams share: the sum of a vector for each gram, drawn by a generator that
+    the gram's digest seeds. Zeros for texts without grams."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        drawn: dict[str, np.ndarray] = {}  # of this batch
+
+        def one(t):
+            total = np.zeros(dim)
+            for g in grams(t or ""):
+                if g not in drawn:
+                    drawn[g] = np.random.default_rng(int(hashlib.md5(g.encode()).hexdigest()[:8], 16)).normal(size=dim)
+                total += drawn[g]
+            length = np.linalg.norm(total)
+            return (total / length if length > 0 else total).tolist()
+
+        return texts.map(one)
+
+    return embed(text)
+
+
 def infer_edge_type(similarity: Column) -> Column:
     from ..schema import EDGE_FALLBACK, EDGE_FROM_SIMILARITY
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cost_tokens, prior_key
 from ..schema import TIER_ORDER, TIERS
 from ..tables import checked_broadcast
 
@@ -128,3 +129,20 @@ def cost_counters(log: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, llm_calls, embed_calls, input_tokens) from a log of (key, kind, chars)."""
     hit = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0))
     return log.groupBy(key).agg(hit("llm").alias("llm_calls"), hit("embed").alias("embed_calls"), F.floor(F.sum("chars") / 1.5).alias("input_tokens"))
+
+
+def schedule_costs(asked: DataFrame, kept: DataFrame, by: list[str], order: str, least: int = 5) -> DataFrame:
+    """(query_id, llm_calls, embed_calls_miss, injected_tokens) of schedules: asked(query_id, by..., order, q_text, tier,
+    candidate_count), run in order within `by`, and the texts they kept, kept(query_id, text).
+
+    A prior is asked for where the gate says so; its answer serves later schedules of the same question. A question's
+    vector is asked for once. A kept text costs tokens by its length."""
+    key = prior_key(F.col("q_text"), F.lit(None).cast("string"))
+    rows = asked.select("query_id", *by, order, "tier", "q_text", "candidate_count", key.alias("_key"))
+    earlier = lambda k: Window.partitionBy(*by, k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    answered = F.coalesce(F.max(F.when(F.col("candidate_count") > least, 1)).over(earlier("_key")), F.lit(0)) == 1
+    gate = prior_gate(F.col("tier"), answered, F.lit(0), F.col("candidate_count"), F.lit(False), least=least)
+    seen = F.count(F.lit(1)).over(earlier("q_text")) > 0
+    rows = rows.withColumns({"llm_calls": (gate == "call").cast("long"), "embed_calls_miss": (~seen).cast("long")})
+    tokens = kept.groupBy("query_id").agg(F.sum(cost_tokens(F.length("text"))).alias("injected_tokens"))
+    return rows.join(tokens, "query_id", "left").select("query_id", "llm_calls", "embed_calls_miss", F.coalesce("injected_tokens", F.lit(0)).alias("injected_tokens"))

@@ -466,12 +466,18 @@ def _episodes(v):
     scored = sources.select(F.col("key").alias("query_id"), "node_id", "src_score")
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     asked = materialize(asked)
+    size = v.mem.groupBy(F.col("owner_node").alias("node_id")).agg(F.count(F.lit(1)).alias("size"))
+    scope = scored.join(F.broadcast(size), "node_id").groupBy("query_id").agg(F.sum("size").alias("scope_size"))  # a row for each topic
+    tier = F.when(F.col("group").isin("graph_g0", "graph_g1"), F.lit("fast")).otherwise(F.lit("full"))
+    run = asked.join(count(cand, "candidate_count"), "query_id", "left").join(v.q.select(F.col("query_id").alias("event_id"), "q_text"), "event_id").withColumn("tier", tier).fillna(0, ["candidate_count"])
+    costs = state.schedule_costs(run, kept.select("query_id", "memory_id").join(v.mem.select("memory_id", "text"), "memory_id"), ["group"], "event_id")
     out = metrics.ranking_metrics(kept, relevant, K, asked).withColumnsRenamed({"recall": "recall_kept", "ndcg": "ndcg_at_k", "n_kept": "kept"}).drop("precision", "first_rank", "n_hit")
     for more in (
         asked, metrics.candidate_hit_rate(cand, relevant, asked), metrics.source_hit_rate(kept, relevant, asked).withColumnRenamed("source_hit", "source_hit_rate"), metrics.multi_source_ratio(kept),
-        metrics.cross_source_relevance(kept, scored), count(cand, "candidate_count"), count(scored, "n_sources"), count(relevant.select("query_id", "owner_node").distinct(), "n_relevant_sources"),
+        metrics.cross_source_relevance(kept, scored), count(cand, "candidate_count"), count(scored, "n_sources"), count(relevant.select("query_id", "owner_node").distinct(), "n_relevant_sources"), scope, costs,
     ):
         out = out.join(more, "query_id", "left")
+    out = out.withColumn("dedup_rate", metrics.dedup_rate(F.col("kept"), F.col("kept")))  # a schedule keeps a memory once
     return out.join(v.table("events").select("event_id", F.col("value").alias("latency_ms")), "event_id")
 
 

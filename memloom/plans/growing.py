@@ -12,6 +12,7 @@ from ..operators.vector_index import VectorIndex
 from ..schema import EDGE_STRENGTH
 from ..streaming import state as live
 from ..tables import scratch_dir
+from . import plugins, presets, schedule
 from .catalog import K, six
 from .maintenance import query
 from .oracles import with_
@@ -108,3 +109,18 @@ def hashed_bootstrap(v):
     view = rows.filter("event_type = 'view'").select("user_id", F.col("m").alias("v"))
     d = rows.filter("event_type != 'view'").join(view, "user_id").select(F.concat(F.lit("view-"), "event_type").alias("pair"), F.col("user_id").alias("episode_id"), (F.col("v") - F.col("m")).alias("diff"))
     return six(metrics.hashed_bootstrap(d, ["pair"]), "delta", "ci_low", "ci_high")
+
+
+@query(with_("""SELECT query_id, memory_id, pick_rank, round(final, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, seq) AS pick_rank FROM (
+    SELECT query_id, memory_id, seq, round(CASE WHEN cur_node % 2 = 0 THEN 0.1 * time_score + 0.7 * semantic_score + 0.1 * frequency_score + 0.1 * task_score ELSE 0.25 * time_score + 0.35 * semantic_score + 0.15 * frequency_score + 0.25 * task_score END, 9) AS final FROM raw)) WHERE pick_rank <= 10"""))
+def schedule_prior(v):
+    """A schedule whose queries of even topics get weights by a model's answer; the others' answers hold none."""
+    class Answers:
+        name = "by topic"
+
+        def __call__(self, prompts: DataFrame) -> DataFrame:
+            told = F.when(F.col("cur_node") % 2 == 0, F.lit('so: {"time": 1, "semantic": 7, "frequency": 1, "task": 1}.')).otherwise(F.lit("no {weights}"))
+            return prompts.join(v.q.select("query_id", "cur_node"), "query_id").select("query_id", told.alias("answer"))
+
+    cfg = presets.SchedulingConfig(retriever="vector", selector="topk", top_k=K, tier="full")
+    return six(schedule.schedule(cfg, v.q, v.mem, weight=plugins.PriorWeight(Answers())).filter("kept"), "final").select("query_id", "memory_id", "pick_rank", "final")

@@ -158,7 +158,7 @@ GROUPS = " UNION ALL ".join(
     [f"SELECT 'graph_{g}' AS g, * FROM ({VARIANTS[g]})" for g in ("g1", "g2", "g3", "g4")]
     + ["SELECT 'graph_g0', query_id, memory_id, owner_node, final, seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS w FROM vpool) WHERE w <= 10"]
 )
-EPISODES = f"""SELECT e.*, epv.value AS latency_ms FROM (WITH kk AS (SELECT *, row_number() OVER (PARTITION BY g, query_id ORDER BY final DESC, seq) AS pr FROM ({GROUPS})),
+EPISODES = f"""SELECT e.*, 0 AS dedup_rate, epv.value AS latency_ms FROM (WITH kk AS (SELECT *, row_number() OVER (PARTITION BY g, query_id ORDER BY final DESC, seq) AS pr FROM ({GROUPS})),
     ss AS (SELECT 'graph_g0' AS g, query_id, node_id, 0.0 AS src_score FROM vrank UNION ALL SELECT 'graph_g1', query_id, node_id, sc FROM vrank
         UNION ALL SELECT 'graph_g2', query_id, node_id, sc FROM vrank WHERE source_rank = 1 UNION ALL SELECT 'graph_g3', query_id, node_id, sc FROM vrank WHERE source_rank <= 3
         UNION ALL SELECT 'graph_g4', query_id, node_id, sc FROM vrank WHERE source_rank <= 3),
@@ -171,11 +171,20 @@ EPISODES = f"""SELECT e.*, epv.value AS latency_ms FROM (WITH kk AS (SELECT *, r
     n5 AS (SELECT n2.g, n2.query_id, avg(CASE WHEN o.owner_node IS NULL THEN 0.0 ELSE 1.0 END) AS source_hit_rate FROM n2 JOIN (SELECT DISTINCT query_id, owner_node FROM rel5) r ON r.query_id = n2.query_id
         LEFT JOIN (SELECT DISTINCT g, query_id, owner_node FROM kk) o ON o.g = n2.g AND o.query_id = n2.query_id AND o.owner_node = r.owner_node GROUP BY 1, 2),
     n6 AS (SELECT g, query_id, 1 - max(c) / sum(c) AS multi_source_ratio FROM (SELECT g, query_id, owner_node, count(*) AS c FROM kk GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    n7 AS (SELECT kk.g, kk.query_id, avg(src_score) AS cross_source_relevance FROM kk JOIN ss ON ss.g = kk.g AND ss.query_id = kk.query_id AND ss.node_id = kk.owner_node GROUP BY 1, 2)
-    SELECT g, query_id, n_relevant, n_relevant_sources, n_sources, kept, candidate_count, hit / n_relevant AS recall_kept, least(1.0, 10 / n_relevant) AS ceiling, hit / n_relevant / least(1.0, 10 / n_relevant) AS recall_norm,
+    n7 AS (SELECT kk.g, kk.query_id, avg(src_score) AS cross_source_relevance FROM kk JOIN ss ON ss.g = kk.g AND ss.query_id = kk.query_id AND ss.node_id = kk.owner_node GROUP BY 1, 2),
+    n8 AS (SELECT g, query_id, sum(s)::BIGINT AS scope_size FROM ss JOIN (SELECT owner_node, count(*) AS s FROM mem GROUP BY 1) ON owner_node = node_id GROUP BY 1, 2),
+    n9 AS (SELECT g, kk.query_id, coalesce(sum(floor(length(mem.text) / 1.5)), 0) AS injected_tokens FROM kk JOIN mem USING (memory_id) GROUP BY 1, 2),
+    na AS (SELECT g, query_id, (g NOT IN ('graph_g0', 'graph_g1') AND coalesce(candidate_count, 0) > 5 AND coalesce(max((coalesce(candidate_count, 0) > 5)::INT) OVER (PARTITION BY g, k ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)::INT AS llm_calls,
+        (count(*) OVER (PARTITION BY g, q_text ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0)::INT AS embed_calls_miss
+        FROM (SELECT n2.g, n2.query_id, candidate_count, q.q_text, trim(regexp_replace(lower(coalesce(q.q_text, '')), '\\s+', ' ', 'g')) AS k FROM n2 JOIN q USING (query_id) LEFT JOIN n4 USING (g, query_id)))
+    SELECT g, query_id, n_relevant, n_relevant_sources, n_sources, kept, candidate_count, scope_size, coalesce(injected_tokens, 0) AS injected_tokens, llm_calls, embed_calls_miss, hit / n_relevant AS recall_kept, least(1.0, 10 / n_relevant) AS ceiling, hit / n_relevant / least(1.0, 10 / n_relevant) AS recall_norm,
         cand_hit / n_relevant AS cand_hit_rate, coalesce(1.0 / first_rank, 0) AS mrr, dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= least(n_relevant, kept)) AS ndcg_at_k, source_hit_rate, multi_source_ratio, cross_source_relevance
-    FROM n2 JOIN n1 USING (query_id) LEFT JOIN n3 USING (g, query_id) LEFT JOIN n4 USING (g, query_id) LEFT JOIN n5 USING (g, query_id) LEFT JOIN n6 USING (g, query_id) LEFT JOIN n7 USING (g, query_id)) e JOIN events epv ON epv.event_id = e.query_id"""
-MEAN_OF = ("recall_kept", "ceiling", "recall_norm", "cand_hit_rate", "mrr", "ndcg_at_k", "source_hit_rate", "multi_source_ratio", "cross_source_relevance", "candidate_count", "kept", "latency_ms")
+    FROM n2 JOIN n1 USING (query_id) LEFT JOIN n3 USING (g, query_id) LEFT JOIN n4 USING (g, query_id) LEFT JOIN n5 USING (g, query_id) LEFT JOIN n6 USING (g, query_id) LEFT JOIN n7 USING (g, query_id)
+        LEFT JOIN n8 USING (g, query_id) LEFT JOIN n9 USING (g, query_id) LEFT JOIN na USING (g, query_id)) e JOIN events epv ON epv.event_id = e.query_id"""
+MEAN_OF = (
+    "recall_kept", "ceiling", "recall_norm", "cand_hit_rate", "mrr", "ndcg_at_k", "source_hit_rate", "multi_source_ratio", "cross_source_relevance", "dedup_rate", "candidate_count", "scope_size", "kept",
+    "injected_tokens", "llm_calls", "embed_calls_miss", "latency_ms",
+)
 SUMMARY = (
     'SELECT g AS "group", count(*) AS n_episodes, count(*) FILTER (n_relevant_sources >= 2) AS n_multi_source_episodes, '
     + ", ".join(f"round(avg({m}), 4) AS avg_{m}" for m in MEAN_OF) + ", "

@@ -9,7 +9,7 @@ from ..operators import graph, retrieval, scoring, selection, stage_a, state
 from ..operators.weights import PRESETS as WEIGHTS
 from ..schema import TIERS
 from ..tables import materialize
-from .plugins import Callback
+from .plugins import Callback, Embedding, Weight
 from .presets import SchedulingConfig
 
 
@@ -33,14 +33,18 @@ def select(cfg: SchedulingConfig, scored: DataFrame) -> DataFrame:
 
 def schedule(
     cfg: SchedulingConfig, queries: DataFrame, pool: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None,
-    oracle: DataFrame | None = None, callbacks: tuple[Callback, ...] = (),
+    oracle: DataFrame | None = None, callbacks: tuple[Callback, ...] = (), embed: Embedding | None = None, weight: Weight | None = None,
 ) -> DataFrame:
     """One row for each (query_id, memory_id) candidate with its scores, kept and pick_rank.
 
     An explicit candidate cap or lambda precedes the tier's. Scores are rounded before they rank. oracle
     (query_id, node_id) takes the place of Stage A's choice: the labelled sources, each with score 1.
-    Callbacks get each stage's lazy result as it is planned.
+    Callbacks get each stage's lazy result as it is planned. embed gives queries and memories their vectors, from
+    their texts. weight gives queries their own weights where the tier's gate lets a prior be asked for (not in
+    the fast tier, nor for few candidates); it is asked once for all of them.
     """
+    if embed:
+        queries, pool = queries.withColumn("q_emb", embed(F.col("q_text"))), pool.withColumn("emb", embed(F.col("text")))
     g, sources = cfg.graph, None
     _, cap, tier_lam = TIERS[cfg.tier]
     k = cfg.candidates if cfg.candidates != SchedulingConfig.candidates else cap
@@ -62,6 +66,9 @@ def schedule(
         sources = tell("sources", materialize(sources))  # some rows a query, read by three steps
     cand = tell("candidates", recall(cfg, queries, pool, sources, k))
     weights = WEIGHTS.get(cfg.weight, WEIGHTS["full"])
+    if weight:
+        cand = cand.join(asked_weights(cfg, queries, cand, weight), "query_id", "left")
+        weights = {d: F.coalesce(F.col("_weights")[d], F.lit(float(x))) for d, x in weights.items()}
     options = {"parity": cfg.parity} if cfg.attention == "full" else {"floor": cfg.semantic_floor} if cfg.attention in ("normalized", "adaptive_gated") else {}
     scored = scoring.SCORERS[cfg.attention](cand, weights=weights, enabled=cfg.enabled_dims, **options)
     if sources is not None:
@@ -71,7 +78,15 @@ def schedule(
     else:
         scored = scored.withColumn("quota", F.lit(0))
     scored = tell("scored", scored.withColumn("final", F.round("final", retrieval.DIGITS)))
-    return tell("selected", select(cfg, scored))
+    return tell("selected", select(cfg, scored.drop("_weights")))
+
+
+def asked_weights(cfg: SchedulingConfig, queries: DataFrame, cand: DataFrame, weight: Weight) -> DataFrame:
+    """(query_id, _weights) of the queries for which the gate lets a prior be asked for."""
+    n = cand.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    gate = state.prior_gate(F.lit(cfg.tier), F.lit(False), F.lit(0), F.col("n"), F.lit(False), cfg.llm_calls)
+    asked = queries.join(n.filter(gate == "call").select("query_id"), "query_id", "left_semi")
+    return materialize(weight(asked).select("query_id", F.col("weights").alias("_weights")))
 
 
 def warm_up(cfg: SchedulingConfig, past: DataFrame, pool: DataFrame, nodes: DataFrame, edges: DataFrame, hours: float = 1.0) -> DataFrame:

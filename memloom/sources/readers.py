@@ -177,11 +177,11 @@ def read_config(path: str, kind):
 
 
 def read_config_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """(group, attention, weight, selector, retriever) of a folder of YAML files, in the order of names."""
+    """(group, retriever, attention, weight, selector, condition) of a folder of YAML files, in the order of names:
+    what each names, null where it names nothing; condition is the list of dimensions that the condition sways."""
     rows = []
     for path in sorted(glob.glob(os.path.join(folder, "*.yaml"))):
         with open(path, encoding="utf-8") as f:
             raw = yaml.safe_load(f) or {}
-        get = lambda k, raw=raw: str(raw.get(f"{k}_impl") or raw.get(k) or "")
-        rows.append((os.path.splitext(os.path.basename(path))[0], get("attention"), get("weight"), get("selector"), get("retriever")))
-    return spark.createDataFrame(rows, "group string, attention string, weight string, selector string, retriever string")
+        rows.append((os.path.splitext(os.path.basename(path))[0], *[raw.get(f"{k}_impl") for k in ("retriever", "attention", "weight", "selector")], raw.get("conditioning_dims") or None))
+    return spark.createDataFrame(rows, "group string, retriever string, attention string, weight string, selector string, condition array<string>")
