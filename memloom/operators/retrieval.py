@@ -143,12 +143,13 @@ def retrieve_vector(queries: DataFrame, pool: DataFrame, k: int | None, parity:
     return out.withColumn("vector_score", F.col("cos"))
 
 
-def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+def retrieve_bm25(queries: DataFrame, pool: DataFrame, k: int, index: DataFrame | None = None, asked: text_index.Asked | None = None) -> DataFrame:
     """By BM25 over the visible pool, through its inverted index (built here unless given). Where fewer than k
     share a token, memories without one follow in the pool's order: they lie among the pool's first 2k + 1, so no
     other zero scores are formed."""
     keep = k + 1 if _itself(queries) else k
-    best = text_index.search(queries, index or text_index.build(pool), keep)
+    index = index or text_index.build(pool)
+    best = text_index.search(asked or text_index.ask(queries, index), index, keep)
     head = pool.orderBy("seq").limit(2 * k + 1).select("memory_id", "seq")
     rest = pairs(queries, head).select("query_id", "memory_id", "seq", F.lit(0.0).alias("bm25_score"))
     # a memory of the head that is a hit stands in both; its hit counts, or lies behind the k best anyway
@@ -191,30 +192,33 @@ def retrieve_rrf(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     less, so it cannot be among the k best. The ranks of those candidates in the other ranking are counted block
     by block; no table of all pairs is formed."""
     depth, own = 2 * k + RRF, _itself(queries)
+    queries = materialize(queries)
     index = text_index.build(pool)
-    near = materialize(nearest(queries, pool, depth).select("query_id", "memory_id", "seq", "cos", F.col("rank").alias("vector_rank")))
-    words = materialize(retrieve_bm25(queries, pool, depth, index).select("query_id", "memory_id", "seq", "bm25_score", F.col("rank").alias("bm25_rank")))
-    both = near.join(words.drop("seq"), ["query_id", "memory_id"], "full").join(words.select("query_id", "memory_id", F.col("seq").alias("_seq")), ["query_id", "memory_id"], "left")
-    both = materialize(both.withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq"))
-
-    # the scores that the other ranking gives candidates it does not hold among its first
-    no_cos, no_words = both.filter("cos IS NULL").select("query_id", "memory_id"), both.filter("bm25_score IS NULL").select("query_id", "memory_id")
-    vectors = unit(pool, "emb", "_m").select("memory_id", "_m").join(checked_broadcast(no_cos), "memory_id").join(checked_broadcast(unit(queries, "q_emb", "_q").select("query_id", "_q")), "query_id")
-    cos = vectors.select("query_id", "memory_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS).alias("_cos"))
-    both = both.join(cos, ["query_id", "memory_id"], "left").join(text_index.scores_of(no_words, queries, pool, index), ["query_id", "memory_id"], "left")
-    both = materialize(both.withColumns({"cos": F.coalesce("cos", "_cos"), "bm25_score": F.coalesce("bm25_score", "_bm25", F.lit(0.0))}).drop("_cos", "_bm25"))
-
-    asked = lambda rank, score: materialize(both.filter(F.col(rank).isNull()).select("query_id", F.col(score).alias("score"), F.col("seq").alias("m_seq")).distinct())
-    no_vector, no_word = asked("vector_rank", "cos"), asked("bm25_rank", "bm25_score")
-    found = both.join(vector_ranks(no_vector, queries, pool).select("query_id", F.col("score").alias("cos"), F.col("m_seq").alias("seq"), F.col("better").alias("_v")), ["query_id", "cos", "seq"], "left")
-    found = found.join(text_index.ranks_of(no_word, queries, index).select("query_id", F.col("score").alias("bm25_score"), F.col("m_seq").alias("seq"), F.col("better").alias("_w")), ["query_id", "bm25_score", "seq"], "left")
-    if own:  # a query's own memory, which the counts hold if it comes before
-        mine = pool.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("_own")).join(checked_broadcast(queries.select("query_id")), "query_id")
-        same = text_index.scores_of(queries.select("query_id", F.col("query_id").alias("memory_id")), queries, pool, index).select("query_id", F.col("_bm25").alias("_own_bm25"))
-        full = unit(queries, "q_emb", "_q").select("query_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_q")), F.lit(0.0)), DIGITS).alias("_own_cos"))
-        found = found.join(checked_broadcast(materialize(mine.join(same, "query_id", "left").join(full, "query_id"))), "query_id", "left")
-        ahead = lambda s, o: (F.col("_own").isNotNull() & ((o > F.col(s)) | ((o == F.col(s)) & (F.col("_own") < F.col("seq"))))).cast("long")
-        found = found.withColumns({"_v": F.col("_v") - ahead("cos", F.col("_own_cos")), "_w": F.col("_w") - ahead("bm25_score", F.coalesce("_own_bm25", F.lit(0.0)))})
+    asked = text_index.ask(queries, index)
+    near = materialize(nearest(queries, pool, depth).select("query_id", "memory_id", "seq", F.col("rank").alias("vector_rank")))
+    words = materialize(retrieve_bm25(queries, pool, depth, index, asked).select("query_id", "memory_id", "seq", F.col("rank").alias("bm25_rank")))
+    first = near.unionByName(words, allowMissingColumns=True)
+    if own:  # a query's own memory has no rank, but the counts below hold it
+        first = first.unionByName(pool.join(checked_broadcast(queries.select(F.col("query_id").alias("memory_id"))), "memory_id").select(F.col("memory_id").alias("query_id"), "memory_id", "seq"), allowMissingColumns=True)
+    first = materialize(first.groupBy("query_id", "memory_id").agg(F.max("seq").alias("seq"), F.max("vector_rank").alias("vector_rank"), F.max("bm25_rank").alias("bm25_rank")))
+
+    # both scores of all candidates, then their ranks where the ranking does not hold them among its first
+    pairs_ = first.select("query_id", "memory_id")
+    vectors = unit(pool, "emb", "_m").select("memory_id", "_m").join(checked_broadcast(pairs_), "memory_id").join(checked_broadcast(unit(queries, "q_emb", "_q").select("query_id", "_q")), "query_id")
+    cos = vectors.select("query_id", "memory_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS).alias("cos"))
+    both = first.join(cos, ["query_id", "memory_id"]).join(text_index.scores_of(pairs_, asked, pool), ["query_id", "memory_id"], "left")
+    both = materialize(both.withColumn("bm25_score", F.coalesce("_bm25", F.lit(0.0))).drop("_bm25"))
+    mine, found = both.filter("query_id = memory_id"), both.filter("query_id != memory_id") if own else both
+    marks = lambda rank, score: found.filter(F.col(rank).isNull()).select("query_id", F.col(score).alias("score"), F.col("seq").alias("m_seq")).distinct()
+    no_vector, no_word = marks("vector_rank", "cos"), marks("bm25_rank", "bm25_score")
+    by_vector = vector_ranks(no_vector, queries, pool).select("query_id", F.col("score").alias("cos"), F.col("m_seq").alias("seq"), F.col("better").alias("_v"))
+    by_words = text_index.ranks_of(no_word, asked, index).select("query_id", F.col("score").alias("bm25_score"), F.col("m_seq").alias("seq"), F.col("better").alias("_w"))
+    found = found.join(by_vector, ["query_id", "cos", "seq"], "left").join(by_words, ["query_id", "bm25_score", "seq"], "left")
+    if own:
+        mine = mine.select("query_id", F.col("seq").alias("_own"), F.col("cos").alias("_own_cos"), F.col("bm25_score").alias("_own_bm25"))
+        found = found.join(checked_broadcast(mine), "query_id", "left")
+        ahead = lambda s, o: (F.col("_own").isNotNull() & ((F.col(o) > F.col(s)) | ((F.col(o) == F.col(s)) & (F.col("_own") < F.col("seq"))))).cast("long")
+        found = found.withColumns({"_v": F.col("_v") - ahead("cos", "_own_cos"), "_w": F.col("_w") - ahead("bm25_score", "_own_bm25")})
     ranked = found.withColumns({"vector_rank": F.coalesce("vector_rank", F.col("_v") + 1), "bm25_rank": F.coalesce("bm25_rank", F.col("_w") + 1)})
     fused = ranked.withColumn("rrf_score", F.round(1.0 / (RRF + F.col("bm25_rank")) + 1.0 / (RRF + F.col("vector_rank")), 12))
     best = top_k(fused.select("query_id", "memory_id", "seq", "cos", "bm25_score", "bm25_rank", "vector_rank", "rrf_score"), k, "rrf_score")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ K1, B = 1.5, 0.75
 DIGITS = 9
 #: Documents of a row and of a block; a row is closed early once its texts have so many characters.
 ROW_DOCS, BLOCK_DOCS, ROW_CHARS = 4096, 64, 1 << 25
+#: Blocks that are scored in one product, at most; a search starts with one, for a score that others must reach.
+TOGETHER = 16
 #: Queries whose words go through the index together.
 QUERY_BLOCK = 512
 
@@ -91,7 +94,7 @@ def _columns(pool: DataFrame) -> T.StructType:
 
 
 def build(pool: DataFrame, row_docs: int = ROW_DOCS, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The written index of pool(memory_id, seq, text), made where the rows are. Null texts have no words."""
+    """The written index of pool(memory_id, seq, text), made where the rows are, but for pools of few files. Null texts have no words."""
     schema = _columns(pool)
 
     def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -118,7 +121,10 @@ def build(pool: DataFrame, row_docs: int = ROW_DOCS, block_docs: int = BLOCK_DOC
         if held:
             yield rows(held)
 
-    return materialize(pool.select("memory_id", "seq", "text").mapInArrow(run, schema))
+    docs, tasks = pool.select("memory_id", "seq", "text"), pool.sparkSession.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < tasks:  # one file may be one task, however long its texts
+        docs = docs.repartition(tasks)
+    return materialize(docs.mapInArrow(run, schema))
 
 
 def scale(index: DataFrame) -> DataFrame:
@@ -135,6 +141,20 @@ def query_words(queries: DataFrame, index: DataFrame) -> DataFrame:
     return words.join(df, "token").join(F.broadcast(scale(index))).select("query_id", "token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # one row
 
 
+class Asked(NamedTuple):
+    """Queries as a search takes them: their words, written, and the pool's size and mean length."""
+
+    words: DataFrame
+    n: int
+    avgdl: float
+
+
+def ask(queries: DataFrame, index: DataFrame) -> Asked:
+    """queries(query_id, q_text) made ready for any number of steps over an index."""
+    size = scale(index).first()
+    return Asked(materialize(query_words(queries, index)), size.n, size.avgdl)
+
+
 def _query_blocks(words: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """(q_ids, q_words, q_idfs, q_scores, q_seqs) of up to QUERY_BLOCK queries: their words and, with marks(query_id,
     score, m_seq), the places to count from."""
@@ -186,18 +206,24 @@ class _Postings:
         self.bound = (queries.m @ tops) * (1 + 1e-9) + 10.0**-DIGITS
         self.asked, self.queries = int((self.stop - self.start).sum()), queries.m
 
-    def scores(self, b: int, some: np.ndarray) -> tuple[np.ndarray, int]:
-        """(queries x documents) scores of block b for some queries, and the postings read."""
-        size = min(self.block, len(self.dl) - b * self.block)
-        heads = np.flatnonzero(self.of == b)
+    def scores(self, blocks: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(documents, queries x documents scores, postings read) of some blocks for some queries: the postings of these
+        queries' words alone are read."""
+        asked = (self.queries[some] != 0).any(0)
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[blocks] = True
+        docs = np.flatnonzero(np.repeat(chosen, self.block)[: len(self.dl)])
+        heads = np.flatnonzero(chosen[self.of] & asked[self.column])
         lengths = self.stop[heads] - self.start[heads]
         total = int(lengths.sum())
         at = np.arange(total) + np.repeat(self.start[heads] - np.cumsum(lengths) + lengths, lengths)
         columns, where = np.unique(self.column[heads], return_inverse=True)
-        w = np.zeros((len(columns), size))
+        place = np.zeros(len(self.dl), np.int64)
+        place[docs] = np.arange(len(docs))
+        w = np.zeros((len(columns), len(docs)))
         doc = self.doc[at].astype(np.int64)
-        w[np.repeat(where, lengths), doc - b * self.block] = weight(self.tf[at], self.dl[doc], self.avgdl)
-        return rounded(self.queries[np.ix_(some, columns)] @ w), total
+        w[np.repeat(where, lengths), place[doc]] = weight(self.tf[at], self.dl[doc], self.avgdl)
+        return docs, rounded(self.queries[np.ix_(some, columns)] @ w), total
 
 
 def _best(row: dict, blocks: dict, avgdl: float, k: int, block: int) -> tuple[int, int]:
@@ -210,20 +236,26 @@ def _best(row: dict, blocks: dict, avgdl: float, k: int, block: int) -> tuple[in
     p = _Postings(row, state[0], avgdl, block)
     read = 0
     ids, seqs = np.array(row["m_ids"], object), np.array(row["m_seq"], np.int64)
-    for b in np.argsort(-p.bound.max(0, initial=0.0), kind="stable").tolist():
-        _, best, seq, ident = state
-        alive = np.flatnonzero((p.bound[:, b] >= best[:, -1]) & (p.bound[:, b] > 2 * 10.0**-DIGITS))
+    _, best, seq, ident = state
+    order = np.argsort(-p.bound.max(0, initial=0.0), kind="stable")
+    lo, width = 0, 1
+    while lo < len(order):
+        some = order[lo : lo + width]
+        lo, width = lo + width, min(2 * width, TOGETHER)
+        hope = (p.bound[:, some] >= best[:, -1:]) & (p.bound[:, some] > 2 * 10.0**-DIGITS)
+        alive, some = np.flatnonzero(hope.any(1)), some[hope.any(0)]
         if not len(alive):
             continue
-        s, got = p.scores(b, alive)
+        docs, s, got = p.scores(some, alive)
         read += got
-        here = slice(b * block, b * block + s.shape[1])
         s = np.where(s > 0, s, -1.0)  # what shares no word is no hit
-        every = np.concatenate([best[alive], s], 1)
-        at = np.concatenate([seq[alive], np.broadcast_to(seqs[here], s.shape)], 1)
-        who = np.concatenate([ident[alive], np.broadcast_to(ids[here], s.shape)], 1)
-        top = np.lexsort((at, -every), axis=1)[:, :k]
-        best[alive], seq[alive], ident[alive] = (np.take_along_axis(x, top, 1) for x in (every, at, who))
+        for row, q in enumerate(alive.tolist()):
+            # ties with the last so far may come before it
+            new = np.flatnonzero(s[row] >= max(best[q, -1], 10.0**-DIGITS))
+            if len(new):
+                every, at = np.concatenate([best[q], s[row, new]]), np.concatenate([seq[q], seqs[docs[new]]])
+                top = np.lexsort((at, -every))[:k]
+                best[q], seq[q], ident[q] = every[top], at[top], np.concatenate([ident[q], ids[docs[new]]])[top]
     return read, p.asked
 
 
@@ -231,13 +263,11 @@ def postings(index: DataFrame) -> DataFrame:
     return index.drop("dfs", "n", "sum_dl")
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def search(asked: Asked, index: DataFrame, k: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(query_id, memory_id, seq, bm25_score) of each query's k best documents that share a word, ties by seq."""
     kind = {f.name: f.dataType.elementType for f in index.schema if f.name in ("m_ids", "m_seq")}
-    words = materialize(query_words(queries, index))
-    q = _query_blocks(words)
+    q, avgdl = _query_blocks(asked.words), asked.avgdl
     schema = T.StructType([T.StructField("query_id", q.schema["q_ids"].dataType.elementType), T.StructField("memory_id", kind["m_ids"]), T.StructField("seq", kind["m_seq"]), T.StructField("bm25_score", T.DoubleType())])
-    avgdl = scale(index).first().avgdl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict = {}
@@ -256,18 +286,17 @@ def search(queries: DataFrame, index: DataFrame, k: int, block_docs: int = BLOCK
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def scores_of(wanted: DataFrame, queries: DataFrame, pool: DataFrame, index: DataFrame) -> DataFrame:
+def scores_of(wanted: DataFrame, asked: Asked, pool: DataFrame) -> DataFrame:
     """(query_id, memory_id, _bm25) of the pairs wanted(query_id, memory_id) that share a word."""
-    words = query_words(queries, index)
     docs = pool.join(checked_broadcast(wanted.select("memory_id").distinct()), "memory_id", "left_semi").select("memory_id", tokens(F.col("text")).alias("toks"))
     tf = docs.select("memory_id", F.size("toks").alias("dl"), F.explode("toks").alias("token")).groupBy("memory_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    hits = wanted.join(words, "query_id").join(tf, ["memory_id", "token"]).join(F.broadcast(scale(index)))  # one row
-    return hits.groupBy("query_id", "memory_id").agg(F.round(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), DIGITS).alias("_bm25"))
+    hits = wanted.join(asked.words, "query_id").join(tf, ["memory_id", "token"])
+    return hits.groupBy("query_id", "memory_id").agg(F.round(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), asked.avgdl)), DIGITS).alias("_bm25"))
 
 
-def reading(queries: DataFrame, index: DataFrame, k: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def reading(asked: Asked, index: DataFrame, k: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row (postings_read, postings_asked): what a search reads of the postings of its queries' words."""
-    avgdl = scale(index).first().avgdl
+    avgdl = asked.avgdl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict = {}
@@ -275,17 +304,17 @@ def reading(queries: DataFrame, index: DataFrame, k: int, block_docs: int = BLOC
             got = [_best(b.slice(r, 1).to_pylist()[0], blocks, avgdl, k, block_docs) for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["r", "a"])
 
-    rows = met(postings(index), _query_blocks(materialize(query_words(queries, index)))).mapInArrow(run, "r long, a long")
+    rows = met(postings(index), _query_blocks(asked.words)).mapInArrow(run, "r long, a long")
     return rows.agg(F.sum("r").alias("postings_read"), F.sum("a").alias("postings_asked"))
 
 
-def ranks_of(marks: DataFrame, queries: DataFrame, index: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def ranks_of(marks: DataFrame, asked: Asked, index: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(query_id, score, m_seq, better): how many documents come before (score descending, m_seq) in each query's
     whole ranking, those that share no word included; marks(query_id, score, m_seq) are a bounded number a query.
     Blocks whose bound lies below all of a query's marks are not read."""
     kind = marks.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("score", T.DoubleType()), T.StructField("m_seq", T.LongType()), T.StructField("better", T.LongType())])
-    avgdl = scale(index).first().avgdl
+    avgdl = asked.avgdl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict = {}
@@ -300,17 +329,19 @@ def ranks_of(marks: DataFrame, queries: DataFrame, index: DataFrame, block_docs:
                 of, scores, seqs, counts = blocks[key]
                 p, at = _Postings(row, of, avgdl, block_docs), np.array(row["m_seq"], np.int64)
                 lowest = np.array([x.min(initial=np.inf) for x in scores])
-                for k in range(p.n_blocks):
-                    alive = np.flatnonzero(p.bound[:, k] >= lowest)
-                    here = at[k * block_docs : (k + 1) * block_docs]
-                    s = p.scores(k, alive)[0] if len(alive) else None
+                for lo in range(0, p.n_blocks, TOGETHER):
+                    some = np.arange(lo, min(lo + TOGETHER, p.n_blocks))
+                    alive = np.flatnonzero((p.bound[:, some] >= lowest[:, None]).any(1))
+                    if not len(alive):
+                        continue
+                    docs, s, _ = p.scores(some, alive)
                     for i, q in enumerate(alive.tolist()):
-                        ahead = (s[i] > scores[q][:, None]) | ((s[i] == scores[q][:, None]) & (here < seqs[q][:, None]))
+                        ahead = (s[i] > scores[q][:, None]) | ((s[i] == scores[q][:, None]) & (at[docs] < seqs[q][:, None]))
                         counts[q] += ahead.sum(1)
         for of, scores, seqs, counts in blocks.values():
             ids = [i for i, c in zip(of.ids, counts, strict=True) for _ in range(len(c))]
             cols = [pa.array(ids, types), *[pa.array(np.concatenate([*x, np.zeros(0, kind)]), t) for x, kind, t in ((scores, float, pa.float64()), (seqs, np.int64, pa.int64()), (counts, np.int64, pa.int64()))]]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    q = _query_blocks(materialize(query_words(queries, index)), marks)
+    q = _query_blocks(asked.words, marks)
     return met(postings(index), q).mapInArrow(run, schema).groupBy("query_id", "score", "m_seq").agg(F.sum("better").alias("better"))

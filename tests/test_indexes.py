@@ -44,13 +44,13 @@ def test_index_search_equals_brute_force(spark, row_docs, block_docs):
     q = spark.createDataFrame([(100 + i, t) for i, t in enumerate(asked)], "query_id long, q_text string")
     index = text_index.build(pool, row_docs, block_docs)
     got = {}
-    for r in text_index.search(q, index, 7, block_docs).collect():
+    for r in text_index.search(text_index.ask(q, index), index, 7, block_docs).collect():
         got.setdefault(r.query_id, []).append((-r.bm25_score, r.seq))
     for i, t in enumerate(asked):
         want = sorted((-s, j) for j, s in enumerate(plain_bm25(texts, t or "")) if s > 0)[:7]
         assert [(pytest.approx(a, abs=2e-9), b) for a, b in want] == sorted(got.get(100 + i, [])), t
     marks = [(100 + i, s, j) for i, t in enumerate(asked[:3]) for j, s in list(enumerate(plain_bm25(texts, t)))[::9]]
-    ranks = {(r.query_id, r.m_seq): r.better for r in text_index.ranks_of(spark.createDataFrame(marks, "query_id long, score double, m_seq long"), q, index, block_docs).collect()}
+    ranks = {(r.query_id, r.m_seq): r.better for r in text_index.ranks_of(spark.createDataFrame(marks, "query_id long, score double, m_seq long"), text_index.ask(q, index), index, block_docs).collect()}
     for i, s, j in marks:
         every = plain_bm25(texts, asked[i - 100])
         assert abs(ranks[i, j] - sum((-x, k) < (-s, j) for k, x in enumerate(every))) == 0
@@ -58,18 +58,18 @@ def test_index_search_equals_brute_force(spark, row_docs, block_docs):
 
 def test_index_leaves_postings_unread(spark):
     # a few documents hold the rare word, all the common one
-    rows = [(i, i, "common " * 3 + ("rare " * 5 if i % 400 == 7 else "") + f"own{i}") for i in range(4000)]
+    rows = [(i, i, "common " * 3 + ("rare " * 5 if i % 100 == 7 else "") + f"own{i}") for i in range(4000)]
     index = text_index.build(spark.createDataFrame(rows, "memory_id long, seq long, text string").repartition(2))
     q = spark.createDataFrame([(1, "rare common")], "query_id long, q_text string")
-    assert [r.seq for r in text_index.search(q, index, 10).orderBy("seq").collect()] == list(range(7, 4000, 400))
-    r = text_index.reading(q, index, 2).first()
-    assert r.postings_asked == 4010 and r.postings_read < 0.3 * r.postings_asked
+    assert [r.seq for r in text_index.search(text_index.ask(q, index), index, 40).orderBy("seq").collect()] == list(range(7, 4000, 100))
+    r = text_index.reading(text_index.ask(q, index), index, 2).first()
+    assert r.postings_asked == 4040 and r.postings_read < 0.3 * r.postings_asked
 
 
 def test_index_of_an_empty_pool(spark):
     index = text_index.build(spark.createDataFrame([], "memory_id long, seq long, text string"))
     q = spark.createDataFrame([(1, "a word")], "query_id long, q_text string")
-    assert text_index.search(q, index, 3).count() == 0
+    assert text_index.search(text_index.ask(q, index), index, 3).count() == 0
 
 
 def test_fusion_equals_ranking_all_pairs(spark):
