@@ -51,7 +51,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_agrees_with_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = registry.QUERIES[name](spark, SF), duck.sql(registry.ORACLES[name])
     cols = sorted(got.columns)
