@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ def select(cfg: SchedulingConfig, scored: DataFrame) -> DataFrame:
 def schedule(
     cfg: SchedulingConfig, queries: DataFrame, pool: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None,
     oracle: DataFrame | None = None, callbacks: tuple[Callback, ...] = (), embed: Embedding | None = None, weight: Weight | None = None,
+    shared: dict | None = None,
 ) -> DataFrame:
     """One row for each (query_id, memory_id) candidate with its scores, kept and pick_rank.
 
@@ -41,11 +44,12 @@ def schedule(
     (query_id, node_id) takes the place of Stage A's choice: the labelled sources, each with score 1.
     Callbacks get each stage's lazy result as it is planned. embed gives queries and memories their vectors, from
     their texts. weight gives queries their own weights where the tier's gate lets a prior be asked for (not in
-    the fast tier, nor for few candidates); it is asked once for all of them.
+    the fast tier, nor for few candidates); it is asked once for all of them. shared holds candidates by what they
+    depend on, written, for schedules of the same tables one after another.
     """
     if embed:
         queries, pool = queries.withColumn("q_emb", embed(F.col("q_text"))), pool.withColumn("emb", embed(F.col("text")))
-    g, sources = cfg.graph, None
+    g, sources, lam = cfg.graph, None, None
     _, cap, tier_lam = TIERS[cfg.tier]
     k = cfg.candidates if cfg.candidates != SchedulingConfig.candidates else cap
 
@@ -64,7 +68,14 @@ def schedule(
         queries = stage_a.folded(queries, nodes)
     if sources is not None:
         sources = tell("sources", materialize(sources))  # some rows a query, read by three steps
-    cand = tell("candidates", recall(cfg, queries, pool, sources, k))
+    if shared is None:
+        cand = recall(cfg, queries, pool, sources, k)
+    else:  # quotas and bonuses come after recall
+        key = repr((replace(g, quota_mode="none", mu=0.0, min_quota=0), g.enabled and lam, cfg.retriever, k, oracle is not None))
+        if key not in shared:
+            shared[key] = materialize(recall(cfg, queries, pool, sources, k))
+        cand = shared[key]
+    cand = tell("candidates", cand)
     weights = WEIGHTS.get(cfg.weight, WEIGHTS["full"])
     if weight:
         cand = cand.join(asked_weights(cfg, queries, cand, weight), "query_id", "left")
@@ -107,9 +118,11 @@ def smoke(cfg: SchedulingConfig, queries: DataFrame, pool: DataFrame, nodes: Dat
 
 
 def ablation(presets: dict[str, SchedulingConfig], queries, pool, nodes, edges) -> DataFrame:
-    """The kept rows of every preset, as one plan with a column group."""
-    out = None
+    """The kept rows of every preset, as one frame with a column group. The tables are written once, and so are the
+    candidates of presets that differ only in what comes after recall."""
+    queries, pool, nodes, edges = (d if d is None else materialize(d) for d in (queries, pool, nodes, edges))
+    out, shared = None, {}
     for name, cfg in presets.items():
-        rows = schedule(cfg, queries, pool, nodes, edges).filter("kept").select(F.lit(name).alias("group"), "query_id", "memory_id", "owner_node", "final", "pick_rank")
+        rows = schedule(cfg, queries, pool, nodes, edges, shared=shared).filter("kept").select(F.lit(name).alias("group"), "query_id", "memory_id", "owner_node", "final", "pick_rank")
         out = rows if out is None else out.unionByName(rows)
     return out
