@@ -9,8 +9,8 @@ so only sets that meet in such a prefix are candidates; the place of the shared
 what can still be shared behind it. Shingles are counted over all texts in a table of hashed counters, so
 one that stands alone is known to, and most texts have no candidate at all. Each candidate is confirmed on
 the whole sets. Where a shingle is shared by many, its sets are first compared with the one in whose
-prefix it comes first, then only across the components so found. The order decides what is compared,
-never what is linked.
+prefix it comes first, then only across the components so found; a shingle of very many sets is dealt to
+tasks by set, and compared block by block. The order decides what is compared, never what is linked.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from .common import arrow_columns, bound_batches, field, hide, join_hot, materialize, row_blocks, rows_in, scratch
 from .simhash import RADIUS, components, find_links, majority
 
@@ -31,8 +32,12 @@ from .simhash import RADIUS, components, find_links, majority
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Shingles are counted in 2 ** TABLE_BITS counters, in RANGES parts. A counter's level is how many of LEVELS it reaches.
 TABLE_BITS, RANGES, LEVELS = 27, 64, (2, 8, 64)
-#: Shingles of a set are counted in so many buckets; a Bloom filter of sets takes 2 ** MOST_BITS bits at most.
-BUCKETS, MOST_BITS, PROBES = 256, 27, 4
+#: Shingles of a set are counted in so many buckets.
+BUCKETS = 256
+#: A shingle of the last level is dealt to tasks in SALTS parts; sets that share one are compared in blocks of RUN.
+SALTS, RUN = 64, 8192
+#: A set of many pairs is broadcast if its columns take no more bytes.
+HOT_BYTES = 1 << 17
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -146,8 +151,11 @@ def _counted(rows: DataFrame) -> np.ndarray:
 
 def _meetings(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(h, set, n, pos, lead, lead_n, lead_pos, many): distinct sets that share shingle h of their prefixes with
-    another, of those the one where it comes first, and whether they are more than two."""
-    schema = "h long, set long, n int, pos int"
+    another, of those the one where it comes first, and how many they are.
+
+    A shingle below the last level has fewer sets than that level asks for, so they meet in one task. The others'
+    sets are dealt by set, and their firsts found by partial minima."""
+    schema = "h long, set long, n int, pos int, hot boolean"
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,42 +169,69 @@ def _meetings(rows: DataFrame, table: np.ndarray) -> DataFrame:
                 h = shingles(t)
                 p, level = prefix(h, levels(h, shared.value))
                 pos = np.flatnonzero(level)  # what stands alone meets nothing
-                made.append((p[pos], np.full(len(pos), s), np.full(len(pos), len(h), np.int32), pos.astype(np.int32)))
+                made.append((p[pos], np.full(len(pos), s), np.full(len(pos), len(h), np.int32), pos.astype(np.int32), level[pos] == len(LEVELS)))
             if made:
                 h, *rest = (np.concatenate(c) for c in zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], names=["h", "set", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], names=["h", "set", "n", "pos", "hot"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, sets, n, pos in _by_shingle(batches):
-            # runs of several rows only, then one row a set
+        for h, sets, n, pos, hot in _by_shingle(batches):
+            # runs of several rows only, then one row a set; a hot shingle's other sets may be elsewhere
             size = np.diff(np.r_[_groups(h), len(h)])
-            several = np.repeat(size > 1, size)
+            several = np.repeat(size > 1, size) | hot
             if not several.any():
                 continue
-            h, sets, n, pos = (x[several] for x in (h, sets, n, pos))
+            h, sets, n, pos, hot = (x[several] for x in (h, sets, n, pos, hot))
             order = np.lexsort((sets, pos, h))
-            h, sets, n, pos = (x[order] for x in (h, sets, n, pos))
+            h, sets, n, pos, hot = (x[order] for x in (h, sets, n, pos, hot))
             one = np.r_[True, (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])]
-            h, sets, n, pos = (x[one] for x in (h, sets, n, pos))
+            h, sets, n, pos, hot = (x[one] for x in (h, sets, n, pos, hot))
             start = _groups(h)
             size = np.diff(np.r_[start, len(h)])
-            several, many, lead = np.repeat(size > 1, size), np.repeat(size > 2, size), np.repeat(start, size)
+            several, many, lead = np.repeat(size > 1, size) | hot, np.repeat(size, size), np.repeat(start, size)
             if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (h, sets, n, pos, sets[lead], n[lead], pos[lead], many)], names=["h", "set", "n", "pos", "lead", "lead_n", "lead_pos", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (h, sets, n, pos, hot, sets[lead], n[lead], pos[lead], many)], names=["h", "set", "n", "pos", "hot", "lead", "lead_n", "lead_pos", "many"])
 
     bound_batches(rows.sparkSession)
-    sorted_ = rows.select("text", "set").mapInArrow(emit, schema).repartition(F.col("h")).sortWithinPartitions("h")
-    return materialize(sorted_.mapInArrow(meet, f"{schema}, lead long, lead_n int, lead_pos int, many boolean"))
+    emitted = rows.select("text", "set").mapInArrow(emit, schema)
+    dealt = emitted.repartition(F.col("h"), F.when(F.col("hot"), F.pmod("set", F.lit(SALTS))).otherwise(F.lit(0))).sortWithinPartitions("h")
+    met = materialize(dealt.mapInArrow(meet, f"{schema}, lead long, lead_n int, lead_pos int, many long"))
+    hot = met.filter("hot").select("h", "set", "n", "pos")
+    first = hot.groupBy("h").agg(F.min(F.struct("pos", "set", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    first = materialize(first.select("h", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.pos").alias("lead_pos"), "many"))
+    return met.filter("NOT hot").drop("hot").unionByName(materialize(join_hot(hot, first, "h")))
+
 
+def _sided(pairs: DataFrame, sets: DataFrame, *sizes: str) -> DataFrame:
+    """pairs(u, v), a written table, with the columns of sets(set, ...) for u, as <name>_u, and for v, as <name>_v.
 
-def _may_be_similar(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    What sets hold of a set with many pairs goes to them by broadcast, instead of with each of them through an
+    exchange; sizes are its columns whose bytes are looked at before.
+    """
+    side = lambda name, some: some.select(F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in some.columns if c != "set"])
+    many = pairs.select(F.explode(F.array("u", "v")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > tables.HOT_ROWS)
+    hot = [r[0] for r in many.orderBy(F.desc("pairs")).limit(tables.HOT).select("set").collect()]
+    if hot:
+        size = sum((F.octet_length(c) for c in sizes), F.lit(0))
+        hot = [r[0] for r in sets.filter(F.col("set").isin(hot) & (size <= HOT_BYTES)).select("set").collect()]
+    if not hot:
+        return pairs.join(side("u", sets), "u").join(side("v", sets), "v")
+    few, at_u, at_v = sets.filter(F.col("set").isin(hot)), F.col("u").isin(hot), F.col("v").isin(hot)
+    parts = [
+        pairs.filter(at_u).join(side("v", sets), "v").join(F.broadcast(side("u", few)), "u"),
+        pairs.filter(~at_u & at_v).join(side("u", sets), "u").join(F.broadcast(side("v", few)), "v"),
+        pairs.filter(~at_u & ~at_v).join(side("u", sets), "u").join(side("v", sets), "v"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _may_be_similar(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The pairs (u, v) of sets in different components whose counts by bucket do not prove that too few
     shingles are shared."""
-    counts = rows.select("set", "n", "counts").dropDuplicates(["set"])
-    root = F.col("set")
+    counts, root = sets.select("set", "n", "counts"), F.col("set")
     if roots is not None:
         counts, root = counts.join(roots.select(F.col("node").alias("set"), "root"), "set", "left"), F.coalesce("root", "set")
-    side = lambda name: counts.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}"), root.alias(f"r_{name}"))
+    counts = counts.select("set", "n", "counts", root.alias("root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,76 +242,66 @@ def _may_be_similar(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None)
                 hit = np.abs(a - c).sum(axis=1, dtype=np.int64) * (SIMILAR[1] + SIMILAR[0]) <= n * (SIMILAR[1] - SIMILAR[0])
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(hit)).columns[:2], names=["u", "v"])
 
-    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").filter("r_u != r_v")
-    return materialize(both.select("u", "v", "n_u", "n_v", "c_u", "c_v").mapInArrow(run, "u long, v long"))
-
-
-def _whole(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set, has): the shingles of each set in pairs (u, v).
+    both = _sided(materialize(pairs.distinct()), counts, "counts").filter("root_u != root_v")
+    return materialize(both.select("u", "v", "n_u", "n_v", "counts_u", "counts_v").mapInArrow(run, "u long, v long"))
 
-    Texts are filtered where they are by a Bloom filter of the sets' hashes, sixteen bits a set, so few
-    others cross the network; beyond MOST_BITS all do.
-    """
-    need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct())
-    bits, many = 10, need.count()
-    while 1 << bits < 16 * many:
-        bits += 1
-    bitmap = np.zeros(1 << bits >> 3, np.uint8) if bits <= MOST_BITS else None
-
-    def places(sets: np.ndarray) -> list[np.ndarray]:
-        """Each set's PROBES bits, from the two halves of its hash."""
-        low, high = sets & 0xFFFFFFFF, sets >> 32 & 0xFFFFFFFF
-        return [low + k * high & (1 << bits) - 1 for k in range(PROBES)]
 
-    if bitmap is not None:
-        for at in places(need.toArrow().column(0).to_numpy()):
-            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+def _whole(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set, has): the shingles of each set in pairs (u, v), from the first row of its text. These rows are marked in
+    bitmaps that go to the scan, so no other text is read by Python and none moves."""
+    need = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
+    marked = row_blocks(sets.select("set", "row").join(need, "set", "left_semi").select("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if bitmap is not None:
-                hits = [bitmap[at >> 3] >> (at & 7) & 1 for at in places(b.column(0).to_numpy())]
-                b = b.filter(pa.array(np.bitwise_and.reduce(hits) == 1))
-            if b.num_rows:
-                has = pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), has], names=["set", "has"])
+            has = pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), has], names=["set", "has"])
 
     bound_batches(rows.sparkSession)
-    return materialize(rows.select("set", "text").mapInArrow(run, "set long, has binary").join(need, "set", "left_semi").dropDuplicates(["set"]))
+    return materialize(rows_in(rows.select("row", "set", "text"), marked).select("set", "text").mapInArrow(run, "set long, has binary"))
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def _confirm(pairs: DataFrame, rows: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(u, v): the pairs (u, v) of sets in different components that are similar, by the whole sets."""
-    pairs = _may_be_similar(pairs, rows, roots)
-    whole = _whole(rows, pairs)
-    both = pairs.join(whole.select(F.col("set").alias("u"), F.col("has").alias("a")), "u").join(whole.select(F.col("set").alias("v"), F.col("has").alias("b")), "v")
+    pairs = _may_be_similar(pairs, sets, roots)
+    both = _sided(pairs, _whole(rows, sets, pairs), "has")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = [similar(*(np.frombuffer(b.column(k)[r].as_buffer(), np.uint64) for k in (2, 3))) for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(hit, pa.bool_())).columns[:2], names=["u", "v"])
 
-    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    return materialize(both.select("u", "v", "has_u", "has_v").mapInArrow(run, "u long, v long"))
 
 
 def _across(meetings: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): pairs of sets that meet, may be similar and are in different components (node, root). Where
-    only two meet, one is the lead, and they have been compared."""
+    """(u, v): pairs of sets that meet, may be similar and are in different components (node, root). Where only two
+    meet, one is the lead, and they have been compared. Sets that share a shingle with more than RUN others, not
+    all of one component, are dealt into blocks, and each two blocks are compared in one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, sets, n, pos, root in _by_shingle(batches):
-            start = _groups(h)
-            stop = np.r_[start[1:], len(h)]
+        for key, sets, n, pos, root, own, two in _by_shingle(batches):
+            start = _groups(key)
+            stop = np.r_[start[1:], len(key)]
             apart = np.minimum.reduceat(root, start) < np.maximum.reduceat(root, start)
             for s, e in zip(start[apart].tolist(), stop[apart].tolist(), strict=True):
-                for i in range(s, e - 1):
-                    j = slice(i + 1, e)
-                    hit = np.flatnonzero((root[j] != root[i]) & _may_match(n[i : i + 1], pos[i : i + 1], n[j], pos[j])) + i + 1
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[hit], sets[i])), pa.array(np.maximum(sets[hit], sets[i]))], names=["u", "v"])
-
-    named = meetings.filter("many").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("h", "set", "n", "pos", F.coalesce("root", "set").alias("root"))
-    return named.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "u long, v long")
+                place = np.arange(s, e)
+                for i in place[own[s:e]].tolist():
+                    j = place[~own[s:e]] if two[s] else np.arange(i + 1, e)
+                    j = j[(root[j] != root[i]) & _may_match(n[i : i + 1], pos[i : i + 1], n[j], pos[j])]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[j], sets[i])), pa.array(np.maximum(sets[j], sets[i]))], names=["u", "v"])
+
+    named = meetings.filter("many > 2").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("h", "set", "n", "pos", F.coalesce("root", "set").alias("root"), "many")
+    one = named.filter(F.col("many") <= RUN).select(F.col("h").alias("key"), "set", "n", "pos", "root", F.lit(True).alias("own"), F.lit(False).alias("two"))
+    wide = materialize(named.filter(F.col("many") > RUN))
+    parted = wide.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    n_blocks = F.ceil(F.col("many") / RUN).cast("int")
+    wide = join_hot(wide, materialize(parted), "h").withColumn("block", F.pmod(F.xxhash64("set"), n_blocks).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    pair = F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other"))
+    wide = wide.select(pair.alias("key"), "set", "n", "pos", "root", (F.col("block") <= F.col("other")).alias("own"), (F.col("block") != F.col("other")).alias("two"))
+    return one.unionByName(wide).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def _by_fingerprint(rows: DataFrame) -> DataFrame:
@@ -291,13 +316,15 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
 
 
 def similar_sets(rows: DataFrame) -> DataFrame:
-    """(node, root) for each set of rows(set, fp, n, counts, text) that is linked to others, directly or through some."""
-    close = _confirm(_by_fingerprint(rows), rows)
+    """(node, root) for each set of rows(row, set, fp, n, counts, text), a written table, that is linked to others,
+    directly or through some."""
+    sets = materialize(rows.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    close = _confirm(_by_fingerprint(rows), rows, sets)
     meetings = _meetings(rows, _counted(rows))
     star = meetings.filter(F.col("set") != F.col("lead")).filter(_may_match(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
-    links = close.unionByName(_confirm(star.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")), rows, components(close)))
+    links = close.unionByName(_confirm(star.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")), rows, sets, components(close)))
     roots = components(links)
-    return components(links.unionByName(_confirm(_across(meetings, roots), rows, roots)))
+    return components(links.unionByName(_confirm(_across(meetings, roots), rows, sets, roots)))
 
 
 def with_set(df: DataFrame, text: str = "text") -> DataFrame:
@@ -323,7 +350,7 @@ def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text
     rows, show = hide(df, ident=ident, text=text)
     with scratch() as keep:
         made = keep(materialize(with_set(rows.withColumn("row", F.monotonically_increasing_id()))))
-        found = similar_sets(made.select("set", "fp", "n", "counts", "text"))
+        found = similar_sets(made.select("row", "set", "fp", "n", "counts", "text"))
         member = made.select("row", "ident", "set").join(found, F.col("set") == F.col("node"), "left")
         first = F.min(F.struct(F.col("ident").isNull().alias("last"), "ident", "row"))["row"].alias("row")
         best = member.groupBy(F.coalesce("root", "set").alias("root")).agg(first).select("row")

@@ -12,6 +12,7 @@ from test_llm import DOCS, ODD
 import corpus_pipeline as pipe
 import memloom.llm.common as C
 import memloom.llm.shingles as G
+from memloom import tables
 
 
 def slow_set(text):
@@ -112,3 +113,43 @@ def test_rows_in_blocks(spark, monkeypatch, most):
         want = sorted(r.id for r in made.filter(law).collect())
         got = C.rows_in(made, C.row_blocks(made.filter(law).select("row")))
         assert got.columns == made.columns and sorted(r.id for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("run", [4])
+def test_shingles_of_many_sets_are_dealt_in_blocks(spark, monkeypatch, run):
+    """All counters at the last level, so every shingle is dealt by set, and sets are compared block by block."""
+    monkeypatch.setattr(G, "TABLE_BITS", 8)
+    monkeypatch.setattr(G, "RUN", run)
+    rows = edited(random.Random(run))
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS).repartition(5)
+    assert sorted(r.doc_id for r in pipe.drop_copies(spark, df, SF).collect()) == brute_left(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 17])
+def test_a_set_of_many_pairs(spark, monkeypatch, most):
+    """One text with hundreds of near copies: its set goes to the pairs by broadcast, unless it is too large."""
+    monkeypatch.setattr(tables, "HOT_ROWS", 10)
+    monkeypatch.setattr(G, "HOT_BYTES", most)
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        t = list(base)
+        t[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(f"y{i}_{k}" for k in range(30))) for i in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS).repartition(3)
+    assert sorted(r.doc_id for r in pipe.drop_copies(spark, df, SF).collect()) == [0, *range(1000, 1020)]
+
+
+def test_sides_of_hot_pairs(spark, monkeypatch):
+    """Columns of both sides, whichever of them has many pairs."""
+    monkeypatch.setattr(tables, "HOT_ROWS", 5)
+    pairs = [(1, k) for k in range(2, 30)] + [(k, 99) for k in range(2, 20)] + [(1, 99), (40, 41)]
+    sets = [(k, f"s{k}" * (1 if k != 99 else 50)) for k in [*range(1, 30), 40, 41, 99]]
+    p, s = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(sets, "set long, name string")
+    for most in (1 << 17, 10, 0):
+        monkeypatch.setattr(G, "HOT_BYTES", most)
+        got = G._sided(C.materialize(p), s, "name").select("u", "v", "name_u", "name_v").collect()
+        by = dict(sets)
+        assert sorted(map(tuple, got)) == sorted((u, v, by[u], by[v]) for u, v in pairs)
