@@ -59,17 +59,27 @@ def with_cosine(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.withColumn("cos", F.round(F.coalesce(dot(F.col("_q"), F.col("_m")), F.lit(0.0)), DIGITS)).drop("_q", "_m")
 
 
-def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple[str, ...] = ()) -> DataFrame:
+def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
     """Rows (<tag>_ids, <tag>_<more>..., <tag>_dim, <tag>_m) of up to `size` vectors at unit length, packed where
-    they are. Missing, zero and odd-sized vectors are zero vectors."""
+    they are. Missing, zero and odd-sized vectors are zero vectors. by names one of more: a block then holds
+    rows of one of its values."""
     kinds = dict(zip(df.columns, (f.dataType for f in df.schema), strict=True))
     lists = [(f"{tag}_ids", ident), *[(f"{tag}_{m}", m) for m in more]]
     schema = T.StructType([T.StructField(n, T.ArrayType(kinds[c])) for n, c in lists] + [T.StructField(f"{tag}_dim", T.IntegerType()), T.StructField(f"{tag}_m", T.BinaryType())])
 
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        runs = [b]
+        if by and b.num_rows:
+            column = b.column(1 + more.index(by))
+            codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            runs = [b.take(pa.array(at)) for at in np.split(np.argsort(codes, kind="stable"), np.flatnonzero(np.diff(np.sort(codes))) + 1)]
+        for some in runs:
+            for at in range(0, some.num_rows, size):
+                yield some.slice(at, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
+            for part in parts(b):
                 vectors = part.column(len(lists)).to_pylist()
                 dim = max((len(v) for v in vectors if v is not None), default=0)
                 m = np.zeros((len(vectors), dim))
@@ -84,16 +94,17 @@ def blocks(df: DataFrame, ident: str, vec: str, size: int, tag: str, more: tuple
     return df.select(*[c for _, c in lists], vec).mapInArrow(run, schema)
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, differ: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, k: int, differ: str | None = None, same: str | None = None) -> DataFrame:
     """(query_id, memory_id, seq, cos, rank): the k memories most similar to each query, exactly.
 
     Blocks of queries meet blocks of memories, each pair in one matrix product that keeps k rows a query;
     the queries' blocks are broadcast if seen to be few. differ names a column of both: a query leaves out
-    memories of its own value (nulls are one) and of its own id.
+    memories of its own value (nulls are one) and of its own id. same names a column of both: a query, which may
+    stand there with several values, meets memories of these alone (nulls meet none), block by block.
     """
-    more = (differ,) if differ else ()
-    q = blocks(queries, "query_id", "q_emb", QUERY_BLOCK, "q", more)
-    m = blocks(pool, "memory_id", "emb", POOL_BLOCK, "m", ("seq", *more))
+    more = tuple(c for c in (differ, same) if c)
+    q = blocks(queries, "query_id", "q_emb", QUERY_BLOCK, "q", more, same)
+    m = blocks(pool, "memory_id", "emb", POOL_BLOCK, "m", ("seq", *more), same)
     keep = k + 1 if _itself(queries) else k  # one more, as a query leaves itself out
     kinds = [dict(zip(d.columns, (f.dataType for f in d.schema), strict=True))[c] for d, c in ((queries, "query_id"), (pool, "memory_id"), (pool, "seq"))]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "memory_id", "seq"), kinds, strict=True)] + [T.StructField("cos", T.DoubleType())])
@@ -106,8 +117,8 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, differ: str | None = No
                 a, c = (np.frombuffer(row[f"{t}_m"]).reshape(n, -1) for t, n in (("q", n_q), ("m", n_m)))
                 cos = rounded(a @ c.T) if row["q_dim"] == row["m_dim"] else np.zeros((n_q, n_m))
                 if differ:
-                    same = lambda x, y: np.array(x, object)[:, None] == np.array(y, object)
-                    cos[same(row[f"q_{differ}"], row[f"m_{differ}"]) | same(row["q_ids"], row["m_ids"])] = -np.inf
+                    equal = lambda x, y: np.array(x, object)[:, None] == np.array(y, object)
+                    cos[equal(row[f"q_{differ}"], row[f"m_{differ}"]) | equal(row["q_ids"], row["m_ids"])] = -np.inf
                 place = np.argsort(np.argsort(np.array(row["m_seq"], object) if isinstance(row["m_seq"][0], str) else np.array(row["m_seq"]), kind="stable"))
                 at = [[], []]
                 for i in range(n_q):
@@ -120,7 +131,12 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, differ: str | None = No
                 cols = [[row["q_ids"][i] for i in at[0]], [row["m_ids"][j] for j in at[1]], [row["m_seq"][j] for j in at[1]], cos[at[0], at[1]].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (b.schema.field("q_ids").type.value_type, b.schema.field("m_ids").type.value_type, b.schema.field("m_seq").type.value_type, pa.float64()), strict=True)], names=schema.names)
 
-    found = met(m, q).mapInArrow(run, schema)
+    if same:
+        value = lambda df, tag: df.withColumn("_same", F.get(f"{tag}_{same}", F.lit(0))).filter("_same IS NOT NULL")
+        both = value(m, "m").join(checked_broadcast(value(q, "q")), "_same").drop("_same")
+    else:
+        both = met(m, q)
+    found = both.mapInArrow(run, schema)
     found = found.filter(F.col("memory_id") != F.col("query_id")) if _itself(queries) else found
     return top_k(found, k, "cos")
 
@@ -268,7 +284,9 @@ def scoped_recall(queries: DataFrame, pool: DataFrame, sources: DataFrame, k: in
     if include_self:
         scope = scope.unionByName(queries.select("query_id", F.col("cur_node").alias("node_id")))
     usable = scope.join(pool.select(F.col("owner_node").alias("node_id")).distinct(), "node_id", "left_semi")
-    rows = top_k(in_scope(queries, pool, usable), k, "cos").withColumn("vector_score", F.col("cos"))
+    asked = queries.join(usable.select("query_id", F.col("node_id").alias("owner_node")).distinct(), "query_id")
+    hits = materialize(nearest(asked, pool, k, same="owner_node"))  # k rows a query
+    rows = pool.drop("seq").join(checked_broadcast(hits), "memory_id").join(checked_broadcast(queries), "query_id").withColumn("vector_score", F.col("cos"))
     if not fallback_all:
         return rows
     lost = materialize(queries.join(usable.select("query_id").distinct(), "query_id", "left_anti"))

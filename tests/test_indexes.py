@@ -194,3 +194,18 @@ def test_search_without_a_broadcast(spark, monkeypatch):
     pool = spark.createDataFrame([(i, i, [float(i % 7), 1.0]) for i in range(40)], "memory_id long, seq long, emb array<double>")
     q = spark.createDataFrame([(100, [3.0, 1.0])], "query_id long, q_emb array<double>")
     assert [r.memory_id for r in retrieval.nearest(q, pool, 3).orderBy("rank").collect()] == [3, 10, 17]
+
+
+def test_nearest_within_values(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "POOL_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    vecs, owner = rng.normal(0, 1, (80, 3)).round(2), [None if i % 9 == 0 else i % 5 for i in range(80)]
+    pool = spark.createDataFrame([(i, i, v.tolist(), owner[i]) for i, v in enumerate(vecs)], "memory_id long, seq long, emb array<double>, owner long").repartition(3)
+    asked = [(i, o) for i in (1, 2, 33) for o in (0, 3, None, 17)][: 10]
+    q = spark.createDataFrame([(i, vecs[i].tolist(), o, 0) for i, o in asked], "query_id long, q_emb array<double>, owner long, cur_node int")
+    got = {}
+    for r in retrieval.nearest(q, pool, 4, same="owner").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.memory_id)
+    for i in (1, 2, 33):
+        mine = [j for j in range(80) if j != i and owner[j] is not None and (i, owner[j]) in asked]
+        assert got[i] == top(dict(enumerate(vecs)), vecs[i], 4, mine)
