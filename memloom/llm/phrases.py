@@ -193,7 +193,8 @@ def _ranges(tries: DataFrame, sizes: Sizes) -> list[tuple[str, bytes]]:
     n = min(MOST_RANGES, -(-total // sizes.range))
     if n < 2:
         return []
-    drawn = tries.select("lang", F.explode("marks").alias("mark")).orderBy(F.rand(0)).limit(DRAWN * n).collect()
+    share = DRAWN * n * sizes.mark / total  # of all marks, so that about DRAWN a range come to the driver
+    drawn = tries.select("lang", F.explode("marks").alias("mark")).filter(F.rand(0) < share).collect()
     keys = sorted((r.lang, bytes(r.mark)) for r in drawn)
     return sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
