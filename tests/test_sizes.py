@@ -10,3 +10,26 @@ def test_decimals_of_a_cosine_stay(spark):
     cos = [i * 8.1e-5 + 6.25e-7 * k for i in range(200) for k in range(5)]
     got = spark.createDataFrame([(round(c, 9),) for c in cos], "cos double").select("cos", S.semantic_from_cosine(F.col("cos"), F.col("cos"), F.lit(0.0)).alias("s")).collect()
     assert all(r.s == 0.8 * r.cos for r in got) and any(0.5 * r.cos + 0.3 * r.cos != r.s for r in got)
+
+
+def test_best_in_scope_equals_all_pairs(spark, sf):
+    """The picks within each source are those of a ranking of all pairs, and no table of all pairs is in the plan."""
+    from pyspark.sql import Window
+
+    from memloom.operators import retrieval, scoped, scoring
+    from memloom.plans import catalog
+
+    v = catalog.View(spark, sf)
+    mem = v.mem.withColumn("ts", F.when(F.col("memory_id") % 7 > 0, F.col("ts"))).withColumn("emb", F.when(F.col("memory_id") % 11 > 0, F.col("emb")))
+    mem = mem.withColumn("task_tag", F.when(F.col("memory_id") % 5 > 0, F.col("task_tag")))
+    every = catalog.rounded(scoring.score_full(retrieval.in_scope(v.folded, mem, v.near).withColumn("vector_score", F.col("cos"))))
+    place = F.row_number().over(Window.partitionBy("query_id", "owner_node").orderBy(F.desc("final"), "seq"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "owner_node", "memory_id", "seq", "cos", "final").collect())
+    assert rows(scoped.best_in_scope(v.folded, mem, v.near, 3)) == rows(every.withColumn("_p", place).filter("_p <= 3")) != []
+
+
+def test_medians_round_as_sql(spark):
+    from memloom.operators import metrics
+
+    rows = spark.createDataFrame([("g", 1.0, 1), ("g", 1.01, 1)], "group string, latency_ms double, n_relevant_sources int")
+    assert metrics.summarise(rows, ["group"]).first().p50_latency_ms == 1.0
