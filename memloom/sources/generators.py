@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import checked_broadcast
+
 DOMAINS, TOPICS = 6, 6
 DISTRACTORS = 8
 # The graph set's size, its special memories by kind and its episodes by scene.
@@ -121,10 +123,17 @@ def without_private(df: DataFrame, prefix: str = "_") -> DataFrame:
 def anchored(memories: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
     """(query_id, memory_id): memories of a query's relevant_nodes whose text contains at least `least` of its
     anchors."""
-    wanted = queries.select("query_id", F.explode("relevant_nodes").alias("owner_node"), "anchors")
-    rows = memories.select("memory_id", "owner_node", "text").join(wanted, "owner_node")
+    # a want is a node with anchors; a memory and a query meet at the first want that both have, so no pairs are compared
+    asked = queries.select("query_id", F.explode("relevant_nodes").alias("owner_node"), "anchors").distinct()
+    wants = asked.select("owner_node", "anchors").distinct()
+    rows = memories.select("memory_id", "owner_node", "text").join(checked_broadcast(wants), "owner_node")
     hits = F.size(F.filter("anchors", lambda a: F.contains(F.col("text"), a)))
-    return rows.filter(hits >= least).select("query_id", "memory_id").distinct()
+    want = F.struct("owner_node", "anchors").alias("want")
+    mine = rows.filter(hits >= least).select("memory_id", want).groupBy("memory_id").agg(F.collect_set("want").alias("m"))
+    theirs = asked.select("query_id", want).groupBy("query_id").agg(F.collect_set("want").alias("q"))
+    mine, theirs = (d.withColumn("want", F.explode(c)) for d, c in ((mine, "m"), (theirs, "q")))
+    both = mine.join(checked_broadcast(theirs), "want")
+    return both.filter(F.col("want") == F.array_min(F.array_intersect("m", "q"))).select("query_id", "memory_id")
 
 
 def embedded(texts: DataFrame, cache: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
