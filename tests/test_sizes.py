@@ -82,3 +82,12 @@ def test_anchored_lists_a_pair_once(spark):
     out = G.anchored(mem, asked, 1)
     assert sorted(map(tuple, out.collect())) == [(7, 1), (7, 2), (8, 3)]
     assert "HashAggregate(keys=[query_id" not in out._jdf.queryExecution().executedPlan().toString().split("array_intersect")[0]
+
+
+def test_an_episodes_digests_serve_all_comparisons(spark):
+    """Tasks give out sums by comparison, not a row for each digest of each comparison."""
+    from memloom.operators import metrics
+
+    df = spark.createDataFrame([(p, e, float(e + len(p))) for p in ("a", "bb") for e in range(9)] + [("a", None, 2.0)], "pair string, episode_id long, diff double")
+    out = metrics.hashed_bootstrap(df, ["pair"], 50, 5)
+    assert "sequence(0, 12" not in out._jdf.queryExecution().analyzed().toString() and {r.n for r in out.collect()} == {10, 9}
