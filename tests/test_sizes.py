@@ -91,3 +91,16 @@ def test_an_episodes_digests_serve_all_comparisons(spark):
     df = spark.createDataFrame([(p, e, float(e + len(p))) for p in ("a", "bb") for e in range(9)] + [("a", None, 2.0)], "pair string, episode_id long, diff double")
     out = metrics.hashed_bootstrap(df, ["pair"], 50, 5)
     assert "sequence(0, 12" not in out._jdf.queryExecution().analyzed().toString() and {r.n for r in out.collect()} == {10, 9}
+
+
+def test_a_search_holds_no_word_matrices():
+    """Between rows of the index a block of queries leaves its best alone, not its matrix of words."""
+    from memloom.operators import text_index as X
+
+    order, cols = X._row(["red fox", "blue fox", "red"], 2)
+    blocks: dict = {}
+    for at in range(3):
+        row = cols | {"m_ids": order.tolist(), "m_seq": order.tolist(), "q_ids": [at], "q_words": [["red"]], "q_idfs": [[1.0]]}
+        X._best(row, blocks, 2.0, 2, 2)
+    assert len(blocks) == 3 and not any(isinstance(x, X._Queries) for state in blocks.values() for x in state)
+    assert sorted(blocks[0][3][0].tolist()) == [0, 2]
