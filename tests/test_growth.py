@@ -88,6 +88,31 @@ def test_insertion_equals_one_after_another(spark):
     assert {((r.graph_id, r.src, r.dst, r.type), r.strength, r.status, r.seq, r.updates) for r in got.collect()} == plain_insert(rows)
 
 
+@pytest.mark.parametrize("small", [0, 30, 1000])
+def test_insertion_folds_small_graphs_whole(spark, monkeypatch, small):
+    """Small graphs take no rounds over all nodes, whatever number of them is there; large ones have the same result."""
+    rng = np.random.default_rng(9)
+    rows = [(g, i, int(a), int(b), ["derives_from", "depends_on", "references", "similar_to"][k]) for g in range(12) for i, (a, b, k) in enumerate(rng.integers(0, (4 + 3 * g, 4 + 3 * g, 4), (60, 3)).tolist())]
+    arrivals = spark.createDataFrame(rows, "graph_id int, seq int, src int, dst int, type string").repartition(5)
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+    if small == 1000:
+        monkeypatch.setattr(graph, "depths", lambda links: pytest.fail("rounds over all nodes"))
+    got = graph.insert_edges(arrivals)
+    assert {((r.graph_id, r.src, r.dst, r.type), r.strength, r.status, r.seq, r.updates) for r in got.collect()} == plain_insert(rows)
+
+
+def test_rounds_send_no_table_to_the_driver_unless_it_is_small(spark, monkeypatch):
+    """Spark itself broadcasts files below its threshold, which may be many times that in memory."""
+    monkeypatch.setattr(graph, "is_small", lambda *args, **kinds: False)
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    pairs = [(i, i + 1) for i in range(40)] + [(20, 3)]
+    assert {r.node_id for r in graph.depths(links(spark, pairs)).filter("level IS NULL").collect()} == set(range(3, 41))
+    assert graph.components(links(spark, pairs)).select("component").distinct().count() == 1
+    assert any("Join" in p for p in written) and not any("BroadcastHashJoin" in p for p in written)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 200)]
     got = {r.node_id: r.component for r in graph.components(links(spark, pairs)).collect()}
