@@ -91,7 +91,7 @@ def shared_pool(stream: DataFrame, cap: int = 10) -> DataFrame:
 class _Interactions(StatefulProcessor):
     """How many queries took memories along a link; a query counts once while it is remembered."""
 
-    def __init__(self, query: str, remember_ms: int | None):
+    def __init__(self, query: str, remember_ms: int):
         self.query, self.remember_ms = query, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -114,12 +114,14 @@ class _Interactions(StatefulProcessor):
 
 def interaction_counts(stream: DataFrame, current: str = "cur_node", remember_ms: int | None = None) -> DataFrame:
     """(src, dst, n) from a stream of kept rows (query_id, owner_node, current): the batch form's counts, a row for each
-    link whose count a batch raised; a link's highest n is its count. A query is remembered for good, or for
-    remember_ms milliseconds if its rows come close together."""
+    link whose count a batch raised; a link's highest n is its count. A query is remembered for good, in state that is
+    dealt by query and link, or for remember_ms milliseconds if its rows come close together, in one task a link."""
     kinds = dict(stream.dtypes)
     rows = stream.filter(F.col("owner_node") != F.col(current)).select("query_id", F.col("owner_node").alias("src"), F.col(current).alias("dst"))
+    if not remember_ms:
+        return rows.dropDuplicates(["query_id", "src", "dst"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     out = f"src {kinds['owner_node']}, dst {kinds[current]}, n long"
-    return rows.groupBy("src", "dst").transformWithState(_Interactions(kinds["query_id"], remember_ms), out, "update", "processingTime" if remember_ms else "none")
+    return rows.groupBy("src", "dst").transformWithState(_Interactions(kinds["query_id"], remember_ms), out, "update", "processingTime")
 
 
 def use_state_store(spark: SparkSession) -> None:

@@ -149,6 +149,18 @@ def test_restarted_streams_equal_the_batch(stored, tmp_path):
     assert norm(map(tuple, counts.collect())) == norm(map(tuple, state.interaction_counts(batch).collect()))
 
 
+def test_queries_of_one_link_are_remembered_in_all_partitions(stored, tmp_path):
+    spark, path = stored, lambda n: str(tmp_path / n)
+    spark.range(4000).selectExpr("id % 500 AS query_id", "1L AS owner_node", "2L AS cur_node").write.parquet(path("in"))
+    stream = live.interaction_counts(spark.readStream.schema("query_id long, owner_node long, cur_node long").parquet(path("in")))
+    run = stream.writeStream.foreachBatch(lambda out, batch: out.write.parquet(path(f"out/{batch}"))).outputMode("update").option("checkpointLocation", path("state"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(path("out/*")).collect()] == [(1, 2, 500)]
+    held = [spark.read.format("statestore").option("operatorId", k).load(path("state")).groupBy("partition_id").count().collect() for k in (0, 1)]
+    seen = max(held, key=lambda rows: sum(r["count"] for r in rows))
+    assert len(seen) == 4 and sum(r["count"] for r in seen) == 500 and max(r["count"] for r in seen) < 250
+
+
 def test_tier_folds_go_on(spark):
     x = np.random.default_rng(1).choice([100.0, 500.0, 2000.0], 90)
     tiers, past, tier, calm = state.tier_fold(x[:37])
